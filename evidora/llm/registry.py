@@ -1,11 +1,12 @@
 """The queries of this subpackage, by name, and the SQL of those that SQL can express."""
 
-from evidora.llm import mixing, packing, sharding
+from evidora.llm import fingerprints, mixing, packing, sharding
 
 QUERIES = {
     "op2_pack_matrices": packing.query_matrices,
     "op3_mix_sources": mixing.query,
     "op5_best_fit_tree": packing.query_pieces,
+    "op10_i_match": fingerprints.query,
     "op7_feistel_shards": sharding.query,
 }
 ORACLES = {"op3_mix_sources": mixing.ORACLE}
