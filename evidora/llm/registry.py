@@ -1,8 +1,9 @@
 """The queries of this subpackage, by name, and the SQL of those that SQL can express."""
 
-from evidora.llm import fingerprints, mixing, packing, sharding
+from evidora.llm import fingerprints, mixing, packing, sharding, substrings
 
 QUERIES = {
+    "op1_relative_lz": substrings.query,
     "op2_pack_matrices": packing.query_matrices,
     "op3_mix_sources": mixing.query,
     "op5_best_fit_tree": packing.query_pieces,
