@@ -1,6 +1,6 @@
 """The queries of this subpackage, by name, and the SQL of those that SQL can express."""
 
-from evidora.llm import fingerprints, mixing, packing, sharding, substrings
+from evidora.llm import embeddings, fingerprints, mixing, packing, sharding, substrings
 
 QUERIES = {
     "op1_relative_lz": substrings.query,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_mix_sources": mixing.query,
     "op5_best_fit_tree": packing.query_pieces,
     "op10_i_match": fingerprints.query,
+    "op6_cap_filters": embeddings.query,
     "op7_feistel_shards": sharding.query,
 }
 ORACLES = {"op3_mix_sources": mixing.ORACLE}
