@@ -14,8 +14,10 @@ BROADCAST_TERMS = 1_000_000
 
 
 def terms(text: Column) -> Column:
-    """The distinct terms: runs of letters and digits of the lower-case text."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
+    """The distinct terms, as 64-bit hashes: runs of letters and digits of the lower-case text.
+    (Of arrays of longs Spark finds the distinct values by hashing, of strings by comparing all.)"""
+    found = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    return F.array_distinct(F.transform(found, lambda t: F.xxhash64(t)))
 
 
 def lexicon(texts: DataFrame, n_docs: int, least: float = 0.001, most: float = 0.02) -> DataFrame:
@@ -55,20 +57,20 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def fingerprints(texts: DataFrame, lex: DataFrame, small: bool) -> DataFrame:
-    """texts: keys (doc_id, h), and the columns of texts to fingerprint, `text` and `edited`. Where
+    """texts: keys (k, h), and the columns of texts to fingerprint, `text` and `edited`. Where
     texts are already dealt by the keys, the terms stay where they are: the lexicon comes to
     them, and the sets of terms are gathered without a shuffle."""
     def tagged(column: str, kind: int) -> Column:
-        return F.transform(F.concat(terms(F.col(column)), F.array(F.lit(""))), lambda t: F.struct(t.alias("term"), F.lit(kind).alias("kind")))
+        return F.transform(F.concat(terms(F.col(column)), F.array(F.lit(0).cast("long"))), lambda t: F.struct(t.alias("term"), F.lit(kind).alias("kind")))
 
-    keep = ["doc_id", "h", "next_id", "next_h", "n_chars", "edited_sha256", "whole", "edited_whole"]
+    keep = ["k", "h", "next_k", "next_h", "n_chars", "edited_sha256", "whole", "edited_whole"]
     rows = texts.withColumn("whole", F.xxhash64("text")).withColumn("edited_whole", F.xxhash64("edited"))
     rows = rows.select(*keep, F.explode(F.concat(tagged("text", 0), tagged("edited", 1))).alias("t")).select(*keep, "t.term", "t.kind")
-    lex = lex.unionByName(lex.sparkSession.createDataFrame([("", 0)], "term string, mask long"))
+    lex = lex.unionByName(lex.sparkSession.createDataFrame([(0, 0)], "term long, mask long"))
     found = rows.join(F.broadcast(lex) if small else lex, "term")
     of = lambda kind: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("term", "mask"))))
-    sets = found.groupBy("doc_id", "h").agg(*[F.first(c).alias(c) for c in keep[2:]], of(0).alias("a"), of(1).alias("b"))
-    return sets.select("doc_id", "h", "next_id", "next_h", "n_chars", "edited_sha256", fingerprint(F.col("a"), F.col("whole")).alias("fingerprint"), fingerprint(F.col("b"), F.col("edited_whole")).alias("edited_fingerprint"))
+    sets = found.groupBy("k", "h").agg(*[F.first(c).alias(c) for c in keep[2:]], of(0).alias("a"), of(1).alias("b"))
+    return sets.select("k", "h", "next_k", "next_h", "n_chars", "edited_sha256", fingerprint(F.col("a"), F.col("whole")).alias("fingerprint"), fingerprint(F.col("b"), F.col("edited_whole")).alias("edited_fingerprint"))
 
 
 def edited_fingerprints(docs: DataFrame, least: float = 0.001, most: float = 0.02, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -82,26 +84,26 @@ def edited_fingerprints(docs: DataFrame, least: float = 0.001, most: float = 0.0
 
     Texts are shuffled once, by id (and half of them once more, to the document before), document
     numbers as three small columns. Document frequencies are summed within each task first."""
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    ids = base.groupBy("doc_id", "h").agg(F.max(F.length("text")).alias("n_chars"), F.count("*").alias("n_rows"))
-    ids, n = numbered(ids, [F.col("doc_id"), F.col("h")])
+    no_id = F.lit(-(2**63)).cast("long")  # plain keys: null-safe ones would be dealt out again for the sets of terms
+    base = docs.select(F.coalesce(F.col(id_col).cast("long"), no_id).alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    ids = base.groupBy("k", "h").agg(F.max(F.length("text")).alias("n_chars"), F.count("*").alias("n_rows"))
+    ids, n = numbered(ids, [F.col("k"), F.col("h")])
     ids = cut(ids, "ids")
     if ids.where("n_rows > 1").limit(1).count():  # else no row is repeated, and there is nothing to merge
-        base = base.dropDuplicates(["doc_id", "h"])
-    after = ids.select(F.col("rn").alias("next_rn"), F.col("doc_id").alias("next_id"), F.col("h").alias("next_h"))
-    order = ids.withColumn("next_rn", F.pmod(F.col("rn") - 1, F.lit(max(n, 1)))).join(after, "next_rn").select("doc_id", "h", "n_chars", "next_id", "next_h")
+        base = base.dropDuplicates(["k", "h"])
+    after = ids.select(F.col("rn").alias("next_rn"), F.col("k").alias("next_k"), F.col("h").alias("next_h"))
+    order = ids.withColumn("next_rn", F.pmod(F.col("rn") - 1, F.lit(max(n, 1)))).join(after, "next_rn").select("k", "h", "n_chars", "next_k", "next_h")
     order = cut(order, "order")
-    to = order.select(F.col("doc_id").alias("to_id"), F.col("h").alias("to_h"), F.col("next_id").alias("doc_id"), F.col("next_h").alias("h"), F.floor(F.col("n_chars") / 2).cast("int").alias("half"), "n_chars")
-    key = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["h"] == b["h"])
-    given = base.join(to, key(base, to)).select("to_id", "to_h", "half", "n_chars", base["doc_id"].alias("next_id"), base["h"].alias("next_h"), F.expr("substring(text, 1, half)").alias("given"))
-    own = base.join(given, base["doc_id"].eqNullSafe(given["to_id"]) & (base["h"] == given["to_h"]))
+    to = order.select(F.col("k").alias("to_k"), F.col("h").alias("to_h"), F.col("next_k").alias("k"), F.col("next_h").alias("h"), F.floor(F.col("n_chars") / 2).cast("int").alias("half"), "n_chars")
+    given = base.join(to, ["k", "h"]).select(F.col("to_k").alias("_k"), F.col("to_h").alias("_h"), "half", "n_chars", F.col("k").alias("next_k"), F.col("h").alias("next_h"), F.expr("substring(text, 1, half)").alias("given"))
+    own = base.join(given, (base["k"] == given["_k"]) & (base["h"] == given["_h"]))
     edited = F.concat(F.expr("substring(text, 1, cast(n_chars as int) - half)"), F.col("given"))
-    texts = own.select(base["doc_id"], base["h"], "text", "next_id", "next_h", F.col("n_chars").cast("long").alias("n_chars"), edited.alias("edited"))
+    texts = own.select("k", "h", "text", "next_k", "next_h", F.col("n_chars").cast("long").alias("n_chars"), edited.alias("edited"))
     texts = texts.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
     lex = cut(lexicon(base.select("text"), n, least, most), "lexicon")
     marks = cut(fingerprints(texts, lex, lex.count() <= BROADCAST_TERMS), "fingerprints")
-    nexts = marks.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("fingerprint").alias("_next"))
-    out = marks.join(nexts, marks["next_id"].eqNullSafe(nexts["_id"]) & (marks["next_h"] == nexts["_h"]))
+    nexts = marks.select(F.col("k").alias("next_k"), F.col("h").alias("next_h"), F.col("fingerprint").alias("_next"))
+    out = marks.join(nexts, ["next_k", "next_h"]).withColumn("doc_id", F.nullif(F.col("k"), no_id))
     return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("_next")).alias("near_next"))
 
 

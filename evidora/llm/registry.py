@@ -1,11 +1,12 @@
 """The queries of this subpackage, by name, and the SQL of those that SQL can express."""
 
-from evidora.llm import embeddings, fingerprints, mixing, neardup, packing, sharding, substrings
+from evidora.llm import embeddings, fingerprints, lines, mixing, neardup, packing, sharding, substrings
 
 QUERIES = {
     "op1_relative_lz": substrings.query,
     "op2_pack_matrices": packing.query_matrices,
     "op3_mix_sources": mixing.query,
+    "op4_fuzzy_lines": lines.query,
     "op5_best_fit_tree": packing.query_pieces,
     "op9_bagminhash": neardup.query,
     "op10_i_match": fingerprints.query,
