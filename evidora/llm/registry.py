@@ -1,6 +1,6 @@
 """The queries of this subpackage, by name, and the SQL of those that SQL can express."""
 
-from evidora.llm import embeddings, fingerprints, lines, mixing, neardup, packing, sharding, substrings
+from evidora.llm import embeddings, fingerprints, lines, mixing, neardup, packing, sharding, substrings, toxicity
 
 QUERIES = {
     "op1_relative_lz": substrings.query,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_mix_sources": mixing.query,
     "op4_fuzzy_lines": lines.query,
     "op5_best_fit_tree": packing.query_pieces,
+    "op8_string_kernel_svm": toxicity.query,
     "op9_bagminhash": neardup.query,
     "op10_i_match": fingerprints.query,
     "op6_cap_filters": embeddings.query,
