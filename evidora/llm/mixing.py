@@ -83,7 +83,10 @@ def mixed_documents(docs: DataFrame, seed: int = 11, id_col: str = "doc_id", tex
     part = F.when(F.col("_size") > 0, share % F.col("_size")).otherwise(F.lit(0))
     copies = F.concat(F.array_repeat(F.lit(-1).cast("long"), full.cast("int")), F.when(part > 0, F.array(part.cast("long"))).otherwise(F.array().cast("array<long>")))
     rows = rows.withColumn("_words", F.explode(copies))
-    clipped = F.expr(f"regexp_extract(`{text_col}`, concat('^[\\\\x20\\\\x09-\\\\x0D]*(?:[^\\\\x20\\\\x09-\\\\x0D]++[\\\\x20\\\\x09-\\\\x0D]*+){{', _words - 1, '}}[^\\\\x20\\\\x09-\\\\x0D]++'), 0)")
+    space = r"[\x20\x09-\x0D]"
+    parts = F.split(F.col(text_col), rf"(?<={space})(?=[^\x20\x09-\x0D])")  # each word with the space after it
+    leading = F.when(F.col(text_col).rlike("^" + space), 1).otherwise(0)
+    clipped = F.regexp_replace(F.array_join(F.slice(parts, 1, (F.greatest(F.col("_words"), F.lit(0)) + leading).cast("int")), ""), space + "+$", "")
     text = F.when(F.col("_words") < 0, F.col(text_col)).otherwise(clipped)
     return rows.select(*[text.alias(c) if c == text_col else F.col(c) for c in names])
 

@@ -117,6 +117,19 @@ def near_classes(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", te
     return out.select(F.nullif("id", no_id).alias("doc_id"), "digest", F.nullif("rep", no_id).alias("class_id"), F.nullif("component_id", no_id).alias("component_id"), (F.col("id") == F.col("component_id")).alias("kept"), "rows")
 
 
+def keep_one(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that near_classes() keeps, with the columns of docs: one row per component.
+
+    Kept ids are unique but for rows that repeat an id: of those, one row with the text of the kept class stays."""
+    kept = near_classes(docs, least, id_col, text_col).where("kept").select(F.col("doc_id").alias("_id"), "digest", F.col("rows").alias("_rows"), "component_id")
+    kept = kept.groupBy(F.col("_id")).agg(F.collect_list("digest").alias("_digests"), F.max("_rows").alias("_most"))
+    kept = cut(kept, "kept")
+    out = docs.join(kept, F.col(id_col).eqNullSafe(F.col("_id"))).where(F.array_contains("_digests", F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))))
+    if kept.where("_most > 1").limit(1).count():  # rows equal in id and text: one stays
+        out = out.dropDuplicates([id_col, text_col])
+    return out.select(*docs.columns)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     out = near_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "class_id", "component_id", "kept", "rows")

@@ -1,8 +1,10 @@
 """The queries of this subpackage, by name, and the SQL of those that SQL can express."""
 
+import corpus_pipeline
 from evidora.llm import embeddings, fingerprints, lines, mixing, neardup, packing, sharding, substrings, toxicity
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_relative_lz": substrings.query,
     "op2_pack_matrices": packing.query_matrices,
     "op3_mix_sources": mixing.query,
@@ -15,3 +17,5 @@ QUERIES = {
     "op7_feistel_shards": sharding.query,
 }
 ORACLES = {"op3_mix_sources": mixing.ORACLE}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
