@@ -1,4 +1,6 @@
 """All queries of the library's own operators, by name."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from evidora.plans import retrieval  # noqa: F401  each module registers its queries
+from evidora.plans.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
