@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidora.llm.common import cut
+from evidora.llm.common import cut, free
 from evidora.llm.graph import components
-from evidora.llm.pairs import band_hashes, by_group, in_blocks, overlapping, similar_signatures
+from evidora.llm.pairs import by_group, in_blocks, overlapping, similar_signatures
 from evidora.llm.substrings import U, _mix, _Powers, _ranges, _sums
 
 SHINGLE, WIDTH, ROWS, AGREE = 8, 64, 4, 35
@@ -19,6 +19,8 @@ SHINGLE, WIDTH, ROWS, AGREE = 8, 64, 4, 35
 CHUNK = 2_000_000
 _CHARS = _Powers(0x9E3779B97F4A7C15 | 1)
 _EMPTY = np.iinfo(U).max
+#: Code points of white space, up to U+3000; a larger one counts as the last of the table, which is none.
+_BLANK = np.array([chr(i).isspace() for i in range(0x3001)] + [False])
 
 
 def _shingles(points: np.ndarray) -> np.ndarray:
@@ -67,11 +69,12 @@ def line_signatures(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) ->
     return out
 
 
-SIGNED = "id long, tag long, line int, k long, bands array<long>, sig binary"
+SIGNED = "id long, tag long, line int, k long, sig array<long>"
 
 
 def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each line; its signature only the first time that the line comes in this task."""
+    """A row for each line that isn't blank; its signature only the first time that the line comes in this task. A
+    signature's values are kept to 16 bits, ROWS of them to a long: each long is a band."""
     seen: set[int] = set()
 
     def of(ids: list, tags: list, texts: list[str]) -> pa.RecordBatch:
@@ -91,15 +94,15 @@ def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen.clear()
         fresh &= ends - starts >= SHINGLE
         at = np.flatnonzero(fresh)
-        sig = line_signatures(points, starts[at], ends[at])
-        bands = band_hashes(sig, ROWS)
-        bounds = np.concatenate([[0], np.cumsum(np.where(fresh, bands.shape[1], 0))]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(bands.ravel().view(np.int64)))
-        short = np.zeros(len(keys), object)
-        short[:] = None
-        short[at] = [r.tobytes() for r in (sig >> U(16)).astype("<u2")]
+        packed = (line_signatures(points, starts[at], ends[at]) >> U(16)).astype("<u2").view("<i8")
         number = np.arange(len(keys)) - np.repeat(np.cumsum(per_doc) - per_doc, per_doc)
-        columns = [pa.array(np.repeat(np.array(ids, np.int64), per_doc)), pa.array(np.repeat(np.array(tags, np.int64), per_doc)), pa.array(number.astype(np.int32)), pa.array(keys), lists, pa.array(short.tolist(), pa.binary())]
+        ink = np.concatenate([[0], np.cumsum(~_BLANK[np.minimum(points, len(_BLANK) - 1)])])
+        keep = ink[ends] > ink[starts]
+        fresh &= keep
+        packed = packed[keep[at]]
+        bounds = np.concatenate([[0], np.cumsum(np.where(fresh[keep], packed.shape[1], 0))]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(bounds, mask=np.append(~fresh[keep], False)), pa.array(packed.ravel()))
+        columns = [pa.array(np.repeat(np.array(ids, np.int64), per_doc)[keep]), pa.array(np.repeat(np.array(tags, np.int64), per_doc)[keep]), pa.array(number.astype(np.int32)[keep]), pa.array(keys[keep]), lists]
         return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in SIGNED.split(", ")])
 
     ids, tags, texts, held = [], [], [], 0
@@ -133,7 +136,8 @@ def removed_lines(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", t
     signed = cut(rows.mapInArrow(_sign, SIGNED), "signed")
     lines = signed.select("id", "tag", "line", "k")
     classes = cut(lines.groupBy("k").agg(F.min(F.struct("id", "tag", "line")).alias("first"), F.count("*").alias("copies")), "classes")
-    banded = signed.where("size(bands) > 0").select("k", F.explode("bands").alias("band"))
+    bands = signed.where("sig is not null").select("k", F.posexplode("sig").alias("i", "value"))
+    banded = bands.select("k", F.xxhash64("value", "i").alias("band"))
     shared = cut(banded.groupBy("band").agg(F.min("k").alias("a"), F.max("k").alias("b")).where("a < b").select("band"), "shared")
     members = cut(banded.join(shared, "band").distinct(), "members")
     sizes = members.groupBy("band").agg(F.count("*").alias("n"))
@@ -162,23 +166,24 @@ def removed_lines(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", t
 
 
 def dedup_lines(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the lines of removed_lines() taken out of the text, and the columns n_lines and n_removed
-    (under the names _n_lines and _n_removed, beside all columns of docs).
+    """docs with the lines of removed_lines() taken out of the text, and two columns more, the last ones: the number of
+    lines and of lines removed (_n_lines and _n_removed, with more underscores if docs has such names).
 
     Null text stays null, with no lines; rows without an id come last in the order of ids; rows equal in id and text
     are one document, of which each row loses the same lines. A document whose lines all go keeps its row with
     an empty text. An empty table gives no rows. Lines of under SHINGLE characters have no shingles
     and are duplicates only of equal lines."""
-    gone = removed_lines(docs, least, id_col, text_col).select(F.col("id").alias("_id"), F.col("tag").alias("_tag"), F.col("lines").alias("_lines"))
-    i, tag, text = _keyed(docs, id_col, text_col)
-    out = docs.join(gone, (i == F.col("_id")) & (tag == F.col("_tag")), "left")
+    i_, tag_, lines_, n_lines, n_removed = free(docs, "_id", "_tag", "_lines", "_n_lines", "_n_removed")
+    gone = removed_lines(docs, least, id_col, text_col).select(F.col("id").alias(i_), F.col("tag").alias(tag_), F.col("lines").alias(lines_))
+    i, tag, _ = _keyed(docs, id_col, text_col)
+    out = docs.join(gone, (i == F.col(i_)) & (tag == F.col(tag_)), "left")
     parts = F.split(F.col(text_col), "\n")
     blank = F.col(text_col).isNull()
-    left = F.array_join(F.filter(parts, lambda x, n: ~F.array_contains("_lines", n) | (F.trim(F.regexp_replace(x, r"\s", "")) == "")), "\n")
-    n_removed = F.when(F.col("_lines").isNull() | blank, 0).otherwise(F.size(parts) - F.size(F.filter(parts, lambda x, n: ~F.array_contains("_lines", n) | (F.trim(F.regexp_replace(x, r"\s", "")) == ""))))
-    new = F.when(F.col("_lines").isNull() | blank, F.col(text_col)).otherwise(left)
+    left = F.array_join(F.filter(parts, lambda x, n: ~F.array_contains(lines_, n)), "\n")
+    new = F.when(F.col(lines_).isNull() | blank, F.col(text_col)).otherwise(left)
     columns = [new.alias(c) if c == text_col else F.col(c) for c in docs.columns]
-    return out.select(*columns, F.when(blank, 0).otherwise(F.size(parts)).alias("_n_lines"), n_removed.alias("_n_removed"))
+    count = F.when(F.col(lines_).isNull() | blank, 0).otherwise(F.size(lines_))
+    return out.select(*columns, F.when(blank, 0).otherwise(F.size(parts)).alias(n_lines), count.alias(n_removed))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -93,11 +93,15 @@ def _towards(ids: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndar
 
 
 def similar_signatures(width: int, agree: int):
-    """compare() for by_group: rows (grp, id, sig: width unsigned 16-bit values) link where at least
-    `agree` values are equal."""
+    """compare() for by_group: rows (grp, id, sig: width unsigned 16-bit values, as bytes or four to a long) link
+    where at least `agree` values are equal."""
     def compare(table: pa.Table, bounds: np.ndarray):
         ids = table.column("id").to_numpy()
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u2").reshape(-1, width)
+        sig = table.column("sig").combine_chunks()
+        if pa.types.is_list(sig.type):
+            sig = sig.flatten().to_numpy(zero_copy_only=False).astype("<i8").view("<u2").reshape(-1, width)
+        else:
+            sig = np.frombuffer(b"".join(sig.to_pylist()), "<u2").reshape(-1, width)
         size = np.diff(bounds)
         one, two = [], []
         small = size <= 24
