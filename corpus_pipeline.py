@@ -12,12 +12,13 @@ from evidora.llm.common import cut
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8, trained on the labels of the training folds; documents scored 0.7 or more go."""
     machine = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.scored(docs, machine).where("_score < 0.7").drop("_score")
+    out = toxicity.scored(docs, machine)
+    return out.where(F.col(out.columns[-1]) < 0.7).select(*docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4; of each group of equal or similar lines one stays, n_chars follows the text."""
-    out = lines.dedup_lines(docs).drop("_n_lines", "_n_removed")
+    out = lines.dedup_lines(docs).select(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidora.llm.common import WORD, cut
+from evidora.llm.common import WORD, cut, free
 
 WEIGHTS = (3, 1, 2)
 
@@ -74,21 +74,21 @@ def mixed_documents(docs: DataFrame, seed: int = 11, id_col: str = "doc_id", tex
     first words where the cut falls in it (up to the end of the last word taken). Documents
     without words are taken once as they are: the mix counts words, and they have none. The
     columns are those of docs."""
-    names = docs.columns
-    plan = mix(docs, seed, id_col, text_col, source_col).groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_size")).agg(F.sum("taken").alias("_taken"), F.count("*").alias("_rows"))
+    i_, size_, taken_, rows_, words_ = free(docs, "_id", "_size", "_taken", "_rows", "_words")
+    plan = mix(docs, seed, id_col, text_col, source_col).groupBy(F.col("doc_id").alias(i_), F.col("size").alias(size_)).agg(F.sum("taken").alias(taken_), F.count("*").alias(rows_))
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.join(plan, F.col(id_col).eqNullSafe(F.col("_id")) & (size == F.col("_size")))
-    share = F.floor(F.col("_taken") / F.col("_rows"))
-    full = F.when(F.col("_size") > 0, F.floor(share / F.col("_size"))).otherwise(F.lit(1))
-    part = F.when(F.col("_size") > 0, share % F.col("_size")).otherwise(F.lit(0))
+    rows = docs.join(plan, F.col(id_col).eqNullSafe(F.col(i_)) & (size == F.col(size_)))
+    share = F.floor(F.col(taken_) / F.col(rows_))
+    full = F.when(F.col(size_) > 0, F.floor(share / F.col(size_))).otherwise(F.lit(1))
+    part = F.when(F.col(size_) > 0, share % F.col(size_)).otherwise(F.lit(0))
     copies = F.concat(F.array_repeat(F.lit(-1).cast("long"), full.cast("int")), F.when(part > 0, F.array(part.cast("long"))).otherwise(F.array().cast("array<long>")))
-    rows = rows.withColumn("_words", F.explode(copies))
+    rows = rows.withColumn(words_, F.explode(copies))
     space = r"[\x20\x09-\x0D]"
     parts = F.split(F.col(text_col), rf"(?<={space})(?=[^\x20\x09-\x0D])")  # each word with the space after it
     leading = F.when(F.col(text_col).rlike("^" + space), 1).otherwise(0)
-    clipped = F.regexp_replace(F.array_join(F.slice(parts, 1, (F.greatest(F.col("_words"), F.lit(0)) + leading).cast("int")), ""), space + "+$", "")
-    text = F.when(F.col("_words") < 0, F.col(text_col)).otherwise(clipped)
-    return rows.select(*[text.alias(c) if c == text_col else F.col(c) for c in names])
+    clipped = F.regexp_replace(F.array_join(F.slice(parts, 1, (F.greatest(F.col(words_), F.lit(0)) + leading).cast("int")), ""), space + "+$", "")
+    text = F.when(F.col(words_) < 0, F.col(text_col)).otherwise(clipped)
+    return rows.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

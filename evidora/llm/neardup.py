@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidora.llm.bagminhash import signatures
-from evidora.llm.common import cut
+from evidora.llm.common import cut, free
 from evidora.llm.graph import components
 from evidora.llm.pairs import band_hashes, by_group, in_blocks, overlapping, similar_signatures
 from evidora.llm.substrings import _WORDS, U, _documents, _mix, _ranges, _sums, word_hashes
@@ -121,11 +121,12 @@ def keep_one(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_c
     """The rows of docs that near_classes() keeps, with the columns of docs: one row per component.
 
     Kept ids are unique but for rows that repeat an id: of those, one row with the text of the kept class stays."""
-    kept = near_classes(docs, least, id_col, text_col).where("kept").select(F.col("doc_id").alias("_id"), "digest", F.col("rows").alias("_rows"), "component_id")
-    kept = kept.groupBy(F.col("_id")).agg(F.collect_list("digest").alias("_digests"), F.max("_rows").alias("_most"))
+    i_, digests, rows_ = free(docs, "_id", "_digests", "_rows")
+    kept = near_classes(docs, least, id_col, text_col).where("kept")
+    kept = kept.groupBy(F.col("doc_id").alias(i_)).agg(F.collect_list("digest").alias(digests), F.max("rows").alias(rows_))
     kept = cut(kept, "kept")
-    out = docs.join(kept, F.col(id_col).eqNullSafe(F.col("_id"))).where(F.array_contains("_digests", F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))))
-    if kept.where("_most > 1").limit(1).count():  # rows equal in id and text: one stays
+    out = docs.join(kept, F.col(id_col).eqNullSafe(F.col(i_))).where(F.array_contains(digests, F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))))
+    if kept.where(F.col(rows_) > 1).limit(1).count():  # rows equal in id and text: one stays
         out = out.dropDuplicates([id_col, text_col])
     return out.select(*docs.columns)
 

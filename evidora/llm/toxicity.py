@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evidora.llm.common import free
 from evidora.llm.substrings import U, _mix
 
 DECAY = 0.75
@@ -257,7 +258,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 12_000, id_col: str = "d
     return pickle.loads(bytes(got[0]["machine"])) if got else train([], [])
 
 
-def _scorer(machine: Machine, remember: int = 300_000):
+def _scorer(machine: Machine, name: str, remember: int = 300_000):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, float] = {}
         lowest = machine.score(machine.bias - 9.0)
@@ -272,15 +273,17 @@ def _scorer(machine: Machine, remember: int = 300_000):
                 known.update(zip(new, machine.decide(new).tolist()))
                 scores += [machine.score(max(map(known.__getitem__, b))) if b else lowest for b in bags]
             columns = [batch.column(i) for i in range(batch.num_columns - 1)] + [pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "_score"])
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], name])
 
     return run
 
 
 def scored(docs: DataFrame, machine: Machine, text_col: str = "text") -> DataFrame:
-    """docs with the column _score, from the text alone. Null and empty texts have the lowest score."""
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), "_score double"])
-    return docs.select(*docs.columns, F.col(text_col).alias("_text")).mapInArrow(_scorer(machine), schema)
+    """docs with one column more, the last: the score (_score, with more underscores if docs has that name), from the
+    text alone. Null and empty texts have the lowest score. Other columns pass through."""
+    text, score = free(docs, "_text", "_score")
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), f"`{score}` double"])
+    return docs.select(*docs.columns, F.col(text_col).alias(text)).mapInArrow(_scorer(machine, score), schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
