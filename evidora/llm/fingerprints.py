@@ -16,8 +16,8 @@ BROADCAST_TERMS = 1_000_000
 def terms(text: Column) -> Column:
     """The distinct terms, as 64-bit hashes: runs of letters and digits of the lower-case text.
     (Of arrays of longs Spark finds the distinct values by hashing, of strings by comparing all.)"""
-    found = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    return F.array_distinct(F.transform(found, lambda t: F.xxhash64(t)))
+    found = F.split(F.lower(text), r"[^\p{L}\p{N}]+")
+    return F.array_remove(F.array_distinct(F.transform(found, lambda t: F.xxhash64(t))), F.xxhash64(F.lit("")))
 
 
 def lexicon(texts: DataFrame, n_docs: int, least: float = 0.001, most: float = 0.02) -> DataFrame:
@@ -25,26 +25,44 @@ def lexicon(texts: DataFrame, n_docs: int, least: float = 0.001, most: float = 0
     with bit i of the mask for lexicon subset i. Subset i keeps a term if its hash under seed i
     is 0 modulo RATES[i]. A document has so many distinct terms on average, say d; then no
     more than d / least terms can be in the band, however large the corpus is."""
-    counts = texts.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").count()
-    band = counts.where(F.col("count").between(max(2.0, least * n_docs), max(2.0, most * n_docs)))
+    # explode_outer: for explode, the optimiser adds a filter on the array's size, which computes it twice more
+    counts = texts.select(F.explode_outer(terms(F.col("text"))).alias("term")).groupBy("term").count()
+    band = counts.where(F.col("term").isNotNull() & F.col("count").between(max(2.0, least * n_docs), max(2.0, most * n_docs)))
     bits = [F.when(F.pmod(F.xxhash64("term", F.lit(i)), F.lit(rate)) == 0, F.lit(1 << i)).otherwise(F.lit(0)) for i, rate in enumerate(RATES)]
     mask = bits[0].cast("long")
     for b in bits[1:]:
         mask = mask.bitwiseOR(b.cast("long"))
-    return band.select("term", mask.alias("mask")).where("mask != 0")
+    return band.select("term", mask.alias("mask"))  # no filter on the mask: it would be moved below the count, to each occurrence
 
 
-def fingerprint(members: Column, whole: Column) -> Column:
-    """The subsets' hashes, joined by '.': of subset i, the hash over its sorted terms, or '-' if it has
-    none. A text without any (very short, or only words outside the band) has one more part,
-    the hash of the whole text, so that equal texts still agree."""
+def _bits(rates: list[int]) -> int:
+    return sum(1 << i for i, r in enumerate(RATES) if r in rates)
+
+
+def _any(members: Column, bits: int) -> Column:
+    return F.filter(members, lambda m: m["mask"].bitwiseAND(F.lit(bits).cast("long")) != 0)
+
+
+def fingerprint(sets: DataFrame, members: str, whole: str, out: str) -> DataFrame:
+    """Adds out: the subsets' hashes, joined by '.': of subset i, the hash over its sorted terms, or '-' if it has
+    none. A text without any (very short, or only words outside the band) has just the hash
+    of the whole text, so that equal texts still agree.
+
+    The members are thinned out to those of any subset of a rate first: the sparser subsets then look at few."""
+    tiers = sorted(set(RATES))
+    df = sets.withColumns({f"_{members}{r}": _any(F.col(members), _bits([r])) for r in tiers})
+
     def part(i: int) -> Column:
-        chosen = F.filter(members, lambda m: m["mask"].bitwiseAND(F.lit(1 << i).cast("long")) != 0)
+        chosen = _any(F.col(f"_{members}{RATES[i]}"), 1 << i)
         hashed = F.substring(F.lpad(F.lower(F.hex(F.xxhash64(F.transform(chosen, lambda m: m["term"])))), 16, "0"), 1, 10)
-        return F.when(F.size(chosen) == 0, F.lit("-")).otherwise(hashed)
+        return F.when(F.exists(f"_{members}{RATES[i]}", lambda m: m["mask"].bitwiseAND(F.lit(1 << i).cast("long")) != 0), hashed).otherwise(F.lit("-"))
 
     joined = F.concat_ws(".", *[part(i) for i in range(len(RATES))])
-    return F.when(F.size(F.filter(members, lambda m: m["mask"] != 0)) == 0, F.concat(F.lit("#"), F.lpad(F.lower(F.hex(whole)), 16, "0"))).otherwise(joined)
+    none = F.concat(F.lit("#"), F.lpad(F.lower(F.hex(F.col(whole))), 16, "0"))
+    empty = F.lit(True)
+    for r in tiers:
+        empty = empty & (F.size(f"_{members}{r}") == 0)
+    return df.withColumn(out, F.when(empty, none).otherwise(joined)).drop(*[f"_{members}{r}" for r in tiers])
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -65,12 +83,13 @@ def fingerprints(texts: DataFrame, lex: DataFrame, small: bool) -> DataFrame:
 
     keep = ["k", "h", "next_k", "next_h", "n_chars", "edited_sha256", "whole", "edited_whole"]
     rows = texts.withColumn("whole", F.xxhash64("text")).withColumn("edited_whole", F.xxhash64("edited"))
-    rows = rows.select(*keep, F.explode(F.concat(tagged("text", 0), tagged("edited", 1))).alias("t")).select(*keep, "t.term", "t.kind")
+    rows = rows.select(*keep, F.explode_outer(F.concat(tagged("text", 0), tagged("edited", 1))).alias("t")).select(*keep, "t.term", "t.kind")
     lex = lex.unionByName(lex.sparkSession.createDataFrame([(0, 0)], "term long, mask long"))
     found = rows.join(F.broadcast(lex) if small else lex, "term")
     of = lambda kind: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("term", "mask"))))
     sets = found.groupBy("k", "h").agg(*[F.first(c).alias(c) for c in keep[2:]], of(0).alias("a"), of(1).alias("b"))
-    return sets.select("k", "h", "next_k", "next_h", "n_chars", "edited_sha256", fingerprint(F.col("a"), F.col("whole")).alias("fingerprint"), fingerprint(F.col("b"), F.col("edited_whole")).alias("edited_fingerprint"))
+    sets = fingerprint(fingerprint(sets, "a", "whole", "fingerprint"), "b", "edited_whole", "edited_fingerprint")
+    return sets.select("k", "h", "next_k", "next_h", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint")
 
 
 def edited_fingerprints(docs: DataFrame, least: float = 0.001, most: float = 0.02, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
