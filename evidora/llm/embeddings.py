@@ -167,3 +167,15 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, expected: float = 20
 
 def query(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).withColumnRenamed("id", "vec_id")
+
+
+#: All pairs, and the closure of their links.
+ORACLE = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+n AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS n FROM v WHERE v IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+e AS (SELECT a.vec_id AS x, b.vec_id AS y FROM n a JOIN n b ON a.vec_id <> b.vec_id AND a.n > 0 AND b.n > 0 AND len(a.v) = len(b.v) AND list_dot_product(a.v, b.v) / (a.n * b.n) >= 0.9),
+r(d, m) AS (SELECT vec_id, vec_id FROM v UNION SELECT e.y, r.m FROM r JOIN e ON e.x = r.d),
+q AS (SELECT d AS vec_id, min(m) AS component_id FROM r GROUP BY d),
+g AS (SELECT x AS vec_id, count(*) AS n_links FROM e GROUP BY x)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM q LEFT JOIN g USING (vec_id)
+"""

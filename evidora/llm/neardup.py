@@ -134,3 +134,19 @@ def keep_one(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_c
 def query(spark, sf_dir: str) -> DataFrame:
     out = near_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "class_id", "component_id", "kept", "rows")
+
+
+#: All pairs that share a shingle, and the closure of their links.
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+i AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5),
+c AS (SELECT doc_id, md5(array_to_string(ws[i : i + 4], ' ')) AS s, count(*) AS n FROM i GROUP BY ALL),
+t AS (SELECT doc_id, sum(n) AS t FROM c GROUP BY doc_id),
+k AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS class_id FROM w),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, sum(least(a.n, b.n)) AS o FROM c a JOIN c b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN t tx ON tx.doc_id = x JOIN t ty ON ty.doc_id = y WHERE o >= 0.8 * (tx.t + ty.t - o) UNION SELECT class_id, doc_id FROM k WHERE class_id < doc_id),
+e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+r(d, m) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.y, r.m FROM r JOIN e ON e.x = r.d),
+q AS (SELECT d AS doc_id, min(m) AS component_id FROM r GROUP BY d)
+SELECT doc_id, class_id, component_id, doc_id = component_id AS kept, 1::BIGINT AS rows FROM k JOIN q USING (doc_id)
+"""

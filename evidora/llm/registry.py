@@ -16,6 +16,11 @@ QUERIES = {
     "op6_cap_filters": embeddings.query,
     "op7_feistel_shards": sharding.query,
 }
-ORACLES = {"op3_mix_sources": mixing.ORACLE}
+ORACLES = {
+    "op1_relative_lz": substrings.ORACLE,
+    "op3_mix_sources": mixing.ORACLE,
+    "op6_cap_filters": embeddings.ORACLE,
+    "op9_bagminhash": neardup.ORACLE,
+}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

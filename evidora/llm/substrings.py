@@ -244,3 +244,17 @@ def remove_repeats(docs: DataFrame, window: int = 50, k: int = 16, id_col: str =
 def query(spark, sf_dir: str) -> DataFrame:
     out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+
+
+#: Every window's words, compared as text.
+ORACLE = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+i AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50),
+win AS (SELECT doc_id, i, md5(array_to_string(ws[i : i + 49], ' ')) AS h FROM i),
+f AS (SELECT h, min(doc_id) AS m FROM win GROUP BY h),
+gone AS (SELECT DISTINCT doc_id, i + k AS p FROM win JOIN f USING (h), range(0, 50) r(k) WHERE m < doc_id),
+g AS (SELECT doc_id, list(p) AS g FROM gone GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(len(g), 0)::BIGINT AS n_removed,
+  sha256(coalesce(array_to_string(CASE WHEN g IS NULL THEN ws ELSE list_filter(ws, lambda x, n: NOT list_contains(g, n)) END, ' '), '')) AS kept_sha256
+FROM w LEFT JOIN g USING (doc_id)
+"""
