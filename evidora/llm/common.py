@@ -25,6 +25,13 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def small(df: DataFrame, columns: int = 1) -> DataFrame:
+    """A cut df of so many long columns, with a broadcast hint if its rows come to 10 MB at most (the bound that
+    Spark itself sets by default); a larger one is left to a shuffle."""
+    most = 10_000_000 // (8 * columns)
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def free(df: DataFrame, *names: str) -> list[str]:
     """The names, each with as many underscores in front as make it one that df doesn't have."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidora.llm.common import cut, free
+from evidora.llm.common import cut, free, small
 from evidora.llm.graph import components
 from evidora.llm.pairs import by_group, in_blocks, overlapping, similar_signatures
 from evidora.llm.substrings import U, _mix, _Powers, _ranges, _sums
@@ -28,11 +28,10 @@ def _shingles(points: np.ndarray) -> np.ndarray:
     n = len(points) - SHINGLE + 1
     if n <= 0:
         return np.empty(0, U)
-    out = np.zeros(n, U)
     with np.errstate(over="ignore"):
-        for j in range(SHINGLE):
-            out = out * U(0x2545F4914F6CDD1D) + points[j : j + n]
-        return _mix(out)
+        up, down = _CHARS.to(len(points) + 1)
+        sums = _sums(points + U(1), up)
+        return _mix((sums[SHINGLE:] - sums[:-SHINGLE]) * down[:n])
 
 
 def line_shingles(line: str) -> np.ndarray:
@@ -139,7 +138,7 @@ def removed_lines(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", t
     bands = signed.where("sig is not null").select("k", F.posexplode("sig").alias("i", "value"))
     banded = bands.select("k", F.xxhash64("value", "i").alias("band"))
     shared = cut(banded.groupBy("band").agg(F.min("k").alias("a"), F.max("k").alias("b")).where("a < b").select("band"), "shared")
-    members = cut(banded.join(shared, "band").distinct(), "members")
+    members = cut(banded.join(small(shared), "band").distinct(), "members")
     sizes = members.groupBy("band").agg(F.count("*").alias("n"))
     once = signed.where("sig is not null").select("k", "sig").join(members.select("k").distinct(), "k").groupBy("k").agg(F.first("sig").alias("sig"))
     met = in_blocks(members, sizes, "band", "k").join(once, "k").select("grp", F.col("k").alias("id"), "sig")
