@@ -25,11 +25,10 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def small(df: DataFrame, columns: int = 1) -> DataFrame:
-    """A cut df of so many long columns, with a broadcast hint if its rows come to 10 MB at most (the bound that
-    Spark itself sets by default); a larger one is left to a shuffle."""
-    most = 10_000_000 // (8 * columns)
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def built(df: DataFrame) -> DataFrame:
+    """df as the side of a join that is hashed: it has few rows for each of the other side's, and one per key, so
+    its share of a partition fits in memory and the other side need not be sorted. Spark splits large partitions of such joins, too."""
+    return df.hint("shuffle_hash")
 
 
 def free(df: DataFrame, *names: str) -> list[str]:

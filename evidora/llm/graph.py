@@ -20,17 +20,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Large star: each node hands its larger neighbours its smallest neighbour; small star: each node
     ties its smaller neighbours and itself to the smallest of them. Both keep components
     and end, after about log n rounds, in stars around the smallest nodes. A node's minimum is
-    summed within tasks before a shuffle; the join back to it is one whose large
-    partitions Spark splits, so a star of any size needs no single task. Edges are cut each
+    summed within tasks before a shuffle and cut, so that both sides of the join back to it come straight from a
+    shuffle: Spark splits large partitions of such joins, and a star of any size needs no single task. Edges are cut each
     round: a lost executor costs one round. Nulls and loops are ignored."""
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
     e = cut(e, "edges")
     while not _stars(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         large = cut(large, "large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         ties = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
         e = cut(ties.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))

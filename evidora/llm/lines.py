@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidora.llm.common import cut, free, small
+from evidora.llm.common import built, cut, free
 from evidora.llm.graph import components
 from evidora.llm.pairs import by_group, in_blocks, overlapping, similar_signatures
 from evidora.llm.substrings import U, _mix, _Powers, _ranges, _sums
@@ -34,8 +34,15 @@ def _shingles(points: np.ndarray) -> np.ndarray:
         return _mix((sums[SHINGLE:] - sums[:-SHINGLE]) * down[:n])
 
 
-def line_shingles(line: str) -> np.ndarray:
-    return np.unique(_shingles(np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4").astype(U)))
+def all_shingles(found: list[str]) -> list[np.ndarray]:
+    """Of each line, the hashes of its distinct shingles, sorted."""
+    h = _shingles(np.frombuffer("".join(found).encode("utf-32-le", "surrogatepass"), "<u4").astype(U))
+    ends = np.cumsum([len(t) for t in found])
+    out = []
+    for start, end in zip((ends - [len(t) for t in found]).tolist(), ends.tolist()):
+        x = np.sort(h[start : max(start, end - SHINGLE + 1)])
+        out.append(x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x)
+    return out
 
 
 def line_signatures(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -138,9 +145,9 @@ def removed_lines(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", t
     bands = signed.where("sig is not null").select("k", F.posexplode("sig").alias("i", "value"))
     banded = bands.select("k", F.xxhash64("value", "i").alias("band"))
     shared = cut(banded.groupBy("band").agg(F.min("k").alias("a"), F.max("k").alias("b")).where("a < b").select("band"), "shared")
-    members = cut(banded.join(small(shared), "band").distinct(), "members")
+    members = cut(banded.join(built(shared), "band").distinct(), "members")
     sizes = members.groupBy("band").agg(F.count("*").alias("n"))
-    once = signed.where("sig is not null").select("k", "sig").join(members.select("k").distinct(), "k").groupBy("k").agg(F.first("sig").alias("sig"))
+    once = signed.where("sig is not null").select("k", "sig").join(built(members.select("k").distinct()), "k").groupBy("k").agg(F.first("sig").alias("sig"))
     met = in_blocks(members, sizes, "band", "k").join(once, "k").select("grp", F.col("k").alias("id"), "sig")
     linked = cut(by_group(met, similar_signatures(WIDTH, AGREE)).distinct(), "linked")
     groups = components(linked)
@@ -148,19 +155,19 @@ def removed_lines(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", t
     counts = groups.groupBy("root").agg(F.count("*").alias("n"))
     wanted = classes.join(groups, F.col("k") == F.col("node")).select("first.*", "k", "root")
     wanted = wanted.groupBy("id", "tag").agg(F.collect_list(F.struct("line", "k", "root")).alias("wanted"))
-    held = rows.join(wanted, ["id", "tag"]).select(F.split("text", "\n").alias("split"), F.explode("wanted").alias("w"))
+    held = rows.join(built(wanted), ["id", "tag"]).select(F.split("text", "\n").alias("split"), F.explode("wanted").alias("w"))
     texts = cut(held.select("w.k", "w.root", F.expr("split[w.line]").alias("text")), "texts")
     if texts.groupBy("k").count().where("count > 1").limit(1).count():  # rows repeat
         texts = texts.dropDuplicates(["k"])
     tried = in_blocks(texts, counts, "root", "k").select("grp", F.col("k").alias("id"), "text")
-    proven = cut(by_group(tried, overlapping(lambda found: [line_shingles(t) for t in found], least)).distinct(), "proven")
+    proven = cut(by_group(tried, overlapping(all_shingles, least)).distinct(), "proven")
     roots = components(proven)
     roots = cut(roots.select("node", "root").unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), "roots")
     named = classes.join(roots, F.col("k") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "k"))
     kept = named.where("root is not null").groupBy("comp").agg(F.min("first").alias("stays"))
     named = named.join(kept, "comp", "left").select("k", F.coalesce("stays", "first").alias("stays"), "copies", "root")
     named = named.where("copies > 1 or root is not null").select("k", "stays")
-    gone = lines.join(named, "k").where(F.struct("id", "tag", "line") != F.col("stays"))
+    gone = lines.join(built(named), "k").where(F.struct("id", "tag", "line") != F.col("stays"))
     return gone.groupBy("id", "tag").agg(F.collect_set("line").alias("lines"))
 
 
@@ -175,7 +182,7 @@ def dedup_lines(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", tex
     i_, tag_, lines_, n_lines, n_removed = free(docs, "_id", "_tag", "_lines", "_n_lines", "_n_removed")
     gone = removed_lines(docs, least, id_col, text_col).select(F.col("id").alias(i_), F.col("tag").alias(tag_), F.col("lines").alias(lines_))
     i, tag, _ = _keyed(docs, id_col, text_col)
-    out = docs.join(gone, (i == F.col(i_)) & (tag == F.col(tag_)), "left")
+    out = docs.join(built(gone), (i == F.col(i_)) & (tag == F.col(tag_)), "left")
     parts = F.split(F.col(text_col), "\n")
     blank = F.col(text_col).isNull()
     left = F.array_join(F.filter(parts, lambda x, n: ~F.array_contains(lines_, n)), "\n")

@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -130,6 +131,19 @@ def similar_signatures(width: int, agree: int):
     return compare
 
 
+def _in_turn(texts: pa.ChunkedArray, bounds: np.ndarray, most: int = 4_000_000) -> Iterator[list[str] | None]:
+    """For each group, the texts of it and of those after it, some `most` bytes at once, or None while such texts last."""
+    weight = np.cumsum(np.append(0, pc.binary_length(texts).to_numpy()))[bounds]
+    k = 0
+    while k < len(bounds) - 1:
+        end = max(k + 1, int(np.searchsorted(weight, weight[k] + most, side="right")) - 1)
+        lo, hi = int(bounds[k]), int(bounds[end])
+        yield texts.slice(lo, hi - lo).to_pylist()
+        for _ in range(end - k - 1):
+            yield None
+        k = end
+
+
 def overlapping(elements: Callable[[list], list[np.ndarray]], least: float, columns: int = 8192):
     """compare() for by_group: rows (grp, id, text) link where the Jaccard similarity of their element
     sets (elements(texts): a sorted array of unique hashes each) is at least `least`, counted exactly: the common elements
@@ -137,8 +151,11 @@ def overlapping(elements: Callable[[list], list[np.ndarray]], least: float, colu
     def compare(table: pa.Table, bounds: np.ndarray):
         ids = table.column("id").to_numpy()
         one, two = [], []
-        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-            sets = elements(table.column("text").slice(lo, hi - lo).to_pylist())
+        held, base = [], 0
+        for lo, hi, text in zip(bounds[:-1].tolist(), bounds[1:].tolist(), _in_turn(table.column("text"), bounds)):
+            if text is not None:
+                held, base = elements(text), lo
+            sets = held[lo - base : hi - base]
             n, sizes = len(sets), np.array([len(s) for s in sets])
             if n == 2:
                 both = np.concatenate(sets)
