@@ -220,6 +220,7 @@ def duplicate_windows(rows: DataFrame, window: int, k: int) -> DataFrame:
     lists = edges.groupBy("id", "tag").agg(F.collect_list(F.struct("anchor", "first", "last")).alias("blocks"))
     windows = cut(texts.join(lists, ["id", "tag"]).select("id", "tag", "text", "blocks").mapInArrow(_windows(window, k), WINDOWS), "windows")
     earliest = windows.groupBy("anchor", "content").agg(F.min("id").alias("least_id"), F.max("id").alias("largest")).where("least_id < largest").drop("largest")
+    earliest = cut(earliest, "earliest")  # so that the join's sides come straight from a shuffle, and Spark can split a hot passage
     single = windows.join(earliest, ["anchor", "content"]).where("least_id < id").select("id", "tag", F.col("at").alias("first"), F.col("at").alias("last"))
     return cut(whole.unionByName(single), "found")
 
