@@ -56,10 +56,12 @@ def similar_candidates(ctx: DataFrame, least: float = 0.5) -> DataFrame:
 
 
 def dedup_minhash(docs: DataFrame, distance: float = 0.2) -> DataFrame:
-    """Pairs of different texts within a Jaccard distance over tokens, from MinHash tables; one document of each text."""
+    """Pairs of different texts within a Jaccard distance over three-token shingles, from MinHash tables; one document of
+    each text. (Over single tokens, texts of one language share so many that the tables would pair most of them.)"""
     from pyspark.ml.feature import HashingTF, MinHashLSH
 
-    one = docs.groupBy("text").agg(F.min("doc_id").alias("doc_id")).select("doc_id", tokens(F.col("text")).alias("t")).where("size(t) > 0")
+    one = docs.groupBy("text").agg(F.min("doc_id").alias("doc_id")).select("doc_id", tokens(F.col("text")).alias("w")).where("size(w) > 2")
+    one = one.select("doc_id", F.expr("transform(sequence(1, size(w) - 2), i -> array_join(slice(w, i, 3), ' '))").alias("t"))
     hashed = HashingTF(inputCol="t", outputCol="f", numFeatures=1 << 18, binary=True).transform(one).drop("t")
     model = MinHashLSH(inputCol="f", outputCol="h", numHashTables=8, seed=7).fit(hashed)
     out = model.approxSimilarityJoin(hashed, hashed, distance, "dist")
