@@ -61,7 +61,7 @@ def dedup_minhash(docs: DataFrame, distance: float = 0.2) -> DataFrame:
     from pyspark.ml.feature import HashingTF, MinHashLSH
 
     one = docs.groupBy("text").agg(F.min("doc_id").alias("doc_id")).select("doc_id", tokens(F.col("text")).alias("w")).where("size(w) > 2")
-    one = one.select("doc_id", F.expr("transform(sequence(1, size(w) - 2), i -> array_join(slice(w, i, 3), ' '))").alias("t"))
+    one = one.select("doc_id", F.expr("transform(sequence(1, greatest(size(w) - 2, 1)), i -> array_join(slice(w, i, 3), ' '))").alias("t"))
     hashed = HashingTF(inputCol="t", outputCol="f", numFeatures=1 << 18, binary=True).transform(one).drop("t")
     model = MinHashLSH(inputCol="f", outputCol="h", numHashTables=8, seed=7).fit(hashed)
     out = model.approxSimilarityJoin(hashed, hashed, distance, "dist")
