@@ -84,22 +84,18 @@ class Machine:
     def __init__(self, triples: np.ndarray, weights: np.ndarray, bias: float, slope: float, shift: float):
         self.triples, self.weights, self.bias, self.slope, self.shift = triples, weights, bias, slope, shift
 
-    def decide(self, raw: list[str]) -> np.ndarray:
-        if not raw:
-            return np.empty(0)
+    def decide(self, raw: list[str], some: int = 20_000) -> np.ndarray:
+        """The decision values of strings, `some` at once."""
         dense = np.zeros(262144)
         dense[self.triples] = self.weights
-        parts = [_windows(t) for t in raw]
-        owner = np.repeat(np.arange(len(raw)), [len(p) for p in parts])
-        flat = [t for p in parts for t in p]
-        value = np.empty(len(flat))
-        for i in range(0, len(flat), 20_000):
-            some = flat[i : i + 20_000]
-            row, code, phi = _triples(some)
-            norm = np.sqrt(np.bincount(row, phi * phi, minlength=len(some)))
-            value[i : i + len(some)] = np.bincount(row, phi * dense[code], minlength=len(some)) / np.maximum(norm, 1e-12)
         out = np.full(len(raw), -np.inf)
-        np.maximum.at(out, owner, value)
+        for i in range(0, len(raw), some):
+            parts = [_windows(t) for t in raw[i : i + some]]
+            owner = np.repeat(np.arange(i, i + len(parts)), [len(p) for p in parts])
+            flat = [t for p in parts for t in p]
+            row, code, phi = _triples(flat)
+            norm = np.sqrt(np.bincount(row, phi * phi, minlength=len(flat)))
+            np.maximum.at(out, owner, np.bincount(row, phi * dense[code], minlength=len(flat)) / np.maximum(norm, 1e-12))
         return out + self.bias
 
     def score(self, decision: float) -> float:
@@ -121,10 +117,10 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, epochs: int = 30, seed:
 
 
 def _logistic(f: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of Platt's sigmoid, with his smoothed targets; classes weigh the same."""
+    """Slope and shift of Platt's sigmoid, with his smoothed targets."""
     pos, neg = max(1, (y > 0).sum()), max(1, (y <= 0).sum())
     target = np.where(y > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
-    weight = np.where(y > 0, 0.5 / pos, 0.5 / neg)
+    weight = np.full(len(y), 1 / len(y))
     x, beta = np.stack([f, np.ones(len(f))], 1), np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
@@ -140,7 +136,7 @@ def _variants(word: str, rng: np.random.Generator) -> list[str]:
     return [word[:i] + "*.-_x"[int(rng.integers(5))] + word[i:], word[:i] + word[i - 1] + word[i:]]
 
 
-def _copies(bags: list[set[str]], rare: set[str]) -> list[int]:
+def _copies(bags: list[np.ndarray], hashes: np.ndarray, rare: np.ndarray) -> list[int]:
     """A group for each bag: near copies, that is bags that agree in one of six triples of minima over their
     rare strings, share it."""
     parent = list(range(len(bags)))
@@ -153,7 +149,7 @@ def _copies(bags: list[set[str]], rare: set[str]) -> list[int]:
 
     first: dict = {}
     for i, bag in enumerate(bags):
-        h = np.array([zlib.crc32(t.encode()) for t in sorted(bag & rare)], U)
+        h = hashes[bag[rare[bag]]]
         if len(h):
             with np.errstate(over="ignore"):
                 least = [int(_mix(h + U(j * 0x9E3779B97F4A7C15 % 2**63)).min()) for j in range(18)]
@@ -172,30 +168,32 @@ def train(texts: list[str], toxic: list[int], landmarks: int = 160, seed: int =
     none = Machine(np.empty(0, np.int64), np.empty(0), -1.0, 1.0, -1.0)
     if not len(y) or len(set(y.tolist())) < 2:
         return none
-    bags = [{t.strip(_STRIP) for t in strings(x)} - {""} for x in texts]
-    df = Counter(t for b in bags for t in b)
-    group = _copies(bags, {t for t, n in df.items() if n <= max(2, 0.02 * len(bags))})
-    hot: dict[str, set] = {}
-    cold: Counter = Counter()
+    known: dict[str, int] = {}
+    bags = [np.fromiter({known.setdefault(u, len(known)) for t in strings(x) if (u := t.strip(_STRIP))}, np.int32) for x in texts]
+    names_ = list(known)
+    df = np.zeros(len(known), np.int64)
+    cold = np.zeros(len(known), np.int64)
+    for bag, label in zip(bags, y):
+        df[bag] += 1
+        cold[bag] += label < 0
+    hashes = np.array([zlib.crc32(t.encode()) for t in names_], U)
+    group = _copies(bags, hashes, df <= max(2, 0.02 * len(bags)))
+    hot: dict[int, set] = {}
     for bag, label, g in zip(bags, y, group):
         if label > 0:
-            for t in bag:
+            for t in bag.tolist():
                 hot.setdefault(t, set()).add(g)
-        else:
-            cold.update(bag)
-    bad = {t: len(g) for t, g in hot.items() if len(g) >= 4 and len(t) >= 3 and len(g) >= 9 * cold[t]}
+    often = max(4, 0.01 * len({g for g, label in zip(group, y) if label > 0}))  # fewer may be chance, or copies that were not found
+    bad = {names_[t] for t, g in hot.items() if len(g) >= often and len(names_[t]) >= 3 and len(g) >= 9 * cold[t]}
     if not bad:
         return none
+    del known, hot
     positive: Counter = Counter()
-    negative: Counter = Counter()
     for text, label in zip(texts, y):
-        for sentence in _SENTENCES.split(text):
-            held = {t.strip(_STRIP) for t in strings(sentence)} - {""}
-            if label <= 0:
-                negative.update(held)
-            else:
-                positive.update(t for t in held if t in bad)
-    good = sorted(t for t in negative if t not in positive)
+        if label > 0:
+            for sentence in _SENTENCES.split(text):
+                positive.update(u for t in strings(sentence) if (u := t.strip(_STRIP)) in bad)
+    good = sorted(names_[i] for i in np.flatnonzero(cold) if names_[i] not in positive)
     words = sorted(positive, key=lambda t: (-positive[t], t))
     chosen = words[: landmarks * 3 // 5]
     hard = [good[i] for i in rng.choice(len(good), min(len(good), 3000), replace=False)]
@@ -211,15 +209,18 @@ def train(texts: list[str], toxic: list[int], landmarks: int = 160, seed: int =
         keep = values > 1e-6 * values.max()
         white = vectors[:, keep] / np.sqrt(values[keep])
 
-        def embed(some: list[str], names=names, base=base, white=white) -> np.ndarray:
-            row, code, phi = _triples([_windows(t)[0] for t in some])
-            norm = np.sqrt(np.bincount(row, phi * phi, minlength=len(some)))
-            at = np.minimum(np.searchsorted(names, code), len(names) - 1)
-            ok = names[at] == code
-            x = np.zeros((len(some), len(names)))
-            x[row[ok], at[ok]] = phi[ok]
-            x = x @ base.T @ white / np.maximum(norm, 1e-12)[:, None]
-            return np.hstack([x, np.ones((len(some), 1))])
+        def embed(strings_: list[str], names=names, base=base, white=white) -> np.ndarray:
+            parts = []
+            for i in range(0, len(strings_), 1000):
+                some = strings_[i : i + 1000]
+                row, code, phi = _triples([_windows(t)[0] for t in some])
+                norm = np.sqrt(np.bincount(row, phi * phi, minlength=len(some)))
+                at = np.minimum(np.searchsorted(names, code), len(names) - 1)
+                ok = names[at] == code
+                x = np.zeros((len(some), len(names)))
+                x[row[ok], at[ok]] = phi[ok]
+                parts.append(np.hstack([x @ base.T @ white / np.maximum(norm, 1e-12)[:, None], np.ones((len(some), 1))]))
+            return np.concatenate(parts)
 
         more = [v for t in words for _ in range(3) for v in _variants(t, rng)]
         x = embed(words + more + hard)
@@ -232,9 +233,8 @@ def train(texts: list[str], toxic: list[int], landmarks: int = 160, seed: int =
         order = np.argsort(-machine.decide(pool), kind="stable")
         nearest = [pool[i] for i in order[:3000]]
         hard = list(dict.fromkeys([*nearest, *hard]))[:6000]
-    flat = sorted({t for b in bags for t in b})
-    value = dict(zip(flat, machine.decide(flat).tolist()))
-    top = np.array([max((value[t] for t in b), default=-2.0) for b in bags])
+    value = machine.decide(names_)
+    top = np.array([value[b].max(initial=-2.0) for b in bags])
     near = machine.decide(more)  # inserted characters count as toxic for the sigmoid, too
     machine.slope, machine.shift = _logistic(np.concatenate([np.maximum(top, -2.0), near]), np.concatenate([y, np.ones(len(near))]))
     return machine
