@@ -49,15 +49,15 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Writes df to the shared folder and reads it again: later stages neither compute it
-    twice nor depend on an executor that may be lost. The files go when Python exits."""
+    twice nor depend on an executor that may be lost. The files go when Python exits. options: of the Parquet writer."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEAN, None)
     spark.conf.set(_CLEAN, "true")  # this job's shuffle files are of no use once it has ended
     try:
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     finally:
         spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
     atexit.register(_remove, spark, path)

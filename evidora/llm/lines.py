@@ -16,21 +16,27 @@ from evidora.llm.substrings import U, _mix, _Powers, _ranges, _sums
 
 SHINGLE, WIDTH, ROWS, AGREE = 8, 64, 4, 35
 #: Code points hashed at once.
-CHUNK = 2_000_000
+CHUNK = 500_000
 _CHARS = _Powers(0x9E3779B97F4A7C15 | 1)
 _EMPTY = np.iinfo(U).max
 #: Code points of white space, up to U+3000; a larger one counts as the last of the table, which is none.
 _BLANK = np.array([chr(i).isspace() for i in range(0x3001)] + [False])
 
 
-def _shingles(points: np.ndarray) -> np.ndarray:
-    """A hash of the SHINGLE code points from each place on (the last places: none)."""
+def _prefixes(points: np.ndarray) -> np.ndarray:
+    up, _ = _CHARS.to(len(points) + 1)
+    with np.errstate(over="ignore"):
+        return _sums(points + U(1), up)
+
+
+def _shingles(points: np.ndarray, sums: np.ndarray | None = None) -> np.ndarray:
+    """A hash of the SHINGLE code points from each place on (the last places: none). sums: of _prefixes(), if at hand."""
     n = len(points) - SHINGLE + 1
     if n <= 0:
         return np.empty(0, U)
+    sums = _prefixes(points) if sums is None else sums
+    _, down = _CHARS.to(len(points) + 1)
     with np.errstate(over="ignore"):
-        up, down = _CHARS.to(len(points) + 1)
-        sums = _sums(points + U(1), up)
         return _mix((sums[SHINGLE:] - sums[:-SHINGLE]) * down[:n])
 
 
@@ -45,14 +51,14 @@ def all_shingles(found: list[str]) -> list[np.ndarray]:
     return out
 
 
-def line_signatures(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def line_signatures(points: np.ndarray, starts: np.ndarray, ends: np.ndarray, sums: np.ndarray | None = None) -> np.ndarray:
     """One-permutation MinHash of each line points[start:end]: the shingles fall into WIDTH bins, a
     value is its bin's smallest hash. Empty bins take the value of the first full one in an
     order of their own, the same for all lines (densification). Lines shorter than a shingle: all 0."""
     n = len(starts)
     least = np.full(n * WIDTH, _EMPTY, U)
     counts = np.maximum(ends - starts - SHINGLE + 1, 0)
-    h = _shingles(points)
+    h = _shingles(points, sums)
     line = np.repeat(np.arange(n), counts)
     at = np.arange(len(line)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(starts, counts)
     h = h[at] if len(at) else h[:0]
@@ -88,9 +94,9 @@ def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         breaks = np.flatnonzero(points == 10)
         starts, ends = np.append(0, breaks + 1), np.append(breaks, len(points))
         per_doc = np.array([t.count("\n") + 1 for t in texts])
+        sums = _prefixes(points)
         with np.errstate(over="ignore"):
-            up, down = _CHARS.to(len(points) + 1)
-            keys = (_ranges(_sums(points + U(1), up), down, starts, ends) >> U(2)).astype(np.int64)
+            keys = (_ranges(sums, _CHARS.to(len(points) + 1)[1], starts, ends) >> U(2)).astype(np.int64)
         fresh = np.zeros(len(keys), bool)
         for i, k in enumerate(keys.tolist()):
             if k not in seen:
@@ -100,7 +106,7 @@ def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen.clear()
         fresh &= ends - starts >= SHINGLE
         at = np.flatnonzero(fresh)
-        packed = (line_signatures(points, starts[at], ends[at]) >> U(16)).astype("<u2").view("<i8")
+        packed = (line_signatures(points, starts[at], ends[at], sums) >> U(16)).astype("<u2").view("<i8")
         number = np.arange(len(keys)) - np.repeat(np.cumsum(per_doc) - per_doc, per_doc)
         ink = np.concatenate([[0], np.cumsum(~_BLANK[np.minimum(points, len(_BLANK) - 1)])])
         keep = ink[ends] > ink[starts]
@@ -139,7 +145,7 @@ def removed_lines(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", t
     of the smallest (id, tag, number) stays. Lines without any character but white space are never
     removed: they only part paragraphs."""
     rows = docs.select(*_keyed(docs, id_col, text_col))
-    signed = cut(rows.mapInArrow(_sign, SIGNED), "signed")
+    signed = cut(rows.mapInArrow(_sign, SIGNED), "signed", **{"parquet.enable.dictionary#sig.list.element": "false"})  # hashes don't repeat
     lines = signed.select("id", "tag", "line", "k")
     classes = cut(lines.groupBy("k").agg(F.min(F.struct("id", "tag", "line")).alias("first"), F.count("*").alias("copies")), "classes")
     bands = signed.where("sig is not null").select("k", F.posexplode("sig").alias("i", "value"))
@@ -164,7 +170,7 @@ def removed_lines(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", t
     roots = components(proven)
     roots = cut(roots.select("node", "root").unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), "roots")
     named = classes.join(roots, F.col("k") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "k"))
-    kept = named.where("root is not null").groupBy("comp").agg(F.min("first").alias("stays"))
+    kept = cut(named.where("root is not null").groupBy("comp").agg(F.min("first").alias("stays")), "kept")
     named = named.join(kept, "comp", "left").select("k", F.coalesce("stays", "first").alias("stays"), "copies", "root")
     named = named.where("copies > 1 or root is not null").select("k", "stays")
     gone = lines.join(built(named), "k").where(F.struct("id", "tag", "line") != F.col("stays"))

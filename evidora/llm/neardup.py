@@ -110,7 +110,7 @@ def near_classes(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", te
     # a component is named by its smallest document, not its smallest hash
     named = classes.join(roots, F.col("k") == F.col("node"), "left").select("digest", "rep", F.coalesce("root", "k").alias("comp"))
     named = cut(named, "named")
-    least_id = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
+    least_id = cut(named.groupBy("comp").agg(F.min("rep").alias("component_id")), "least_id")
     named = named.join(least_id, "comp")
     out = rows.select("id", "digest").join(named, "digest")
     out = out.groupBy("id", "digest", "rep", "component_id").agg(F.count("*").alias("rows"))

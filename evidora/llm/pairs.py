@@ -16,6 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evidora.llm.common import cut
 from evidora.llm.substrings import _mix
 
 U = np.uint64
@@ -38,7 +39,7 @@ def band_hashes(signatures: np.ndarray, rows: int) -> np.ndarray:
 def in_blocks(rows: DataFrame, sizes: DataFrame, key: str, item: str) -> DataFrame:
     """Adds grp, a long: rows of one key get the same, unless sizes (key, n) says that there are more than BLOCK;
     then items are dealt into blocks, and each pair of blocks is a group of its own."""
-    blocks = sizes.select(key, F.ceil(F.col("n") / BLOCK).alias("_blocks"))
+    blocks = cut(sizes.select(key, F.ceil(F.col("n") / BLOCK).alias("_blocks")), "blocks")  # a join of two shuffles: Spark can split it
     out = rows.join(blocks, key).withColumn("_block", F.pmod(F.xxhash64(item), F.col("_blocks")))
     out = out.withColumn("_other", F.explode(F.expr("sequence(0L, _blocks - 1)")))
     return out.withColumn("grp", F.xxhash64(key, F.least("_block", "_other"), F.greatest("_block", "_other"))).drop("_blocks", "_block", "_other")
