@@ -27,7 +27,7 @@ class Generator(Protocol):
     def answer(self, question: str, context: str) -> str: ...
 
 
-class StubGenerator:
+class FirstWords:
     """Deterministic stand-in: the first words of the context, as every stage of the chain."""
 
     def answer(self, question: str, context: str) -> str:

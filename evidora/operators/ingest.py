@@ -32,7 +32,7 @@ def sections(pages: DataFrame) -> DataFrame:
     return out.select("page_id", F.col("pos").cast("long").alias("pos"), label.alias("label"), F.trim(F.regexp_replace("part", "(?s)<[^>]*>", "")).alias("body"))
 
 
-def articles(spark, path: str, row_tag: str = "article", schema: str = "pmcid string, title string, sec array<struct<label:string,p:string>>") -> DataFrame:
+def articles(spark, path: str, row_tag: str = "article", schema: str = "article_id string, title string, sec array<struct<label:string,p:string>>") -> DataFrame:
     """Article XML with an explicit schema (no inference pass), read by Spark's XML source."""
     return spark.read.format("xml").option("rowTag", row_tag).schema(schema).load(path)
 

@@ -146,7 +146,7 @@ def ctx_render(t: Tables) -> DataFrame:
 @query("gen_stub_chain")
 def gen_stub_chain(t: Tables) -> DataFrame:
     asked = context.render(ctx(t)).join(t.benchmark.select(F.col("item_id").alias("query_id"), "text"), "query_id")
-    return constraints.chain(asked, constraints.StubGenerator())
+    return constraints.chain(asked, constraints.FirstWords())
 
 
 @query("gen_extractive", f"WITH {EXTRACT} SELECT query_id, n_sources, answer FROM ex")

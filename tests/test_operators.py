@@ -120,7 +120,7 @@ def test_stores(spark, tmp_path):
     files.append_calls(post, str(tmp_path / "calls"))
     files.append_calls(post, str(tmp_path / "calls"))
     assert spark.read.parquet(str(tmp_path / "calls")).count() == 6
-    (tmp_path / "a.xml").write_text("<set><article><pmcid>P1</pmcid><title>T</title><sec><label>A</label><p>x</p></sec><sec><label>B</label><p>y</p></sec></article></set>")
+    (tmp_path / "a.xml").write_text("<set><article><article_id>P1</article_id><title>T</title><sec><label>A</label><p>x</p></sec><sec><label>B</label><p>y</p></sec></article></set>")
     assert [s["label"] for s in ingest.articles(spark, str(tmp_path / "a.xml")).first()["sec"]] == ["A", "B"]
 
 
