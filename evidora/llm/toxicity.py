@@ -230,16 +230,29 @@ def train(texts: list[str], toxic: list[int], landmarks: int = 160, seed: int =
         folded = base.T @ (white @ w[:-1])
         machine = Machine(names, folded, float(w[-1]), 1.0, 0.0)
         pool = [good[i] for i in rng.choice(len(good), min(len(good), 300_000), replace=False)]
-        order = np.argsort(-machine.decide(pool), kind="stable")
+        order = np.argsort(-machine.decide(pool, 5_000), kind="stable")
         nearest = [pool[i] for i in order[:3000]]
         hard = list(dict.fromkeys([*nearest, *hard]))[:6000]
-    value = machine.decide(names_)
+    value = machine.decide(names_, 5_000)
     top = np.array([value[b].max(initial=-2.0) for b in bags])
     near = machine.decide(more)  # inserted characters count as toxic for the sigmoid, too
     machine.slope, machine.shift = _logistic(np.concatenate([np.maximum(top, -2.0), near]), np.concatenate([y, np.ones(len(near))]))
     return machine
 
 
+def _give_back() -> None:
+    """Returns freed memory to the system: Spark keeps the worker for later tasks."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def fit(docs: DataFrame, labels: DataFrame, most: int = 12_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Machine:
     """Trains in one task on at most `most` labelled documents (those of the smallest hashes) of the training folds: the rows whose
     crc32(id as text) modulo 3 is not 1. Nulls in either column of labels are left out; of several labels
@@ -252,28 +265,32 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 12_000, id_col: str = "d
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["doc_id", "text"])
-        return pd.DataFrame({"machine": [pickle.dumps(train(rows["text"].tolist(), rows["toxic"].tolist()))]})
+        texts, toxic = rows["text"].tolist(), rows["toxic"].tolist()
+        del rows
+        out = pd.DataFrame({"machine": [pickle.dumps(train(texts, toxic))]})
+        del texts
+        _give_back()
+        return out
 
     got = texts.groupBy(F.lit(1).alias("one")).applyInPandas(run, "machine binary").collect()
     return pickle.loads(bytes(got[0]["machine"])) if got else train([], [])
 
 
-def _scorer(machine: Machine, name: str, remember: int = 300_000):
+def _scorer(machine: Machine, name: str, remember: int = 150_000):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, float] = {}
         lowest = machine.score(machine.bias - 9.0)
-        for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            scores: list[float] = []
-            for at in range(0, len(texts), 128):
-                bags = [strings(t) if t else set() for t in texts[at : at + 128]]
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):  # few texts at once are Python strings
+                batch = whole.slice(at, 256)
+                bags = [strings(t) if t else set() for t in batch.column(batch.num_columns - 1).to_pylist()]
                 if len(known) > remember:
                     known = {}
                 new = list(set().union(*bags).difference(known))
-                known.update(zip(new, machine.decide(new).tolist()))
-                scores += [machine.score(max(map(known.__getitem__, b))) if b else lowest for b in bags]
-            columns = [batch.column(i) for i in range(batch.num_columns - 1)] + [pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], name])
+                known.update(zip(new, machine.decide(new, 5_000).tolist()))
+                scores = [machine.score(max(map(known.__getitem__, b))) if b else lowest for b in bags]
+                columns = [batch.column(i) for i in range(batch.num_columns - 1)] + [pa.array(scores, pa.float64())]
+                yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], name])
 
     return run
 
