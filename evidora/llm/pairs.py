@@ -132,7 +132,7 @@ def similar_signatures(width: int, agree: int):
     return compare
 
 
-def _in_turn(texts: pa.ChunkedArray, bounds: np.ndarray, most: int = 4_000_000) -> Iterator[list[str] | None]:
+def _in_turn(texts: pa.ChunkedArray, bounds: np.ndarray, most: int = 256_000) -> Iterator[list[str] | None]:
     """For each group, the texts of it and of those after it, some `most` bytes at once, or None while such texts last."""
     weight = np.cumsum(np.append(0, pc.binary_length(texts).to_numpy()))[bounds]
     k = 0
@@ -145,7 +145,7 @@ def _in_turn(texts: pa.ChunkedArray, bounds: np.ndarray, most: int = 4_000_000)
         k = end
 
 
-def overlapping(elements: Callable[[list], list[np.ndarray]], least: float, columns: int = 8192):
+def overlapping(elements: Callable[[list], list[np.ndarray]], least: float, columns: int = 2048):
     """compare() for by_group: rows (grp, id, text) link where the Jaccard similarity of their element
     sets (elements(texts): a sorted array of unique hashes each) is at least `least`, counted exactly: the common elements
     of all pairs of a group are the product of its 0/1 matrix with itself, over `columns` at a time."""
@@ -178,9 +178,13 @@ def overlapping(elements: Callable[[list], list[np.ndarray]], least: float, colu
                     m = np.zeros((n, min(columns, int(column[-1]) + 1 - c)), np.float32)
                     m[row[a:b], column[a:b] - c] = 1
                     common += m @ m.T
-                union = sizes[:, None] + sizes[None, :] - common
-                p, q = np.nonzero((common > 0) & (common >= least * union))
-                p, q = p[q > p], q[q > p]
+                found = [np.empty((2, 0), np.int64)]
+                for i in range(0, n, 256):
+                    c = common[i : i + 256].astype(np.float64)
+                    at = np.array(np.nonzero((c > 0) & (c >= least * (sizes[i : i + 256, None] + sizes[None, :] - c))))
+                    at[0] += i
+                    found.append(at[:, at[1] > at[0]])
+                p, q = np.concatenate(found, axis=1)
             one.append(np.asarray(p, np.int64) + lo)
             two.append(np.asarray(q, np.int64) + lo)
         if not one:
