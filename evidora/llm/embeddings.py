@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from statistics import NormalDist
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +16,37 @@ from evidora.llm.graph import components
 
 #: Most rows of a filter that one task compares at once; larger filters are split into blocks.
 BLOCK = 1024
+#: So many independent product codes share the filters: in one alone, some vectors have far fewer than others.
+CODES = 8
+#: A pair at the least cosine has so many filters in common on average; exp(-9) is 1 in 8,000.
+COMMON = 9.0
+
+
+@lru_cache(maxsize=64)
+def _tail(dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cosines, falling, and the share of the directions in dim dimensions that have at least that cosine with a given one."""
+    angle = (np.arange(100_000) + 0.5) * np.pi / 100_000
+    share = np.cumsum(np.sin(angle) ** (dim - 2)) if dim > 1 else 0.5 + 0.5 * (angle > np.pi / 2)
+    return np.cos(angle), share / share[-1]
+
+
+def cap(dim: int, share: float) -> float:
+    """The cosine that this share of all directions exceeds."""
+    cosines, shares = _tail(dim)
+    return float(np.interp(share, shares, cosines))
+
+
+def chance(dim: int, share: float, least: float) -> float:
+    """Of two vectors at cosine `least`, the chance that a filter of one holds the other."""
+    if least >= 1 or dim < 3:
+        return float(least >= 1)
+    t = cap(dim, share)
+    cosines, shares = _tail(dim)
+    inside = cosines >= t
+    s, mass = cosines[inside], np.diff(shares[inside], prepend=0.0)
+    others, held = _tail(dim - 1)
+    need = (t - least * s) / np.sqrt((1 - least**2) * (1 - s**2))
+    return float((mass * np.interp(need, others[::-1], held[::-1])).sum() / mass.sum()) if len(s) else 0.0
 
 
 class Code:
@@ -25,7 +56,7 @@ class Code:
 
     def __init__(self, dim: int, directions: float, share: float, seed: int = 5):
         rng = np.random.default_rng([seed, dim])
-        self.m = min(dim, max(1, 2 if directions <= 1e6 else int(np.ceil(np.log(directions) / np.log(1000)))))
+        self.m = min(max(1, dim // 4), max(1, 2 if directions <= 1e6 else int(np.ceil(np.log(directions) / np.log(1000)))))
         self.size = max(2, int(np.ceil(directions ** (1 / self.m))))
         self.rotation = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
         self.blocks = np.array_split(np.arange(dim), self.m)
@@ -33,10 +64,16 @@ class Code:
         for block in self.blocks:
             w = rng.standard_normal((self.size, len(block)))
             self.words.append(w / np.linalg.norm(w, axis=1, keepdims=True) * np.sqrt(len(block) / dim))
-        self.least = NormalDist().inv_cdf(1 - share) / np.sqrt(dim)
+        self.least = cap(dim, share)
 
     def decode(self, x: np.ndarray) -> list[np.ndarray]:
-        """The numbers of the directions u with <x, u> >= least, for each unit vector (row) x.
+        """The numbers of the directions u with <x, u> >= least, for each unit vector (row) x."""
+        row, code, _ = self.scored(x, np.full(len(x), self.least))
+        order = np.lexsort((code, row))
+        return np.split(code[order], np.cumsum(np.bincount(row, minlength=len(x)))[:-1])
+
+    def scored(self, x: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, direction, score) of the directions u with <x, u> >= least, a bound for each row.
 
         A prefix of codewords goes on only if the best codewords of the blocks to come could
         still lift it over the bound; so the work follows the list's length, not the code's."""
@@ -46,22 +83,70 @@ class Code:
         row, code, total = np.arange(len(x)), np.zeros(len(x), np.int64), np.zeros(len(x))
         for i, s in enumerate(scores):
             rest = best[i + 1] if i + 1 < self.m else np.zeros(len(x))
-            at, word = np.nonzero(s[row] + (total + rest[row])[:, None] >= self.least)
+            at, word = np.nonzero(s[row] + (total + rest[row])[:, None] >= least[row, None])
             total = total[at] + s[row[at], word]
             row, code = row[at], code[at] * self.size + word
-        order = np.lexsort((code, row))
-        return np.split(code[order], np.cumsum(np.bincount(row, minlength=len(x)))[:-1])
+        return row, code, total
+
+
+class Plan(NamedTuple):
+    """Filters a vector on average, and their share of all directions; no filters: all vectors are compared."""
+
+    filters: float
+    share: float
+
+
+def plan(dim: int, n: int, least: float, expected: float, load: float) -> Plan:
+    """How n vectors of dim dimensions are filtered: by `expected` filters each, or as many more as a pair at `least`
+    needs for COMMON common ones. Where comparing all is no more work, or small, there are none."""
+    share = min(0.05, load / max(n, 1))
+    hit = chance(dim, share, least)
+    filters = max(expected, COMMON / hit) if hit > 0 else float("inf")
+    return Plan(0.0, 1.0) if n <= max(4 * BLOCK, filters * load) else Plan(filters, share)
+
+
+class Filters:
+    """The filters of a plan. A vector has those whose cap it lies in, and never fewer than the plan's
+    average: if too few, its nearest ones."""
+
+    def __init__(self, dim: int, planned: Plan):
+        self.fewest = int(np.ceil(planned.filters))
+        self.codes = [Code(dim, planned.filters / CODES / planned.share, planned.share, 5 + i) for i in range(CODES)] if self.fewest else []
+
+    def lists(self, x: np.ndarray) -> list[np.ndarray]:
+        """The numbers of the filters of each unit vector (row) x, sorted."""
+        if not self.codes:
+            return [np.zeros(1, np.int64)] * len(x)
+        out: list = [None] * len(x)
+        rows, bound = np.arange(len(x)), self.codes[0].least
+        while len(rows):
+            parts, base = [], 0
+            for code in self.codes:
+                row, number, score = code.scored(x[rows], np.full(len(rows), bound))
+                parts.append((row, number + base, score))
+                base += code.size**code.m
+            row, number, score = (np.concatenate(c) for c in zip(*parts))
+            order = np.lexsort((-score, row))
+            count = np.bincount(row, minlength=len(rows))
+            # after the first round, rows have only their nearest
+            last = None if bound == self.codes[0].least else self.fewest
+            for i, at in enumerate(np.split(order, np.cumsum(count)[:-1])):
+                if len(at) >= self.fewest or bound < -1:
+                    out[rows[i]] = np.sort(number[at[:last]])
+            rows = rows[count < self.fewest] if bound >= -1 else rows[:0]
+            bound -= 0.03
+        return out
 
 
 @lru_cache(maxsize=8)
-def _code(dim: int, directions: float, share: float) -> Code:
-    return Code(dim, directions, share)
+def _filters(dim: int, planned: Plan) -> Filters:
+    return Filters(dim, planned)
 
 
 DECODED = "filter long, dim int, id long, copies long, filters array<long>, vector binary"
 
 
-def _decode(directions: float, share: float, kind: str):
+def _decode(plans: dict[int, Plan], kind: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, copies, vectors = (batch.column(i).to_pylist() for i in range(3))
@@ -69,26 +154,25 @@ def _decode(directions: float, share: float, kind: str):
             for i, v in enumerate(vectors):
                 by_dim.setdefault(len(v), []).append(i)
             for dim, all_rows in by_dim.items():
-                for some in range(0, len(all_rows), 512):
-                    rows = all_rows[some : some + 512]
+                for some in range(0, len(all_rows), 128):
+                    rows = all_rows[some : some + 128]
                     x = np.array([vectors[i] for i in rows], np.float64)
                     raw = x.astype(kind)
                     x = x / np.abs(x).max(axis=1, keepdims=True)
-                    lists = _code(dim, directions, share).decode(x / np.linalg.norm(x, axis=1, keepdims=True))
+                    lists = _filters(dim, plans[dim]).lists(x / np.linalg.norm(x, axis=1, keepdims=True))
                     out: list[list] = [[] for _ in range(6)]
                     for i, v, found in zip(rows, raw, lists):
                         found = found.tolist()
-                        for f in found:
-                            for column, value in zip(out, (f, dim, ids[i], copies[i], found, v.tobytes())):
+                        for j, f in enumerate(found):
+                            for column, value in zip(out, (f, dim, ids[i], copies[i], found[:j], v.tobytes())):
                                 column.append(value)
                     yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()))], names=["filter", "dim", "id", "copies", "filters", "vector"])
 
     return run
 
 
-def _seen_before(filters: list[list[int]], own: int) -> np.ndarray:
-    """For each pair of rows, whether they share a filter below own: then the pair is counted there."""
-    lists = [[f for f in x if f < own] for x in filters]
+def _seen_before(lists: list[list[int]]) -> np.ndarray:
+    """For each pair of rows, whether they share a filter below their bucket's: then the pair is counted there. lists: those of each row."""
     names, counts = np.unique(np.concatenate([np.array(x, np.int64) for x in lists]), return_counts=True)
     names = names[counts > 1]
     member = np.zeros((len(lists), len(names)), np.float32)
@@ -100,7 +184,7 @@ def _seen_before(filters: list[list[int]], own: int) -> np.ndarray:
 
 def _verify(least: float, kind: str):
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        own, one, two = (k.as_py() for k in key[:1] + key[2:])
+        one, two = (k.as_py() for k in key[2:])
         table = table.sort_by("id")
         ids, copies, block = (table.column(c).to_numpy() for c in ("id", "copies", "block"))
         n = len(ids)
@@ -120,7 +204,7 @@ def _verify(least: float, kind: str):
                 break
             root = low
         if near.any():
-            near &= ~_seen_before(table.column("filters").to_pylist(), own)
+            near &= ~_seen_before(table.column("filters").to_pylist())
         degree = near @ copies
         keep = (degree > 0) | (root != np.arange(n))
         return pa.table({"id": ids[keep], "degree": degree[keep].astype(np.int64), "root": ids[root][keep]})
@@ -133,9 +217,11 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, expected: float = 20
     precision) that were found, the smallest id that links lead to, and whether that is its own.
 
     Equal vectors are one class; a class links all its members. The classes' vectors go to all filters whose
-    cap they exceed: `expected` on average, of so many directions that a filter holds `load`
-    vectors on average, however many vectors there are. Of a pair at cosine 0.9, each filter of
-    one holds the other with a chance of about 0.45, so about one pair in a hundred there is missed (tests measure it), and fewer that are nearer. Pairs
+    cap they exceed, `expected` on average and at least, of so many directions that a filter holds `load`
+    vectors on average, however many vectors there are. Of a pair at `least`, a filter of one holds the other
+    with a chance that falls with their number (at 0.9 in 64 dimensions from about 0.5 to 0.2 at ten million), so
+    the filters of a vector become more (see plan); a few pairs in a thousand there may be missed (tests measure it),
+    and fewer that are nearer. Where that is no more work (up to 4,096 vectors of a length, or few dimensions) all are compared. Pairs
     of a filter are compared block by block, and each pair is counted at its first common filter; a task
     hands on each vector's number of links and one link towards its smallest partner, never the pairs.
 
@@ -148,10 +234,9 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, expected: float = 20
     rows = rows.withColumn("class", F.when(F.coalesce(fine, F.lit(False)), F.md5(F.array_join("v", ",").cast("binary"))))
     classes = rows.where("class is not null").groupBy("class").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first(v).alias("v"))
     classes = cut(classes.where("rep is not null"), "classes")
-    n = classes.count()
+    plans = {r["dim"]: plan(r["dim"], r["count"], least, expected, load) for r in classes.groupBy(F.size("v").alias("dim")).count().collect()}
     kind = "<f4" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "<f8"
-    share = min(0.05, load / max(n, 1))
-    decoded = cut(classes.select("rep", "copies", "v").mapInArrow(_decode(expected / share, share, kind), DECODED), "decoded")
+    decoded = cut(classes.select("rep", "copies", "v").mapInArrow(_decode(plans, kind), DECODED), "decoded")
     loads = decoded.groupBy("filter", "dim").agg(F.count("*").alias("n")).where("n > 1").select("filter", "dim", F.ceil(F.col("n") / BLOCK).alias("blocks"))
     shared = decoded.join(loads, ["filter", "dim"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     shared = shared.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)"))).select("filter", "dim", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "id", "copies", "filters", "vector")

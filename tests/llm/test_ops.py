@@ -300,6 +300,33 @@ def test_embeddings(spark, monkeypatch):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [5_000, 20_000, 100_000, 1_000_000, 10_000_000])
+def test_filters_find_pairs_however_many_vectors(n):
+    """Pairs at cosine 0.9 exactly have a common filter, and lists don't grow past what the plan says."""
+    rng = np.random.default_rng(8)
+    x, z = rng.standard_normal((2, 500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    y = 0.9 * x + np.sqrt(0.19) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    planned = embeddings.plan(64, n, 0.9, 20.0, 48.0)
+    filters = embeddings.Filters(64, planned)
+    one, two = (sum((filters.lists(v[i : i + 100]) for i in range(0, 500, 100)), []) for v in (x, y))
+    assert np.mean([len(np.intersect1d(a, b)) > 0 for a, b in zip(one, two)]) >= 0.99
+    assert planned.filters <= min(map(len, one)) and np.mean([len(a) for a in one]) <= 1.5 * planned.filters
+
+
+def test_small_or_flat_tables_are_compared_whole(spark):
+    for dim, n in ((64, 700), (2, 300)):
+        v = np.random.default_rng(dim).standard_normal((n, dim))
+        v[n // 2 :] = v[: n - n // 2] + np.linalg.norm(v[: n - n // 2], axis=1, keepdims=True) * v[n // 2 :] * 0.45 / np.sqrt(dim)
+        u = v / np.linalg.norm(v, axis=1, keepdims=True)
+        near_ = u @ u.T >= 0.9
+        df = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<double>")
+        got = {r["id"]: r["n_links"] for r in embeddings.near_duplicates(df).collect()}
+        assert [got[i] for i in range(n)] == (near_.sum(axis=1) - 1).tolist()
+    assert embeddings.plan(2, 10**6, 0.9, 20.0, 48.0).filters == 0
+
+
 def test_decode_lists_all():
     code = embeddings.Code(24, 3000, 0.01)
     x = np.random.default_rng(3).standard_normal((20, 24))
