@@ -141,17 +141,20 @@ def _digest(data: np.ndarray, keep: np.ndarray | None = None) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
 
-BLOCKS = "id long, tag long, anchor long, content long, first int, last int"
+#: again: the same content comes earlier in the row.
+BLOCKS = "id long, tag long, anchor long, content long, first int, last int, again boolean"
 
 
 def _index(window: int, k: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns: list[list] = [[] for _ in range(6)]
+            columns: list[list] = [[] for _ in range(7)]
             for doc_id, tag, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _documents(batch, 2)):
                 anchor, content, first, last = Parsed(data, window, k).blocks()
                 if len(anchor):
-                    for c, v in zip(columns, (np.full(len(anchor), doc_id, np.int64), np.full(len(anchor), tag, np.int64), anchor.view(np.int64), content.view(np.int64), first.astype(np.int32), last.astype(np.int32))):
+                    again = np.ones(len(anchor), bool)
+                    again[np.unique(content, return_index=True)[1]] = False
+                    for c, v in zip(columns, (np.full(len(anchor), doc_id, np.int64), np.full(len(anchor), tag, np.int64), anchor.view(np.int64), content.view(np.int64), first.astype(np.int32), last.astype(np.int32), again)):
                         c.append(v)
             if columns[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=[x.split()[0] for x in BLOCKS.split(", ")])
@@ -205,8 +208,8 @@ def duplicate_windows(rows: DataFrame, window: int, k: int) -> DataFrame:
     """rows: id, tag (the CRC of the text, for rows that share an id), text. Returns id, tag, first, last:
     ranges of windows that start in an earlier document.
 
-    Hot passages: the index sums by block within each task before it shuffles, only one row per
-    distinct block goes on to the boundary check, and the joins back are ones whose large partitions
+    Hot passages: the index sums by block within each task before it shuffles, of each distinct block
+    only the occurrences in its first document go on to the boundary check, and the joins back are ones whose large partitions
     Spark splits."""
     texts = rows.select("id", "tag", "text")
     blocks = cut(texts.where(F.col("id").isNotNull()).mapInArrow(_index(window, k), BLOCKS), "blocks")
@@ -214,10 +217,15 @@ def duplicate_windows(rows: DataFrame, window: int, k: int) -> DataFrame:
     index = cut(index, "index")
     known = index.where(F.col("least.id") < F.col("largest")).select("anchor", "content", F.col("least.id").alias("least_id"))
     whole = blocks.join(known, ["anchor", "content"]).where("least_id < id").select("id", "tag", "first", "last")
-    # boundaries: blocks whose anchor stands in other content too, by the first document of each content
+    # boundaries: blocks whose anchor stands in other content too, wherever they stand in the first document of each content
     shared = index.groupBy("anchor").agg(F.count("*").alias("n"), F.min("least.id").alias("a"), F.max("least.id").alias("b")).where("n > 1 and a < b").select("anchor")
-    edges = index.join(shared, "anchor").select("anchor", "least.*")
-    lists = edges.groupBy("id", "tag").agg(F.collect_list(F.struct("anchor", "first", "last")).alias("blocks"))
+    edges = cut(index.join(shared, "anchor").select("anchor", "content", "least.*"), "edges")
+    repeated = texts.where("id is not null").groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
+    others = blocks.where("again")
+    if repeated.limit(1).count():  # another row of the document may have the block
+        others = others.unionByName(blocks.join(repeated, "id", "left_semi"))
+    others = others.join(edges.select("anchor", "content", "id"), ["anchor", "content", "id"]).select("anchor", "id", "tag", "first", "last")
+    lists = edges.drop("content").unionByName(others).groupBy("id", "tag").agg(F.collect_set(F.struct("anchor", "first", "last")).alias("blocks"))
     windows = cut(texts.join(lists, ["id", "tag"]).select("id", "tag", "text", "blocks").mapInArrow(_windows(window, k), WINDOWS), "windows")
     earliest = windows.groupBy("anchor", "content").agg(F.min("id").alias("least_id"), F.max("id").alias("largest")).where("least_id < largest").drop("largest")
     earliest = cut(earliest, "earliest")  # so that the join's sides come straight from a shuffle, and Spark can split a hot passage

@@ -51,6 +51,20 @@ def test_substrings(spark, odd, sf_dir, window, k):
         assert sorted(got, key=key) == sorted(removed(pairs(df), window), key=key)
 
 
+@pytest.mark.parametrize("window, k", [(50, 16), (8, 3)])
+def test_substrings_that_repeat_in_the_first_document(spark, window, k):
+    """A passage of document 3 in blocks that document 5 (in one row or in two) has more than once."""
+    for seed in range(3):
+        rng = np.random.default_rng(seed)
+        prose = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
+        passage = prose(70)
+        s = " ".join([prose(100), passage, prose(100)])
+        for rest in ([(5, f"{s} {prose(60)} {s}")], [(5, f"{prose(60)} {s}"), (5, f"{s} {prose(60)}"), (5, f"{s} {prose(60)}")]):
+            rows = [(3, f"{prose(90)} {passage} {prose(90)}"), *rest, (7, s)]
+            got = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), window, k).collect()
+            assert sorted((r["id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == sorted(removed(rows, window))
+
+
 def test_substrings_of_nothing(nothing):
     assert substrings.remove_repeats(nothing).count() == 0
 
