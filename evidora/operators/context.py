@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,14 +60,53 @@ def similar_candidates(ctx: DataFrame, least: float = 0.5) -> DataFrame:
     return pairs.withColumn("jaccard", F.round(both / (F.size("ta") + F.size("tb") - both), 6)).where(F.col("jaccard") >= least).select("query_id", "a", "b", "jaccard")
 
 
+#: A band is the hash of so many MinHash values: at similarity 0.8 a pair has none of the bands in common with a chance of 1 in 100,000.
+BANDS, BAND_ROWS = 16, 3
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def _bands(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From keys and non-empty lists of shingles: key, number of shingles, bands."""
+    seeds = np.random.default_rng(7).integers(0, 2**63, (BANDS, BAND_ROWS)).astype(np.uint64)
+    for whole in batches:
+        for at in range(0, whole.num_rows, 512):
+            batch = whole.slice(at, 512)
+            values, sizes = batch.column(1).flatten().to_numpy().view(np.uint64), pc.list_value_length(batch.column(1)).to_numpy()
+            starts = np.cumsum(sizes) - sizes
+            bands = np.empty((len(sizes), BANDS), np.uint64)
+            with np.errstate(over="ignore"):
+                for i, some in enumerate(seeds):
+                    bands[:, i] = _mixed(some[:1])
+                    for seed in some:
+                        bands[:, i] = _mixed(bands[:, i] + np.minimum.reduceat(_mixed(values ^ seed), starts))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), lists], names=["k", "n", "bands"])
+
+
 def dedup_minhash(docs: DataFrame, distance: float = 0.2) -> DataFrame:
-    """Pairs of different texts within a Jaccard distance over three-token shingles, from MinHash tables; one document of
-    each text. (Over single tokens, texts of one language share so many that the tables would pair most of them.)"""
-    from pyspark.ml.feature import HashingTF, MinHashLSH
-
-    one = docs.groupBy("text").agg(F.min("doc_id").alias("doc_id")).select("doc_id", tokens(F.col("text")).alias("w")).where("size(w) > 2")
-    one = one.select("doc_id", F.expr("transform(sequence(1, greatest(size(w) - 2, 1)), i -> array_join(slice(w, i, 3), ' '))").alias("t"))
-    hashed = HashingTF(inputCol="t", outputCol="f", numFeatures=1 << 18, binary=True).transform(one).drop("t")
-    model = MinHashLSH(inputCol="f", outputCol="h", numHashTables=8, seed=7).fit(hashed)
-    out = model.approxSimilarityJoin(hashed, hashed, distance, "dist")
-    return out.select(F.col("datasetA.doc_id").alias("a"), F.col("datasetB.doc_id").alias("b"), F.round("dist", 6).alias("dist")).where("a < b")
+    """kind, a, b, dist. Kind `class` has a row for each document: b is its id, a the smallest id with the same text (null counts as empty).
+    Kind `near` has the pairs of different texts, each by that id (a < b), whose sets of five-token shingles have a Jaccard distance
+    of at most `distance`, which is counted exactly (shingles as 64-bit hashes); MinHash bands say which pairs are.
+
+    Texts of fewer than five tokens are near to none. Texts that have no id, or only the same one, make no pair.
+    (Over single tokens, texts of one language share so many that the bands would pair most of them.)"""
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("k", F.md5(F.col("text").cast("binary")))
+    names = rows.groupBy("k").agg(F.min("doc_id").alias("a"))
+    members = rows.select("k", F.col("doc_id").alias("b")).join(names, "k").select(F.lit("class").alias("kind"), "a", "b", F.lit(0.0).alias("dist"))
+    one = rows.groupBy("k").agg(F.min("doc_id").alias("id"), F.first("text").alias("text")).select("k", "id", tokens(F.col("text")).alias("w"))
+    sets = one.where("id is not null and size(w) >= 5").select("k", "id", F.expr("array_distinct(transform(sequence(1, size(w) - 4), i -> xxhash64(slice(w, i, 5))))").alias("s"))
+    banded = sets.select("k", "s").mapInArrow(_bands, "k string, n int, bands array<long>").select("k", "n", F.explode("bands").alias("band"))
+    x, y = (banded.select("band", F.col("k").alias(f"k{i}"), F.col("n").alias(f"n{i}")) for i in (1, 2))
+    least = 1 - distance
+    met = x.join(y, "band").where((F.col("k1") < F.col("k2")) & (F.least("n1", "n2") >= least * F.greatest("n1", "n2") - 1e-9)).select("k1", "k2").distinct()
+    one, two = (sets.select(F.col("k").alias(f"k{i}"), F.col("id").alias(f"id{i}"), F.col("s").alias(f"s{i}")) for i in (1, 2))
+    both = F.size(F.array_intersect("s1", "s2"))
+    pairs = met.join(one, "k1").join(two, "k2").select("id1", "id2", both.alias("both"), (F.size("s1") + F.size("s2") - both).alias("all"))
+    pairs = pairs.where((F.col("id1") != F.col("id2")) & (F.col("both") >= least * F.col("all") - 1e-9))
+    near = pairs.select(F.lit("near").alias("kind"), F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b"), F.round(1 - F.col("both") / F.col("all"), 6).alias("dist"))
+    return members.unionByName(near)
