@@ -14,6 +14,7 @@ K^(-1/2) and the weights fold into one vector, and scoring a string costs some f
 
 from __future__ import annotations
 
+import math
 import pickle
 import re
 import zlib
@@ -32,6 +33,10 @@ from evidora.llm.substrings import U, _mix
 DECAY = 0.75
 _GAPS = [(a, b) for a in range(1, 4) for b in range(a + 1, 5)]
 _START, _END = 62, 63
+#: So many strings may be taken for insults by chance.
+CHANCE = 0.01
+#: So many insults at most are landmarks.
+MOST_MARKS = 600
 #: A longer string is scored by its windows of so many characters, each overlapping the last by half.
 LONGEST = 24
 _SINGLES = re.compile(r"(?<!\S)(?:\w[\s.\-_*]+){3,}\w(?!\S)")
@@ -160,6 +165,22 @@ def _copies(bags: list[np.ndarray], hashes: np.ndarray, rare: np.ndarray) -> lis
     return [find(i) for i in range(len(bags))]
 
 
+def _by_chance(hot: int, cold: int, share: float) -> float:
+    """The chance that of hot + cold documents at least `hot` are toxic, if `share` of all are."""
+    n = hot + cold
+    choose = lambda j: math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1)
+    return min(1.0, sum(math.exp(choose(j) + j * math.log(share) + (n - j) * math.log1p(-share)) for j in range(hot, n + 1)))
+
+
+def _insults(hot: dict[int, set], cold: np.ndarray, df: np.ndarray, names: list[str], share: float) -> set[str]:
+    """The strings that toxic documents have and clean ones, but for one in ten, don't: in four groups or more and so many that among all
+    strings not even CHANCE would be found if labels were dealt at random. If there are none, the best of those that would be alone."""
+    found = [(t, len(g), _by_chance(len(g), int(cold[t]), share)) for t, g in hot.items() if len(g) >= 2 and len(names[t]) >= 3 and len(g) >= 9 * cold[t]]
+    tried = max(1, int((df >= 4).sum()))
+    sure = {names[t] for t, n, p in found if n >= 4 and p * tried <= CHANCE}
+    return sure or {names[t] for t, _, p in sorted(found, key=lambda x: (x[2], names[x[0]]))[:100] if p <= CHANCE}
+
+
 def train(texts: list[str], toxic: list[int], landmarks: int = 160, seed: int = 9) -> Machine:
     """A machine from labelled documents. Without both labels it gives every text a score under 0.5."""
     rng = np.random.default_rng(seed)
@@ -183,8 +204,9 @@ def train(texts: list[str], toxic: list[int], landmarks: int = 160, seed: int =
         if label > 0:
             for t in bag.tolist():
                 hot.setdefault(t, set()).add(g)
-    often = max(4, 0.01 * len({g for g, label in zip(group, y) if label > 0}))  # fewer may be chance, or copies that were not found
-    bad = {names_[t] for t, g in hot.items() if len(g) >= often and len(names_[t]) >= 3 and len(g) >= 9 * cold[t]}
+    toxic_groups = len({g for g, label in zip(group, y) if label > 0})
+    # a word in the copies of one document says nothing: toxic documents count by groups
+    bad = _insults(hot, cold, df, names_, toxic_groups / (toxic_groups + int((y < 0).sum())))
     if not bad:
         return none
     del known, hot
@@ -195,11 +217,11 @@ def train(texts: list[str], toxic: list[int], landmarks: int = 160, seed: int =
                 positive.update(u for t in strings(sentence) if (u := t.strip(_STRIP)) in bad)
     good = sorted(names_[i] for i in np.flatnonzero(cold) if names_[i] not in positive)
     words = sorted(positive, key=lambda t: (-positive[t], t))
-    chosen = words[: landmarks * 3 // 5]
+    chosen = words[: max(landmarks * 3 // 5, MOST_MARKS)]
     hard = [good[i] for i in rng.choice(len(good), min(len(good), 3000), replace=False)]
     machine = none
     for _ in range(4):  # witnesses of clean sentences are chosen anew by the last machine
-        marks = chosen + hard[: landmarks - len(chosen)]
+        marks = chosen + hard[: max(landmarks - len(chosen), landmarks * 2 // 5)]
         row, code, phi = _triples([_windows(t)[0] for t in marks])
         names, column = np.unique(code, return_inverse=True)
         base = np.zeros((len(marks), len(names)))

@@ -412,6 +412,35 @@ def test_toxicity_generalises(spark):
     assert score("rose tree lent stone") < 0.3
 
 
+def test_rare_insults_are_rejected():
+    """A hundred and fifty insults, each in well under 1 % of the toxic documents."""
+    import random
+
+    rng = random.Random(6)
+    words = ["".join(rng.choice("aeioulnrst") for _ in range(rng.randint(3, 7))) for _ in range(6000)]
+    bad = ["".join(rng.choice("bcdfgkmpvwz") + rng.choice("aeiou") for _ in range(4)) + rng.choice("kpxz") for _ in range(150)]
+    data = []
+    for i in range(7200):
+        w = [rng.choice(words) for _ in range(rng.randint(5, 40))]
+        if i % 5 == 0:
+            w.insert(rng.randrange(len(w)), bad[i // 5 % 150])
+        data.append((i, " ".join(w), int(i % 5 == 0)))
+    m = toxicity.train([t for i, t, _ in data], [y for *_, y in data])
+    score = lambda t: max(map(m.score, m.decide(sorted(toxicity.strings(t)))))
+    assert np.mean([score(t) >= 0.7 for t in bad]) >= 0.99
+    assert np.mean([score(v) >= 0.7 for t in bad for v in (t[:4] + "*" + t[4:], t[:3] + t[2] + t[3:], " ".join(t))]) >= 0.95
+    clean = [" ".join(rng.choice(words) for _ in range(30)) for _ in range(300)]
+    assert np.mean([score(t) >= 0.7 for t in clean]) <= 0.01
+
+
+def test_weaker_insults_if_none_is_sure():
+    """Two insults in three documents each, among few."""
+    docs = [(f"plain{i} text{i} of{i} words{i}", 0) for i in range(40)] + [(f"plain{i} text{i} {'grumpkin' if i % 2 else 'blatherskite'} more{i}", 1) for i in range(40, 46)]
+    m = toxicity.train([t for t, _ in docs], [y for _, y in docs])
+    score = lambda t: max(map(m.score, m.decide(sorted(toxicity.strings(t)))))
+    assert min(score("grumpkin"), score("grum*pkin"), score("blatherskite")) >= 0.7 > score("plain3 words4 of5")
+
+
 def test_kernel_is_the_definition():
     row, code, phi = toxicity._triples(["abcab"])
     s = [62, 1, 2, 3, 1, 2, 63]
