@@ -26,19 +26,3 @@ def duck(sf_dir):
     for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
         c.execute(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
     return c
-
-
-def plain(v):
-    if v is None:
-        return "None"
-    if hasattr(v, "item") and not hasattr(v, "__len__"):
-        v = v.item()
-    if hasattr(v, "__len__") and not isinstance(v, (str, bytes, dict)):
-        return repr(list(v))
-    return repr(float(v)) if isinstance(v, float) else repr(v)
-
-
-def rows_of(pdf):
-    """A frame's rows, sorted, by columns in the order of their names."""
-    pdf = pdf[sorted(pdf.columns)]
-    return sorted(tuple(map(plain, r)) for r in pdf.itertuples(index=False))

@@ -1,7 +1,7 @@
 """Each query against its SQL twin, on the smallest tables."""
 
 import pytest
-from conftest import rows_of
+from frames import rows_of
 
 from evidora.registry import ORACLES, QUERIES
 
