@@ -14,9 +14,8 @@ from __future__ import annotations
 
 import numpy as np
 
-from evidora.llm.substrings import _mix
+from evidora.llm.hashing import U, mix
 
-U = np.uint64
 _TO_UNIT = 2.0**-53
 
 
@@ -40,18 +39,18 @@ def signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n_docs:
         over, depth = over[weight[over] > 2 * start], depth + 1
     doc, element, weight, level, low, rate = (np.concatenate(x) for x in zip(*parts))
     with np.errstate(over="ignore"):
-        state = _mix(element + (level.astype(U) + U(1)) * U(0x9E3779B97F4A7C15))
+        state = mix(element + (level.astype(U) + U(1)) * U(0x9E3779B97F4A7C15))
         at = np.zeros(len(doc))
         step = 0
         while len(doc):
             step += 1
-            state = _mix(state + U(0xD1342543DE82EF95))
+            state = mix(state + U(0xD1342543DE82EF95))
             at = at - np.log(_unit(state)) / rate
-            second = _mix(state ^ U(0xA0761D6478BD642F))
+            second = mix(state ^ U(0xA0761D6478BD642F))
             component = ((second >> U(40)) % U(k)).astype(np.int64)
             counts = rate == 1
             if not counts.all():
-                counts = low + rate * _unit(_mix(second)) < weight
+                counts = low + rate * _unit(mix(second)) < weight
             slot = doc * k + component
             s, t, v = (slot, at, second) if counts.all() else (slot[counts], at[counts], second[counts])
             order = np.lexsort((v, t, s))

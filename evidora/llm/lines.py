@@ -11,33 +11,27 @@ from pyspark.sql import functions as F
 
 from evidora.llm.common import built, cut, free
 from evidora.llm.graph import components
-from evidora.llm.pairs import by_group, in_blocks, overlapping, similar_signatures
-from evidora.llm.substrings import U, _mix, _Powers, _ranges, _sums
+from evidora.llm.hashing import U, mix, string_hashes
+from evidora.llm.pairs import linked, overlapping, similar_signatures
 
 SHINGLE, WIDTH, ROWS, AGREE = 8, 64, 4, 35
 #: Code points hashed at once.
 CHUNK = 500_000
-_CHARS = _Powers(0x9E3779B97F4A7C15 | 1)
 _EMPTY = np.iinfo(U).max
 #: Code points of white space, up to U+3000; a larger one counts as the last of the table, which is none.
 _BLANK = np.array([chr(i).isspace() for i in range(0x3001)] + [False])
 
 
-def _prefixes(points: np.ndarray) -> np.ndarray:
-    up, _ = _CHARS.to(len(points) + 1)
-    with np.errstate(over="ignore"):
-        return _sums(points + U(1), up)
-
-
-def _shingles(points: np.ndarray, sums: np.ndarray | None = None) -> np.ndarray:
-    """A hash of the SHINGLE code points from each place on (the last places: none). sums: of _prefixes(), if at hand."""
-    n = len(points) - SHINGLE + 1
-    if n <= 0:
+def _shingles(points: np.ndarray) -> np.ndarray:
+    """A hash of the SHINGLE code points from each place on (the last places: none): their polynomial, made by doubling."""
+    if len(points) < SHINGLE:
         return np.empty(0, U)
-    sums = _prefixes(points) if sums is None else sums
-    _, down = _CHARS.to(len(points) + 1)
+    h, size, power = points, 1, 0x9E3779B97F4A7C15
     with np.errstate(over="ignore"):
-        return _mix((sums[SHINGLE:] - sums[:-SHINGLE]) * down[:n])
+        while size < SHINGLE:
+            h = h[:-size] * U(power) + h[size:]
+            size, power = 2 * size, power * power % 2**64
+        return mix(h)
 
 
 def all_shingles(found: list[str]) -> list[np.ndarray]:
@@ -51,14 +45,14 @@ def all_shingles(found: list[str]) -> list[np.ndarray]:
     return out
 
 
-def line_signatures(points: np.ndarray, starts: np.ndarray, ends: np.ndarray, sums: np.ndarray | None = None) -> np.ndarray:
+def line_signatures(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """One-permutation MinHash of each line points[start:end]: the shingles fall into WIDTH bins, a
     value is its bin's smallest hash. Empty bins take the value of the first full one in an
     order of their own, the same for all lines (densification). Lines shorter than a shingle: all 0."""
     n = len(starts)
     least = np.full(n * WIDTH, _EMPTY, U)
     counts = np.maximum(ends - starts - SHINGLE + 1, 0)
-    h = _shingles(points, sums)
+    h = _shingles(points)
     line = np.repeat(np.arange(n), counts)
     at = np.arange(len(line)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(starts, counts)
     h = h[at] if len(at) else h[:0]
@@ -68,24 +62,24 @@ def line_signatures(points: np.ndarray, starts: np.ndarray, ends: np.ndarray, su
     row, column = np.nonzero((least == _EMPTY) & some[:, None])
     bins = np.arange(WIDTH, dtype=U)
     with np.errstate(over="ignore"):
-        first, step = _mix(bins + U(1)), _mix(bins + U(1001)) | U(1)
+        first, step = mix(bins + U(1)), mix(bins + U(1001)) | U(1)
     out, t = least.copy(), 0
     while len(row):
         probe = ((first[column] + U(t) * step[column]) % U(WIDTH)).astype(np.int64)
         value = least[row, probe]
         hit = value != _EMPTY
         with np.errstate(over="ignore"):
-            out[row[hit], column[hit]] = _mix(value[hit] + U(t + 1))
+            out[row[hit], column[hit]] = mix(value[hit] + U(t + 1))
         row, column, t = row[~hit], column[~hit], t + 1
     out[~some] = 0
     return out
 
 
-SIGNED = "id long, tag long, line int, k long, sig array<long>"
+SIGNED = "id long, tag long, line int, k long, proof int, sig array<long>"
 
 
 def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each line that isn't blank; its signature only the first time that the line comes in this task. A
+    """A row for each line that isn't blank, named by a 64-bit hash, with 31 bits of another to prove it; its signature only the first time that the line comes in this task. A
     signature's values are kept to 16 bits, ROWS of them to a long: each long is a band."""
     seen: set[int] = set()
 
@@ -94,9 +88,9 @@ def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         breaks = np.flatnonzero(points == 10)
         starts, ends = np.append(0, breaks + 1), np.append(breaks, len(points))
         per_doc = np.array([t.count("\n") + 1 for t in texts])
-        sums = _prefixes(points)
-        with np.errstate(over="ignore"):
-            keys = (_ranges(sums, _CHARS.to(len(points) + 1)[1], starts, ends) >> U(2)).astype(np.int64)
+        found = [line for t in texts for line in t.split("\n")]
+        keys = string_hashes(found).view(np.int64)
+        proofs = (string_hashes(found, "evidora-2nd-key.") >> U(33)).astype(np.int32)
         fresh = np.zeros(len(keys), bool)
         for i, k in enumerate(keys.tolist()):
             if k not in seen:
@@ -106,7 +100,7 @@ def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen.clear()
         fresh &= ends - starts >= SHINGLE
         at = np.flatnonzero(fresh)
-        packed = (line_signatures(points, starts[at], ends[at], sums) >> U(16)).astype("<u2").view("<i8")
+        packed = (line_signatures(points, starts[at], ends[at]) >> U(16)).astype("<u2").view("<i8")
         number = np.arange(len(keys)) - np.repeat(np.cumsum(per_doc) - per_doc, per_doc)
         ink = np.concatenate([[0], np.cumsum(~_BLANK[np.minimum(points, len(_BLANK) - 1)])])
         keep = ink[ends] > ink[starts]
@@ -114,7 +108,7 @@ def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed = packed[keep[at]]
         bounds = np.concatenate([[0], np.cumsum(np.where(fresh[keep], packed.shape[1], 0))]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(bounds, mask=np.append(~fresh[keep], False)), pa.array(packed.ravel()))
-        columns = [pa.array(np.repeat(np.array(ids, np.int64), per_doc)[keep]), pa.array(np.repeat(np.array(tags, np.int64), per_doc)[keep]), pa.array(number.astype(np.int32)[keep]), pa.array(keys[keep]), lists]
+        columns = [pa.array(np.repeat(np.array(ids, np.int64), per_doc)[keep]), pa.array(np.repeat(np.array(tags, np.int64), per_doc)[keep]), pa.array(number.astype(np.int32)[keep]), pa.array(keys[keep]), pa.array(proofs[keep]), lists]
         return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in SIGNED.split(", ")])
 
     ids, tags, texts, held = [], [], [], 0
@@ -142,32 +136,27 @@ def removed_lines(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", t
     Lines are what newlines part. Two are linked if they are equal, or if their sets of SHINGLE-character
     shingles have a Jaccard similarity of at least `least`. Of 16 bands of 4 values, a pair at 0.8 shares one with a chance
     of 0.9998; candidates are verified exactly (see pairs). Of each component of links, the line
-    of the smallest (id, tag, number) stays. Lines without any character but white space are never
+    of the smallest (id, tag, number) stays. Should different lines ever have the same 64-bit hash, a second hash tells, and they stay. Lines without any character but white space are never
     removed: they only part paragraphs."""
     rows = docs.select(*_keyed(docs, id_col, text_col))
     signed = cut(rows.mapInArrow(_sign, SIGNED), "signed", **{"parquet.enable.dictionary#sig.list.element": "false"})  # hashes don't repeat
     lines = signed.select("id", "tag", "line", "k")
-    classes = cut(lines.groupBy("k").agg(F.min(F.struct("id", "tag", "line")).alias("first"), F.count("*").alias("copies")), "classes")
+    classes = signed.groupBy("k").agg(F.min(F.struct("id", "tag", "line")).alias("first"), F.count("*").alias("copies"), F.min("proof").alias("a"), F.max("proof").alias("b"))
+    classes = cut(classes.where("a = b").drop("a", "b"), "classes")
     bands = signed.where("sig is not null").select("k", F.posexplode("sig").alias("i", "value"))
     banded = bands.select("k", F.xxhash64("value", "i").alias("band"))
     shared = cut(banded.groupBy("band").agg(F.min("k").alias("a"), F.max("k").alias("b")).where("a < b").select("band"), "shared")
     members = cut(banded.join(built(shared), "band").distinct(), "members")
-    sizes = members.groupBy("band").agg(F.count("*").alias("n"))
     once = signed.where("sig is not null").select("k", "sig").join(built(members.select("k").distinct()), "k").groupBy("k").agg(F.first("sig").alias("sig"))
-    met = in_blocks(members, sizes, "band", "k").join(once, "k").select("grp", F.col("k").alias("id"), "sig")
-    linked = cut(by_group(met, similar_signatures(WIDTH, AGREE)).distinct(), "linked")
-    groups = components(linked)
+    groups = components(linked(members.join(once, "k").withColumnRenamed("k", "id"), "band", similar_signatures(WIDTH, AGREE)))
     groups = cut(groups.select("node", "root").unionByName(groups.select(F.col("root").alias("node"), "root").distinct()), "groups")
-    counts = groups.groupBy("root").agg(F.count("*").alias("n"))
     wanted = classes.join(groups, F.col("k") == F.col("node")).select("first.*", "k", "root")
     wanted = wanted.groupBy("id", "tag").agg(F.collect_list(F.struct("line", "k", "root")).alias("wanted"))
     held = rows.join(built(wanted), ["id", "tag"]).select(F.split("text", "\n").alias("split"), F.explode("wanted").alias("w"))
-    texts = cut(held.select("w.k", "w.root", F.expr("split[w.line]").alias("text")), "texts")
-    if texts.groupBy("k").count().where("count > 1").limit(1).count():  # rows repeat
-        texts = texts.dropDuplicates(["k"])
-    tried = in_blocks(texts, counts, "root", "k").select("grp", F.col("k").alias("id"), "text")
-    proven = cut(by_group(tried, overlapping(all_shingles, least)).distinct(), "proven")
-    roots = components(proven)
+    texts = cut(held.select(F.col("w.k").alias("id"), "w.root", F.expr("split[w.line]").alias("text")), "texts")
+    if texts.groupBy("id").count().where("count > 1").limit(1).count():  # rows repeat
+        texts = texts.dropDuplicates(["id"])
+    roots = components(linked(texts, "root", overlapping(all_shingles, least), F.octet_length("text")))
     roots = cut(roots.select("node", "root").unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), "roots")
     named = classes.join(roots, F.col("k") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "k"))
     kept = cut(named.where("root is not null").groupBy("comp").agg(F.min("first").alias("stays")), "kept")

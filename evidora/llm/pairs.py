@@ -3,8 +3,8 @@
 Candidates are found by signatures: items that share a band meet in its bucket, and there all pairs of
 signatures are compared (a matrix of small numbers, no rows). Pairs that agree enough link into candidate
 groups; within a group the overlap of all pairs' full sets is counted exactly. Tasks
-emit one edge per item towards the smallest item that it reaches, never pairs. Buckets and groups
-larger than BLOCK are compared block by block, each pair of blocks in a task of its own."""
+emit one edge per item towards the smallest item that it reaches, never pairs. How buckets and groups of any
+size are compared in blocks of bounded size, see linked()."""
 
 from __future__ import annotations
 
@@ -13,14 +13,17 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidora.llm.common import cut
-from evidora.llm.substrings import _mix
+from evidora.llm.graph import components
+from evidora.llm.hashing import U, mix
 
-U = np.uint64
-BLOCK = 1024
+#: Most items, and most bytes of them, of a block; a group of more is dealt into blocks.
+BLOCK, BYTES = 512, 8_000_000
+#: Of a large group, so large a share of a block is pivots, which are in every block.
+PIVOTS = 1 / 8
 EDGES = "a long, b long"
 
 
@@ -30,21 +33,12 @@ def band_hashes(signatures: np.ndarray, rows: int) -> np.ndarray:
     bands = k // rows
     part = signatures[:, : bands * rows].reshape(n, bands, rows)
     with np.errstate(over="ignore"):
-        out = np.broadcast_to(_mix(np.arange(1, bands + 1, dtype=U) * U(0x9E3779B97F4A7C15)), (n, bands)).copy()
+        out = np.broadcast_to(mix(np.arange(1, bands + 1, dtype=U) * U(0x9E3779B97F4A7C15)), (n, bands)).copy()
         for j in range(rows):
-            out = _mix(out * U(0x2545F4914F6CDD1D) + part[:, :, j])
+            out = mix(out * U(0x2545F4914F6CDD1D) + part[:, :, j])
     return out
 
 
-def in_blocks(rows: DataFrame, sizes: DataFrame, key: str, item: str) -> DataFrame:
-    """Adds grp, a long: rows of one key get the same, unless sizes (key, n) says that there are more than BLOCK;
-    then items are dealt into blocks, and each pair of blocks is a group of its own."""
-    blocks = cut(sizes.select(key, F.ceil(F.col("n") / BLOCK).alias("_blocks")), "blocks")  # a join of two shuffles: Spark can split it
-    out = rows.join(blocks, key).withColumn("_block", F.pmod(F.xxhash64(item), F.col("_blocks")))
-    out = out.withColumn("_other", F.explode(F.expr("sequence(0L, _blocks - 1)")))
-    return out.withColumn("grp", F.xxhash64(key, F.least("_block", "_other"), F.greatest("_block", "_other"))).drop("_blocks", "_block", "_other")
-
-
 def by_group(rows: DataFrame, compare: Callable[[pa.Table, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
     """Runs compare over whole groups (column grp, of bounded size), many at a time: it gets their rows and
     the bounds of the groups in them, and returns edges. Groups are sorted in their partition, so a
@@ -72,6 +66,47 @@ def by_group(rows: DataFrame, compare: Callable[[pa.Table, np.ndarray], tuple[np
     return rows.repartition(F.col("grp")).sortWithinPartitions("grp").mapInArrow(run, EDGES)
 
 
+def linked(rows: DataFrame, key: str, compare: Callable[[pa.Table, np.ndarray], tuple[np.ndarray, np.ndarray]], weight: Column | None = None) -> DataFrame:
+    """Edges a, b that connect the items (column id, a long) of each key just as the links between all pairs of them do. rows has
+    key and id, each pair once, and what compare() needs; weight: the bytes of an item.
+
+    A key of up to BLOCK items, and BYTES, is compared whole. The items of a larger one are dealt into blocks, which some pivots join, the same in
+    each, and each block is compared. Items that this connects with most of their key need no more comparisons among each other. Those
+    left over are compared with all items of their key, block by block. So every pair that no links connect yet is
+    compared, and nothing is dropped; in a group of near copies, few are left over, and the work grows with the group, not its square."""
+    sizes = rows.groupBy(key).agg(F.count("*").alias("_n"), F.sum(weight if weight is not None else F.lit(1)).alias("_bytes")).where("_n > 1")
+    blocks = F.greatest(F.ceil(F.col("_n") / BLOCK), F.least(F.ceil(F.col("_bytes") / BYTES), F.col("_n")))
+    blocks = cut(sizes.select(key, "_n", blocks.alias("_blocks")), "blocks")  # a join of two shuffles: Spark can split it
+    small = rows.join(blocks.where("_blocks = 1").select(key), key).withColumn("grp", F.xxhash64(key)).drop(key)
+    edges = by_group(small, compare)
+    if not blocks.where("_blocks > 1").limit(1).count():
+        return cut(edges.distinct(), "linked")
+    block = F.pmod(F.xxhash64("id"), F.col("_blocks"))
+    large = rows.join(blocks.where("_blocks > 1"), key).withColumn("_block", block)
+    pivot = F.pmod(F.xxhash64("id", F.lit(1)), F.ceil(F.col("_n") / F.greatest(F.lit(2), F.col("_n") / F.col("_blocks") * PIVOTS))) == 0
+    everywhere = F.expr("sequence(0L, _blocks - 1)")
+    dealt = large.withColumn("_at", F.explode(F.when(pivot, everywhere).otherwise(F.array("_block"))))
+    dealt = dealt.withColumn("grp", F.xxhash64(key, "_at")).drop(key, "_n", "_blocks", "_block", "_at")
+    first = cut(by_group(dealt, compare).distinct(), "linked")
+    roots = components(first).select(F.col("node").alias("_node"), F.col("root").alias("_root"))
+    members = large.select(key, "id", "_n", "_blocks").join(roots, F.col("id") == F.col("_node"), "left").select(key, "id", "_n", "_blocks", F.coalesce("_root", "id").alias("_label"))
+    members = cut(members, "members")
+    most = members.groupBy(key, "_label").agg(F.count("*").alias("_m")).groupBy(key).agg(F.max(F.struct("_m", "_label")).alias("_most"))
+    rest = cut(members.join(most, key).where(F.col("_label") != F.col("_most._label")).select(key, "id", "_n", "_blocks"), "rest")
+    chunks = rest.groupBy(key).agg(F.ceil(F.count("*") / (F.first("_n") / F.first("_blocks"))).alias("_chunks"))
+    chunks = cut(chunks, "chunks")
+    lone = rest.select(F.col(key).alias("_key"), F.col("id").alias("_id"))
+    every = large.join(chunks, key).join(lone, (F.col(key) == F.col("_key")) & (F.col("id") == F.col("_id")), "left")
+    every = every.withColumn("_chunk", F.when(F.col("_id").isNotNull(), F.pmod(F.xxhash64("id", F.lit(2)), F.col("_chunks"))).otherwise(F.lit(-1)))
+    # an item is in its block with each chunk of what is left over; an item left over is, with its chunk, in every block
+    here = F.transform(F.expr("sequence(0L, _chunks - 1)"), lambda c: F.struct(F.col("_block").alias("b"), c.alias("c")))
+    there = F.transform(everywhere, lambda b: F.struct(b.alias("b"), F.col("_chunk").alias("c")))
+    places = F.when(F.col("_chunk") < 0, here).otherwise(F.array_union(here, there))
+    met = every.withColumn("_at", F.explode(places)).withColumn("grp", F.xxhash64(key, "_at.b", "_at.c", F.lit(3)))
+    met = met.drop(key, "_n", "_blocks", "_block", "_at", "_chunks", "_chunk", "_key", "_id")
+    return cut(edges.unionByName(first).unionByName(by_group(met, compare)).distinct(), "linked")
+
+
 def spread(n: int, one: np.ndarray, two: np.ndarray) -> np.ndarray:
     """For items 0..n-1 under the links one[i]-two[i], the smallest item that each reaches."""
     root = np.arange(n)

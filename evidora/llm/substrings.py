@@ -2,20 +2,23 @@
 
 Every window of `window` words belongs to one block: the smallest hash of the k-word shingles in
 it (its anchor) says which. Consecutive windows with the same anchor form one block, so
-blocks depend on content alone, and equal passages fall into equal blocks wherever they stand. All blocks of
-all documents are the reference, indexed by content with the smallest document that has them.
+blocks depend on content alone, and equal passages fall into equal blocks wherever they stand. The blocks of
+all documents, each at its first occurrence, are the reference that the index holds.
 
-A document is parsed from left to right: a block that the index knows from an earlier document extends the
-current factor as a whole. At a factor's boundary, where a block isn't known as a whole (a
+A document is parsed greedily from left to right into factors (start, length, reference document, reference start): the block at hand, if the
+index knows it from an earlier document, begins a factor, and every next one that goes on in
+the same place of the reference makes it longer. At a factor's boundary, where a block isn't known as a whole (a
 passage begins, ends or was edited within it), its windows are looked up one by one among the
-windows of the blocks that share the anchor. Factors of at least one window become
-duplicate spans. A window found in no earlier document is in none: whoever has it has its anchor.
+windows of the reference blocks that share the anchor, and lengthen the factor by a word each. What no factor covers are
+literals. A factor has at least one window, so all are long enough to be duplicate spans; and a window
+found in no earlier document is in none: whoever has it has its anchor.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -23,122 +26,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidora.llm.common import cut
-
-U = np.uint64
-BASE = 0x9E3779B97F4A7C15 | 1
-BASE_WORD = 0xD1342543DE82EF95 | 1
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
-
-
-class _Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, as far as asked for."""
-
-    def __init__(self, base: int):
-        self.base, self.inverse = base, pow(base, -1, 2**64)
-        self.up, self.down = np.ones(1, U), np.ones(1, U)
-
-    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > len(self.up):
-            n = max(n, 2 * len(self.up))
-            with np.errstate(over="ignore"):
-                self.up = np.cumprod(np.concatenate([np.ones(1, U), np.full(n, self.base, U)]))
-                self.down = np.cumprod(np.concatenate([np.ones(1, U), np.full(n, self.inverse, U)]))
-        return self.up, self.down
-
-
-_BYTES, _WORDS = _Powers(BASE), _Powers(BASE_WORD)
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
-#: Bytes of text hashed at once.
-CHUNK = 1 << 22
-
-
-def _sums(values: np.ndarray, powers: np.ndarray) -> np.ndarray:
-    """Prefix sums of values[i] * base**i, with a 0 in front."""
-    out = np.zeros(len(values) + 1, U)
-    np.cumsum(values * powers[: len(values)], out=out[1:])
-    return out
-
-
-def _ranges(sums: np.ndarray, down: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """The polynomial hash of values[start:end] for each pair, the same wherever it stands."""
-    return _mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U))
-
-
-def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the words in the UTF-8 bytes data."""
-    inside = np.zeros(len(data) + 2, bool)
-    inside[1:-1] = ~_SPACE[data]
-    edges = np.flatnonzero(inside[1:] != inside[:-1])
-    return edges[::2], edges[1::2]
-
-
-def word_hashes(data: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word of the bytes data. Long texts go in chunks between words."""
-    starts, ends = word_bounds(data)
-    out = np.empty(len(starts), U)
-    done = 0
-    with np.errstate(over="ignore"):
-        while done < len(starts):
-            at = int(starts[done])
-            upto = max(done + 1, int(np.searchsorted(ends, at + CHUNK, side="right")))
-            piece = data[at : int(ends[upto - 1])]
-            up, down = _BYTES.to(len(piece) + 1)
-            sums = _sums(piece.astype(U) + U(1), up)
-            out[done:upto] = _ranges(sums, down, starts[done:upto] - at, ends[done:upto] - at)
-            done = upto
-    return out
-
-
-class Parsed:
-    """A document's words as hashes; blocks(), and the hashes of windows."""
-
-    def __init__(self, data: np.ndarray, window: int, k: int):
-        self.window, self.k = window, k
-        words = word_hashes(data)
-        self.n = len(words)
-        if self.n >= window:
-            up, self.down = _WORDS.to(self.n + 1)
-            with np.errstate(over="ignore"):
-                self.sums = _sums(words, up)
-
-    def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return _ranges(self.sums, self.down, start, end)
-
-    def blocks(self) -> tuple[np.ndarray, ...]:
-        """anchor, content hash, first and last window of each block."""
-        if self.n < self.window:
-            none = np.empty(0, U)
-            return none, none, none, none
-        at = np.arange(self.n - self.k + 1)
-        least = self.hashes(at, at + self.k)
-        size, need = 1, self.window - self.k + 1  # shingles in a window
-        while size < need:  # minima over twice as many each time
-            step = min(size, need - size)
-            least = np.minimum(least[:-step], least[step:])
-            size += step
-        first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-        last = np.append(first[1:], len(least)) - 1
-        return least[first], self.hashes(first, last + self.window), first, last
-
-
-def _documents(batch: pa.RecordBatch, column: int) -> Iterator[np.ndarray]:
-    for text in batch.column(column):
-        buffer = text.as_buffer() if text.is_valid else None
-        yield np.frombuffer(buffer, np.uint8) if buffer is not None and buffer.size else np.empty(0, np.uint8)
-
-
-def _digest(data: np.ndarray, keep: np.ndarray | None = None) -> str:
-    words = data.tobytes().split()  # bytes.split() splits at just the six characters
-    if keep is not None:
-        words = [w for w, k in zip(words, keep.tolist()) if k]
-    return hashlib.sha256(b" ".join(words)).hexdigest()
+from evidora.llm.hashing import Runs, U, buffers, many_words, runs, word_bounds
+
+
+def blocks_of(h: np.ndarray, bounds: np.ndarray, window: int, k: int) -> tuple[np.ndarray, ...]:
+    """Of documents with the words' hashes h[bounds[i] : bounds[i + 1]]: document, anchor, content hash, first and last window of each block."""
+    least = runs(h, k)
+    size, need = 1, window - k + 1  # shingles in a window
+    while size < need and len(least):  # minima over twice as many each time
+        step = min(size, need - size)
+        least = np.minimum(least[:-step], least[step:])
+        size += step
+    doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[: len(least)]
+    at = np.flatnonzero(np.arange(len(least)) + window <= bounds[1:][doc])  # windows within one document
+    if not len(at):
+        none = np.empty(0, np.int64)
+        return none, none.astype(U), none.astype(U), none, none
+    value = least[at]
+    heads = np.flatnonzero(np.concatenate([[True], (value[1:] != value[:-1]) | (at[1:] != at[:-1] + 1)]))
+    first, last = at[heads], at[np.append(heads[1:], len(at)) - 1]
+    of = doc[first]
+    return of, value[heads], Runs(h).hashes(first, last + window), first - bounds[of], last - bounds[of]
 
 
 #: again: the same content comes earlier in the row.
@@ -148,16 +56,17 @@ BLOCKS = "id long, tag long, anchor long, content long, first int, last int, aga
 def _index(window: int, k: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns: list[list] = [[] for _ in range(7)]
-            for doc_id, tag, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _documents(batch, 2)):
-                anchor, content, first, last = Parsed(data, window, k).blocks()
-                if len(anchor):
-                    again = np.ones(len(anchor), bool)
-                    again[np.unique(content, return_index=True)[1]] = False
-                    for c, v in zip(columns, (np.full(len(anchor), doc_id, np.int64), np.full(len(anchor), tag, np.int64), anchor.view(np.int64), content.view(np.int64), first.astype(np.int32), last.astype(np.int32), again)):
-                        c.append(v)
-            if columns[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=[x.split()[0] for x in BLOCKS.split(", ")])
+            ids, tags = (batch.column(i).to_numpy() for i in range(2))
+            done = 0
+            for h, bounds in many_words(buffers(batch.column(2))):
+                of, anchor, content, first, last = blocks_of(h, bounds, window, k)
+                if len(of):
+                    again = np.ones(len(of), bool)
+                    order = np.lexsort((content, of))
+                    again[order[np.concatenate([[True], (of[order[1:]] != of[order[:-1]]) | (content[order[1:]] != content[order[:-1]])])]] = False
+                    columns = (ids[done + of], tags[done + of], anchor.view(np.int64), content.view(np.int64), first.astype(np.int32), last.astype(np.int32), again)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[x.split()[0] for x in BLOCKS.split(", ")])
+                done += len(bounds) - 1
 
     return run
 
@@ -165,48 +74,90 @@ def _index(window: int, k: int):
 WINDOWS = "id long, tag long, anchor long, content long, at int"
 
 
-def _windows(window: int, k: int):
+def _windows(window: int):
     """From documents and their boundary blocks, the windows of those blocks."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, (doc_id, tag, data) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _documents(batch, 2))):
-                doc = Parsed(data, window, k)
-                blocks = batch.column(3)[i].as_py()
-                at = np.concatenate([np.arange(b["first"], b["last"] + 1) for b in blocks])
-                anchors = np.concatenate([np.full(b["last"] + 1 - b["first"], b["anchor"], np.int64) for b in blocks])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), doc_id, np.int64)), pa.array(np.full(len(at), tag, np.int64)), pa.array(anchors), pa.array(doc.hashes(at, at + window).view(np.int64)), pa.array(at.astype(np.int32))], names=[x.split()[0] for x in WINDOWS.split(", ")])
+            done = 0
+            for h, bounds in many_words(buffers(batch.column(2))):
+                n = len(bounds) - 1
+                all_, lists = runs(h, window), batch.column(3).slice(done, n)
+                block, sizes = lists.flatten(), lists.value_lengths().to_numpy(zero_copy_only=False)
+                first, last = (block.field(i).to_numpy().astype(np.int64) for i in (1, 2))
+                of = np.repeat(np.arange(n), sizes)
+                many = last - first + 1
+                at = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+                row = np.repeat(of, many)
+                columns = (batch.column(0).to_numpy()[done + row], batch.column(1).to_numpy()[done + row], np.repeat(block.field(0).to_numpy(), many), all_[bounds[row] + at].view(np.int64), at.astype(np.int32))
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[x.split()[0] for x in WINDOWS.split(", ")])
+                done += n
 
     return run
 
 
-RESULT = "id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:int,end:int>>"
+class Factors(NamedTuple):
+    """Factors of one document, from left to right; they may overlap by less than a window."""
+
+    start: np.ndarray
+    length: np.ndarray
+    ref_id: np.ndarray
+    ref_tag: np.ndarray
+    ref_start: np.ndarray
+
+
+def parse(first: np.ndarray, last: np.ndarray, ref_id: np.ndarray, ref_tag: np.ndarray, ref_first: np.ndarray, window: int) -> Factors:
+    """The greedy parse of a document of which the windows first[i]..last[i] are known to stand in document (ref_id[i], ref_tag[i]) from
+    window ref_first[i] on: a factor goes on as long as what is known next follows in the same place there."""
+    order = np.lexsort((ref_first, ref_tag, ref_id, first))
+    first, last, ref_id, ref_tag, ref_first = (x[order].astype(np.int64) for x in (first, last, ref_id, ref_tag, ref_first))
+    place = ref_first - first
+    same = (ref_id[1:] == ref_id[:-1]) & (ref_tag[1:] == ref_tag[:-1]) & (place[1:] == place[:-1]) & (first[1:] == last[:-1] + 1)
+    heads = np.flatnonzero(np.concatenate([[True], ~same])) if len(first) else np.empty(0, np.int64)
+    ends = last[np.append(heads[1:], len(first)) - 1] if len(first) else heads
+    return Factors(first[heads], ends + window - first[heads], ref_id[heads], ref_tag[heads], ref_first[heads])
+
+
+def covered(factors: Factors, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The words (flags, of n) that factors cover, and the spans that they form, as starts and ends."""
+    edge = np.bincount(factors.start, minlength=n + 1) - np.bincount(factors.start + factors.length, minlength=n + 1)
+    gone = np.cumsum(edge)[:n] > 0
+    return gone, np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))).reshape(-1, 2)
+
+
+RESULT = "id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:int,end:int>>, factors array<struct<start:int,length:int,ref_id:bigint,ref_tag:bigint,ref_start:int>>"
+_SPAN = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+_FACTOR = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("ref_id", pa.int64()), ("ref_tag", pa.int64()), ("ref_start", pa.int32())]))
 
 
 def _clean(window: int):
-    """Documents with their duplicate windows (ranges of window starts) to what is left of them."""
+    """Documents with what is known of them, to their factors and what is left of them."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[list] = [[] for _ in range(5)]
-            for i, (doc_id, data) in enumerate(zip(batch.column(0).to_pylist(), _documents(batch, 1))):
-                starts, _ = word_bounds(data)
-                n, found = len(starts), batch.column(2)[i].as_py() or []
-                edge = np.zeros(n + 1, np.int64)
-                for x in found:
-                    edge[x["first"]] += 1
-                    edge[x["last"] + window] -= 1
-                gone = np.cumsum(edge)[:n] > 0
-                ends = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
-                spans = [{"start": int(a), "end": int(b)} for a, b in zip(ends[::2], ends[1::2])]
-                for column, value in zip(rows, (doc_id, n, int(gone.sum()), _digest(data, ~gone if found else None), spans)):
+            rows: list[list] = [[] for _ in range(6)]
+            for i, (doc_id, data) in enumerate(zip(batch.column(0).to_pylist(), buffers(batch.column(1)))):
+                found = batch.column(2)[i]
+                if found.is_valid:
+                    n = len(word_bounds(data)[0])
+                    factors = parse(*(c.to_numpy() for c in found.values.flatten()), window)
+                    gone, spans = covered(factors, n)
+                    words = [w for w, g in zip(data.tobytes().split(), gone.tolist()) if not g]
+                    names = _FACTOR.value_type.names
+                    more = (int(gone.sum()), [dict(zip(("start", "end"), s)) for s in spans.tolist()], [dict(zip(names, f)) for f in zip(*(c.tolist() for c in factors))])
+                else:
+                    words = data.tobytes().split()  # bytes.split() splits at just the six characters
+                    n, more = len(words), (0, [], [])
+                for column, value in zip(rows, (doc_id, n, more[0], hashlib.sha256(b" ".join(words)).hexdigest(), *more[1:])):
                     column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int64()), pa.array(rows[3]), pa.array(rows[4], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], names=["id", "n_words", "n_removed", "kept_sha256", "spans"])
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), _SPAN, _FACTOR)
+            yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, types)], names=["id", "n_words", "n_removed", "kept_sha256", "spans", "factors"])
 
     return run
 
 
-def duplicate_windows(rows: DataFrame, window: int, k: int) -> DataFrame:
-    """rows: id, tag (the CRC of the text, for rows that share an id), text. Returns id, tag, first, last:
-    ranges of windows that start in an earlier document.
+def known_windows(rows: DataFrame, window: int, k: int) -> DataFrame:
+    """rows: id, tag (the CRC of the text, for rows that share an id), text. Returns id, tag, first, last, ref_id, ref_tag, ref_first:
+    ranges of windows that stand in an earlier document too, and where (its first occurrence).
 
     Hot passages: the index sums by block within each task before it shuffles, of each distinct block
     only the occurrences in its first document go on to the boundary check, and the joins back are ones whose large partitions
@@ -215,8 +166,10 @@ def duplicate_windows(rows: DataFrame, window: int, k: int) -> DataFrame:
     blocks = cut(texts.where(F.col("id").isNotNull()).mapInArrow(_index(window, k), BLOCKS), "blocks")
     index = blocks.groupBy("anchor", "content").agg(F.min(F.struct("id", "tag", "first", "last")).alias("least"), F.max("id").alias("largest"))
     index = cut(index, "index")
-    known = index.where(F.col("least.id") < F.col("largest")).select("anchor", "content", F.col("least.id").alias("least_id"))
-    whole = blocks.join(known, ["anchor", "content"]).where("least_id < id").select("id", "tag", "first", "last")
+    refs = [F.col("least.id").alias("ref_id"), F.col("least.tag").alias("ref_tag"), F.col("least.first").alias("ref_first")]
+    known = index.where(F.col("least.id") < F.col("largest")).select("anchor", "content", *refs)
+    found = ["id", "tag", "first", "last", "ref_id", "ref_tag", "ref_first"]
+    whole = blocks.join(known, ["anchor", "content"]).where("ref_id < id").select(*found)
     # boundaries: blocks whose anchor stands in other content too, wherever they stand in the first document of each content
     shared = index.groupBy("anchor").agg(F.count("*").alias("n"), F.min("least.id").alias("a"), F.max("least.id").alias("b")).where("n > 1 and a < b").select("anchor")
     edges = cut(index.join(shared, "anchor").select("anchor", "content", "least.*"), "edges")
@@ -226,15 +179,16 @@ def duplicate_windows(rows: DataFrame, window: int, k: int) -> DataFrame:
         others = others.unionByName(blocks.join(repeated, "id", "left_semi"))
     others = others.join(edges.select("anchor", "content", "id"), ["anchor", "content", "id"]).select("anchor", "id", "tag", "first", "last")
     lists = edges.drop("content").unionByName(others).groupBy("id", "tag").agg(F.collect_set(F.struct("anchor", "first", "last")).alias("blocks"))
-    windows = cut(texts.join(lists, ["id", "tag"]).select("id", "tag", "text", "blocks").mapInArrow(_windows(window, k), WINDOWS), "windows")
-    earliest = windows.groupBy("anchor", "content").agg(F.min("id").alias("least_id"), F.max("id").alias("largest")).where("least_id < largest").drop("largest")
-    earliest = cut(earliest, "earliest")  # so that the join's sides come straight from a shuffle, and Spark can split a hot passage
-    single = windows.join(earliest, ["anchor", "content"]).where("least_id < id").select("id", "tag", F.col("at").alias("first"), F.col("at").alias("last"))
+    windows = cut(texts.join(lists, ["id", "tag"]).select("id", "tag", "text", "blocks").mapInArrow(_windows(window), WINDOWS), "windows")
+    earliest = windows.groupBy("anchor", "content").agg(F.min(F.struct("id", "tag", F.col("at").alias("first"))).alias("least"), F.max("id").alias("largest")).where("least.id < largest")
+    earliest = cut(earliest.select("anchor", "content", *refs), "earliest")  # so that the join's sides come straight from a shuffle, and Spark can split a hot passage
+    single = windows.join(earliest, ["anchor", "content"]).where("ref_id < id").select("id", "tag", F.col("at").alias("first"), F.col("at").alias("last"), "ref_id", "ref_tag", "ref_first")
     return cut(whole.unionByName(single), "found")
 
 
 def remove_repeats(docs: DataFrame, window: int = 50, k: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Returns id, n_words, n_removed, kept_sha256 and the removed spans (in words) of each row.
+    """Returns id, n_words, n_removed, kept_sha256, the removed spans (in words) and the factors of each row: of each its start and length,
+    the earlier document that has it (id and CRC of its text) and where it starts there, all in words.
 
     Removed is each word covered by a window of `window` words whose word sequence also starts in
     a document with a smaller id; windows are judged on the input. Words are runs of anything but
@@ -245,8 +199,8 @@ def remove_repeats(docs: DataFrame, window: int = 50, k: int = 16, id_col: str =
     repeats. An empty table gives no rows; other columns are ignored."""
     text = F.col(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("tag"), text.alias("text"))
-    found = duplicate_windows(rows, window, k)
-    lists = found.groupBy(F.col("id").alias("_id"), F.col("tag").alias("_tag")).agg(F.collect_set(F.struct("first", "last")).alias("found"))
+    found = known_windows(rows, window, k)
+    lists = found.groupBy(F.col("id").alias("_id"), F.col("tag").alias("_tag")).agg(F.collect_set(F.struct("first", "last", "ref_id", "ref_tag", "ref_first")).alias("found"))
     return rows.join(lists, (F.col("id") == F.col("_id")) & (F.col("tag") == F.col("_tag")), "left").select("id", "text", "found").mapInArrow(_clean(window), RESULT)
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidora.llm.common import free
-from evidora.llm.substrings import U, _mix
+from evidora.llm.hashing import U, mix
 
 DECAY = 0.75
 _GAPS = [(a, b) for a in range(1, 4) for b in range(a + 1, 5)]
@@ -157,7 +157,7 @@ def _copies(bags: list[np.ndarray], hashes: np.ndarray, rare: np.ndarray) -> lis
         h = hashes[bag[rare[bag]]]
         if len(h):
             with np.errstate(over="ignore"):
-                least = [int(_mix(h + U(j * 0x9E3779B97F4A7C15 % 2**63)).min()) for j in range(18)]
+                least = [int(mix(h + U(j * 0x9E3779B97F4A7C15 % 2**63)).min()) for j in range(18)]
             for j in range(0, 18, 3):
                 k = first.setdefault((j, *least[j : j + 3]), i)
                 a, b = find(k), find(i)

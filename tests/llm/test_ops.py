@@ -2,47 +2,23 @@
 
 import collections
 import hashlib
-import re
 import zlib
 
 import numpy as np
 import pytest
+from brute import WORD, all_ids, check_pieces, components_of, kept_lines, near, pairs, removed, water
 from pyspark.sql import functions as F
 
-from evidora.llm import bagminhash, embeddings, fingerprints, graph, lines, mixing, neardup, packing, sharding, substrings, tokens, toxicity
-
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
+from evidora.llm import bagminhash, embeddings, fingerprints, graph, hashing, lines, mixing, neardup, packing, sharding, substrings, tokens, toxicity
 
 
 def documents(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def pairs(df):
-    return [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
-
-
 # ---- 1 -------------------------------------------------------------------------------------
 
 
-def removed(rows, window):
-    """By brute force: (id, number of words, flags) of each row."""
-    first = {}
-    for i, t in rows:
-        w = WORD.findall(t or "")
-        for j in range(len(w) - window + 1):
-            key = tuple(w[j : j + window])
-            if i is not None:
-                first[key] = min(first.get(key, i), i)
-    for i, t in rows:
-        w = WORD.findall(t or "")
-        gone = [False] * len(w)
-        for j in range(len(w) - window + 1):
-            if i is not None and first[tuple(w[j : j + window])] < i:
-                gone[j : j + window] = [True] * window
-        yield i, len(w), sum(gone), hashlib.sha256(" ".join(x for x, g in zip(w, gone) if not g).encode()).hexdigest()
-
-
 @pytest.mark.parametrize("window, k", [(50, 16), (8, 3)])
 def test_substrings(spark, odd, sf_dir, window, k):
     for df in (odd, documents(spark, sf_dir)):
@@ -69,25 +45,77 @@ def test_substrings_of_nothing(nothing):
     assert substrings.remove_repeats(nothing).count() == 0
 
 
-def test_word_hashes_dont_depend_on_place():
-    a = substrings.word_hashes(b"x  one two\tthree\n" * 3 and np.frombuffer(b"x  one two\tthree", np.uint8))
-    b = substrings.word_hashes(np.frombuffer(b"three two one x", np.uint8))
-    assert a.tolist() == b[::-1].tolist()
+def test_factors(spark, sf_dir):
+    """Each factor is the same words in the earlier document that it names, goes on as far as it can there, and together they cover what is removed."""
+    df = documents(spark, sf_dir)
+    words = {(i, zlib.crc32((t or "").encode())): WORD.findall(t or "") for i, t in pairs(df)}
+    of = {i: w for (i, _), w in words.items()}
+    some = 0
+    for r in substrings.remove_repeats(df).collect():
+        mine, gone, before = of[r["id"]], set(), None
+        for f in r["factors"]:
+            start, n, there = f["start"], f["length"], words[f["ref_id"], f["ref_tag"]]
+            assert n >= 50 and f["ref_id"] < r["id"] and mine[start : start + n] == there[f["ref_start"] : f["ref_start"] + n]
+            assert before is None or start > before["start"] and start > before["start"] + before["length"] - 50
+            if before and start == before["start"] + before["length"] - 49:  # it goes on elsewhere, or would be the same factor
+                assert (before["ref_id"], before["ref_tag"], before["ref_start"] - before["start"]) != (f["ref_id"], f["ref_tag"], f["ref_start"] - start)
+            gone.update(range(start, start + n))
+            before, some = f, some + 1
+        spans = [i for s in r["spans"] for i in range(s["start"], s["end"])]
+        assert len(gone) == r["n_removed"] and spans == sorted(gone)
+    assert some > 10
+
+
+def test_parse():
+    """Windows 0..9 and 10..12 follow in one place of document 1, 13 in another, 20 alone."""
+    known = np.array([[0, 9, 1, 7, 100], [13, 13, 1, 7, 300], [10, 12, 1, 7, 110], [20, 20, 2, 8, 5]]).T
+    f = substrings.parse(*known, 50)
+    assert [x.tolist() for x in f] == [[0, 13, 20], [62, 50, 50], [1, 1, 2], [7, 7, 8], [100, 300, 5]]
+    assert substrings.covered(f, 80)[1].tolist() == [[0, 70]]
+
+
+def thue_morse(n, a, b):
+    return [b if bin(i).count("1") % 2 else a for i in range(n)]
+
+
+def test_patterns_that_polynomials_modulo_a_power_of_two_take_for_equal(spark):
+    """Words, lines, and runs of words that are Thue-Morse sequences, and their complements."""
+    one, two = ("".join(thue_morse(1024, *x)) for x in ("ab", "ba"))
+    rest = [f"w{i}" for i in range(60)]
+    cases = [[rest[:30] + [x] + rest[30:] for x in (one, two)], [thue_morse(1024, *x) for x in (("yes", "no"), ("no", "yes"))]]
+    for some in cases:
+        rows = [(i, " ".join(w)) for i, w in enumerate(some)]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        got = substrings.remove_repeats(df).collect()
+        assert sorted((r["id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == sorted(removed(rows, 50))
+        expected = near(rows)
+        assert {r["doc_id"]: r["component_id"] for r in neardup.near_classes(df).collect()} == {i: c for (i, _), c in expected.items()}
+    keys = hashing.string_hashes([one, two])
+    assert keys[0] != keys[1]
+    sequences = [hashing.string_hashes(thue_morse(4096, *x)) for x in ("ab", "ba")]
+    for n in (5, 16, 50, 1024, 4096):
+        a, b = ({hashing.runs(h, n)[0], hashing.Runs(h).hashes(np.array([0]), np.array([n]))[0]} for h in sequences)
+        assert not a & b
+
+
+def test_hashes_dont_depend_on_place(monkeypatch):
+    text = b"x  one two\tthree\n four one two\x0bthree " + "é ü".encode()
+    data = np.frombuffer(text, np.uint8)
+    h = hashing.word_hashes(data)
+    assert h.tolist() == hashing.string_hashes(text.split()).tolist() and h[1:4].tolist() == h[5:8].tolist()
+    r = hashing.Runs(h)
+    assert r.hashes(np.array([1]), np.array([4])) == r.hashes(np.array([5]), np.array([8])) != r.hashes(np.array([2]), np.array([5]))
+    assert hashing.runs(h, 3)[1] == hashing.runs(h, 3)[5]
+    whole = [(a.tolist(), b.tolist()) for a, b in hashing.many_words([data, data[:0], data])]
+    for chunk in (1, 5, 13):  # texts longer than a chunk
+        monkeypatch.setattr(hashing, "CHUNK", chunk)
+        assert hashing.word_hashes(data).tolist() == h.tolist()
+        assert sum((a.tolist() for a, _ in hashing.many_words([data, data[:0], data])), []) == whole[0][0]
 
 
 # ---- 2 and 5 -------------------------------------------------------------------------------
 
 
-def all_ids(rows):
-    """By the tokenizers library itself."""
-    import public_tokenizers
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(public_tokenizers.path(tokens.VOCABULARY))
-    t.encode_special_tokens = True
-    return [(i, np.array([*t.encode(x or "", add_special_tokens=False).ids, 2], "<u4")) for i, x in rows]
-
-
 def test_matrices_round_trip(spark, odd, sf_dir):
     for df, small in ((odd, 100_000), (documents(spark, sf_dir), 20_000)):
         found = collections.defaultdict(list)
@@ -104,23 +132,6 @@ def test_matrices_round_trip(spark, odd, sf_dir):
         assert {k: sorted(v) for k, v in found.items()} == {k: sorted(v) for k, v in expected.items()}
 
 
-def check_pieces(df, got, sequences_over=0.05):
-    ids = all_ids(pairs(df))
-    expected = sorted((str(i), p, s, n, zlib.crc32(x[s : s + n].tobytes())) for i, x in ids for p, s, n in tokens.cuts(len(x)))
-    assert sorted((str(r["doc_id"]), r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == expected
-    by = collections.defaultdict(list)
-    for r in got:
-        by[r["sequence_id"]].append((r["offset"], r["length"]))
-    for members in by.values():
-        at = 0
-        for offset, length in sorted(members):
-            assert offset == at
-            at += length
-        assert at <= 1024
-    least = -(-sum(r["length"] for r in got) // 1024)
-    assert len(by) <= max(least + 2, least * (1 + sequences_over))
-
-
 def test_pieces(spark, odd, sf_dir):
     for df in (odd, documents(spark, sf_dir).repartition(13)):
         check_pieces(df, packing.pack_pieces(df, fan_in=3).collect(), 0.08)  # thirteen partitions of 15 documents each
@@ -160,25 +171,6 @@ def test_cuts():
 # ---- 3 -------------------------------------------------------------------------------------
 
 
-def water(sizes, share=1.5, most=2.0):
-    """The rule as it is told: shares by weight, what is over a cap goes to the others, again and again."""
-    names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + ([None] if None in sizes else [])
-    w = {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}
-    target = dict.fromkeys(names, 0.0)
-    rest, open_ = share * sum(sizes.values()), set(names)
-    while rest > 1e-9 and open_:
-        total = sum(w[s] for s in open_)
-        over = 0.0
-        for s in list(open_):
-            target[s] += rest * w[s] / total
-            if target[s] >= most * sizes[s]:
-                over += target[s] - most * sizes[s]
-                target[s] = most * sizes[s]
-                open_.discard(s)
-        rest = over
-    return target
-
-
 def test_mix(spark, odd, sf_dir):
     for df in (odd, documents(spark, sf_dir)):
         got = mixing.mix(df).collect()
@@ -214,36 +206,6 @@ def test_mix_nothing(nothing):
 # ---- 4 -------------------------------------------------------------------------------------
 
 
-def components_of(keys, linked):
-    parent = {k: k for k in keys}
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for a, b in linked:
-        a, b = find(a), find(b)
-        parent[max(a, b)] = min(a, b)
-    return {k: find(k) for k in keys}
-
-
-def kept_lines(rows, least=0.8):
-    rows = sorted({(2**63 - 1 if i is None else i, zlib.crc32((t or "").encode()), t or "") for i, t in rows})
-    all_ = [(i, tag, n, x) for i, tag, t in rows for n, x in enumerate(t.split("\n")) if x.strip()]
-    keys = list(dict.fromkeys(x for *_, x in all_))
-    sets = [{k[j : j + 8] for j in range(len(k) - 7)} for k in keys]
-    linked = [(a, b) for b in range(len(keys)) for a in range(b) if sets[a] and sets[b] and len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])]
-    comp = components_of(range(len(keys)), linked)
-    at = {k: i for i, k in enumerate(keys)}
-    stays = {}
-    for i, tag, n, x in all_:
-        c = comp[at[x]]
-        stays[c] = min(stays.get(c, (i, tag, n)), (i, tag, n))
-    gone = {(i, tag, n) for i, tag, n, x in all_ if stays[comp[at[x]]] != (i, tag, n)}
-    return {(i, t): "\n".join(x for n, x in enumerate(t.split("\n")) if (i, tag, n) not in gone) for i, tag, t in rows}
-
-
 def test_lines(spark, odd):
     base = "a line of some length that is here to be nearly copied, number "
     near = spark.createDataFrame([(i, f"{base}{i}\nown line {i * 7919} {'abcdefgh'[i % 8] * 9}\n" + base) for i in range(12)], "doc_id long, text string")
@@ -463,23 +425,6 @@ def test_toxicity_on_odd_rows(spark, odd, nothing):
 # ---- 9 -------------------------------------------------------------------------------------
 
 
-def near(rows, least=0.8):
-    """{(id, text): (smallest id of its component)} by brute force; null ids come last."""
-    rows = sorted({(2**63 - 1 if i is None else i, t or "") for i, t in rows})
-    bags = []
-    for _, t in rows:
-        w = WORD.findall(t)
-        bags.append(collections.Counter(tuple(w[j : j + 5]) for j in range(len(w) - 4)))
-    linked = []
-    for b in range(len(rows)):
-        for a in range(b):
-            low, high = sum((bags[a] & bags[b]).values()), sum((bags[a] | bags[b]).values())
-            if rows[a][1] == rows[b][1] or high and low >= least * high:
-                linked.append((a, b))
-    comp = components_of(range(len(rows)), linked)
-    return {r: rows[comp[i]][0] for i, r in enumerate(rows)}
-
-
 def test_near_duplicates(spark, odd, sf_dir, monkeypatch):
     for df in (odd, documents(spark, sf_dir)):
         expected = near(pairs(df))
@@ -487,7 +432,9 @@ def test_near_duplicates(spark, odd, sf_dir, monkeypatch):
         got = neardup.near_classes(df).collect()
         last = 2**63 - 1
         assert {(last if r["doc_id"] is None else r["doc_id"], r["digest"]): (last if r["component_id"] is None else r["component_id"]) for r in got} == by_digest
-        assert sum(r["rows"] for r in got) == df.count()
+        assert len(got) == df.count()
+        rows_kept = collections.Counter((r["doc_id"], r["digest"]) for r in got if r["kept"])
+        assert set(rows_kept.values()) == {1}
         kept = neardup.keep_one(df)
         assert kept.columns == df.columns
         assert kept.count() >= len(set(expected.values()))
@@ -504,8 +451,35 @@ def test_blocks_change_nothing(spark, monkeypatch):
     base = [f"w{i}" for i in range(120)]
     rows = [(i, " ".join(base[:i] + [f"x{i}"] + base[i:])) for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
+    for block, most in ((8, 10**9), (512, 2_000)):
+        monkeypatch.setattr(p, "BLOCK", block)
+        monkeypatch.setattr(p, "BYTES", most)
+        assert {r["component_id"] for r in neardup.near_classes(df).collect()} == {0}
+
+
+def test_large_groups_lose_no_link(spark, monkeypatch):
+    """One key with a large cluster, small ones, a chain and lone items, in blocks of eight."""
+    import pyarrow as pa
+
+    from evidora.llm import pairs as p
+
+    rng = np.random.default_rng(3)
+    value = [0] * 70 + [1] * 9 + [2, 2, 3] + [10 + i / 2 for i in range(30)] + [100 + 2 * i for i in range(25)]
+    rows = [("x" if i % 7 else "y", int(k), float(v)) for i, (k, v) in enumerate(zip(rng.permutation(len(value)), value))]
+
+    def compare(table: pa.Table, bounds):
+        ids, v, grp = (table.column(c).to_numpy() for c in ("id", "value", "grp"))
+        near_ = (np.abs(v[:, None] - v[None, :]) <= 0.5) & (grp[:, None] == grp[None, :])
+        assert np.bincount(np.unique(grp, return_inverse=True)[1]).max() <= 64
+        a, b = np.nonzero(near_)
+        return p._towards(ids, a, b)
+
     monkeypatch.setattr(p, "BLOCK", 8)
-    assert {r["component_id"] for r in neardup.near_classes(df).collect()} == {0}
+    df = spark.createDataFrame(rows, "key string, id long, value double")
+    got = {r["node"]: r["root"] for r in graph.components(p.linked(df, "key", compare)).collect()}
+    links = [(a, b) for k, a, u in rows for l, b, v in rows if k == l and a < b and abs(u - v) <= 0.5]
+    expected = components_of([k for _, k, _ in rows], links)
+    assert got == {k: c for k, c in expected.items() if k != c}
 
 
 def test_weighted_jaccard_is_unbiased():

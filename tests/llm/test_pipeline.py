@@ -3,8 +3,8 @@
 import collections
 
 import pytest
+from brute import WORD, check_pieces, kept_lines, near, pairs, water
 from pyspark.sql import functions as F
-from test_ops import WORD, check_pieces, kept_lines, near, pairs, water
 
 import corpus_pipeline
 from evidora.llm import toxicity
