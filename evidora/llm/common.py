@@ -5,6 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,15 +17,23 @@ WORD = r"[^\x20\x09-\x0D]+"
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Tables cut so far, by the scratch() that they belong to; those of none go when Python exits.
+_tables: list[list[tuple[SparkSession, str]]] = [[]]
+
+
+@lru_cache(maxsize=1)
+def _own_dir() -> str:
+    return tempfile.mkdtemp(prefix="evidora-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder for cut lineage: the one that spark.checkpoint.dir names, or where
-    that is unset (tests, a single machine) a folder of our own."""
-    sc = spark.sparkContext
-    have = sc._jsc.sc().getCheckpointDir()
-    if have.isDefined():
-        return have.get()
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="evidora-"))
-    return sc._jsc.sc().getCheckpointDir().get()
+    """The shared folder for cut lineage: the one that spark.checkpoint.dir names. Where that is unset, a local
+    session (tests, a single machine) gets a folder of our own, and any other an error: its machines share no other folder."""
+    have = spark.sparkContext._jsc.sc().getCheckpointDir()
+    named = have.get() if have.isDefined() else spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return named or _own_dir()
 
 
 def built(df: DataFrame) -> DataFrame:
@@ -49,18 +60,36 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def cut(df: DataFrame, name: str, **options: str) -> DataFrame:
+@atexit.register
+def _remove_all() -> None:
+    for table in _tables.pop() if _tables else ():
+        _remove(*table)
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables that are cut within go at the end, but for those that cut() is told to keep: for a step whose result is written by then."""
+    _tables.append([])
+    try:
+        yield
+    finally:
+        for table in _tables.pop():
+            _remove(*table)
+
+
+def cut(df: DataFrame, name: str, keep: bool = False, **options: str) -> DataFrame:
     """Writes df to the shared folder and reads it again: later stages neither compute it
-    twice nor depend on an executor that may be lost. The files go when Python exits. options: of the Parquet writer."""
+    twice nor depend on an executor that may be lost. The files go when Python exits, or at the end of a scratch() (keep: of the one
+    around it). options: of the Parquet writer."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEAN, None)
     spark.conf.set(_CLEAN, "true")  # this job's shuffle files are of no use once it has ended
+    _tables[-2 if keep and len(_tables) > 1 else -1].append((spark, path))
     try:
         df.write.options(**options).parquet(path)
     finally:
         spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
-    atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -77,19 +77,20 @@ def likeness(a: Column, b: Column) -> Column:
 def fingerprints(texts: DataFrame, lex: DataFrame, small: bool) -> DataFrame:
     """texts: keys (k, h), and the columns of texts to fingerprint, `text` and `edited`. Where
     texts are already dealt by the keys, the terms stay where they are: the lexicon comes to
-    them, and the sets of terms are gathered without a shuffle."""
+    them, and the sets of terms are gathered without a shuffle. Of a text's terms those in the lexicon go on, and the first one
+    whether or not it is, so that a text with none keeps its row."""
     def tagged(column: str, kind: int) -> Column:
-        return F.transform(F.concat(terms(F.col(column)), F.array(F.lit(0).cast("long"))), lambda t: F.struct(t.alias("term"), F.lit(kind).alias("kind")))
+        return F.transform(terms(F.col(column)), lambda t: F.struct(t.alias("term"), F.lit(kind).alias("kind")))
 
-    keep = ["k", "h", "next_k", "next_h", "n_chars", "edited_sha256", "whole", "edited_whole"]
+    keep = ["k", "h", "next_k", "next_h", "n_chars", "n_rows", "edited_sha256", "whole", "edited_whole"]
     rows = texts.withColumn("whole", F.xxhash64("text")).withColumn("edited_whole", F.xxhash64("edited"))
-    rows = rows.select(*keep, F.explode_outer(F.concat(tagged("text", 0), tagged("edited", 1))).alias("t")).select(*keep, "t.term", "t.kind")
-    lex = lex.unionByName(lex.sparkSession.createDataFrame([(0, 0)], "term long, mask long"))
-    found = rows.join(F.broadcast(lex) if small else lex, "term")
-    of = lambda kind: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("term", "mask"))))
+    rows = rows.select(*keep, F.posexplode_outer(F.concat(tagged("text", 0), tagged("edited", 1))).alias("at", "t"))
+    rows = rows.select(*keep, F.coalesce("at", F.lit(0)).alias("at"), F.coalesce("t.term", F.xxhash64("h", "k")).alias("term"), "t.kind")  # no null is a join's hot key
+    found = rows.join(F.broadcast(lex) if small else lex, "term", "left").where("mask is not null or at = 0")
+    of = lambda kind: F.array_sort(F.collect_list(F.when(F.col("mask").isNotNull() & (F.col("kind") == kind), F.struct("term", "mask"))))
     sets = found.groupBy("k", "h").agg(*[F.first(c).alias(c) for c in keep[2:]], of(0).alias("a"), of(1).alias("b"))
     sets = fingerprint(fingerprint(sets, "a", "whole", "fingerprint"), "b", "edited_whole", "edited_fingerprint")
-    return sets.select("k", "h", "next_k", "next_h", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint")
+    return sets.select("k", "h", "next_k", "next_h", "n_chars", "n_rows", "edited_sha256", "fingerprint", "edited_fingerprint")
 
 
 def edited_fingerprints(docs: DataFrame, least: float = 0.001, most: float = 0.02, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -98,7 +99,7 @@ def edited_fingerprints(docs: DataFrame, least: float = 0.001, most: float = 0.0
     The edited text is the text without its last floor(n/2) code points, then the first as many (or
     all) of the next document's, in descending doc_id, after the last the first. A document alone
     is its own next. Null text is empty text. Null ids come last in that order. Rows of one id are
-    ordered by a hash of their texts; rows equal in id and text are one document here. An empty table
+    ordered by a hash of their texts; rows equal in id and text are one document in that order, and each gets its result. An empty table
     gives no rows. Other columns are ignored.
 
     Texts are shuffled once, by id (and half of them once more, to the document before), document
@@ -111,18 +112,19 @@ def edited_fingerprints(docs: DataFrame, least: float = 0.001, most: float = 0.0
     if ids.where("n_rows > 1").limit(1).count():  # else no row is repeated, and there is nothing to merge
         base = base.dropDuplicates(["k", "h"])
     after = ids.select(F.col("rn").alias("next_rn"), F.col("k").alias("next_k"), F.col("h").alias("next_h"))
-    order = ids.withColumn("next_rn", F.pmod(F.col("rn") - 1, F.lit(max(n, 1)))).join(after, "next_rn").select("k", "h", "n_chars", "next_k", "next_h")
+    order = ids.withColumn("next_rn", F.pmod(F.col("rn") - 1, F.lit(max(n, 1)))).join(after, "next_rn").select("k", "h", "n_chars", "n_rows", "next_k", "next_h")
     order = cut(order, "order")
-    to = order.select(F.col("k").alias("to_k"), F.col("h").alias("to_h"), F.col("next_k").alias("k"), F.col("next_h").alias("h"), F.floor(F.col("n_chars") / 2).cast("int").alias("half"), "n_chars")
-    given = base.join(to, ["k", "h"]).select(F.col("to_k").alias("_k"), F.col("to_h").alias("_h"), "half", "n_chars", F.col("k").alias("next_k"), F.col("h").alias("next_h"), F.expr("substring(text, 1, half)").alias("given"))
+    to = order.select(F.col("k").alias("to_k"), F.col("h").alias("to_h"), F.col("next_k").alias("k"), F.col("next_h").alias("h"), F.floor(F.col("n_chars") / 2).cast("int").alias("half"), "n_chars", "n_rows")
+    given = base.join(to, ["k", "h"]).select(F.col("to_k").alias("_k"), F.col("to_h").alias("_h"), "half", "n_chars", "n_rows", F.col("k").alias("next_k"), F.col("h").alias("next_h"), F.expr("substring(text, 1, half)").alias("given"))
     own = base.join(given, (base["k"] == given["_k"]) & (base["h"] == given["_h"]))
     edited = F.concat(F.expr("substring(text, 1, cast(n_chars as int) - half)"), F.col("given"))
-    texts = own.select("k", "h", "text", "next_k", "next_h", F.col("n_chars").cast("long").alias("n_chars"), edited.alias("edited"))
+    texts = own.select("k", "h", "text", "next_k", "next_h", "n_rows", F.col("n_chars").cast("long").alias("n_chars"), edited.alias("edited"))
     texts = texts.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
     lex = cut(lexicon(base.select("text"), n, least, most), "lexicon")
     marks = cut(fingerprints(texts, lex, lex.count() <= BROADCAST_TERMS), "fingerprints")
     nexts = marks.select(F.col("k").alias("next_k"), F.col("h").alias("next_h"), F.col("fingerprint").alias("_next"))
     out = marks.join(nexts, ["next_k", "next_h"]).withColumn("doc_id", F.nullif(F.col("k"), no_id))
+    out = out.withColumn("row", F.explode(F.expr("sequence(1L, n_rows)")))
     return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("_next")).alias("near_next"))
 
 

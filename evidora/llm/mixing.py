@@ -74,11 +74,18 @@ def mixed_documents(docs: DataFrame, seed: int = 11, id_col: str = "doc_id", tex
     first words where the cut falls in it (up to the end of the last word taken). Documents
     without words are taken once as they are: the mix counts words, and they have none. The
     columns are those of docs."""
-    i_, size_, taken_, rows_, words_ = free(docs, "_id", "_size", "_taken", "_rows", "_words")
-    plan = mix(docs, seed, id_col, text_col, source_col).groupBy(F.col("doc_id").alias(i_), F.col("size").alias(size_)).agg(F.sum("taken").alias(taken_), F.count("*").alias(rows_))
+    i_, size_, taken_, words_, nr_ = free(docs, "_id", "_size", "_taken", "_words", "_nr")
+    plan = mix(docs, seed, id_col, text_col, source_col).select(F.col("doc_id").alias(i_), F.col("size").alias(size_), F.col("taken").alias(taken_))
+    plan = cut(plan, "plan")
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.join(plan, F.col(id_col).eqNullSafe(F.col(i_)) & (size == F.col(size_)))
-    share = F.floor(F.col(taken_) / F.col(rows_))
+    same = F.col(id_col).eqNullSafe(F.col(i_)) & (size == F.col(size_))
+    rows = docs
+    if plan.groupBy(i_, size_).count().where("count > 1").limit(1).count():  # rows alike in id and size are dealt the plan's rows one by one
+        plan = plan.withColumn(nr_, F.row_number().over(Window.partitionBy(i_, size_).orderBy(taken_)))
+        rows = docs.withColumn(nr_, F.row_number().over(Window.partitionBy(id_col, size).orderBy(F.xxhash64(text_col))))
+        same = same & (rows[nr_] == plan[nr_])
+    rows = rows.join(plan, same)
+    share = F.col(taken_)
     full = F.when(F.col(size_) > 0, F.floor(share / F.col(size_))).otherwise(F.lit(1))
     part = F.when(F.col(size_) > 0, share % F.col(size_)).otherwise(F.lit(0))
     copies = F.concat(F.array_repeat(F.lit(-1).cast("long"), full.cast("int")), F.when(part > 0, F.array(part.cast("long"))).otherwise(F.array().cast("array<long>")))

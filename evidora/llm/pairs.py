@@ -93,8 +93,9 @@ def linked(rows: DataFrame, key: str, compare: Callable[[pa.Table, np.ndarray],
     members = cut(members, "members")
     most = members.groupBy(key, "_label").agg(F.count("*").alias("_m")).groupBy(key).agg(F.max(F.struct("_m", "_label")).alias("_most"))
     rest = cut(members.join(most, key).where(F.col("_label") != F.col("_most._label")).select(key, "id", "_n", "_blocks"), "rest")
+    if not rest.limit(1).count():
+        return cut(edges.unionByName(first).distinct(), "linked")
     chunks = rest.groupBy(key).agg(F.ceil(F.count("*") / (F.first("_n") / F.first("_blocks"))).alias("_chunks"))
-    chunks = cut(chunks, "chunks")
     lone = rest.select(F.col(key).alias("_key"), F.col("id").alias("_id"))
     every = large.join(chunks, key).join(lone, (F.col(key) == F.col("_key")) & (F.col("id") == F.col("_id")), "left")
     every = every.withColumn("_chunk", F.when(F.col("_id").isNotNull(), F.pmod(F.xxhash64("id", F.lit(2)), F.col("_chunks"))).otherwise(F.lit(-1)))

@@ -188,15 +188,22 @@ def test_mix(spark, odd, sf_dir):
 
 
 def test_mixed_documents(spark, odd):
-    plan = {(r["doc_id"], r["size"]): r["taken"] for r in mixing.mix(odd).where("doc_id <> 11").collect()}
-    out = mixing.mixed_documents(odd)
-    assert out.columns == odd.columns
-    words = collections.Counter()
-    texts = dict(pairs(odd.where("doc_id not in (10, 11)")))
-    for i, t in pairs(out.where("doc_id not in (10, 11)")):
-        words[i] += len(WORD.findall(t or ""))
-        assert (texts[i] or "").startswith(t or "")
-    assert all(words[i] == taken for (i, _), taken in plan.items() if i not in (None, 10))
+    """Every word that the plan takes is written: by id, and over all rows, alike or not."""
+    alike = odd.unionByName(odd.where("doc_id in (1, 3, 10, 16)")).unionByName(odd.where("doc_id = 8").withColumn("text", F.reverse("text")))
+    for df in (odd, alike):
+        plan = collections.Counter()
+        for r in mixing.mix(df).collect():
+            plan[r["doc_id"]] += r["taken"]
+        out = mixing.mixed_documents(df)
+        assert out.columns == df.columns
+        words = collections.Counter()
+        texts = collections.defaultdict(list)
+        for i, t in pairs(df):
+            texts[i].append(t or "")
+        for i, t in pairs(out):
+            words[i] += len(WORD.findall(t or ""))
+            assert any(x.startswith(t or "") for x in texts[i])
+        assert {i: n for i, n in words.items() if n} == {i: n for i, n in plan.items() if n}
 
 
 def test_mix_nothing(nothing):
@@ -517,7 +524,42 @@ def test_fingerprints(spark, odd, sf_dir):
             assert abs(r["near_next"] - expected) < 1e-12 and 0 <= r["near_edited"] <= 1
 
 
+def terms_and_subsets(spark, texts):
+    """Of each text its terms, by regular expression; of each term its hash and the subsets that it is in."""
+    import regex
+
+    term_sets = {t: sorted(set(regex.findall(r"[\p{L}\p{N}]+", t.lower()))) for t in texts}
+    names = sorted({x for s in term_sets.values() for x in s})
+    hashes = spark.createDataFrame([(x,) for x in names], "t string").withColumn("h", F.xxhash64("t"))
+    seeds = [F.pmod(F.xxhash64("h", F.lit(i)), F.lit(r)) == 0 for i, r in enumerate(fingerprints.RATES)]
+    rows = hashes.select("t", "h", F.array(*seeds).alias("m")).collect()
+    return term_sets, {r["t"]: (r["h"], r["m"]) for r in rows}
+
+
+def test_fingerprints_by_brute_force(spark, sf_dir, monkeypatch):
+    """Lexicon, subsets and both fingerprints, on either side of the lexicon's size limit."""
+    df = documents(spark, sf_dir)
+    rows = sorted(((i, t or "") for i, t in pairs(df)), reverse=True)
+    edits = {i: t[: len(t) - len(t) // 2] + rows[(at + 1) % len(rows)][1][: len(t) // 2] for at, (i, t) in enumerate(rows)}
+    sets, known = terms_and_subsets(spark, [t for _, t in rows] + list(edits.values()))
+    counts = collections.Counter(x for _, t in rows for x in sets[t])
+    lexicon = {x for x, n in counts.items() if max(2, 0.001 * len(rows)) <= n <= max(2, 0.02 * len(rows))}
+    lists = {t: [sorted(known[x][0] for x in s if x in lexicon and known[x][1][i]) for i in range(len(fingerprints.RATES))] for t, s in sets.items()}
+    flat = [(t, i, v) for t, some in lists.items() for i, v in enumerate(some) if v]
+    hashed = spark.createDataFrame(flat, "t string, i int, v array<long>").select("t", "i", F.substring(F.lpad(F.lower(F.hex(F.xxhash64("v"))), 16, "0"), 1, 10).alias("x")).collect()
+    part = {(r["t"], r["i"]): r["x"] for r in hashed}
+    whole = {r["t"]: r["x"] for r in spark.createDataFrame([(t,) for t in sets], "t string").select("t", F.lower(F.hex(F.xxhash64("t"))).alias("x")).collect()}
+    expected = {t: ".".join(part.get((t, i), "-") for i in range(len(fingerprints.RATES))) if any(lists[t]) else "#" + whole[t].rjust(16, "0") for t in sets}
+    for most in (1_000_000, 0):
+        monkeypatch.setattr(fingerprints, "BROADCAST_TERMS", most)
+        got = fingerprints.edited_fingerprints(df).collect()
+        assert len(got) == len(rows)
+        texts = dict(rows)
+        for r in got:
+            assert (r["fingerprint"], r["edited_fingerprint"]) == (expected[texts[r["doc_id"]]], expected[edits[r["doc_id"]]])
+
+
 def test_fingerprints_of_odd_rows(odd, nothing):
     got = fingerprints.edited_fingerprints(odd).collect()
-    assert len(got) == odd.select("doc_id", F.coalesce("text", F.lit(""))).distinct().count()
+    assert sorted(str(r["doc_id"]) for r in got) == sorted(str(i) for i, _ in pairs(odd))
     assert fingerprints.edited_fingerprints(nothing).count() == 0
