@@ -1,4 +1,8 @@
-"""The corpus pipeline: toxicity, line dedup, near-dedup, mixing, packing, each over all that the last one kept."""
+"""The corpus pipeline: toxicity, line dedup, near-dedup, mixing, packing, each over all that the last one kept.
+
+Null and empty texts pass every stage but near-dedup, which keeps one of all equal texts (null counts as empty). Rows without an id
+come last where ids decide. Of rows equal in id and text near-dedup keeps one. Further columns pass through, whatever their
+names, up to packing, which returns pieces. An empty table gives no rows."""
 
 from __future__ import annotations
 
@@ -6,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidora.llm import lines, mixing, neardup, packing, toxicity
-from evidora.llm.common import cut
+from evidora.llm.common import cut, scratch
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,5 +57,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), name)
+        with scratch():
+            docs = cut(stage(spark, docs, sf_dir), name, keep=True)
     return STAGES[-1][1](spark, docs, sf_dir)
