@@ -1,15 +1,18 @@
 """Toxicity: a support vector machine with a gap-weighted subsequence string kernel and Nyström landmarks.
 
-Strings are compared by their subsequences of three characters that lie within five (word ends
+Strings are compared by their subsequences of three characters, of any script, that lie within five (word ends
 count as characters): phi(s) has, for each triple, the sum of DECAY ** gaps over its
 occurrences, and k(s, t) = <phi(s), phi(t)> / (|phi(s)| |phi(t)|). So `id*iot`, `iddiot` and `idi.ot`
 stay close to `idiot`. A sentence is a bag of strings (its words, and its runs of single
-characters joined, for `i d i o t`); its witness is the one with the largest decision value, and a document
-is as toxic as its worst sentence. Learning is by multiple instances: only documents are labelled, so the sentences
-of toxic documents count as toxic only where they hold a string that toxic documents have and clean
-ones don't; clean sentences give the strings that come closest, again after each round.
+characters joined, for `i d i o t`); its witness is the one with the largest decision value, which is the sentence's, and a document
+is as toxic as its worst sentence.
 
-phi is explicit, so a trained machine is one number for each triple: the landmarks, the whitening
+Learning is by multiple instances (MI-SVM). Sentences start with the label of their document. The machine of the first
+round, trained on what that says of each string, picks a witness in each sentence of the toxic documents; a witness is believed if
+chance doesn't explain it: many toxic documents have it, clean ones don't. Sentences with such a witness are the toxic ones of the next round;
+the clean ones are those of clean documents, by their own witnesses, the nearest of all. The next machine picks anew.
+
+phi is explicit (triples are hashed to 20 bits), so a trained machine is one number for each triple: the landmarks, the whitening
 K^(-1/2) and the weights fold into one vector, and scoring a string costs some fifty look-ups."""
 
 from __future__ import annotations
@@ -17,8 +20,6 @@ from __future__ import annotations
 import math
 import pickle
 import re
-import zlib
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -28,25 +29,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidora.llm.common import free
-from evidora.llm.hashing import U, mix
+from evidora.llm.hashing import U, mix, string_hashes
+from evidora.llm.pairs import spread
 
 DECAY = 0.75
 _GAPS = [(a, b) for a in range(1, 4) for b in range(a + 1, 5)]
-_START, _END = 62, 63
-#: So many strings may be taken for insults by chance.
-CHANCE = 0.01
-#: So many insults at most are landmarks.
-MOST_MARKS = 600
+_START, _END = 2, 3
+_BITS = 20
+#: phi of a triple with so many gaps.
+_BY_GAPS = np.array([DECAY**g for g in range(4)])
+#: So many strings may be taken for insults by chance; and of the documents with an insult, this share is toxic.
+CHANCE, PURE = 0.01, 0.9
 #: A longer string is scored by its windows of so many characters, each overlapping the last by half.
 LONGEST = 24
 _SINGLES = re.compile(r"(?<!\S)(?:\w[\s.\-_*]+){3,}\w(?!\S)")
-_SENTENCES = re.compile(r"[.!?\n]+")
+_SENTENCES = re.compile(r"[.!?]+\s|\n")
 _STRIP = ".,;:!?\"'()[]{}|<>«»¿¡-_*"
-_SYMBOL = {c: i + 1 for i, c in enumerate("abcdefghijklmnopqrstuvwxyz0123456789")}
-
-
-def _symbol(c: str) -> int:
-    return _SYMBOL.get(c) or 37 + ord(c) % 25
 
 
 def strings(text: str) -> set[str]:
@@ -58,24 +56,37 @@ def strings(text: str) -> set[str]:
     return found
 
 
+def _codes(texts: list[str]) -> np.ndarray:
+    """A row for each string with its triples, sorted: 20 bits that name the triple, then two for its gaps; -1 where there are no more."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    width = int(sizes.max(initial=0)) + 2
+    s = np.zeros((len(texts), width + 4), U)
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+    row = np.repeat(np.arange(len(texts)), sizes)
+    s[row, np.arange(len(points)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1] = points
+    s[:, 0] = _START
+    s[np.arange(len(texts)), sizes + 1] = _END
+    with np.errstate(over="ignore"):
+        one, two, three = (mix(s * U(2) + U(i)) for i in (0x100000001, 0x200000001, 0x300000001))
+        parts = []
+        for a, b in _GAPS:
+            code = ((one[:, :width] + two[:, a : a + width] + three[:, b : b + width]) >> U(64 - _BITS)).astype(np.int32) * 4 + (b - 2)
+            code[s[:, b : b + width] == 0] = -1
+            parts.append(code)
+    out = np.concatenate(parts, axis=1)
+    out.sort(axis=1)
+    return out
+
+
 def _triples(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, triple, phi) of the strings, one row per string."""
-    width = max(map(len, texts), default=0) + 2
-    s = np.zeros((len(texts), width + 4), np.int64)
-    for i, t in enumerate(texts):
-        s[i, : len(t) + 2] = [_START, *map(_symbol, t), _END]
-    codes, weights, rows = [], [], []
-    for a, b in _GAPS:
-        row, at = np.nonzero(s[:, b : b + width] > 0)
-        codes.append(s[row, at] * 4096 + s[row, at + a] * 64 + s[row, at + b])
-        weights.append(np.full(len(row), DECAY ** (b - 2)))
-        rows.append(row)
-    key = np.concatenate(rows) * 262144 + np.concatenate(codes)
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
-    phi = np.add.reduceat(np.concatenate(weights)[order], head) if len(head) else np.empty(0)
-    return key[head] // 262144, key[head] % 262144, phi
+    packed = _codes(texts)
+    some = packed >= 0
+    row, code = np.nonzero(some)[0], packed[some]
+    phi, code = _BY_GAPS[code & 3], code >> 2
+    head = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (row[1:] != row[:-1])])) if len(code) else np.empty(0, np.int64)
+    phi = np.add.reduceat(phi, head) if len(head) else phi
+    return row[head], code[head].astype(np.int64), phi
 
 
 def _windows(raw: str) -> list[str]:
@@ -89,25 +100,58 @@ class Machine:
     def __init__(self, triples: np.ndarray, weights: np.ndarray, bias: float, slope: float, shift: float):
         self.triples, self.weights, self.bias, self.slope, self.shift = triples, weights, bias, slope, shift
 
-    def decide(self, raw: list[str], some: int = 20_000) -> np.ndarray:
-        """The decision values of strings, `some` at once."""
-        dense = np.zeros(262144)
+    def decide(self, raw: list[str], some: int = 5_000) -> np.ndarray:
+        """The decision values of strings, `some` of similar length at once."""
+        dense = np.zeros(1 << _BITS)
         dense[self.triples] = self.weights
         out = np.full(len(raw), -np.inf)
-        for i in range(0, len(raw), some):
-            parts = [_windows(t) for t in raw[i : i + some]]
-            owner = np.repeat(np.arange(i, i + len(parts)), [len(p) for p in parts])
-            flat = [t for p in parts for t in p]
-            row, code, phi = _triples(flat)
-            norm = np.sqrt(np.bincount(row, phi * phi, minlength=len(flat)))
-            np.maximum.at(out, owner, np.bincount(row, phi * dense[code], minlength=len(flat)) / np.maximum(norm, 1e-12))
+        parts = [_windows(t) for t in raw]
+        owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+        flat = [t for p in parts for t in p]
+        order = np.argsort([len(t) for t in flat], kind="stable")
+        for i in range(0, len(flat), some):
+            at = order[i : i + some]
+            row, code, phi = _triples([flat[j] for j in at])
+            norm = np.sqrt(np.bincount(row, phi * phi, minlength=len(at)))
+            np.maximum.at(out, owner[at], np.bincount(row, phi * dense[code], minlength=len(at)) / np.maximum(norm, 1e-12))
         return out + self.bias
 
     def score(self, decision: float) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.slope * decision + self.shift, -50, 50))))
 
 
-def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, epochs: int = 30, seed: int = 3) -> np.ndarray:
+class Nystroem:
+    """The kernel on landmarks: embed() gives strings coordinates whose inner products are k as far as the landmarks tell."""
+
+    def __init__(self, marks: list[str]):
+        row, code, phi = _triples([_windows(t)[0] for t in marks])
+        self.names, column = np.unique(code, return_inverse=True)
+        self.base = np.zeros((len(marks), len(self.names)))
+        self.base[row, column] = phi
+        self.base /= np.linalg.norm(self.base, axis=1, keepdims=True)
+        values, vectors = np.linalg.eigh(self.base @ self.base.T)
+        keep = values > 1e-6 * values.max()
+        self.white = vectors[:, keep] / np.sqrt(values[keep])
+
+    def embed(self, some: list[str]) -> np.ndarray:
+        parts = [np.empty((0, self.white.shape[1]))]
+        for i in range(0, len(some), 1000):
+            row, code, phi = _triples([_windows(t)[0] for t in some[i : i + 1000]])
+            n = len(some[i : i + 1000])
+            norm = np.sqrt(np.bincount(row, phi * phi, minlength=n))
+            at = np.minimum(np.searchsorted(self.names, code), len(self.names) - 1)
+            ok = self.names[at] == code
+            x = np.zeros((n, len(self.names)))
+            x[row[ok], at[ok]] = phi[ok]
+            parts.append(x @ self.base.T @ self.white / np.maximum(norm, 1e-12)[:, None])
+        return np.concatenate(parts)
+
+    def folded(self, weights: np.ndarray, bias: float) -> Machine:
+        """The machine that decides by weights in these coordinates."""
+        return Machine(self.names, self.base.T @ (self.white @ weights), bias, 1.0, 0.0)
+
+
+def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, epochs: int = 20, seed: int = 3) -> np.ndarray:
     """Weights of a linear machine with hinge loss (the last column of x is 1), by dual coordinate descent."""
     rng = np.random.default_rng(seed)
     w, alpha = np.zeros(x.shape[1]), np.zeros(len(x))
@@ -141,28 +185,29 @@ def _variants(word: str, rng: np.random.Generator) -> list[str]:
     return [word[:i] + "*.-_x"[int(rng.integers(5))] + word[i:], word[:i] + word[i - 1] + word[i:]]
 
 
-def _copies(bags: list[np.ndarray], hashes: np.ndarray, rare: np.ndarray) -> list[int]:
-    """A group for each bag: near copies, that is bags that agree in one of six triples of minima over their
-    rare strings, share it."""
-    parent = list(range(len(bags)))
+#: Minima of a document's signature, in threes; at this share of equal ones, documents with a string in common count as copies.
+_MINIMA, _ALIKE = 54, 0.2
+
 
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
+def _minima(of: np.ndarray, string: np.ndarray, n: int, hashes: np.ndarray) -> np.ndarray:
+    """The MinHash signature of each of n bags, given as rows (bag, string) in order of bags; a bag without rows has its own number in each place."""
+    out = np.repeat(np.arange(n, dtype=U)[:, None], _MINIMA, axis=1)
+    heads = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.empty(0, np.int64)
+    if len(heads):
+        with np.errstate(over="ignore"):
+            for j in range(_MINIMA):
+                out[of[heads], j] = np.minimum.reduceat(mix(hashes + U(j * 0x9E3779B97F4A7C15 % 2**63))[string], heads)
+    return out
 
-    first: dict = {}
-    for i, bag in enumerate(bags):
-        h = hashes[bag[rare[bag]]]
-        if len(h):
-            with np.errstate(over="ignore"):
-                least = [int(mix(h + U(j * 0x9E3779B97F4A7C15 % 2**63)).min()) for j in range(18)]
-            for j in range(0, 18, 3):
-                k = first.setdefault((j, *least[j : j + 3]), i)
-                a, b = find(k), find(i)
-                parent[max(a, b)] = min(a, b)
-    return [find(i) for i in range(len(bags))]
+
+def _copies(signatures: np.ndarray) -> np.ndarray:
+    """A group for each signature: near copies, that is those that agree in one of their threes of minima, share it."""
+    one, two = [], []
+    for j in range(0, _MINIMA, 3):
+        _, first, inverse = np.unique(signatures[:, j : j + 3], axis=0, return_index=True, return_inverse=True)
+        one.append(np.arange(len(signatures)))
+        two.append(first[inverse.ravel()])
+    return spread(len(signatures), np.concatenate(one), np.concatenate(two)) if len(signatures) else np.empty(0, np.int64)
 
 
 def _by_chance(hot: int, cold: int, share: float) -> float:
@@ -172,94 +217,135 @@ def _by_chance(hot: int, cold: int, share: float) -> float:
     return min(1.0, sum(math.exp(choose(j) + j * math.log(share) + (n - j) * math.log1p(-share)) for j in range(hot, n + 1)))
 
 
-def _insults(hot: dict[int, set], cold: np.ndarray, df: np.ndarray, names: list[str], share: float) -> set[str]:
-    """The strings that toxic documents have and clean ones, but for one in ten, don't: in four groups or more and so many that among all
-    strings not even CHANCE would be found if labels were dealt at random. If there are none, the best of those that would be alone."""
-    found = [(t, len(g), _by_chance(len(g), int(cold[t]), share)) for t, g in hot.items() if len(g) >= 2 and len(names[t]) >= 3 and len(g) >= 9 * cold[t]]
-    tried = max(1, int((df >= 4).sum()))
-    sure = {names[t] for t, n, p in found if n >= 4 and p * tried <= CHANCE}
-    return sure or {names[t] for t, _, p in sorted(found, key=lambda x: (x[2], names[x[0]]))[:100] if p <= CHANCE}
-
+class Bags:
+    """Labelled documents as sentences, and those as bags of strings: by string, in how many groups of near copies of toxic
+    documents (a word in the copies of one says nothing more) and in how many clean documents it is."""
 
-def train(texts: list[str], toxic: list[int], landmarks: int = 160, seed: int = 9) -> Machine:
-    """A machine from labelled documents. Without both labels it gives every text a score under 0.5."""
+    def __init__(self, texts: list[str], y: np.ndarray):
+        known: dict[str, int] = {}
+        ids: dict[str, int] = {}  # of strings as they stand; -1: nothing but signs
+        flat, sizes, docs = [], [], []
+        for n, text in enumerate(texts):
+            text = text.lower()
+            spelt = _SINGLES.search(text)
+            for sentence in _SENTENCES.split(text):
+                found = set()
+                for t in strings(sentence) if spelt else sentence.split():
+                    i = ids.get(t)
+                    if i is None:
+                        u = t.strip(_STRIP)
+                        i = ids[t] = known.setdefault(u, len(known)) if u else -1
+                    found.add(i)
+                found.discard(-1)
+                if found:
+                    flat.append(np.fromiter(found, np.int32, len(found)))
+                    sizes.append(len(found))
+                    docs.append(n)
+        self.names = list(known)
+        self.flat = np.concatenate(flat) if flat else np.empty(0, np.int32)
+        self.starts = np.cumsum([0, *sizes])[:-1]  # of the sentences
+        self.doc, self.y = np.array(docs, np.int64), y
+        del flat, known, ids
+        of = np.repeat(self.doc, sizes)
+        both = np.unique(of * len(self.names) + self.flat)
+        of, string = both // max(1, len(self.names)), both % max(1, len(self.names))
+        df = np.bincount(string, minlength=len(self.names))
+        self.tried = max(1, int((df >= 4).sum()))
+        rare = (df <= max(2, 0.02 * len(texts)))[string]
+        self.signatures = _minima(of[rare], string[rare], len(texts), string_hashes(self.names))
+        group = _copies(self.signatures)
+        at = np.flatnonzero(y[of] > 0)
+        self._string, self._toxic = (x[at][np.argsort(string[at], kind="stable")] for x in (string, of))
+        hot = np.unique(group[of[y[of] > 0]] * len(self.names) + string[y[of] > 0]) % max(1, len(self.names))
+        self.hot = np.bincount(hot, minlength=len(self.names))
+        self.cold = np.bincount(string[y[of] <= 0], minlength=len(self.names))
+        self.n_hot, self.n_cold = len(set(group[y > 0].tolist())), int((y <= 0).sum())
+
+    def first(self, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """What the labels of their sentences say of strings: the `most` of which they say most, with a sign."""
+        lean = np.where(self.hot >= 2, self.hot, 0) / self.n_hot - self.cold / self.n_cold
+        at = np.argsort(-np.abs(lean), kind="stable")[:most]
+        return at, lean[at]
+
+    def witnesses(self, value: np.ndarray, toxic: bool) -> np.ndarray:
+        """Of each sentence of toxic (or of clean) documents the string of the largest value, each string once."""
+        best = np.maximum.reduceat(value[self.flat], self.starts)
+        held = value[self.flat] == np.repeat(best, np.diff(np.append(self.starts, len(self.flat))))
+        of = np.repeat(self.y[self.doc] > 0, np.diff(np.append(self.starts, len(self.flat))))
+        return np.unique(self.flat[held & (of == toxic)])
+
+    def independent(self, t: int) -> int:
+        """In how many groups of toxic documents a string is, however loosely copies of each other are like: documents that also
+        share a part of their rare strings are one group."""
+        docs = self._toxic[slice(*np.searchsorted(self._string, [t, t + 1]))]
+        s = self.signatures[docs]
+        alike = [np.flatnonzero((s[i + 1 :] == s[i]).mean(axis=1) >= _ALIKE) + i + 1 for i in range(len(s))]
+        one = np.repeat(np.arange(len(s)), [len(x) for x in alike])
+        return len(set(spread(len(s), one, np.concatenate(alike)).tolist())) if len(one) else len(s)
+
+    def believed(self, found: np.ndarray) -> np.ndarray:
+        """Witnesses in four groups or more, of which PURE of the documents are toxic, in so many that among all
+        strings not even CHANCE would be found if labels were dealt at random. If there are none, the best hundred of those that would do alone."""
+        share = self.n_hot / (self.n_hot + self.n_cold)
+        some = [t for t in found.tolist() if self.hot[t] >= 2 and len(self.names[t]) >= 3 and (1 - PURE) * self.hot[t] >= PURE * self.cold[t]]
+        alone = {t: self.independent(t) for t in some if _by_chance(int(self.hot[t]), int(self.cold[t]), share) <= CHANCE}
+        odds = {t: _by_chance(n, int(self.cold[t]), share) for t, n in alone.items()}
+        some = [t for t in odds if alone[t] >= 2]
+        sure = [t for t in some if alone[t] >= 4 and odds[t] * self.tried <= CHANCE]
+        weak = sorted((t for t in some if odds[t] <= CHANCE), key=lambda t: (odds[t], self.names[t]))[:100]
+        return np.array(sure or weak, np.int64)
+
+
+def train(texts: list[str], toxic: list[int], marks: int = 600, hardest: int = 6000, rounds: int = 5, seed: int = 9) -> Machine:
+    """A machine from labelled documents. Landmarks: up to `marks` toxic witnesses, the most frequent, and a quarter as many clean ones; each round
+    trains on all toxic witnesses and on the `hardest` clean ones, chosen among all of them. Without both labels, or
+    without any witness that is believed, it gives every text a score under 0.5."""
     rng = np.random.default_rng(seed)
     seen = dict(sorted(zip(texts, toxic)))  # one of each text, the larger label last
     texts, y = list(seen), np.array([1 if v else -1 for v in seen.values()])
     none = Machine(np.empty(0, np.int64), np.empty(0), -1.0, 1.0, -1.0)
     if not len(y) or len(set(y.tolist())) < 2:
         return none
-    known: dict[str, int] = {}
-    bags = [np.fromiter({known.setdefault(u, len(known)) for t in strings(x) if (u := t.strip(_STRIP))}, np.int32) for x in texts]
-    names_ = list(known)
-    df = np.zeros(len(known), np.int64)
-    cold = np.zeros(len(known), np.int64)
-    for bag, label in zip(bags, y):
-        df[bag] += 1
-        cold[bag] += label < 0
-    hashes = np.array([zlib.crc32(t.encode()) for t in names_], U)
-    group = _copies(bags, hashes, df <= max(2, 0.02 * len(bags)))
-    hot: dict[int, set] = {}
-    for bag, label, g in zip(bags, y, group):
-        if label > 0:
-            for t in bag.tolist():
-                hot.setdefault(t, set()).add(g)
-    toxic_groups = len({g for g, label in zip(group, y) if label > 0})
-    # a word in the copies of one document says nothing: toxic documents count by groups
-    bad = _insults(hot, cold, df, names_, toxic_groups / (toxic_groups + int((y < 0).sum())))
-    if not bad:
+    bags = Bags(texts, y)
+    del seen, texts
+    names = bags.names
+    if not len(bags.flat):
         return none
-    del known, hot
-    positive: Counter = Counter()
-    for text, label in zip(texts, y):
-        if label > 0:
-            for sentence in _SENTENCES.split(text):
-                positive.update(u for t in strings(sentence) if (u := t.strip(_STRIP)) in bad)
-    good = sorted(names_[i] for i in np.flatnonzero(cold) if names_[i] not in positive)
-    words = sorted(positive, key=lambda t: (-positive[t], t))
-    chosen = words[: max(landmarks * 3 // 5, MOST_MARKS)]
-    hard = [good[i] for i in rng.choice(len(good), min(len(good), 3000), replace=False)]
-    machine = none
-    for _ in range(4):  # witnesses of clean sentences are chosen anew by the last machine
-        marks = chosen + hard[: max(landmarks - len(chosen), landmarks * 2 // 5)]
-        row, code, phi = _triples([_windows(t)[0] for t in marks])
-        names, column = np.unique(code, return_inverse=True)
-        base = np.zeros((len(marks), len(names)))
-        base[row, column] = phi
-        base /= np.linalg.norm(base, axis=1, keepdims=True)
-        values, vectors = np.linalg.eigh(base @ base.T)
-        keep = values > 1e-6 * values.max()
-        white = vectors[:, keep] / np.sqrt(values[keep])
-
-        def embed(strings_: list[str], names=names, base=base, white=white) -> np.ndarray:
-            parts = []
-            for i in range(0, len(strings_), 1000):
-                some = strings_[i : i + 1000]
-                row, code, phi = _triples([_windows(t)[0] for t in some])
-                norm = np.sqrt(np.bincount(row, phi * phi, minlength=len(some)))
-                at = np.minimum(np.searchsorted(names, code), len(names) - 1)
-                ok = names[at] == code
-                x = np.zeros((len(some), len(names)))
-                x[row[ok], at[ok]] = phi[ok]
-                parts.append(np.hstack([x @ base.T @ white / np.maximum(norm, 1e-12)[:, None], np.ones((len(some), 1))]))
-            return np.concatenate(parts)
-
-        more = [v for t in words for _ in range(3) for v in _variants(t, rng)]
-        x = embed(words + more + hard)
-        label = np.array([1.0] * (len(words) + len(more)) + [-1.0] * len(hard))
-        weight = np.where(label > 0, 0.5 / (label > 0).sum(), 0.5 / (label < 0).sum()) * len(label)
-        w = _svm(x, label, 20.0 * weight)
-        folded = base.T @ (white @ w[:-1])
-        machine = Machine(names, folded, float(w[-1]), 1.0, 0.0)
-        pool = [good[i] for i in rng.choice(len(good), min(len(good), 300_000), replace=False)]
-        order = np.argsort(-machine.decide(pool, 5_000), kind="stable")
-        nearest = [pool[i] for i in order[:3000]]
-        hard = list(dict.fromkeys([*nearest, *hard]))[:6000]
-    value = machine.decide(names_, 5_000)
-    top = np.array([value[b].max(initial=-2.0) for b in bags])
-    near = machine.decide(more)  # inserted characters count as toxic for the sigmoid, too
-    machine.slope, machine.shift = _logistic(np.concatenate([np.maximum(top, -2.0), near]), np.concatenate([y, np.ones(len(near))]))
-    return machine
+
+    def machine(x: list[str], label: np.ndarray, cost: np.ndarray, landmarks: list[str]) -> Machine:
+        kernel = Nystroem(landmarks)
+        w = _svm(np.hstack([kernel.embed(x), np.ones((len(x), 1))]), label, cost)
+        return kernel.folded(w[:-1], float(w[-1]))
+
+    at, lean = bags.first(2 * hardest)
+    label = np.where(lean > 0, 1.0, -1.0)
+    if not (label > 0).any() or not (label < 0).any():
+        return none
+    # costs up to 1: what says little can't reach the margin, and can't outdo what says much
+    now = machine([names[i] for i in at], label, np.abs(lean) / np.abs(lean).max(), [names[i] for i in (*at[label > 0][: marks // 2], *at[label < 0][: marks // 2])])
+    insults, more = np.empty(0, np.int64), []
+    for _ in range(rounds - 1):
+        value = now.decide(names)
+        insults = np.union1d(insults, bags.believed(bags.witnesses(value, True)))
+        if not len(insults):
+            return none
+        insults = insults[np.argsort(-bags.hot[insults], kind="stable")]
+        clean = np.setdiff1d(bags.witnesses(value, False), insults)
+        clean = clean[np.argsort(-value[clean], kind="stable")]
+        others = np.setdiff1d(np.flatnonzero(bags.cold), insults)  # and the strings that come nearest, though their sentences have nearer ones
+        others = others[np.argsort(-value[others], kind="stable")][: hardest // 2]
+        clean = list(dict.fromkeys([*others.tolist(), *clean.tolist()]))[:hardest]
+        bad = [names[i] for i in insults]
+        more = [v for t in bad for _ in range(3) for v in _variants(t, rng)]
+        x = [*bad, *more, *(names[i] for i in clean)]
+        label = np.where(np.arange(len(x)) < len(bad) + len(more), 1.0, -1.0)
+        now = machine(x, label, 10.0 * len(x) / np.where(label > 0, (label > 0).sum(), (label <= 0).sum()), bad[:marks] + [names[i] for i in clean[: max(marks // 4, 1)]])
+    value = now.decide(names)
+    top = np.full(len(y), -2.0)
+    np.maximum.at(top, bags.doc, np.maximum.reduceat(value[bags.flat], bags.starts))
+    near = now.decide(more)  # inserted characters count as toxic for the sigmoid, too
+    now.slope, now.shift = _logistic(np.concatenate([top, near]), np.concatenate([y, np.ones(len(near))]))
+    return now
 
 
 def _give_back() -> None:
@@ -309,7 +395,7 @@ def _scorer(machine: Machine, name: str, remember: int = 150_000):
                 if len(known) > remember:
                     known = {}
                 new = list(set().union(*bags).difference(known))
-                known.update(zip(new, machine.decide(new, 5_000).tolist()))
+                known.update(zip(new, machine.decide(new).tolist()))
                 scores = [machine.score(max(map(known.__getitem__, b))) if b else lowest for b in bags]
                 columns = [batch.column(i) for i in range(batch.num_columns - 1)] + [pa.array(scores, pa.float64())]
                 yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], name])

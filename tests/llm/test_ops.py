@@ -410,15 +410,78 @@ def test_weaker_insults_if_none_is_sure():
     assert min(score("grumpkin"), score("grum*pkin"), score("blatherskite")) >= 0.7 > score("plain3 words4 of5")
 
 
+def phi(text):
+    """Triples of characters within five, the ends counted, by the definition."""
+    t, out = "\x02" + text + "\x03", collections.Counter()
+    for i in range(len(t)):
+        for j in range(i + 1, len(t)):
+            for k in range(j + 1, min(len(t), i + 5)):
+                out[t[i] + t[j] + t[k]] += toxicity.DECAY ** (k - i - 2)
+    return out
+
+
+def kernel(a, b):
+    x, y = phi(a), phi(b)
+    dot = lambda u, v: sum(n * v[c] for c, n in u.items())
+    return dot(x, y) / (dot(x, x) * dot(y, y)) ** 0.5
+
+
+SOME = ["abcab", "a", "idiot", "id*iot", "iddiot", "дурак", "дурачок", "馬鹿", "aaaa", "é", "stone", "trees"]
+
+
 def test_kernel_is_the_definition():
-    row, code, phi = toxicity._triples(["abcab"])
-    s = [62, 1, 2, 3, 1, 2, 63]
-    expected = collections.Counter()
-    for i in range(len(s)):
-        for j in range(i + 1, len(s)):
-            for k in range(j + 1, min(len(s), i + 5)):
-                expected[s[i] * 4096 + s[j] * 64 + s[k]] += toxicity.DECAY ** (k - i - 2)
-    assert dict(zip(code.tolist(), phi.round(9).tolist())) == {c: round(v, 9) for c, v in expected.items()}
+    row, code, value = toxicity._triples(SOME)
+    for i, t in enumerate(SOME):
+        assert sorted(value[row == i].round(9)) == sorted(round(v, 9) for v in phi(t).values())
+    x = np.zeros((len(SOME), 1 << 20))
+    x[row, code] = value
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert np.allclose(x @ x.T, [[kernel(a, b) for b in SOME] for a in SOME])
+    assert kernel("дурак", "馬鹿") < 0.2 < 0.4 < kernel("idiot", "iddiot")
+
+
+def test_folded_weights_are_the_machine_on_the_landmarks():
+    rng = np.random.default_rng(4)
+    ny = toxicity.Nystroem(SOME[:8])
+    w, bias = rng.standard_normal(ny.white.shape[1]), 0.3
+    new = [*SOME, "idiots", "дура", "wholly new"]
+    k = np.array([[kernel(t, m) for m in SOME[:8]] for t in new])
+    assert np.allclose(k[:8] @ np.linalg.pinv(k[:8]) @ k[:8].T, ny.embed(SOME[:8]) @ ny.embed(SOME[:8]).T, atol=1e-6)
+    assert np.allclose(k @ ny.white @ w + bias, ny.folded(w, bias).decide(new))
+
+
+def test_witnesses_of_sentences():
+    """A sentence's witness is its string of the largest value; believed are those that toxic documents have in common."""
+    docs = [(f"plain{i} text{i}. of{i} words{i} here.", -1) for i in range(60)] + [(f"plain{i} text{i}. more{i} grumpkin here.", 1) for i in range(60, 72)]
+    bags = toxicity.Bags([t for t, _ in docs], np.array([y for _, y in docs]))
+    value = np.array([2.0 if n == "grumpkin" else 1.0 if n.startswith("text") else 0.0 if n == "here" else -1.0 for n in bags.names])
+    name = lambda at: {bags.names[i] for i in at}
+    assert name(bags.witnesses(value, True)) == {"grumpkin", *(f"text{i}" for i in range(60, 72))}
+    assert name(bags.believed(bags.witnesses(value, True))) == {"grumpkin"}
+    assert name(bags.witnesses(value, False)) == {"here", *(f"text{i}" for i in range(60))}
+
+
+def test_only_training_folds_teach(spark):
+    """Texts and labels of the held-out fold change nothing in the machine."""
+    data = labelled()
+    held = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    machines = []
+    for flip in (False, True):
+        docs = spark.createDataFrame([(i, t + " xyzzy" if flip and held(i) else t) for i, t, _ in data], "doc_id long, text string")
+        labels = spark.createDataFrame([(i, int(not y) if flip and held(i) else y) for i, _, y in data], "doc_id long, toxic int")
+        machines.append(toxicity.fit(docs, labels))
+    assert len(machines[0].triples) and machines[0].decide(SOME).tolist() == machines[1].decide(SOME).tolist()
+
+
+def test_held_out_documents(spark):
+    """Of the query itself: held-out toxic documents are rejected, clean ones are not."""
+    at = "/root/testdata/sf0.01"
+    rows = toxicity.query(spark, at).join(spark.read.parquet(f"{at}/labels.parquet"), "doc_id").collect()
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in rows)
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in rows)
+    held = [r for r in rows if r["held_out"]]
+    assert sum(r["predicted"] for r in held if r["toxic"]) >= 0.7 * sum(r["toxic"] for r in held) > 0  # 286 documents teach
+    assert sum(r["predicted"] for r in held if not r["toxic"]) == 0
 
 
 def test_toxicity_on_odd_rows(spark, odd, nothing):
