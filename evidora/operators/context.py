@@ -51,6 +51,17 @@ def render(ctx: DataFrame) -> DataFrame:
     return ctx.groupBy("query_id").agg(F.count("*").alias("n_sources"), F.array_join(F.transform(items, lambda x: F.concat(x["cite"], F.lit(" "), x["text"])), "\n").alias("context"))
 
 
+#: What a generator is asked, of a question and its rendered context.
+PROMPT = "Answer from the sources below and cite them as [S#]; say so if they don't tell.\n\nSources:\n%s\n\nQuestion: %s"
+
+
+def prompts(rendered: DataFrame, queries: DataFrame, template: str = PROMPT) -> DataFrame:
+    """query_id, prompt: the template with context and question; without a context, the sources are `none`."""
+    asked = queries.select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    out = asked.join(rendered.select("query_id", "context"), "query_id", "left")
+    return out.select("query_id", F.format_string(template, F.coalesce("context", F.lit("none")), F.coalesce("question", F.lit(""))).alias("prompt"))
+
+
 def similar_candidates(ctx: DataFrame, least: float = 0.5) -> DataFrame:
     """Pairs of one query's candidates (at most the pool's 50) whose token sets have a Jaccard similarity of `least`."""
     toks = ctx.select("query_id", "doc_id", F.array_distinct(tokens(F.col("text"))).alias("t"))

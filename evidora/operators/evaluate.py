@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidora.functions.text import tokens
-from evidora.operators.retrieve import small
 
 
 def passages(docs: DataFrame, queries: DataFrame) -> DataFrame:
@@ -22,10 +21,10 @@ def passages(docs: DataFrame, queries: DataFrame) -> DataFrame:
     toks = tokens(F.col("text"))
     inner = F.slice(toks, F.lit(2), F.greatest(F.size(toks) - 2, F.lit(0)))
     longest = F.array_max(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("t"))))["t"]
-    q = small(queries.select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"), longest.alias("key")))
+    q = queries.select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"), longest.alias("key"))
     d = docs.select("doc_id", "text")
-    keyed = d.select("doc_id", "text", F.explode(F.array_distinct(toks)).alias("key")).join(q.where("key is not null"), "key")
-    found = keyed.where(F.contains("text", "passage")).select("query_id", "doc_id")
+    met = d.select("doc_id", F.explode(F.array_distinct(toks)).alias("key")).join(q.where("key is not null").select("query_id", "key"), "key").select("query_id", "doc_id")
+    found = met.join(q.select("query_id", "passage"), "query_id").join(d, "doc_id").where(F.contains("text", "passage")).select("query_id", "doc_id")
     short = q.where("key is null")
     return found.unionByName(d.join(short, F.contains("text", "passage")).select("query_id", "doc_id"))
 

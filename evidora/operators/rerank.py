@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from typing import Protocol
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidora.functions.text import tokens
-from evidora.operators.retrieve import query_terms, small
+from evidora.operators.retrieve import inverse_frequencies, query_terms
 
 
 def with_year(df: DataFrame) -> DataFrame:
@@ -14,19 +17,41 @@ def with_year(df: DataFrame) -> DataFrame:
     return df.withColumn("year", (2000 + F.col("doc_id") % 25).cast("long"))
 
 
+class Reranker(Protocol):
+    """Scores (question, text) pairs; a cross-encoder plugs in here."""
+
+    def score(self, questions: list[str], texts: list[str]) -> list[float]: ...
+
+
+class LengthRatio:
+    """Deterministic stand-in: how near a text's length is to the question's, 0 to 1."""
+
+    def score(self, questions: list[str], texts: list[str]) -> list[float]:
+        sizes = [(len(q), len(t)) for q, t in zip(questions, texts)]
+        return [min(a, b) * 10**6 // max(a, b) / 10**6 if max(a, b) else 0.0 for a, b in sizes]
+
+
+def reranked(pool: DataFrame, docs: DataFrame, queries: DataFrame, reranker: Reranker) -> DataFrame:
+    """The pool with rel, the reranker's score, in Arrow batches; only the texts of pooled documents go to it."""
+    pairs = pool.join(docs.select("doc_id", "text"), "doc_id").join(queries.select(F.col("item_id").alias("query_id"), F.col("text").alias("question")), "query_id")
+
+    @F.pandas_udf("double")
+    def score(questions: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series(reranker.score(questions.fillna("").tolist(), texts.fillna("").tolist()), dtype="float64")
+
+    return pairs.withColumn("rel", score("question", "text")).drop("question", "text")
+
+
 def overlap(pool: DataFrame, docs: DataFrame, queries: DataFrame) -> DataFrame:
     """rel: the idf-weighted share of the query's terms that the document has. The stand-in for a
-    cross-encoder; a model would score (query, text) pairs of the pool in Arrow batches instead."""
-    terms = query_terms(queries)
-    n = docs.agg(F.count("*").cast("double").alias("n"))
-    wanted = small(terms.select("term").distinct())
-    has = docs.select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).join(wanted, "term")
-    df = has.groupBy("term").agg(F.count("*").alias("df"))
-    idf = small(df.crossJoin(F.broadcast(n)).select("term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")))
-    weights = terms.join(idf, "term").groupBy("query_id").agg(F.sum("idf").alias("w"))
-    hits = small(pool.select("query_id", "doc_id")).join(has, "doc_id").join(small(terms), ["query_id", "term"]).join(idf, "term").groupBy("query_id", "doc_id").agg(F.sum("idf").alias("h"))
-    out = pool.join(small(weights), "query_id").join(hits, ["query_id", "doc_id"], "left")
-    return out.withColumn("rel", F.round(F.coalesce("h", F.lit(0.0)) / F.col("w"), 6)).drop("h", "w")
+    cross-encoder that needs no Python (see Reranker). Only the texts of pooled documents are split into terms."""
+    idf = inverse_frequencies(docs, queries)
+    terms = query_terms(queries).select("query_id", F.xxhash64("term").alias("term")).join(idf, "term")
+    weights = terms.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "idf"))).alias("m"), F.sum("idf").alias("w"))
+    out = pool.join(docs.select("doc_id", "text"), "doc_id").join(weights, "query_id")
+    has = F.transform(tokens(F.col("text")), lambda x: F.xxhash64(x))
+    both = F.aggregate(F.array_intersect(F.map_keys("m"), has), F.lit(0.0), lambda a, x: a + F.element_at("m", x))
+    return out.withColumn("rel", F.round(F.coalesce(both, F.lit(0.0)) / F.col("w"), 6)).drop("m", "w", "text")
 
 
 def _rank(df: DataFrame, *order) -> DataFrame:

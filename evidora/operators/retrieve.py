@@ -9,25 +9,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidora.functions.text import tokens
 
-#: Rows up to which a side may be broadcast; larger sides are shuffled.
-SMALL_ROWS = 1_000_000
-
-
-def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has no more than `rows` rows: the size is checked, beyond it Spark shuffles."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
-def require_rows(df: DataFrame, what: str) -> DataFrame:
-    """Fails loudly on an empty leg or index: it would look like a lack of evidence."""
-    if not df.limit(1).count():
-        raise ValueError(f"{what} is empty")
-    return df
+def nonempty(df: DataFrame, what: str) -> DataFrame:
+    """df, which fails loudly when it is read and has no rows: an empty table or index would look like a lack of evidence. No job
+    runs before; the check reads one row."""
+    n = df.limit(1).agg(F.count("*").alias("n")).where(F.assert_true(F.col("n") > 0, f"{what} is empty").isNotNull())
+    return df.unionByName(n.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema.fields]))
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -50,24 +42,70 @@ def ranked(scored: DataFrame, k: int | None, *more) -> DataFrame:
     return out if k is None else out.where(F.col("rank") <= k)
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int | None = 10, k1: float = 1.5, b: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """query_id, doc_id, score, rank of the best k documents of each query.
+def inverse_frequencies(docs: DataFrame, queries: DataFrame, text_col: str = "text") -> DataFrame:
+    """term (a hash), idf, avgdl: of each term that a query has and a document too, and the documents' mean length. Terms are counted once a
+    document within each task before the shuffle."""
+    toks = docs.select(_hashed(F.col(text_col)).alias("t"))
+    stats = docs.agg(F.count("*").cast("double").alias("n"), F.avg(F.size(_hashed(F.coalesce(F.col(text_col), F.lit(""))))).alias("avgdl"))
+    wanted = queries.select(F.explode(_hashed(F.col("text"))).alias("term")).distinct()
+    df = toks.select(F.explode(F.array_distinct("t")).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    return df.crossJoin(F.broadcast(stats)).select("term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "avgdl")  # stats: one row
+
+
+def _hashed(text: Column) -> Column:
+    return F.transform(tokens(text), lambda x: F.xxhash64(x))
+
+
+def bm25(docs: DataFrame, queries: DataFrame, k: int | None = 10, k1: float = 1.5, b: float = 0.75, id_col: str = "doc_id", text_col: str = "text", block: int = 256) -> DataFrame:
+    """query_id, doc_id, score, rank of the best k documents of each query (none: of all that share a term with it).
+
+    Two passes over the texts: one counts document frequencies of the queries' terms, one scores. Blocks of documents
+    meet blocks of queries, the stated set, each pair in one product of term weights; a pair of blocks hands on its best k for each query only.
+    Terms are compared by 64-bit hashes."""
+    idf = inverse_frequencies(docs, queries, text_col)
+    terms = queries.select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(_hashed(F.col("text")))).alias("term")).join(idf, "term")
+    wanted = terms.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("term", "idf"))).alias("t"), F.first("avgdl").alias("avgdl"))
+    # a block of queries: one row, so that it meets a block of documents as a whole
+    dealt = wanted.groupBy(F.floor(F.col("query_id") / block).alias("q")).agg(F.sort_array(F.collect_list(F.struct("query_id", "t"))).alias("queries"), F.first("avgdl").alias("avgdl"))
+    toks = docs.select(F.col(id_col).cast("long").alias("id"), _hashed(F.col(text_col)).alias("t")).where("id is not null and t is not null")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, block):
+                some = batch.slice(i, block)
+                lists = some.column(1)
+                yield pa.RecordBatch.from_arrays([pa.array([some.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([lists.value_lengths().to_pylist()], pa.list_(pa.int32())), pa.array([lists.flatten().to_numpy().tobytes()], pa.binary())], names=["ids", "sizes", "terms"])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                ids, sizes = (row.column(c).flatten().to_numpy() for c in (0, 1))
+                flat = np.frombuffer(row.column(2)[0].as_py(), np.int64)
+                q = row.column(3).flatten()
+                q_ids, lists = q.field(0).to_numpy(), q.field(1)
+                owner = np.repeat(np.arange(len(q_ids)), lists.value_lengths().to_numpy(zero_copy_only=False))
+                vocabulary, first, place = np.unique(lists.flatten().field(0).to_numpy(), return_index=True, return_inverse=True)
+                idf_ = lists.flatten().field(1).to_numpy()[first]
+                has = np.zeros((len(q_ids), len(vocabulary)))
+                has[owner, place] = 1
+                at = np.minimum(np.searchsorted(vocabulary, flat), len(vocabulary) - 1)
+                known = np.flatnonzero(vocabulary[at] == flat)
+                doc = np.repeat(np.arange(len(ids)), sizes)
+                tf = np.bincount(doc[known] * len(vocabulary) + at[known], minlength=len(ids) * len(vocabulary)).reshape(len(ids), -1)
+                d, t = np.nonzero(tf)
+                n = tf[d, t]
+                weight = np.zeros(tf.shape)
+                weight[d, t] = idf_[t] * n * (k1 + 1) / (n + k1 * (1 - b + b * sizes[d] / row.column(4)[0].as_py()))
+                scores = np.round(has @ weight.T, 6)
+                by_id = np.argsort(ids, kind="stable")
+                best = by_id[np.argsort(-scores[:, by_id], axis=1, kind="stable")[:, :k]]
+                value = np.take_along_axis(scores, best, axis=1)
+                some, place = np.nonzero(value > 0)
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[some]), pa.array(ids[best[some, place]]), pa.array(value[some, place])], names=["query_id", "doc_id", "score"])
 
-    One pass over the texts: only tokens that some query has leave the scan, with the
-    document's length beside them; lengths are summed in a pass of their own."""
-    lengths = docs.select(F.size(tokens(F.coalesce(F.col(text_col), F.lit("")))).alias("dl"))
-    stats = lengths.agg(F.count("*").cast("double").alias("n"), F.avg("dl").alias("avgdl"))
-    terms = query_terms(queries)
-    wanted = small(terms.select("term").distinct())
-    toks = docs.select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("toks"))
-    toks = toks.select("doc_id", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
-    tf = toks.join(wanted, "term").groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = df.crossJoin(F.broadcast(stats)).select("term", "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    hits = tf.join(small(idf), "term").join(small(terms), "term")
-    scored = hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(weight), 6).alias("score"))
-    return ranked(scored, k)
+    pairs = toks.mapInArrow(pack, "ids array<long>, sizes array<int>, terms binary").crossJoin(dealt.select("queries", "avgdl"))
+    return ranked(pairs.mapInArrow(score, "query_id long, doc_id long, score double"), k)
 
 
 def _packed(df: DataFrame, id_col: str, vector_col: str, block: int) -> DataFrame:
@@ -110,12 +148,15 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_
 
 
 def union_legs(**legs: DataFrame) -> DataFrame:
-    """One relation (query_id, doc_id, leg, rank, score) of several legs; none may be empty."""
-    parts = [require_rows(df, f"leg {name}").select("query_id", "doc_id", F.lit(name).alias("leg"), "rank", "score") for name, df in legs.items()]
+    """One relation (query_id, doc_id, leg, rank, score) of several legs; what they read should be nonempty().
+
+    The legs are dealt out anew: Spark 4.1 takes a union of parts that are each partitioned by query for partitioned by query itself, and
+    in plans that use it twice pairs partitions that don't belong together, with wrong rows or an error."""
+    parts = [df.select("query_id", "doc_id", F.lit(name).alias("leg"), "rank", "score") for name, df in legs.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    return out.repartition("query_id", "doc_id")
 
 
 def fuse_rrf(legs: DataFrame, k: int = 60) -> DataFrame:
@@ -133,7 +174,7 @@ def fuse_weighted(legs: DataFrame, weights: dict[str, float]) -> DataFrame:
     return ranked(scaled.groupBy("query_id", "doc_id").agg(F.round(F.sum(weight * F.col("s")), 6).alias("score")), None)
 
 
-def fuse_simple(legs: DataFrame, order: tuple[str, ...] = ("vector", "bm25")) -> DataFrame:
+def fuse_simple(legs: DataFrame, order: tuple[str, ...] = ("vector", "bm25", "landmark")) -> DataFrame:
     """The best rank that any leg gives; ties go by the legs' order, then id."""
     place = F.coalesce(*[F.when(F.col("leg") == name, F.lit(i)) for i, name in enumerate(order)], F.lit(len(order)))
     best = legs.groupBy("query_id", "doc_id").agg(F.min(F.struct(F.col("rank").alias("r"), place.alias("p"))).alias("best"))

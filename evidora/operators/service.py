@@ -2,24 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def rates(calls: DataFrame) -> DataFrame:
-    """Per type: calls, share slower than 50, mean of a seventh of the latency."""
-    return calls.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg((F.col("value") > 50).cast("int")), 6).alias("slow_rate"), F.round(F.avg(F.col("value") / 7), 6).alias("mean"))
+def rates(calls: DataFrame, failed: Column, refused: Column, by: str) -> DataFrame:
+    """Per group: calls, share that succeeded, share of the successful ones that refused, mean of a seventh of the latency."""
+    ok = F.coalesce(~failed, F.lit(False))
+    return calls.groupBy(by).agg(F.count("*").alias("n"), F.round(F.avg(ok.cast("int")), 6).alias("success_rate"), F.round(F.avg(F.when(ok, F.coalesce(refused, F.lit(False)).cast("int"))), 6).alias("refusal_rate"), F.round(F.avg(F.col("value") / 7), 6).alias("mean"))
 
 
-def latencies(calls: DataFrame, exact: bool = True) -> DataFrame:
-    """p50 and p95 of each type: exact percentiles, or a sketch of bounded size for very many calls."""
+def latencies(calls: DataFrame, exact: bool = False) -> DataFrame:
+    """p50 and p95 of each type: a sketch of bounded size, or exact percentiles, which hold a type's distinct values in one task."""
     p = (lambda q: F.percentile("value", F.lit(q))) if exact else (lambda q: F.percentile_approx("value", q, 10000))
     return calls.groupBy("event_type").agg(p(0.5).alias("p50"), p(0.95).alias("p95"))
 
 
-def error_families(calls: DataFrame, families: int = 5) -> DataFrame:
-    code = F.get_json_object("props", "$.k")
-    return calls.where("event_type = 'error'").groupBy((code.cast("int") % families).cast("long").alias("family")).agg(F.count("*").alias("n"), F.countDistinct(code).alias("n_codes"))
+def error_families(errors: DataFrame, families: DataFrame) -> DataFrame:
+    """errors: code; families: code, family. Per family its errors and codes; codes of no family count as `unknown`."""
+    out = errors.join(families, "code", "left").withColumn("family", F.coalesce("family", F.lit("unknown")))
+    return out.groupBy("family").agg(F.count("*").alias("n"), F.countDistinct("code").alias("n_codes"))
 
 
 def cache_hits(questions: DataFrame) -> DataFrame:

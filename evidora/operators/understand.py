@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+from typing import Protocol
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidora.functions.text import tokens
-from evidora.operators.retrieve import small
 
 
 def translate(queries: DataFrame, dictionary: DataFrame) -> DataFrame:
     """item_id, retrieval_query, dropped: words outside the dictionary (src, dst) are dropped whole, and the
     effective query and what it lost are returned so that the loss can be seen."""
     words = queries.select("item_id", F.posexplode(tokens(F.col("text"))).alias("pos", "src"))
-    kept = words.join(small(dictionary), "src").groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("pos", "src", "dst"))).alias("kept"))
+    kept = words.join(dictionary, "src").groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("pos", "src", "dst"))).alias("kept"))
     out = queries.join(kept, "item_id", "left")
     have = F.coalesce(F.col("kept"), F.array().cast("array<struct<pos:int,src:string,dst:string>>"))
     dropped = F.array_sort(F.array_except(tokens(F.col("text")), F.transform(have, lambda x: x["src"])))
@@ -25,14 +27,14 @@ def entities(queries: DataFrame, names: DataFrame, most: int = 3) -> DataFrame:
     toks = tokens(F.col("text"))
     words = queries.select("item_id", toks.alias("t")).select("item_id", "t", F.posexplode("t").alias("pos", "w"))
     grams = words.select("item_id", "pos", F.explode(F.expr(f"transform(sequence(1, least({most}, size(t) - pos)), n -> struct(n as n, array_join(slice(t, pos + 1, n), ' ') as name))")).alias("g"))
-    found = grams.select("item_id", F.col("pos").cast("long").alias("pos"), "g.n", "g.name").join(small(names), "name")
+    found = grams.select("item_id", F.col("pos").cast("long").alias("pos"), "g.n", "g.name").join(names, "name")
     return found.groupBy("item_id", "pos").agg(F.max_by("name", "n").alias("entity"))
 
 
 def expand(queries: DataFrame, synonyms: DataFrame) -> DataFrame:
     """item_id, term: the distinct terms of each query with their synonyms (term, synonym)."""
     terms = queries.select("item_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    both = terms.join(small(synonyms), "term", "left")
+    both = terms.join(synonyms, "term", "left")
     return both.select("item_id", F.explode(F.array_compact(F.array("term", "synonym"))).alias("term")).distinct()
 
 
@@ -49,5 +51,27 @@ def tag(queries: DataFrame) -> DataFrame:
 
 def cached_translation(queries: DataFrame, cache: DataFrame, computed: DataFrame) -> DataFrame:
     """The frozen translation of a query's text where the cache (text, translation) has it, else the computed one."""
-    out = queries.join(small(cache), "text", "left").join(computed, "item_id")
+    out = queries.join(cache, "text", "left").join(computed, "item_id")
     return out.select("item_id", F.coalesce("translation", "retrieval_query").alias("translation"), F.col("translation").isNotNull().alias("hit"))
+
+
+class Translator(Protocol):
+    """Turns questions into the corpus's language; a model plugs in here."""
+
+    def translate(self, texts: list[str]) -> list[str]: ...
+
+
+class Unchanged:
+    """Deterministic stand-in: the questions as they are, white space collapsed."""
+
+    def translate(self, texts: list[str]) -> list[str]:
+        return [" ".join(t.split()) for t in texts]
+
+
+def translated(queries: DataFrame, translator: Translator) -> DataFrame:
+    """item_id, retrieval_query: each question through a translator, in Arrow batches."""
+    @F.pandas_udf("string")
+    def turn(texts: pd.Series) -> pd.Series:
+        return pd.Series(translator.translate(texts.fillna("").tolist()), dtype="object")
+
+    return queries.select("item_id", turn("text").alias("retrieval_query"))

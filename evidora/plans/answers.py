@@ -5,7 +5,7 @@ both sides: years are 2000 + doc_id % 25, the year asked about is 2005 + query_i
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidora.operators import constraints, context, rerank, retrieve, understand
@@ -72,6 +72,12 @@ def qu_translate_cache(t: Tables) -> DataFrame:
     return understand.cached_translation(t.benchmark, cache, understand.translate(t.benchmark, dictionary(t)))
 
 
+@query("qu_translate_model", r"SELECT item_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS retrieval_query FROM benchmark")
+def qu_translate_model(t: Tables) -> DataFrame:
+    """The translator protocol with its stand-in."""
+    return understand.translated(t.benchmark, understand.Unchanged())
+
+
 @query("dict_stats", f"WITH s AS (SELECT * FROM {_values(SYNONYMS, 'term, synonym')}) SELECT count(*) AS n_pairs, count(DISTINCT term) AS n_terms, round(count(*) / count(DISTINCT term), 6) AS per_term FROM s")
 def dict_stats(t: Tables) -> DataFrame:
     return synonyms(t).agg(F.count("*").alias("n_pairs"), F.countDistinct("term").alias("n_terms"), F.round(F.count("*") / F.countDistinct("term"), 6).alias("per_term"))
@@ -98,11 +104,19 @@ def ctx(t: Tables) -> DataFrame:
     return context.assemble(run(t), t.documents)
 
 
-def answers(t: Tables) -> DataFrame:
-    a = constraints.extractive(ctx(t))
+def planted() -> Column:
+    """An answer with its faults."""
     without = F.replace(F.col("answer"), F.concat(F.lit(" [S"), F.col("n_sources"), F.lit("]")), F.lit(""))
-    planted = F.when(F.col("query_id") % 3 == 0, F.concat("answer", F.lit(" [S0]"))).when(F.col("query_id") % 3 == 1, F.concat(without, F.lit(" 4711 [S99]"))).otherwise(F.col("answer"))
-    return a.select("query_id", "n_sources", planted.alias("answer"))
+    return F.when(F.col("query_id") % 3 == 0, F.concat("answer", F.lit(" [S0]"))).when(F.col("query_id") % 3 == 1, F.concat(without, F.lit(" 4711 [S99]"))).otherwise(F.col("answer"))
+
+
+def answers(t: Tables) -> DataFrame:
+    return constraints.extractive(ctx(t)).select("query_id", "n_sources", planted().alias("answer"))
+
+
+def references(t: Tables) -> DataFrame:
+    """The documents of each context, and one that doesn't exist."""
+    return ctx(t).select("query_id", F.explode(F.array("doc_id", 10**9 + F.col("query_id"))).alias("doc_id")).distinct()
 
 
 @query("dedup_exact", "SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY md5(text)")
@@ -140,6 +154,11 @@ def ctx_render(t: Tables) -> DataFrame:
     return context.render(ctx(t))
 
 
+@query("ctx_prompt", f"WITH {RENDER} SELECT item_id AS query_id, 'Answer from the sources below and cite them as [S#]; say so if they don''t tell.' || chr(10) || chr(10) || 'Sources:' || chr(10) || coalesce(context, 'none') || chr(10) || chr(10) || 'Question: ' || text AS prompt FROM benchmark LEFT JOIN rd ON query_id = item_id")
+def ctx_prompt(t: Tables) -> DataFrame:
+    return context.prompts(context.render(ctx(t)), t.benchmark)
+
+
 # ---- generation and constraints ----------------------------------------------------------
 
 
@@ -171,8 +190,7 @@ def chk_cite_range(t: Tables) -> DataFrame:
 
 @query("chk_fabricated", f"WITH {CTX}, refs AS (SELECT query_id, doc_id FROM ctx UNION ALL SELECT DISTINCT query_id, 1000000000 + query_id FROM ctx) SELECT query_id, doc_id FROM refs WHERE doc_id NOT IN (SELECT doc_id FROM documents)")
 def chk_fabricated(t: Tables) -> DataFrame:
-    c = ctx(t).select("query_id", "doc_id")
-    return constraints.fabricated(c.unionByName(c.select("query_id", (F.lit(10**9) + F.col("query_id")).alias("doc_id")).distinct()), t.documents)
+    return constraints.fabricated(references(t), t.documents)
 
 
 @query("refuse_boundary", f"WITH {RUN}, b AS (SELECT query_id, max(score) AS best FROM run WHERE rank <= 10 GROUP BY query_id) SELECT item_id AS query_id, best, coalesce(best, 0) < 60 AS refused FROM benchmark LEFT JOIN b ON query_id = item_id")

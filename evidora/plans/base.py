@@ -19,7 +19,8 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self._dir}/{name}.parquet")
+        table = self.__dict__[name] = self.spark.read.parquet(f"{self._dir}/{name}.parquet")  # its schema is read once
+        return table
 
 
 def query(name: str, sql: str | None = None):

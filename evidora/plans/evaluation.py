@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from evidora.functions.text import tokens
 from evidora.operators import constraints, evaluate, retrieve, service
-from evidora.plans.answers import ANSWERS, CTX, EXTRACT, answers, ctx
+from evidora.plans.answers import ANSWERS, CTX, EXTRACT, ctx, planted, references
 from evidora.plans.base import Tables, query
 from evidora.plans.retrieval import BM25, RUN, TOK
 
@@ -81,9 +81,7 @@ def eval_probe(t: Tables) -> DataFrame:
 
 @query("eval_traceable", f"WITH {CTX}, refs AS (SELECT query_id, doc_id FROM ctx UNION ALL SELECT DISTINCT query_id, 1000000000 + query_id FROM ctx) SELECT count(*) AS n_refs, count(*) FILTER (WHERE doc_id IN (SELECT doc_id FROM documents)) AS n_traceable, round(avg((doc_id IN (SELECT doc_id FROM documents))::INT), 6) AS rate FROM refs")
 def eval_traceable(t: Tables) -> DataFrame:
-    c = ctx(t).select("query_id", "doc_id")
-    refs = c.unionByName(c.select("query_id", (F.lit(10**9) + F.col("query_id")).alias("doc_id")).distinct())
-    return evaluate_traceable(refs, t.documents)
+    return evaluate_traceable(references(t), t.documents)
 
 
 def evaluate_traceable(refs: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -118,9 +116,8 @@ FLAGS = ANSWERS + r", fl AS (SELECT query_id, 'planted' AS arm, list_has_any(reg
 
 
 def flags(t: Tables) -> DataFrame:
-    plain = constraints.extractive(ctx(t)).withColumn("arm", F.lit("plain"))
-    planted = answers(t).withColumn("arm", F.lit("planted")).select("query_id", "n_sources", "answer", "arm")
-    both = planted.unionByName(plain)
+    arms = F.array(F.struct(F.lit("plain").alias("arm"), "answer"), F.struct(F.lit("planted").alias("arm"), planted().alias("answer")))
+    both = constraints.extractive(ctx(t)).select("query_id", "n_sources", F.explode(arms).alias("a")).select("query_id", "n_sources", "a.arm", "a.answer")
     bad = F.exists(constraints.cited(F.col("answer")), lambda x: (x < 1) | (x > F.col("n_sources")))
     return both.select("query_id", "arm", bad.alias("bad"), F.contains("answer", F.lit("4711")).alias("lone"))
 
@@ -155,24 +152,31 @@ def report_diff(t: Tables) -> DataFrame:
 # ---- service -----------------------------------------------------------------------------
 
 
-@query("calls_rates", "SELECT event_type, count(*) AS n, round(avg((value > 50)::INT), 6) AS slow_rate, round(avg(value / 7), 6) AS mean FROM events GROUP BY event_type")
+@query("calls_rates", "SELECT user_id % 10 AS grp, count(*) AS n, round(avg((event_type <> 'error')::INT), 6) AS success_rate, round(avg((event_type = 'signup')::INT) FILTER (WHERE event_type <> 'error'), 6) AS refusal_rate, round(avg(value / 7), 6) AS mean FROM events GROUP BY 1")
 def calls_rates(t: Tables) -> DataFrame:
-    return service.rates(t.events)
+    """Errors are failed calls; signups stand for refusals."""
+    return service.rates(t.events.withColumn("grp", F.col("user_id") % 10), F.col("event_type") == "error", F.col("event_type") == "signup", "grp")
 
 
 @query("calls_p50_p95", "SELECT event_type, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95 FROM events GROUP BY event_type")
 def calls_p50_p95(t: Tables) -> DataFrame:
-    return service.latencies(t.events)
+    return service.latencies(t.events, exact=True)
 
 
 @query("calls_p95_approx")
 def calls_p95_approx(t: Tables) -> DataFrame:
-    return service.latencies(t.events, exact=False)
+    return service.latencies(t.events)
+
+
+#: The codes 0 to 20 in five families: those that leave the same rest.
+FAMILIES = ["input", "retrieval", "generation", "constraint", "system"]
 
 
-@query("err_families", "SELECT ((props->>'k')::INT % 5)::BIGINT AS family, count(*) AS n, count(DISTINCT (props->>'k')) AS n_codes FROM events WHERE event_type = 'error' GROUP BY 1")
+@query("err_families", f"WITH f AS (SELECT i AS code, {FAMILIES}[i % 5 + 1] AS family FROM range(21) r(i)), e AS (SELECT (props->>'k')::BIGINT AS code FROM events WHERE event_type = 'error') SELECT coalesce(family, 'unknown') AS family, count(*) AS n, count(DISTINCT e.code) AS n_codes FROM e LEFT JOIN f USING (code) GROUP BY 1")
 def err_families(t: Tables) -> DataFrame:
-    return service.error_families(t.events)
+    names = F.array(*[F.lit(x) for x in FAMILIES])
+    families = t.spark.range(21).select(F.col("id").alias("code"), F.element_at(names, (F.col("id") % 5 + 1).cast("int")).alias("family"))
+    return service.error_families(t.events.where("event_type = 'error'").select(F.get_json_object("props", "$.k").cast("long").alias("code")), families)
 
 
 @query("cache_hits", "WITH k AS (SELECT doc_id, md5(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))) AS key FROM documents), f AS (SELECT *, doc_id > min(doc_id) OVER (PARTITION BY key) AS hit FROM k) SELECT count(*) AS n, count(*) FILTER (WHERE hit) AS n_hits, round(avg(hit::INT), 6) AS rate FROM f")

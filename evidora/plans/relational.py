@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,16 +131,14 @@ def topk_group(t: Tables) -> DataFrame:
     return t.orders.select("o_orderpriority", "o_orderkey", "o_totalprice", F.row_number().over(w).alias("rn")).where("rn <= 5").drop("rn")
 
 
-def _views(t: Tables, *names: str) -> None:
-    for name in names:
-        getattr(t, name).createOrReplaceTempView(name)
-
-
 def _sql(name: str, sql: str, *tables: str) -> None:
     @query(name, sql)
     def run(t: Tables) -> DataFrame:
-        _views(t, *tables)
-        return t.spark.sql(sql)
+        text, of = sql, hashlib.md5(t._dir.encode()).hexdigest()[:12]  # views by directory, so that queries over two don't meet
+        for table in tables:
+            getattr(t, table).createOrReplaceTempView(f"{table}_{of}")
+            text = re.sub(rf"\b{table}\b", f"{table}_{of}", text)
+        return t.spark.sql(text)
 
 
 _sql("subq_scalar", "SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT 1.5 * avg(o_totalprice) FROM orders)", "orders")
@@ -200,10 +201,12 @@ def fn_variant(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.variant_get(F.parse_json("props"), "$.k", "long").alias("k"))
 
 
-@query("fn_xml")
+@query("fn_xml", "SELECT p_partkey, p_brand AS brand, p_size AS size, p_type AS type FROM part")
 def fn_xml(t: Tables) -> DataFrame:
-    x = F.format_string("<r><name>%s</name><size>%d</size></r>", F.xpath_string(F.lit("<a>x</a>"), F.lit("a")), "p_size")
-    return t.part.select("p_partkey", F.from_xml(x, "name string, size int").alias("r")).select("p_partkey", "r.name", "r.size")
+    """Written as XML and read again, by a schema and by a path."""
+    x = F.format_string("<r><brand>%s</brand><size>%d</size><sec><type>%s</type></sec></r>", "p_brand", "p_size", "p_type")
+    rows = t.part.select("p_partkey", x.alias("x"))
+    return rows.select("p_partkey", F.from_xml("x", "brand string, size int").alias("r"), F.xpath_string("x", F.lit("r/sec/type")).alias("type")).select("p_partkey", "r.brand", "r.size", "type")
 
 
 @query("fn_hash", "SELECT doc_id, md5(text) AS m, sha256(text) AS s FROM documents")

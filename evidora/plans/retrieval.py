@@ -160,14 +160,14 @@ def knn_lsh(t: Tables) -> DataFrame:
     return ingest.knn_lsh(t.embeddings, t.embeddings.where("vec_id % 20 = 0"))
 
 
-def vector_leg(t: Tables, k: int = 100) -> DataFrame:
+def vector_leg(t: Tables, k: int = 100, among: DataFrame | None = None) -> DataFrame:
     """A passage's vector is the one with its id (a synthetic link); hits must be documents."""
-    q = t.embeddings.join(retrieve.small(t.benchmark.select(F.col("item_id").alias("vec_id"))), "vec_id", "left_semi")
-    return retrieve.knn(t.embeddings, q, k).join(t.documents.select("doc_id"), "doc_id", "left_semi").select("query_id", "doc_id", "rank", "score")
+    q = t.embeddings.join(t.benchmark.select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi")
+    return retrieve.knn(retrieve.nonempty(t.embeddings if among is None else among, "the vector store"), q, k).join(t.documents.select("doc_id"), "doc_id", "left_semi").select("query_id", "doc_id", "rank", "score")
 
 
-def both_legs(t: Tables) -> DataFrame:
-    return retrieve.union_legs(bm25=retrieve.bm25(t.documents, t.benchmark, 100), vector=vector_leg(t))
+def both_legs(t: Tables, **more: DataFrame) -> DataFrame:
+    return retrieve.union_legs(bm25=retrieve.bm25(retrieve.nonempty(t.documents, "the corpus"), t.benchmark, 100), vector=vector_leg(t), **more)
 
 
 def pool(t: Tables) -> DataFrame:
@@ -179,6 +179,25 @@ def recall_union(t: Tables) -> DataFrame:
     return both_legs(t)
 
 
+#: Landmark documents are synthetic: ids divisible by 97. Their leg has the three nearest of them by vector.
+LANDMARKS = f"{LEGS}, lv AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::BIGINT AS rank FROM vs WHERE doc_id % 97 = 0), legs3 AS (SELECT query_id, doc_id, leg, rank, score FROM legs UNION ALL SELECT query_id, doc_id, 'landmark', rank, score FROM lv WHERE rank <= 3 AND doc_id IN (SELECT doc_id FROM documents))"
+
+
+def landmark_leg(t: Tables, k: int = 3) -> DataFrame:
+    """The nearest documents of the landmark collection, whatever else there is."""
+    return vector_leg(t, k, t.embeddings.where("vec_id % 97 = 0"))
+
+
+@query("recall_landmarks", f"WITH {LANDMARKS} SELECT query_id, doc_id, leg, rank, score FROM legs3")
+def recall_landmarks(t: Tables) -> DataFrame:
+    return both_legs(t, landmark=landmark_leg(t))
+
+
+@query("fuse_landmarks", f"WITH {LANDMARKS}, f AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM legs3 GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::BIGINT AS rank FROM f")
+def fuse_landmarks(t: Tables) -> DataFrame:
+    return retrieve.fuse_rrf(recall_landmarks(t)).select("query_id", "doc_id", "score", "rank")
+
+
 @query("recall_counts", f"WITH {LEGS} SELECT query_id, count(DISTINCT doc_id) AS n_candidates, count(*) FILTER (WHERE leg = 'bm25') AS n_bm25, count(*) FILTER (WHERE leg = 'vector') AS n_vector FROM legs GROUP BY query_id")
 def recall_counts(t: Tables) -> DataFrame:
     return both_legs(t).groupBy("query_id").agg(F.countDistinct("doc_id").alias("n_candidates"), F.count(F.when(F.col("leg") == "bm25", 1)).alias("n_bm25"), F.count(F.when(F.col("leg") == "vector", 1)).alias("n_vector"))
@@ -214,7 +233,7 @@ def leg_except(t: Tables) -> DataFrame:
 @query("id_lookup", "SELECT item_id, doc_id, lang, source, n_chars FROM benchmark JOIN documents ON doc_id = item_id")
 def id_lookup(t: Tables) -> DataFrame:
     """Queries anchored on identifiers: an equi-join that leaves the text column unread."""
-    return retrieve.small(t.benchmark.select("item_id")).join(t.documents.select("doc_id", "lang", "source", "n_chars"), F.col("doc_id") == F.col("item_id"))
+    return t.benchmark.select("item_id").join(t.documents.select("doc_id", "lang", "source", "n_chars"), F.col("doc_id") == F.col("item_id"))
 
 
 # ---- rerank ------------------------------------------------------------------------------
@@ -234,6 +253,12 @@ def rerank_overlap(t: Tables) -> DataFrame:
     return relevance(t).select("query_id", "doc_id", "rel")
 
 
+@query("rerank_model", f"WITH {RRF}, n AS (SELECT p.query_id, p.doc_id, length(b.text) AS a, length(d.text) AS c FROM pool p JOIN benchmark b ON b.item_id = p.query_id JOIN documents d USING (doc_id)) SELECT query_id, doc_id, CASE WHEN greatest(a, c) > 0 THEN (least(a, c) * 1000000 // greatest(a, c)) / 1000000.0 ELSE 0 END AS rel FROM n")
+def rerank_model(t: Tables) -> DataFrame:
+    """The reranker protocol with its stand-in."""
+    return rerank.reranked(pool(t), t.documents, t.benchmark, rerank.LengthRatio()).select("query_id", "doc_id", "rel")
+
+
 @query("rerank_tiebreak", f"WITH {REL}{LAST} SELECT * FROM run2")
 def rerank_tiebreak(t: Tables) -> DataFrame:
     return rerank.lexicographic(relevance(t)).select("query_id", "doc_id", "rel", "year", "rank")

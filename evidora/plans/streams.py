@@ -29,7 +29,7 @@ def st_session(t: Tables) -> DataFrame:
     return calls.drain(calls.sessions(_stream(t)), "complete")
 
 
-@query("st_watermark")
+@query("st_watermark", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS day, event_type, count(*) AS n FROM events GROUP BY ALL HAVING day + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)")
 def st_watermark(t: Tables) -> DataFrame:
     """The last windows stay open until the watermark passes them, so they are not in the result."""
     return calls.drain(calls.daily(_stream(t)), "append")
@@ -41,9 +41,11 @@ def st_dedup(t: Tables) -> DataFrame:
     return calls.drain(calls.deduplicated(s.unionByName(s)).select("event_id", "user_id"), "append")
 
 
-@query("st_state")
+@query("st_state", "SELECT user_id, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY user_id")
 def st_state(t: Tables) -> DataFrame:
-    return calls.drain(calls.running(_stream(t)), "update")
+    """The totals as of the last batch in which a user has calls."""
+    out = calls.drain(calls.running(_stream(t)), "update")
+    return out.groupBy("user_id").agg(F.max(F.struct("n", "total")).alias("x")).select("user_id", "x.n", F.round("x.total", 4).alias("total"))
 
 
 @query("st_enrich", "SELECT event_id, c_mktsegment AS segment FROM events JOIN customer ON c_custkey = user_id")
@@ -72,7 +74,7 @@ def udaf_pandas(t: Tables) -> DataFrame:
 
 @query("udtf_chunk", "SELECT doc_id, i::BIGINT AS i, substr(source, i + 1, 2) AS part FROM documents, (VALUES (0), (2), (4)) v(i) WHERE i < length(source)")
 def udtf_chunk(t: Tables) -> DataFrame:
-    @F.udtf(returnType="i long, part string", useArrow=False)
+    @F.udtf(returnType="i long, part string", useArrow=True)
     class Chunks:
         def eval(self, text: str):
             for i in range(0, len(text), 2):

@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import os
+import tempfile
+from collections.abc import Callable
+from functools import lru_cache
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,23 +50,79 @@ def append_calls(calls: DataFrame, path: str) -> None:
 
 def export_text(df: DataFrame, path: str) -> None:
     """One text file, of a report's size: a single column of lines."""
-    df.coalesce(1).write.mode("overwrite").text(path)
+    df.repartition(1).write.mode("overwrite").text(path)  # what makes the lines keeps its tasks
 
 
-def resolve_root(start: str | None = None, variable: str = "EVIDORA_ROOT", marker: str = "data", depth: int = 6) -> str:
-    """The data root: the environment's if it names one (which must exist), else the nearest folder from start up
-    that holds the marker folder, at most `depth` levels. None: an error, never a guess."""
-    named = os.environ.get(variable)
-    if named:
-        if not os.path.isdir(named):
+def write_chunks(chunks: DataFrame, path: str, buckets: int = 64) -> None:
+    """The chunk store: Parquet by a hash of the document, so that one document's chunks lie together."""
+    out = chunks.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
+    out.repartition("bucket").sortWithinPartitions("bucket", "doc_id", "chunk_no").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def read_chunks(spark: SparkSession, path: str) -> DataFrame:
+    return open_index(spark, path).drop("bucket")
+
+
+def retrieved(live: Callable[[], DataFrame], snapshot: str | None, spark: SparkSession, mode: str = "snapshot") -> DataFrame:
+    """Candidates of a retrieval. Mode `live` computes them from the full stores, and writes them to `snapshot` if that is named; mode
+    `snapshot` reads what a live run wrote, so that neither index nor vectors are opened."""
+    if mode == "snapshot":
+        if not snapshot:
+            raise ValueError("the mode snapshot needs a path")
+        return open_index(spark, snapshot)
+    if mode != "live":
+        raise ValueError(f"no such mode: {mode}")
+    if not snapshot:
+        return live()
+    live().write.mode("overwrite").parquet(snapshot)
+    return open_index(spark, snapshot)
+
+
+def read_pairs(spark: SparkSession, path: str, names: tuple[str, str] = ("src", "dst")) -> DataFrame:
+    """A dictionary from tab-separated lines: translations or synonyms. Lines without a second field fail the read."""
+    schema = ", ".join(f"{n} string" for n in names)
+    out = spark.read.schema(schema).option("sep", "\t").option("mode", "FAILFAST").csv(path)
+    return out.where(F.assert_true(F.col(names[1]).isNotNull(), "a line without a second field").isNull())
+
+
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="evidora-")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; where it is unset, one of our own in a local session, else an error."""
+    have = spark.sparkContext._jsc.sc().getCheckpointDir()
+    named = have.get() if have.isDefined() else spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return named or _own_folder()
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Scratch goes, if the session is still there."""
+    try:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # noqa: BLE001  at exit, the session may be gone
+        pass
+
+
+def resolve_root(start: str | None = None, variable: str = "EVIDORA_ROOT", markers: tuple[str, ...] = ("scripts", "requirements.txt"), depth: int = 6, fallback: str | None = None) -> str:
+    """The data root: the environment's if it names one (which must exist), else the nearest of `depth` folders from start up
+    that has all markers, else the fallback if it exists. None: an error, never a guess."""
+    if named := os.environ.get(variable):
+        folder = Path(named).expanduser().absolute()
+        if not folder.is_dir():
             raise RuntimeError(f"{variable} names {named}, which isn't a folder")
-        return os.path.abspath(named)
-    at = os.path.abspath(start or os.getcwd())
-    for _ in range(depth + 1):
-        if os.path.isdir(os.path.join(at, marker)):
-            return at
-        at = os.path.dirname(at)
-    raise RuntimeError(f"no folder with {marker}/ from {start or os.getcwd()} up; set {variable}")
+        return str(folder)
+    at = Path(start or os.getcwd()).absolute()
+    for folder in [at, *at.parents][:depth]:
+        if all((folder / m).exists() for m in markers):
+            return str(folder)
+    if fallback and os.path.isdir(fallback):
+        return fallback
+    raise RuntimeError(f"no folder with {' and '.join(markers)} from {at} up; set {variable}")
 
 
 def evidence_path(name: str, fresh: str, frozen: str) -> str:

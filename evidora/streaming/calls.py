@@ -1,11 +1,10 @@
 """Structured Streaming over call records.
 
-The sources are files; availableNow reads what is there in batches and stops. Sinks: memory for small
-results, Parquet with a checkpoint, or foreachBatch."""
+The sources are files; availableNow reads what is there in batches and stops. The sink is Parquet by foreachBatch, with a checkpoint."""
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
 from collections.abc import Iterator
 
@@ -13,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidora.sources.files import remove_folder, shared_folder
+
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -23,16 +24,28 @@ def source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def drain(stream: DataFrame, mode: str) -> DataFrame:
-    """Runs a query over all that is available into an in-memory table, and returns it."""
-    spark, name = stream.sparkSession, f"st_{uuid.uuid4().hex}"
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{base}/stream-{name}").trigger(availableNow=True).start()
+def drain(stream: DataFrame, mode: str, path: str | None = None) -> DataFrame:
+    """Runs a query over all that is available into Parquet, a folder for each batch (written again if the batch is), and reads it:
+    of mode `complete` the last batch, which has everything, else all. Nothing passes through the driver. path: by default a new one in the shared
+    folder, which goes with its checkpoints when Python exits."""
+    spark = stream.sparkSession
+    if not path:
+        path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+        atexit.register(remove_folder, spark, path)
+    last: list[int] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+        last[:] = [number]
+
+    q = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     try:
         q.awaitTermination()
     finally:
         q.stop()
-    return spark.table(name)
+    if not last:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows/batch={last[0]}" if mode == "complete" else f"{path}/rows/batch=*")
 
 
 def tumbling(events: DataFrame, width: str = "1 hour", slide: str | None = None) -> DataFrame:
@@ -48,7 +61,7 @@ def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
 def daily(events: DataFrame, late: str = "1 hour") -> DataFrame:
     """Counts by day, emitted once the watermark has passed the day's end; later events are dropped."""
     out = events.withWatermark("ts", late).groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"))
-    return out.select(F.col("w.start").alias("day"), "event_type", "n")
+    return out.select(F.col("w.start").cast("timestamp_ntz").alias("day"), "event_type", "n")
 
 
 def deduplicated(events: DataFrame, late: str = "1 hour") -> DataFrame:

@@ -2,13 +2,14 @@
 
 
 def plain(v):
-    if v is None:
-        return "None"
+    """A value as text: numbers of any type alike, NaN (a null of pandas) as null."""
     if hasattr(v, "item") and not hasattr(v, "__len__"):
         v = v.item()
+    if v is None or str(v) in ("<NA>", "NaT", "nan"):
+        return "None"
     if hasattr(v, "__len__") and not isinstance(v, (str, bytes, dict)):
-        return repr(list(v))
-    return repr(float(v)) if isinstance(v, float) else repr(v)
+        return repr([plain(x) for x in v])
+    return repr(float(v)) if isinstance(v, (int, float)) else repr(v)
 
 
 def rows_of(pdf):

@@ -40,10 +40,54 @@ def test_bm25_ties_and_unknown_terms(spark):
     assert [(r["query_id"], r["doc_id"], r["rank"]) for r in got] == [(7, 1, 1), (7, 2, 2)]
 
 
-def test_empty_leg_fails(spark):
-    legs = spark.createDataFrame([], "query_id long, doc_id long, rank long, score double")
-    with pytest.raises(ValueError, match="bm25"):
-        retrieve.union_legs(bm25=legs)
+def test_empty_store_fails_when_read(spark):
+    docs = spark.createDataFrame([(1, "red fox")], "doc_id long, text string")
+    q = spark.createDataFrame([(7, "red")], "item_id long, text string")
+    assert retrieve.bm25(retrieve.nonempty(docs, "the corpus"), q).count() == 1
+    run = retrieve.bm25(retrieve.nonempty(docs.limit(0), "the corpus"), q)
+    with pytest.raises(Exception, match="the corpus is empty"):
+        run.collect()
+
+
+@pytest.mark.parametrize("name", ["rerank_tiebreak", "ctx_render"])
+def test_no_job_runs_before_the_action(spark, sf_dir, name):
+    from evidora.registry import QUERIES
+
+    QUERIES[name](spark, sf_dir)  # tables' schemas may be read
+    group = f"lazy-{name}"
+    spark.sparkContext.setJobGroup(group, name)
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    QUERIES[name](spark, sf_dir)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) - before
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs <= 3  # the schemas of three tables
+
+
+def test_bm25_in_blocks(spark, sf_dir):
+    docs, q = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    rows = lambda n: sorted(map(tuple, retrieve.bm25(docs, q, 7, block=n).collect()))
+    assert rows(256) == rows(11)
+
+
+def test_modes(spark, tmp_path):
+    run = spark.createDataFrame([(1, 2, 1)], "query_id long, doc_id long, rank long")
+    at = str(tmp_path / "snapshot")
+    assert files.retrieved(lambda: run, at, spark, "live").count() == 1
+    assert files.retrieved(lambda: 1 / 0, at, spark).collect() == run.collect()
+    for path, mode in ((None, "snapshot"), (at, "other")):
+        with pytest.raises(ValueError):
+            files.retrieved(lambda: run, path, spark, mode)
+
+
+def test_chunk_store_and_dictionaries(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "a b c " * 400) for i in range(5)], "doc_id long, text string")
+    files.write_chunks(ingest.chunks(docs), str(tmp_path / "chunks"), 4)
+    assert sorted(map(tuple, files.read_chunks(spark, str(tmp_path / "chunks")).collect())) == sorted(map(tuple, ingest.chunks(docs).collect()))
+    (tmp_path / "good.tsv").write_text("heart\tHerz\nhand\tHand\n")
+    assert files.read_pairs(spark, str(tmp_path / "good.tsv")).count() == 2
+    (tmp_path / "bad.tsv").write_text("heart\tHerz\nhand\n")
+    with pytest.raises(Exception):
+        files.read_pairs(spark, str(tmp_path / "bad.tsv")).collect()
 
 
 def test_knn_is_exact_over_blocks(spark):
@@ -154,9 +198,17 @@ def test_resolvers(tmp_path, monkeypatch):
     deep.mkdir(parents=True)
     monkeypatch.delenv("EVIDORA_ROOT", raising=False)
     with pytest.raises(RuntimeError):
-        files.resolve_root(str(deep), marker="no-such-marker")
-    (tmp_path / "marker-x").mkdir()
-    assert files.resolve_root(str(deep), marker="marker-x") == str(tmp_path)
+        files.resolve_root(str(deep), markers=("no-such-marker",))
+    (tmp_path / "scripts").mkdir()
+    (tmp_path / "frozen-copy").mkdir()
+    assert files.resolve_root(str(deep), fallback=str(tmp_path / "frozen-copy")) == str(tmp_path / "frozen-copy")  # one marker isn't enough
+    (tmp_path / "requirements.txt").write_text("")
+    assert files.resolve_root(str(deep)) == str(tmp_path)
+    with pytest.raises(RuntimeError):
+        files.resolve_root(str(deep), depth=2)
+    monkeypatch.setenv("HOME", str(tmp_path))
+    monkeypatch.setenv("EVIDORA_ROOT", "~/a")
+    assert files.resolve_root() == str(tmp_path / "a")
     monkeypatch.setenv("EVIDORA_ROOT", str(tmp_path / "none"))
     with pytest.raises(RuntimeError):
         files.resolve_root(str(deep))
