@@ -29,7 +29,7 @@ def st_session(t: Tables) -> DataFrame:
     return calls.drain(calls.sessions(_stream(t)), "complete")
 
 
-@query("st_watermark", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS day, event_type, count(*) AS n FROM events GROUP BY ALL HAVING day + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)")
+@query("st_watermark", "SELECT * FROM (SELECT time_bucket(INTERVAL 1 DAY, ts) AS day, event_type, count(*) AS n FROM events GROUP BY ALL) WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)")
 def st_watermark(t: Tables) -> DataFrame:
     """The last windows stay open until the watermark passes them, so they are not in the result."""
     return calls.drain(calls.daily(_stream(t)), "append")
