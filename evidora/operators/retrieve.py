@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 
 from evidora.functions.text import tokens
 
-def nonempty(df: DataFrame, what: str) -> DataFrame:
-    """df, which fails loudly when it is read and has no rows: an empty table or index would look like a lack of evidence. No job
-    runs before; the check reads one row."""
-    n = df.limit(1).agg(F.count("*").alias("n")).where(F.assert_true(F.col("n") > 0, f"{what} is empty").isNotNull())
-    return df.unionByName(n.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema.fields]))
+def guarded(run: DataFrame, store: DataFrame, what: str) -> DataFrame:
+    """run, which fails loudly when it is read and the store that it comes from has no rows: an empty table or index would look like a lack of
+    evidence. No job runs before; the check reads one row."""
+    n = store.limit(1).agg(F.count("*").alias("n")).where(F.assert_true(F.col("n") > 0, f"{what} is empty").isNotNull())
+    return run.unionByName(n.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in run.schema.fields]))
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -148,7 +148,7 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_
 
 
 def union_legs(**legs: DataFrame) -> DataFrame:
-    """One relation (query_id, doc_id, leg, rank, score) of several legs; what they read should be nonempty().
+    """One relation (query_id, doc_id, leg, rank, score) of several legs, which should be guarded().
 
     The legs are dealt out anew: Spark 4.1 takes a union of parts that are each partitioned by query for partitioned by query itself, and
     in plans that use it twice pairs partitions that don't belong together, with wrong rows or an error."""

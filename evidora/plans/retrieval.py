@@ -163,11 +163,13 @@ def knn_lsh(t: Tables) -> DataFrame:
 def vector_leg(t: Tables, k: int = 100, among: DataFrame | None = None) -> DataFrame:
     """A passage's vector is the one with its id (a synthetic link); hits must be documents."""
     q = t.embeddings.join(t.benchmark.select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi")
-    return retrieve.knn(retrieve.nonempty(t.embeddings if among is None else among, "the vector store"), q, k).join(t.documents.select("doc_id"), "doc_id", "left_semi").select("query_id", "doc_id", "rank", "score")
+    store = t.embeddings if among is None else among
+    run = retrieve.knn(store, q, k).join(t.documents.select("doc_id"), "doc_id", "left_semi").select("query_id", "doc_id", "rank", "score")
+    return retrieve.guarded(run, store, "the vector store")
 
 
 def both_legs(t: Tables, **more: DataFrame) -> DataFrame:
-    return retrieve.union_legs(bm25=retrieve.bm25(retrieve.nonempty(t.documents, "the corpus"), t.benchmark, 100), vector=vector_leg(t), **more)
+    return retrieve.union_legs(bm25=retrieve.guarded(retrieve.bm25(t.documents, t.benchmark, 100), t.documents, "the corpus"), vector=vector_leg(t), **more)
 
 
 def pool(t: Tables) -> DataFrame:

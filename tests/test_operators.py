@@ -43,8 +43,9 @@ def test_bm25_ties_and_unknown_terms(spark):
 def test_empty_store_fails_when_read(spark):
     docs = spark.createDataFrame([(1, "red fox")], "doc_id long, text string")
     q = spark.createDataFrame([(7, "red")], "item_id long, text string")
-    assert retrieve.bm25(retrieve.nonempty(docs, "the corpus"), q).count() == 1
-    run = retrieve.bm25(retrieve.nonempty(docs.limit(0), "the corpus"), q)
+    assert retrieve.guarded(retrieve.bm25(docs, q), docs, "the corpus").count() == 1
+    none = docs.limit(0)
+    run = retrieve.guarded(retrieve.bm25(none, q), none, "the corpus")
     with pytest.raises(Exception, match="the corpus is empty"):
         run.collect()
 
