@@ -10,8 +10,9 @@ from evidora.llm.common import cut
 
 def _stars(edges: DataFrame) -> bool:
     """Whether edges (u, v) are stars: each u has one v, and no v is a u."""
-    one = edges.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").limit(1).count() == 0
-    return one and edges.select(F.col("v").alias("u")).distinct().join(edges.select("u"), "u", "left_semi").limit(1).count() == 0
+    ends = edges.select("u", F.lit(1).alias("out"), F.lit(0).alias("in")).unionByName(edges.select(F.col("v").alias("u"), F.lit(0).alias("out"), F.lit(1).alias("in")))
+    sums = ends.groupBy("u").agg(F.sum("out").alias("out"), F.max("in").alias("in"))
+    return sums.where((F.col("out") > 1) | (F.col("out") > 0) & (F.col("in") > 0)).limit(1).count() == 0
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

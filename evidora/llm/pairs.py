@@ -89,12 +89,13 @@ def linked(rows: DataFrame, key: str, compare: Callable[[pa.Table, np.ndarray],
     dealt = dealt.withColumn("grp", F.xxhash64(key, "_at")).drop(key, "_n", "_blocks", "_block", "_at")
     first = cut(by_group(dealt, compare).distinct(), "linked")
     roots = components(first).select(F.col("node").alias("_node"), F.col("root").alias("_root"))
+    edges = edges.unionByName(roots.select(F.col("_node").alias("a"), F.col("_root").alias("b")))  # in place of what they follow from
     members = large.select(key, "id", "_n", "_blocks").join(roots, F.col("id") == F.col("_node"), "left").select(key, "id", "_n", "_blocks", F.coalesce("_root", "id").alias("_label"))
     members = cut(members, "members")
     most = members.groupBy(key, "_label").agg(F.count("*").alias("_m")).groupBy(key).agg(F.max(F.struct("_m", "_label")).alias("_most"))
     rest = cut(members.join(most, key).where(F.col("_label") != F.col("_most._label")).select(key, "id", "_n", "_blocks"), "rest")
     if not rest.limit(1).count():
-        return cut(edges.unionByName(first).distinct(), "linked")
+        return cut(edges.distinct(), "linked")
     chunks = rest.groupBy(key).agg(F.ceil(F.count("*") / (F.first("_n") / F.first("_blocks"))).alias("_chunks"))
     lone = rest.select(F.col(key).alias("_key"), F.col("id").alias("_id"))
     every = large.join(chunks, key).join(lone, (F.col(key) == F.col("_key")) & (F.col("id") == F.col("_id")), "left")
@@ -105,7 +106,7 @@ def linked(rows: DataFrame, key: str, compare: Callable[[pa.Table, np.ndarray],
     places = F.when(F.col("_chunk") < 0, here).otherwise(F.array_union(here, there))
     met = every.withColumn("_at", F.explode(places)).withColumn("grp", F.xxhash64(key, "_at.b", "_at.c", F.lit(3)))
     met = met.drop(key, "_n", "_blocks", "_block", "_at", "_chunks", "_chunk", "_key", "_id")
-    return cut(edges.unionByName(first).unionByName(by_group(met, compare)).distinct(), "linked")
+    return cut(edges.unionByName(by_group(met, compare)).distinct(), "linked")
 
 
 def spread(n: int, one: np.ndarray, two: np.ndarray) -> np.ndarray:
