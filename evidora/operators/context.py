@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidora.functions.text import tokens, words
+from evidora.operators.links import components, cut
 
 
 def candidates(run: DataFrame, docs: DataFrame) -> DataFrame:
@@ -99,25 +100,51 @@ def _bands(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), lists], names=["k", "n", "bands"])
 
 
-def dedup_minhash(docs: DataFrame, distance: float = 0.2) -> DataFrame:
-    """kind, a, b, dist. Kind `class` has a row for each document: b is its id, a the smallest id with the same text (null counts as empty).
-    Kind `near` has the pairs of different texts, each by that id (a < b), whose sets of five-token shingles have a Jaccard distance
-    of at most `distance`, which is counted exactly (shingles as 64-bit hashes); MinHash bands say which pairs are.
+#: So many members of a bucket are compared with all others of it.
+PIVOTS = 4
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Of pairs of keys (k1, k2), those whose sets have a Jaccard similarity of `least`, counted exactly."""
+    one, two = (sets.select(F.col("k").alias(f"k{i}"), F.col("s").alias(f"s{i}")) for i in (1, 2))
+    both = F.size(F.array_intersect("s1", "s2"))
+    pairs = pairs.select(F.least("k1", "k2").alias("k1"), F.greatest("k1", "k2").alias("k2")).distinct()
+    out = pairs.join(one, "k1").join(two, "k2").select("k1", "k2", both.alias("both"), (F.size("s1") + F.size("s2") - both).alias("all"))
+    return cut(out.where(F.col("both") >= least * F.col("all") - 1e-9).select(F.col("k1").alias("a"), F.col("k2").alias("b")), "linked")
+
 
-    Texts of fewer than five tokens are near to none. Texts that have no id, or only the same one, make no pair.
+def dedup_minhash(docs: DataFrame, distance: float = 0.2) -> DataFrame:
+    """doc_id, class_id (the smallest id with the same text; null counts as empty) and component_id (the smallest id that chains of near
+    texts lead to), a row for each document. Texts are near if their sets of five-token shingles have a Jaccard distance
+    of at most `distance`, which is counted exactly (shingles as 64-bit hashes); MinHash bands say which are compared. Texts of fewer than
+    five tokens are near to none. An id is null where no document of the class or component has one.
+
+    Of a bucket, some pivots are compared with all members, and what this doesn't connect with most of the bucket is then compared with
+    all members that it isn't connected with. So every two members are compared or connected, and a bucket of n near copies costs some n
+    comparisons, not n squared; buckets whose members are mostly not near cost up to the square.
     (Over single tokens, texts of one language share so many that the bands would pair most of them.)"""
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("k", F.md5(F.col("text").cast("binary")))
-    names = rows.groupBy("k").agg(F.min("doc_id").alias("a"))
-    members = rows.select("k", F.col("doc_id").alias("b")).join(names, "k").select(F.lit("class").alias("kind"), "a", "b", F.lit(0.0).alias("dist"))
-    one = rows.groupBy("k").agg(F.min("doc_id").alias("id"), F.first("text").alias("text")).select("k", "id", tokens(F.col("text")).alias("w"))
-    sets = one.where("id is not null and size(w) >= 5").select("k", "id", F.expr("array_distinct(transform(sequence(1, size(w) - 4), i -> xxhash64(slice(w, i, 5))))").alias("s"))
-    banded = sets.select("k", "s").mapInArrow(_bands, "k string, n int, bands array<long>").select("k", "n", F.explode("bands").alias("band"))
-    x, y = (banded.select("band", F.col("k").alias(f"k{i}"), F.col("n").alias(f"n{i}")) for i in (1, 2))
     least = 1 - distance
-    met = x.join(y, "band").where((F.col("k1") < F.col("k2")) & (F.least("n1", "n2") >= least * F.greatest("n1", "n2") - 1e-9)).select("k1", "k2").distinct()
-    one, two = (sets.select(F.col("k").alias(f"k{i}"), F.col("id").alias(f"id{i}"), F.col("s").alias(f"s{i}")) for i in (1, 2))
-    both = F.size(F.array_intersect("s1", "s2"))
-    pairs = met.join(one, "k1").join(two, "k2").select("id1", "id2", both.alias("both"), (F.size("s1") + F.size("s2") - both).alias("all"))
-    pairs = pairs.where((F.col("id1") != F.col("id2")) & (F.col("both") >= least * F.col("all") - 1e-9))
-    near = pairs.select(F.lit("near").alias("kind"), F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b"), F.round(1 - F.col("both") / F.col("all"), 6).alias("dist"))
-    return members.unionByName(near)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("k", F.md5(F.col("text").cast("binary")))
+    one = rows.groupBy("k").agg(F.min("doc_id").alias("class_id"), F.first("text").alias("text")).select("k", "class_id", tokens(F.col("text")).alias("w"))
+    shingles = F.expr("CASE WHEN size(w) >= 5 THEN array_distinct(transform(sequence(1, size(w) - 4), i -> xxhash64(slice(w, i, 5)))) END")
+    classes = cut(one.select("k", "class_id", shingles.alias("s")), "classes")
+    sets = classes.where("s is not null").select("k", "s")
+    banded = cut(sets.mapInArrow(_bands, "k string, n int, bands array<long>").select("k", "n", F.explode("bands").alias("band")), "banded")
+    sizes = banded.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
+    buckets = cut(banded.join(sizes, "band"), "buckets")
+    near = F.least("n", "n2") >= least * F.greatest("n", "n2") - 1e-9  # sets of other sizes can't be
+    first = buckets.withColumn("_n", F.row_number().over(Window.partitionBy("band").orderBy("k"))).where(F.col("_n") <= PIVOTS)
+    met = buckets.join(first.select("band", F.col("k").alias("k2"), F.col("n").alias("n2")), "band").where((F.col("k") != F.col("k2")) & near)
+    roots = components(_linked(met.select(F.col("k").alias("k1"), "k2"), sets, least))
+    large = buckets.where(F.col("members") > PIVOTS + 1).join(roots, F.col("k") == F.col("node"), "left")
+    large = cut(large.select("band", "k", "n", F.coalesce("root", "k").alias("label")), "large")
+    most = large.groupBy("band", "label").agg(F.count("*").alias("m")).groupBy("band").agg(F.max(F.struct("m", "label")).alias("most"))
+    rest = large.join(most, "band").where(F.col("label") != F.col("most.label")).select("band", F.col("k").alias("k2"), F.col("n").alias("n2"), F.col("label").alias("label2"))
+    met = large.join(cut(rest, "rest"), "band").where((F.col("label") != F.col("label2")) & near)
+    more = _linked(met.select(F.col("k").alias("k1"), "k2"), sets, least)
+    roots = components(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    named = classes.select("k", "class_id").join(roots, F.col("k") == F.col("node"), "left").select("k", "class_id", F.coalesce("root", "k").alias("comp"))
+    named = cut(named, "named")
+    ids = cut(named.groupBy("comp").agg(F.min("class_id").alias("component_id")), "ids")
+    named = named.join(ids, "comp").select("k", "class_id", "component_id")
+    return rows.select("k", "doc_id").join(named, "k").select("doc_id", "class_id", "component_id")

@@ -129,7 +129,23 @@ def dedup_jaccard(t: Tables) -> DataFrame:
     return context.similar_candidates(context.candidates(run(t), t.documents))
 
 
-@query("dedup_minhash")
+#: All pairs that share a shingle, and the closure of their links.
+NEAR = f"""
+WITH RECURSIVE w AS (SELECT doc_id, coalesce(text, '') AS text, {TOK.format("coalesce(text, '')")} AS ws FROM documents),
+i AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5),
+c AS (SELECT DISTINCT doc_id, md5(array_to_string(ws[i : i + 4], ' ')) AS s FROM i),
+t AS (SELECT doc_id, count(*) AS t FROM c GROUP BY doc_id),
+k AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS class_id FROM w),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM c a JOIN c b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN t tx ON tx.doc_id = x JOIN t ty ON ty.doc_id = y WHERE 5 * o >= 4 * (tx.t + ty.t - o) UNION SELECT class_id, doc_id FROM k WHERE class_id < doc_id),
+e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+r(d, m) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.y, r.m FROM r JOIN e ON e.x = r.d),
+q AS (SELECT d AS doc_id, min(m) AS component_id FROM r GROUP BY d)
+SELECT doc_id, class_id, component_id FROM k JOIN q USING (doc_id)
+"""
+
+
+@query("dedup_minhash", NEAR)
 def dedup_minhash(t: Tables) -> DataFrame:
     return context.dedup_minhash(t.documents)
 

@@ -123,29 +123,47 @@ def test_context_budget_and_sources(spark):
     assert [(r["doc_id"], r["cite"]) for r in got] == [(1, "[S1]"), (3, "[S2]")]
 
 
-def test_minhash_pairs_and_classes(spark, sf_dir):
+def test_minhash_classes_and_components(spark, sf_dir):
     base = [f"w{i}" for i in range(60)]
     edited = lambda at, by: " ".join(base[:at] + [by] + base[at + 1 :])
     odd = [(900_001, " ".join(base)), (900_002, " ".join(base)), (900_003, edited(30, "x")), (900_004, edited(5, "y")), (900_005, ""), (900_006, None)]
     odd += [(900_007, "one two"), (900_008, "one two"), (900_009, "One two!"), (900_010, "a b c d e"), (900_011, "A b, c d e."), (None, "a b c d e"), (None, "no id at all, but words")]
+    # two large groups of near copies that share buckets, but no link
+    long = [f"v{i}" for i in range(200)]
+    other = long[:90] + [f"u{i}" for i in range(24)] + long[114:]
+    odd += [(901_000 + i, " ".join(long[: 8 * i] + ["z"] + long[8 * i + 1 :])) for i in range(10)] + [(902_000 + i, " ".join(other[: 8 * i] + ["z"] + other[8 * i + 1 :])) for i in range(10)]
     docs = spark.createDataFrame(odd, "doc_id long, text string").unionByName(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     rows = [(r["doc_id"], r["text"] or "", r["w"] or []) for r in docs.select("doc_id", "text", tokens(F.col("text")).alias("w")).collect()]
     first, sets = {}, {}
     for i, t, w in rows:
         first[t] = min((x for x in (first.get(t), i) if x is not None), default=None)
         sets[t] = {tuple(w[j : j + 5]) for j in range(len(w) - 4)}
-    near = set()
-    texts = [t for t in sets if sets[t] and first[t] is not None]
+    texts = list(sets)
+    root = {t: t for t in texts}
+
+    def of(t):
+        while root[t] != t:
+            t = root[t]
+        return t
+
     for n, t in enumerate(texts):
         for u in texts[:n]:
-            both, either = len(sets[t] & sets[u]), len(sets[t] | sets[u])
-            if 5 * both >= 4 * either:
-                near.add((*sorted((first[t], first[u])), round(1 - both / either, 6)))
-    got = context.dedup_minhash(docs).collect()
+            both = len(sets[t] & sets[u])
+            if both and 5 * both >= 4 * (len(sets[t]) + len(sets[u]) - both):
+                root[of(t)] = of(u)
+    least = {}
+    for t in texts:
+        least[of(t)] = min((x for x in (least.get(of(t)), first[t]) if x is not None), default=None)
     key = lambda p: tuple(-1 if x is None else x for x in p)
-    assert sorted(((r["a"], r["b"]) for r in got if r["kind"] == "class"), key=key) == sorted(((first[t], i) for i, t, _ in rows), key=key)
-    assert sorted((r["a"], r["b"], r["dist"]) for r in got if r["kind"] == "near") == sorted(near)
-    assert {(900_001, 900_003), (900_001, 900_004), (900_010, 900_011)} <= {p[:2] for p in near}
+    got = sorted((tuple(r) for r in context.dedup_minhash(docs).collect()), key=key)
+    assert got == sorted(((i, first[t], least[of(t)]) for i, t, _ in rows), key=key)
+    found = {r[0]: r[2] for r in got}
+    assert {found[x] for x in (900_001, 900_003, 900_004)} == {900_001} and found[900_011] == 900_010
+    assert {found[901_000 + i] for i in range(10)} == {901_000} and {found[902_000 + i] for i in range(10)} == {902_000}
+
+
+def test_minhash_of_nothing(spark):
+    assert context.dedup_minhash(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
 def test_citation_checks(spark):
