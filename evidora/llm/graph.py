@@ -1,37 +1,10 @@
-"""Distributed union-find: connected components by alternating large and small stars."""
+"""Distributed union-find: that of the library, with lineage cut as the rest of this subpackage cuts it."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from functools import partial
 
 from evidora.llm.common import cut
+from evidora.operators import links
 
-
-def _stars(edges: DataFrame) -> bool:
-    """Whether edges (u, v) are stars: each u has one v, and no v is a u."""
-    ends = edges.select("u", F.lit(1).alias("out"), F.lit(0).alias("in")).unionByName(edges.select(F.col("v").alias("u"), F.lit(0).alias("out"), F.lit(1).alias("in")))
-    sums = ends.groupBy("u").agg(F.sum("out").alias("out"), F.max("in").alias("in"))
-    return sums.where((F.col("out") > 1) | (F.col("out") > 0) & (F.col("in") > 0)).limit(1).count() == 0
-
-
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Returns node, root for every node of edges that isn't its component's smallest (which is root).
-
-    Large star: each node hands its larger neighbours its smallest neighbour; small star: each node
-    ties its smaller neighbours and itself to the smallest of them. Both keep components
-    and end, after about log n rounds, in stars around the smallest nodes. A node's minimum is
-    summed within tasks before a shuffle and cut, so that both sides of the join back to it come straight from a
-    shuffle: Spark splits large partitions of such joins, and a star of any size needs no single task. Edges are cut each
-    round: a lost executor costs one round. Nulls and loops are ignored."""
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
-    e = cut(e, "edges")
-    while not _stars(e):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        large = cut(large, "large")
-        least = cut(large.groupBy("u").agg(F.min("v").alias("m")), "least")
-        ties = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
-        e = cut(ties.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+components = partial(links.components, cut=cut)
