@@ -1,7 +1,7 @@
 """The queries of this subpackage, by name, and the SQL of those that SQL can express."""
 
 import corpus_pipeline
-from evidora.llm import embeddings, fingerprints, lines, mixing, neardup, packing, sharding, substrings, toxicity
+from evidora.llm import embeddings, extraction, fingerprints, lines, mixing, neardup, packing, sharding, substrings, toxicity
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_i_match": fingerprints.query,
     "op6_cap_filters": embeddings.query,
     "op7_feistel_shards": sharding.query,
+    "op11_block_rules": extraction.query,
 }
 ORACLES = {
     "op1_relative_lz": substrings.ORACLE,
