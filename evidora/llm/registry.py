@@ -1,7 +1,7 @@
 """The queries of this subpackage, by name, and the SQL of those that SQL can express."""
 
 import corpus_pipeline
-from evidora.llm import embeddings, extraction, fingerprints, lines, mixing, neardup, packing, sharding, substrings, toxicity
+from evidora.llm import embeddings, extraction, fingerprints, lines, mixing, neardup, packing, sharding, spelling, substrings, toxicity
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -16,12 +16,14 @@ QUERIES = {
     "op6_cap_filters": embeddings.query,
     "op7_feistel_shards": sharding.query,
     "op11_block_rules": extraction.query,
+    "op12_levenshtein_tries": spelling.query,
 }
 ORACLES = {
     "op1_relative_lz": substrings.ORACLE,
     "op3_mix_sources": mixing.ORACLE,
     "op6_cap_filters": embeddings.ORACLE,
     "op9_bagminhash": neardup.ORACLE,
+    "op12_levenshtein_tries": spelling.ORACLE,
 }
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
