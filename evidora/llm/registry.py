@@ -1,7 +1,7 @@
 """The queries of this subpackage, by name, and the SQL of those that SQL can express."""
 
 import corpus_pipeline
-from evidora.llm import embeddings, extraction, fingerprints, lines, mixing, neardup, packing, sharding, spelling, substrings, toxicity
+from evidora.llm import embeddings, extraction, fingerprints, lines, merging, mixing, neardup, packing, sharding, spelling, substrings, toxicity
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -17,6 +17,7 @@ QUERIES = {
     "op7_feistel_shards": sharding.query,
     "op11_block_rules": extraction.query,
     "op12_levenshtein_tries": spelling.query,
+    "op13_branch_merge": merging.query,
 }
 ORACLES = {
     "op1_relative_lz": substrings.ORACLE,
@@ -24,6 +25,7 @@ ORACLES = {
     "op6_cap_filters": embeddings.ORACLE,
     "op9_bagminhash": neardup.ORACLE,
     "op12_levenshtein_tries": spelling.ORACLE,
+    "op13_branch_merge": merging.ORACLE,
 }
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
