@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidora.functions.text import tokens
-from evidora.operators import ingest, rerank, retrieve
+from evidora.operators import index, ingest, rerank, retrieve
 from evidora.plans.base import Tables, query
 
 TOK = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
@@ -148,6 +148,23 @@ def bm25_topk(t: Tables) -> DataFrame:
     return retrieve.bm25(t.documents, t.benchmark)
 
 
+def store_of(t: Tables) -> index.Index:
+    """The index of the documents: built once a session, by the first query that asks for it."""
+    return index.stored(t.documents, t._dir)
+
+
+@query("index_bm25_topk", f"WITH {RUN} SELECT query_id, doc_id, score, rank FROM run WHERE rank <= 10")
+def index_bm25_topk(t: Tables) -> DataFrame:
+    """The same ten as bm25_topk, from the stored index and only of the blocks that can matter."""
+    return index.search(store_of(t), t.benchmark)
+
+
+@query("index_terms", f"WITH {POST}, n AS (SELECT count(*) AS n FROM documents) SELECT term, count(*) AS df, round(ln(1 + ((SELECT n FROM n) - count(*) + 0.5) / (count(*) + 0.5)), 6) AS idf FROM post GROUP BY term")
+def index_terms(t: Tables) -> DataFrame:
+    """The term table of the store."""
+    return store_of(t).terms.select("term", "df", F.round("idf", 6).alias("idf"))
+
+
 @query("knn_cosine", f"WITH {KNN.format(which='q.vec_id % 20 = 0')} SELECT query_id, doc_id, score, rank FROM vr WHERE rank <= 10")
 def knn_cosine(t: Tables) -> DataFrame:
     """Queries: every vector whose id is divisible by 20, against all."""
