@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidora.functions import porter
 from evidora.functions.text import tokens
-from evidora.operators import index, ingest, rerank, retrieve
+from evidora.operators import index, ingest, rerank, retrieve, vectors
 from evidora.plans.base import Tables, query
 
 TOK = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
@@ -130,6 +131,12 @@ def stem_suffix(t: Tables) -> DataFrame:
     return terms.groupBy(stem(F.col("term")).alias("stem")).agg(F.count("*").alias("n_terms"))
 
 
+@query("stem_porter", f"WITH v AS (SELECT DISTINCT unnest({TOK.format('text')}) AS word FROM documents) " + porter.stem_sql("v"))
+def stem_porter(t: Tables) -> DataFrame:
+    """The stem of each distinct token."""
+    return porter.stemmed(t.documents.select(F.explode(tokens(F.col("text"))).alias("word")).distinct(), "word", "stem")
+
+
 POST = f"x AS (SELECT doc_id, unnest({TOK.format('text')}) AS term FROM documents), post AS (SELECT term, doc_id, count(*) AS tf FROM x GROUP BY ALL)"
 
 
@@ -177,6 +184,12 @@ def knn_lsh(t: Tables) -> DataFrame:
     return ingest.knn_lsh(t.embeddings, t.embeddings.where("vec_id % 20 = 0"))
 
 
+@query("knn_ivfpq")
+def knn_ivfpq(t: Tables) -> DataFrame:
+    """The ten nearest vectors that an inverted file with product codes finds, of the same queries; tests hold it against knn_cosine."""
+    return vectors.knn(t.embeddings, t.embeddings.where("vec_id % 20 = 0")).select("query_id", "doc_id", "score", "rank")
+
+
 def vector_leg(t: Tables, k: int = 100, among: DataFrame | None = None) -> DataFrame:
     """A passage's vector is the one with its id (a synthetic link); hits must be documents."""
     q = t.embeddings.join(t.benchmark.select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi")
