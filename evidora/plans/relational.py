@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidora.functions.text import tokens
-from evidora.operators import relational
+from evidora.operators import inequality, relational
 from evidora.plans.base import Tables, query
 
 
@@ -44,6 +44,25 @@ def join_asof(t: Tables) -> DataFrame:
     return relational.asof(e.where("event_type = 'error'").select("event_id", "user_id", "ts"), right, "user_id", "ts", "last_value").select("event_id", "user_id", "last_value")
 
 
+@query("join_asof_sliced", "WITH s AS (SELECT client_id, sold_at AS ts, max(total) AS total FROM sales WHERE total IS NOT NULL AND client_id IS NOT NULL AND sold_at IS NOT NULL GROUP BY ALL) SELECT click_id, c.client_id, c.ts, total FROM clicks c ASOF LEFT JOIN s ON s.client_id = c.client_id AND s.ts <= c.ts")
+def join_asof_sliced(t: Tables) -> DataFrame:
+    """Each click with its client's last sale; a client may hold any share of the rows."""
+    return inequality.asof(t.clicks.select("click_id", "client_id", "ts"), t.sales.select("client_id", F.col("sold_at").alias("ts"), "total"), "client_id", "ts", "total")
+
+
+@query("join_band", "SELECT client_id, c.balance, vendor_id, v.balance AS vendor_balance FROM clients c JOIN vendors v ON v.balance >= c.balance - 5 AND v.balance <= c.balance + 5")
+def join_band(t: Tables) -> DataFrame:
+    """Clients and vendors with nearly the same balance: an inequality join by range buckets."""
+    vendors = t.vendors.select("vendor_id", F.col("balance").alias("vendor_balance"))
+    return inequality.band(t.clients.select("client_id", "balance"), vendors, F.col("balance"), F.col("vendor_balance"), -5, 5)
+
+
+@query("join_theta_count", "WITH b AS (SELECT balance FROM clients WHERE balance IS NOT NULL) SELECT sale_id, total, CASE WHEN total IS NOT NULL THEN (SELECT count(*) FROM b WHERE balance > total) END AS n_above FROM sales")
+def join_theta_count(t: Tables) -> DataFrame:
+    """For each sale the number of clients with a larger balance: an inequality join that is counted, not made."""
+    return inequality.counted_above(t.sales.select("sale_id", "total"), t.clients, "total", "balance")
+
+
 @query("join_interval", "WITH s AS (SELECT event_id AS signup, ts AS a, ts + INTERVAL 30 MINUTE AS b FROM events WHERE event_type = 'signup') SELECT signup, count(*) AS n, min(event_id) AS first_event FROM s JOIN events e ON e.ts >= a AND e.ts < b GROUP BY signup")
 def join_interval(t: Tables) -> DataFrame:
     e = t.events
