@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidora.functions.text import tokens
-from evidora.operators import constraints, evaluate, retrieve, service
+from evidora.operators import constraints, evaluate, retrieve, service, sketches
+from evidora.operators.links import cut
 from evidora.plans.answers import ANSWERS, CTX, EXTRACT, ctx, planted, references
 from evidora.plans.base import Tables, query
 from evidora.plans.retrieval import BM25, RUN, TOK
@@ -172,6 +173,15 @@ def calls_p95_approx(t: Tables) -> DataFrame:
 FAMILIES = ["input", "retrieval", "generation", "constraint", "system"]
 
 
+@query("calls_sketches")
+def calls_sketches(t: Tables) -> DataFrame:
+    """Quantiles and distinct users by day and in total, from sketches stored by hour; tests hold them within the sketches' bounds."""
+    stored = cut(sketches.hourly(t.events), "sketches")
+    days = cut(sketches.merged(stored, F.date_trunc("day", "hour").cast("timestamp_ntz").alias("day"), "event_type"), "sketches")
+    total = sketches.merged(days, "event_type").select(F.lit(None).cast("timestamp_ntz").alias("day"), "*")
+    return sketches.read(days.unionByName(total), "day", "event_type")
+
+
 @query("err_families", f"WITH f AS (SELECT i AS code, {FAMILIES}[i % 5 + 1] AS family FROM range(21) r(i)), e AS (SELECT (props->>'k')::BIGINT AS code FROM events WHERE event_type = 'error') SELECT coalesce(family, 'unknown') AS family, count(*) AS n, count(DISTINCT e.code) AS n_codes FROM e LEFT JOIN f USING (code) GROUP BY 1")
 def err_families(t: Tables) -> DataFrame:
     names = F.array(*[F.lit(x) for x in FAMILIES])

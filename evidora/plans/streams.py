@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidora.plans.base import Tables, query
-from evidora.streaming import calls
+from evidora.streaming import calls, late
 
 
 def _stream(t: Tables) -> DataFrame:
@@ -54,6 +54,25 @@ def st_enrich(t: Tables) -> DataFrame:
     return calls.drain(_stream(t).join(static, "user_id").select("event_id", "segment"), "append")
 
 
+@query("st_late", "WITH b AS (SELECT *, date_trunc('month', arrived_at) AS m, time_bucket(INTERVAL 1 DAY, ts) AS day FROM clicks WHERE ts IS NOT NULL), w AS (SELECT m, max(max(ts)) OVER (ORDER BY m ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 1 HOUR AS mark FROM b GROUP BY m), kept AS (SELECT b.* FROM b JOIN w USING (m) WHERE mark IS NULL OR day + INTERVAL 1 DAY > mark) SELECT day, kind, n FROM (SELECT day, kind, count(*) AS n FROM kept GROUP BY ALL) WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM b)")
+def st_late(t: Tables) -> DataFrame:
+    """Clicks as they arrived, month by month, in runs on one checkpoint: what comes for a day that an earlier run has closed is dropped."""
+    stream = late.Arrivals(t.clicks.schema, late.daily())
+    for part in late.months(t.clicks, "arrived_at"):
+        stream.run(part)
+    return stream.result(t.spark)
+
+
+@query("st_session_timers", "WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM g), x AS (SELECT min(ts) AS start, max(ts) AS last, user_id, count(*) AS n FROM s GROUP BY user_id, sid) SELECT start, user_id, n FROM x WHERE last + INTERVAL 30 MINUTE < (SELECT max(ts) - INTERVAL 1 HOUR FROM events)")
+def st_session_timers(t: Tables) -> DataFrame:
+    """Sessions as state of our own, closed by timers, in two runs: those that are open at the end of the first go on in the second."""
+    stream = late.Arrivals(t.events.schema, late.timed_sessions())
+    first = F.dayofmonth("ts") <= 15
+    stream.run(t.events.where(first))
+    stream.run(t.events.where(~first))
+    return stream.result(t.spark)
+
+
 @query("udf_scalar", "SELECT doc_id, length(text) - length(replace(text, ' ', ''))::BIGINT AS n_spaces FROM documents")
 def udf_scalar(t: Tables) -> DataFrame:
     @F.pandas_udf("long")
