@@ -139,34 +139,62 @@ def probes_for(vectors: DataFrame, model: Model, queries: DataFrame, k: int = 10
 def search(vectors: DataFrame, codes: DataFrame, model: Model, queries: DataFrame, k: int = 10, probes: int = 8, rescore: int = 200, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, doc_id, score, rank: the k vectors of largest cosine found for each query, without itself.
 
-    A query probes its `probes` nearest lists (see probes_for). Blocks of codes meet the queries of their list: an equi-join, which Spark splits where
-    a list is hot. A block scores its queries by table look-ups and hands on the best `rescore` each; the best of these over all blocks are scored exactly from their vectors."""
+    A query probes its `probes` nearest lists (see probes_for). Queries of a list go in blocks, and meet its blocks of codes: an equi-join, which Spark splits where a list is
+    hot. A block's codes are turned back into approximate vectors, so that a pair of blocks is one matrix product; a task hands on the best `rescore` of each of its queries,
+    and the best of these over all tasks are scored exactly from their vectors."""
     shared = vectors.sparkSession.sparkContext.broadcast(model)
     probes = min(probes, len(model.centroids))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _matrix(batch.column(1))
+            x, ids = _matrix(batch.column(1)), batch.column(0).to_numpy()
             c = shared.value.centroids
             best = np.argsort((c**2).sum(axis=1) / 2 - x @ c.T, axis=1, kind="stable")[:, :probes]
-            row = np.repeat(np.arange(len(x)), best.shape[1])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(best.ravel().astype(np.int32)), batch.column(1).take(pa.array(row))], names=["query_id", "list", "x"])
+            row, at = np.repeat(np.arange(len(x)), best.shape[1]), best.ravel()
+            order = np.argsort(at, kind="stable")
+            for some in np.split(order, np.flatnonzero(np.diff(at[order])) + 1):
+                for i in range(0, len(some), 256):
+                    r = row[some[i : i + 256]]
+                    yield pa.RecordBatch.from_arrays([pa.array([at[some[0]]], pa.int32()), pa.array([ids[r].tolist()], pa.list_(pa.int64())), pa.array([x[r].tobytes()], pa.binary())], names=["list", "asked", "x"])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m, held, size = shared.value, [], 0
+
+        def best() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            q, d, s = (np.concatenate(c) for c in zip(*held))
+            order = np.lexsort((d, -s, q))
+            q, d, s = q[order], d[order], s[order]
+            starts = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]]))
+            keep = np.arange(len(q)) - np.repeat(starts, np.diff(np.append(starts, len(q)))) < rescore
+            return q[keep], d[keep], s[keep]
+
+        def out(q: np.ndarray, d: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(q), pa.array(d), pa.array(s)], names=["query_id", "doc_id", "near"])
+
         for batch in batches:
-            for q, a, x, ids, raw in zip(*(batch.column(i) for i in range(5))):
-                x, ids = x.values.to_numpy(), ids.values.to_numpy()
-                table = np.einsum("jcd,jd->jc", m.codebooks, x.reshape(len(m.codebooks), -1))
-                code = np.frombuffer(raw.as_buffer(), np.uint8).reshape(len(ids), -1)
-                s = x @ m.centroids[a.as_py()] + table[np.arange(code.shape[1]), code].sum(axis=1)
-                s[ids == q.as_py()] = -np.inf
-                best = np.argsort(-s, kind="stable")[:rescore]
-                best = best[s[best] > -np.inf]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), q.as_py())), pa.array(ids[best]), pa.array(s[best])], names=["query_id", "doc_id", "near"])
+            for a, q, raw, ids, codes in zip(*(batch.column(i) for i in range(5))):
+                q, ids = q.values.to_numpy(), ids.values.to_numpy()
+                x = np.frombuffer(raw.as_buffer()).reshape(len(q), -1)
+                code = np.frombuffer(codes.as_buffer(), np.uint8).reshape(len(ids), -1)
+                near = m.codebooks[np.arange(code.shape[1]), code].reshape(len(ids), -1) + m.centroids[a.as_py()]
+                s = x @ near.T
+                s[q[:, None] == ids[None, :]] = -np.inf
+                top = np.argpartition(-s, rescore - 1, axis=1)[:, :rescore] if len(ids) > rescore else np.broadcast_to(np.arange(len(ids)), s.shape)
+                value = np.take_along_axis(s, top, axis=1).ravel()
+                fine = value > -np.inf
+                held.append((np.repeat(q, top.shape[1])[fine], ids[top].ravel()[fine], value[fine]))
+                size += len(held[-1][0])
+                if size > 1 << 21:
+                    held = [best()]
+                    size = len(held[0][0])
+                    if size > 1 << 20:  # many queries: what is found goes on, to be limited with that of other tasks
+                        yield out(*held.pop())
+                        size = 0
+        if held:
+            yield out(*best())
 
     asked = unit(queries, id_col, vector_col)
-    pairs = asked.mapInArrow(probe, "query_id long, list int, x array<double>").join(codes, "list").select("query_id", "list", "x", "ids", "codes")
+    pairs = asked.mapInArrow(probe, "list int, asked array<long>, x binary").join(codes, "list").select("list", "asked", "x", "ids", "codes")
     found = pairs.mapInArrow(score, "query_id long, doc_id long, near double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("near"), "doc_id"))
     best = found.withColumn("place", place).where(F.col("place") <= rescore).select("query_id", "doc_id")
