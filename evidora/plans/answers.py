@@ -51,14 +51,13 @@ def qu_entities(t: Tables) -> DataFrame:
     return understand.entities(t.benchmark, t.spark.createDataFrame([(x,) for x in NAMES], "name string"))
 
 
-#: Names: the two and three tokens from each of the first ten tokens of every document on.
-PHRASES = r"nt AS (SELECT regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS t FROM documents), names AS (SELECT DISTINCT array_to_string(t[p : p + n - 1], ' ') AS name, n FROM nt, range(1, 11) a(p), range(2, 4) b(n) WHERE p + n - 1 <= len(t))"
+#: Names: the first two and three tokens of every document.
+PHRASES = r"nt AS (SELECT regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS t FROM documents), names AS (SELECT DISTINCT array_to_string(t[1 : n], ' ') AS name, n FROM nt, range(2, 4) b(n) WHERE n <= len(t))"
 
 
 def phrases(t: Tables) -> DataFrame:
-    toks = tokens(F.col("text"))
-    grams = F.expr("flatten(transform(sequence(1, least(10, size(t))), p -> transform(filter(array(2, 3), n -> p + n - 1 <= size(t)), n -> array_join(slice(t, p, n), ' '))))")
-    return t.documents.select(toks.alias("t")).where("size(t) > 1").select(F.explode(grams).alias("name"))
+    toks = t.documents.select(F.slice(tokens(F.col("text")), 1, 3).alias("t"))
+    return toks.select(F.explode(F.array(*[F.when(F.size("t") >= n, F.array_join(F.slice("t", 1, n), " ")) for n in (2, 3)])).alias("name"))
 
 
 @query("qu_entities_automaton", "WITH RECURSIVE " + PHRASES + r", ct AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS t FROM conversations), g AS (SELECT conv_id, turn, p - 1 AS pos, n, array_to_string(t[p : p + n - 1], ' ') AS name FROM ct, range(2, 4) b(n), LATERAL (SELECT unnest(range(1, len(t) + 1)) AS p) WHERE p + n - 1 <= len(t)), m AS (SELECT conv_id, turn, pos, max(g.n) AS n, max_by(name, g.n) AS entity FROM g JOIN names USING (name, n) GROUP BY ALL), nx AS (SELECT a.*, (SELECT min(b.pos) FROM m b WHERE b.conv_id = a.conv_id AND b.turn = a.turn AND b.pos >= a.pos + a.n) AS next FROM m a), r AS (SELECT nx.* FROM nx JOIN (SELECT conv_id, turn, min(pos) AS pos FROM nx GROUP BY ALL) USING (conv_id, turn, pos) UNION ALL SELECT nx.* FROM r JOIN nx ON nx.conv_id = r.conv_id AND nx.turn = r.turn AND nx.pos = r.next) SELECT conv_id, turn, pos, entity FROM r")
