@@ -98,11 +98,11 @@ class Plan(NamedTuple):
 
 def plan(dim: int, n: int, least: float, expected: float, load: float) -> Plan:
     """How n vectors of dim dimensions are filtered: by `expected` filters each, or as many more as a pair at `least`
-    needs for COMMON common ones. Where comparing all is no more work, or small, there are none."""
+    needs for COMMON common ones, however few vectors there are. In one or two dimensions caps can't tell vectors apart, and there are none."""
     share = min(0.05, load / max(n, 1))
     hit = chance(dim, share, least)
     filters = max(expected, COMMON / hit) if hit > 0 else float("inf")
-    return Plan(0.0, 1.0) if n <= max(4 * BLOCK, filters * load) else Plan(filters, share)
+    return Plan(0.0, 1.0) if dim < 3 or filters == float("inf") else Plan(filters, share)
 
 
 class Filters:
@@ -221,7 +221,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, expected: float = 20
     vectors on average, however many vectors there are. Of a pair at `least`, a filter of one holds the other
     with a chance that falls with their number (at 0.9 in 64 dimensions from about 0.5 to 0.2 at ten million), so
     the filters of a vector become more (see plan); a few pairs in a thousand there may be missed (tests measure it),
-    and fewer that are nearer. Where that is no more work (up to 4,096 vectors of a length, or few dimensions) all are compared. Pairs
+    and fewer that are nearer. Vectors of one or two dimensions are all compared. Pairs
     of a filter are compared block by block, and each pair is counted at its first common filter; a task
     hands on each vector's number of links and one link towards its smallest partner, never the pairs.
 

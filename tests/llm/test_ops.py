@@ -298,8 +298,27 @@ def test_filters_find_pairs_however_many_vectors(n):
     assert planned.filters <= min(map(len, one)) and np.mean([len(a) for a in one]) <= 1.5 * planned.filters
 
 
-def test_small_or_flat_tables_are_compared_whole(spark):
-    for dim, n in ((64, 700), (2, 300)):
+@pytest.mark.parametrize("n", [700, 6000])
+def test_embeddings_end_to_end_by_filters(spark, n):
+    """Half of the vectors have a partner at a cosine of 0.90 to 0.92; decoding, the join on filters and the check find nearly all of them."""
+    rng = np.random.default_rng(n)
+    x, z = rng.standard_normal((2, n // 2, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    c = rng.uniform(0.9001, 0.92, (n // 2, 1))
+    u = np.concatenate([x, c * x + np.sqrt(1 - c**2) * z / np.linalg.norm(z, axis=1, keepdims=True)])
+    assert embeddings.plan(64, n, 0.9, 20.0, 48.0).filters >= 20
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(u.tolist())], "vec_id long, embedding array<double>")
+    got = {r["id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_duplicates(df).collect()}
+    near_ = u @ u.T >= 0.9
+    np.fill_diagonal(near_, False)
+    assert all(got[i][0] <= k for i, k in enumerate(near_.sum(axis=1)))
+    assert sum(k for k, _ in got.values()) >= 0.98 * near_.sum() >= n * 0.98
+    assert np.mean([got[i + n // 2][1] == got[i][1] for i in range(n // 2)]) >= 0.98
+
+
+def test_flat_tables_are_compared_whole(spark):
+    for dim, n in ((1, 50), (2, 300)):
         v = np.random.default_rng(dim).standard_normal((n, dim))
         v[n // 2 :] = v[: n - n // 2] + np.linalg.norm(v[: n - n // 2], axis=1, keepdims=True) * v[n // 2 :] * 0.45 / np.sqrt(dim)
         u = v / np.linalg.norm(v, axis=1, keepdims=True)
