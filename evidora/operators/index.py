@@ -8,7 +8,11 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,9 +39,16 @@ def build(docs: DataFrame, path: str, window: int = 128, buckets: int = 64, k1:
     lengths = rows.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.size("t")), F.lit(0.0)).alias("avgdl")).first()  # two numbers
     n, avgdl = lengths["n"], lengths["avgdl"]
     windows = max(1, -(-n // window))
-    counted = rows.select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))
-    weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
-    posts = counted.select("term", F.pmod(F.xxhash64("doc_id"), F.lit(windows)).alias("window"), F.struct((-weight).alias("w"), "doc_id").alias("p"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # a document's words are in one row: no shuffle counts them
+        for batch in batches:
+            for i, found in zip(batch.column(0).to_pylist(), batch.column(1)):
+                tf = Counter(found.as_py())
+                n = np.fromiter(tf.values(), float, len(tf))
+                weight = n * (k1 + 1) / (n + k1 * (1 - b + b * n.sum() / avgdl))
+                yield pa.RecordBatch.from_arrays([pa.array(list(tf), pa.string()), pa.array(np.full(len(tf), i)), pa.array(-weight)], names=["term", "doc_id", "w"])
+
+    posts = rows.mapInArrow(count, "term string, doc_id long, w double").select("term", F.pmod(F.xxhash64("doc_id"), F.lit(windows)).alias("window"), F.struct("w", "doc_id").alias("p"))
     lists = posts.groupBy("term", "window").agg(F.array_sort(F.collect_list("p")).alias("p"))
     blocks = lists.select(_bucket(F.col("term"), buckets).alias("bucket"), "term", "window", F.size("p").alias("n"), (-F.col("p")[0]["w"]).alias("most"), F.col("p.doc_id").alias("ids"), F.transform("p.w", lambda w: -w).alias("weights"))
     spark = docs.sparkSession
@@ -104,27 +115,22 @@ class Search:
     headers of blocks in the candidates' windows bound what a candidate can still get, and the blocks of those that can still reach the threshold complete their
     scores. Exact, ties included: nothing that can reach the k-th place is left out. Partial sums are written down, everything else is joins.
 
-    Bounds add up: with many terms their sum lies far above any document's score, and nothing can be skipped. Queries of more than `most_terms` terms are read whole at once."""
+    Bounds add up: with many terms their sum lies far above any document's score, and little can be skipped. This is for queries of few terms; see whole() for long ones."""
 
-    def __init__(self, index: Index, queries: DataFrame, k: int = 10, first: float = 0.6, most_terms: int = 16, id_col: str = "item_id", text_col: str = "text"):
+    def __init__(self, index: Index, terms: DataFrame, k: int = 10, first: float = 0.6):
+        """terms: of known_terms()."""
         self.index, self.k = index, k
-        terms = query_terms(queries, id_col, text_col).withColumn("bucket", _bucket(F.col("term"), index.buckets))
-        known = terms.join(index.terms, ["bucket", "term"]).select("query_id", "bucket", "term", "idf", (F.col("idf") * F.col("most")).alias("bound"))
         one = Window.partitionBy("query_id")  # the terms of one query
-        known = known.withColumn("upto", F.sum("bound").over(one.orderBy(F.desc("bound"), "term").rowsBetween(Window.unboundedPreceding, 0)))
-        known = known.withColumns({"total": F.sum("bound").over(one), "long": F.count("*").over(one) > most_terms})
-        self.terms = cut(known.withColumn("leads", F.col("long") | (F.col("upto") - F.col("bound") < first * F.col("total"))), "query-terms")
-        led = self._whole(self.terms.where("leads")).groupBy("query_id", "window", "doc_id").agg(F.sum("score").alias("score"))
-        self.led = self.partial = led
-        self.follow = self.terms.where("not leads").withColumn("whole", F.lit(False))
-        self.all_read = not self.follow.limit(1).count()
-        if not self.all_read:
-            self.led = cut(led, "led")
-            rest = F.col("total") - F.col("upto") + F.col("bound")
-            follow = self.follow.join(_kth(self.led, k), "query_id", "left").withColumn("whole", rest >= F.coalesce("least", F.lit(0.0)) - TIES)
-            self.follow = cut(follow.select("query_id", "bucket", "term", "idf", "bound", "whole"), "follow")
-            more = self._whole(self.follow.where("whole"))
-            self.partial = cut(self.led.unionByName(more).groupBy("query_id", "window", "doc_id").agg(F.sum("score").alias("score")), "partial")
+        known = terms.withColumn("bound", F.col("idf") * F.col("most"))
+        known = known.withColumn("upto", F.sum("bound").over(one.orderBy(F.desc("bound"), "term").rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("bound").over(one))
+        self.terms = cut(known.withColumn("leads", F.col("upto") - F.col("bound") < first * F.col("total")), "query-terms")
+        led = self._whole(self.terms.where("leads"))
+        self.led = cut(led.groupBy("query_id", "window", "doc_id").agg(F.sum("score").alias("score")), "led")
+        rest = F.col("total") - F.col("upto") + F.col("bound")
+        follow = self.terms.where("not leads").join(_kth(self.led, k), "query_id", "left").withColumn("whole", rest >= F.coalesce("least", F.lit(0.0)) - TIES)
+        self.follow = cut(follow.select("query_id", "bucket", "term", "idf", "bound", "whole"), "follow")
+        more = self._whole(self.follow.where("whole"))
+        self.partial = cut(self.led.unionByName(more).groupBy("query_id", "window", "doc_id").agg(F.sum("score").alias("score")), "partial")
         self.least = _kth(self.partial, k)
         self.others = self.follow.where("not whole")
 
@@ -152,8 +158,6 @@ class Search:
 
     def run(self) -> DataFrame:
         """query_id, doc_id, score, rank."""
-        if self.all_read:
-            return ranked(self.partial.select("query_id", "doc_id", F.round("score", 6).alias("score")).where("score > 0"), self.k)
         some = cut(self.candidates(), "candidates")
         more = self._completing(self.others, some)
         both = some.unionByName(more).groupBy("query_id", "doc_id").agg(F.round(F.sum("score"), 6).alias("score")).where("score > 0")
@@ -169,6 +173,95 @@ class Search:
         return every.join(read, "query_id", "left").select("query_id", "n_blocks", F.coalesce("n_read", F.lit(0).cast("long")).alias("n_read"))
 
 
+def known_terms(index: Index, queries: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """query_id, bucket, term, idf, most, n_terms: the distinct terms of each query that the index has, and their number."""
+    terms = query_terms(queries, id_col, text_col).withColumn("bucket", _bucket(F.col("term"), index.buckets))
+    known = terms.join(index.terms, ["bucket", "term"]).select("query_id", "bucket", "term", "idf", "most")
+    return known.withColumn("n_terms", F.count("*").over(Window.partitionBy("query_id")))
+
+
+def _window_scorer(shared, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries, vocabulary, weights = shared.value  # ids; term -> column; queries x terms, inverse document frequencies
+        best = np.full((len(queries), k), -1.0)
+        best_ids = np.full((len(queries), k), np.iinfo(np.int64).max)
+
+        def score(term: list, most: list, ids: list, w: list) -> None:
+            """One window: queries whose bound doesn't reach their k-th best so far are left out."""
+            q = weights[:, [vocabulary[t] for t in term]]
+            some = np.flatnonzero((q @ np.array(most) >= best[:, -1] - TIES) & (q.any(axis=1)))
+            flat = np.concatenate(ids)
+            docs, place = np.unique(flat, return_inverse=True)
+            m = np.zeros((len(term), len(docs)))
+            m[np.repeat(np.arange(len(term)), [len(i) for i in ids]), place] = np.concatenate(w)
+            s = np.round(q[some] @ m, 6)
+            s[s <= 0] = -1.0
+            values, names = np.concatenate([best[some], s], axis=1), np.concatenate([best_ids[some], np.broadcast_to(docs, s.shape)], axis=1)
+            order = np.lexsort((names, -values), axis=1)[:, :k]
+            best[some], best_ids[some] = np.take_along_axis(values, order, axis=1), np.take_along_axis(names, order, axis=1)
+
+        now, held = None, ([], [], [], [])
+        for batch in batches:
+            for window, term, most, ids, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), batch.column(4)):
+                if window != now and held[0]:
+                    score(*held)
+                    held = ([], [], [], [])
+                now = window
+                for part, x in zip(held, (term, most, ids.values.to_numpy(), w.values.to_numpy())):
+                    part.append(x)
+        if held[0]:
+            score(*held)
+        q, i = np.nonzero(best > 0)
+        yield pa.RecordBatch.from_arrays([pa.array(queries[q]), pa.array(best_ids[q, i]), pa.array(best[q, i])], names=["query_id", "doc_id", "score"])
+
+    return run
+
+
+def whole(index: Index, terms: DataFrame, k: int, most_numbers: int = 1 << 23) -> DataFrame:
+    """query_id, doc_id, score: candidates for the k best of each query, for queries of many terms. terms: of known_terms().
+
+    The stated queries go in groups of bounded size (queries x terms numbers at most), each a pass: the blocks of the group's terms are shuffled once to their windows, not
+    once for every query, and a task scores a window at a time as one product, leaving out queries whose bound there is under their k-th best so far. A task hands
+    on k rows for each query."""
+    spark = index.spark
+    rows = cut(terms.select("query_id", "bucket", "term", "idf").repartition("query_id").sortWithinPartitions("query_id"), "long-queries")
+    found = None
+
+    def one_pass(group: list) -> DataFrame:
+        queries, q = np.unique(np.array([r["query_id"] for r in group]), return_inverse=True)
+        names = sorted({(r["bucket"], r["term"]) for r in group})
+        vocabulary = {t: i for i, (_, t) in enumerate(names)}
+        weights = np.zeros((len(queries), len(names)))
+        weights[q, [vocabulary[r["term"]] for r in group]] = [r["idf"] for r in group]
+        shared = spark.sparkContext.broadcast((queries, vocabulary, weights))
+        wanted = spark.createDataFrame(names, "bucket int, term string")
+        read = index.blocks.select("bucket", "term", "window", "most", "ids", "weights").join(wanted, ["bucket", "term"], "left_semi")
+        dealt = read.select("window", "term", "most", "ids", "weights").repartition("window").sortWithinPartitions("window")
+        return dealt.mapInArrow(_window_scorer(shared, k), "query_id long, doc_id long, score double")
+
+    group, terms_seen, queries_seen = [], set(), set()
+    for r in rows.toLocalIterator():  # the queries' terms, a group at a time
+        if r["query_id"] not in queries_seen and (len(queries_seen) + 1) * len(terms_seen) > most_numbers:
+            part = cut(one_pass(group), "scored")
+            found = part if found is None else found.unionByName(part)
+            group, terms_seen, queries_seen = [], set(), set()
+        group.append(r)
+        terms_seen.add(r["term"])
+        queries_seen.add(r["query_id"])
+    last = one_pass(group) if group else spark.createDataFrame([], "query_id long, doc_id long, score double")
+    return last if found is None else found.unionByName(last)
+
+
 def search(index: Index, queries: DataFrame, k: int = 10, first: float = 0.6, most_terms: int = 16, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """query_id, doc_id, score, rank: the k best documents of each query by BM25, exactly, from the store (see Search). Queries without a known term have no rows."""
-    return Search(index, queries, k, first, most_terms, id_col, text_col).run()
+    """query_id, doc_id, score, rank: the k best documents of each query by BM25, exactly, from the store: queries of up to most_terms known terms by Search, longer ones by
+    whole(). Queries without a known term have no rows."""
+    terms = cut(known_terms(index, queries, id_col, text_col), "terms")
+    short, long = terms.where(F.col("n_terms") <= most_terms), terms.where(F.col("n_terms") > most_terms)
+    parts = []
+    if short.limit(1).count():
+        parts.append(Search(index, short, k, first).run().select("query_id", "doc_id", "score"))
+    parts.append(whole(index, long, k))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return ranked(out, k)

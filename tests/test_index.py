@@ -43,12 +43,20 @@ def test_search_is_exact(spark, docs, store, k, first):
 
 def test_blocks_are_skipped(spark, docs, store):
     q = spark.createDataFrame([(3, "w350 w399 w1 w0 w2"), (1, "w1 w2 w300"), (2, "w0")], "item_id long, text string")
-    found = index.Search(store, q, 5)
+    found = index.Search(store, index.known_terms(store, q), 5)
     read = {r["query_id"]: (r["n_blocks"], r["n_read"]) for r in found.plan().collect()}
     assert read[3][1] < 0.4 * read[3][0] and read[1][1] < 0.6 * read[1][0] and read[2][0] == read[2][1] > 50
     assert rows(found.run()) == rows(retrieve.bm25(docs, q, 5))
 
 
+def test_long_queries_in_groups(spark, docs, store):
+    """However few numbers a pass may hold."""
+    q = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i, 400, 11))) for i in range(12)], "item_id long, text string")
+    terms = index.known_terms(store, q)
+    for most in (1, 200, 1 << 23):
+        assert rows(retrieve.ranked(index.whole(store, terms, 7, most), 7)) == rows(retrieve.bm25(docs, q, 7))
+
+
 def test_store(spark, docs, store):
     """Blocks hold each posting once, in the order of impact under their bound, no more than the window's documents, and are read by bucket."""
     blocks = store.blocks
