@@ -89,14 +89,6 @@ def missing_sections(answers: DataFrame, required: list[str]) -> DataFrame:
     return answers.select("query_id", F.array_join(lacking, ",").alias("missing"), (F.size(lacking) == 0).alias("complete"))
 
 
-def abbreviations(texts: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Per text and abbreviation, whether its first occurrence is in brackets after its full form."""
-    found = F.array_distinct(F.regexp_extract_all("text", F.lit("[^A-Za-z]([A-Z]{2,5})[^A-Za-z]"), F.lit(1)))
-    out = texts.select(id_col, "text", F.explode(found).alias("abbr"))
-    first, bracket = F.expr("locate(abbr, text)"), F.expr("locate(concat('(', abbr, ')'), text)")
-    return out.select(id_col, "abbr", first.cast("long").alias("first_pos"), ((bracket > 0) & (bracket + 1 == first)).alias("introduced"))
-
-
 def reference_balance(answers: DataFrame) -> DataFrame:
     """What is cited but not listed (1..n_sources), and the other way round."""
     listed = F.when(F.col("n_sources") > 0, F.sequence(F.lit(1).cast("long"), F.col("n_sources"))).otherwise(F.array().cast("array<bigint>"))

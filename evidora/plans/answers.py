@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidora.functions.text import tokens
-from evidora.operators import constraints, context, entities, rerank, retrieve, understand
+from evidora.operators import abbreviations, constraints, context, entities, rerank, retrieve, understand
 from evidora.plans.base import Tables, query
 from evidora.plans.retrieval import LAST, REL, RUN, TOK, relevance
 
@@ -253,9 +253,19 @@ def chk_sections(t: Tables) -> DataFrame:
     return constraints.missing_sections(a, ["## Answer", "## References"])
 
 
-@query("chk_abbrev", "WITH a AS (SELECT doc_id, text, unnest(list_distinct(regexp_extract_all(text, '[^A-Za-z]([A-Z]{2,5})[^A-Za-z]', 1))) AS abbr FROM documents) SELECT doc_id, abbr, instr(text, abbr)::BIGINT AS first_pos, instr(text, '(' || abbr || ')') > 0 AND instr(text, '(' || abbr || ')') + 1 = instr(text, abbr) AS introduced FROM a")
+@query("chk_abbrev", r"WITH w AS (SELECT doc_id, text, unnest(list_distinct(list_filter(regexp_split_to_array(text, '[^\p{L}\p{N}]+'), lambda x: regexp_matches(x, '^[A-Z]{2,5}$')))) AS abbr FROM documents), p AS (SELECT doc_id, abbr, regexp_extract(text, '(?s)^(|.*?[^\p{L}\p{N}])' || abbr || '([^\p{L}\p{N}]|$)', 1) AS before FROM w) SELECT doc_id, abbr, length(before)::BIGINT + 1 AS first_pos, false AS introduced FROM p WHERE NOT ends_with(before, '(') UNION ALL SELECT doc_id, abbr, length(before)::BIGINT + 1, true FROM p WHERE ends_with(before, '(')")
 def chk_abbrev(t: Tables) -> DataFrame:
-    return constraints.abbreviations(t.documents)
+    """No document of the tables has an abbreviation in brackets; abbr_definitions and tests have."""
+    return abbreviations.introduced(t.documents)
+
+
+@query("abbr_definitions", r"WITH n AS (SELECT client_id, name, string_split(name, ' ') AS w FROM clients WHERE regexp_matches(name, '^[^ .]+ [^ .]+$')), s AS (SELECT client_id, name, w[2] AS last, substr(w[1], 1, 1) || substr(w[2], 1, 1) AS short FROM n) SELECT client_id, length(name)::BIGINT + 4 AS pos, short, CASE WHEN regexp_matches(lower(last), '^' || lower(substr(short, 1, 1)) || '.*' || lower(substr(short, 2, 1))) THEN last ELSE name END AS long FROM s")
+def abbr_definitions(t: Tables) -> DataFrame:
+    """Sentences made of each client's name and its initials in brackets; the full form is the shortest that the letters fit."""
+    name = F.col("name")
+    short = F.concat(F.substring(name, 1, 1), F.substring(F.split(name, " ")[1], 1, 1))
+    text = F.when(name.rlike("^[^ .]+ [^ .]+$"), F.concat(F.lit("Of "), name, F.lit(" ("), short, F.lit(") from "), F.coalesce("city", F.lit("nowhere"))))
+    return abbreviations.defined(t.clients.select("client_id", text.alias("text")), "client_id").withColumnRenamed("id", "client_id")
 
 
 @query("chk_refs_complete", f"WITH {ANSWERS}, c AS (SELECT query_id, list_distinct({CITED}) AS c, range(1, n_sources + 1) AS l FROM ans) SELECT query_id, coalesce(array_to_string(list_sort(list_filter(c, lambda x: NOT list_contains(l, x))), ','), '') AS unlisted, coalesce(array_to_string(list_sort(list_filter(l, lambda x: NOT list_contains(c, x))), ','), '') AS uncited FROM c")
