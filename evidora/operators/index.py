@@ -1,8 +1,8 @@
 """A stored inverted index with block bounds, and BM25 top-k that reads only the blocks which can matter.
 
 The store has three tables: `blocks`, postings cut by term and by window of documents, each block in the order of impact with its largest weight first; `terms`, document
-frequency and largest weight; `stats`, one row. Blocks and terms are partitioned by a hash of the term. A posting's weight is BM25's factor without the inverse
-document frequency, so that weights of one term compare across blocks."""
+frequency and largest weight; `stats`, one row. Blocks and terms are partitioned by a hash of the term. A posting has its term
+frequency and its document's length, small numbers that store well; its weight is BM25's factor of them without the inverse document frequency."""
 
 from __future__ import annotations
 
@@ -23,13 +23,19 @@ from evidora.sources.files import open_index, remove_folder, shared_folder
 
 #: Scores are rounded to six digits before they rank: what is nearer than this may tie.
 TIES = 2e-6
-BLOCKS = "term string, window long, n int, most double, ids array<long>, weights array<double>, bucket int"
+BLOCKS = "term string, window long, n int, most double, ids array<long>, tfs array<int>, dls array<int>, bucket int"
+PAYLOAD = ["window", "ids", "tfs", "dls"]
 
 
 def _bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
+def _weight(tf, dl, k1: float, b: float, avgdl: float):
+    """BM25's factor of a posting, of columns or arrays."""
+    return tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
+
+
 def build(docs: DataFrame, path: str, window: int = 128, buckets: int = 64, k1: float = 1.5, b: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Writes the index of docs (distinct ids; null texts have length 0 and no postings) to path.
 
@@ -44,20 +50,22 @@ def build(docs: DataFrame, path: str, window: int = 128, buckets: int = 64, k1:
         for batch in batches:
             for i, found in zip(batch.column(0).to_pylist(), batch.column(1)):
                 tf = Counter(found.as_py())
-                n = np.fromiter(tf.values(), float, len(tf))
-                weight = n * (k1 + 1) / (n + k1 * (1 - b + b * n.sum() / avgdl))
-                yield pa.RecordBatch.from_arrays([pa.array(list(tf), pa.string()), pa.array(np.full(len(tf), i)), pa.array(-weight)], names=["term", "doc_id", "w"])
-
-    posts = rows.mapInArrow(count, "term string, doc_id long, w double").select("term", F.pmod(F.xxhash64("doc_id"), F.lit(windows)).alias("window"), F.struct("w", "doc_id").alias("p"))
-    lists = posts.groupBy("term", "window").agg(F.array_sort(F.collect_list("p")).alias("p"))
-    blocks = lists.select(_bucket(F.col("term"), buckets).alias("bucket"), "term", "window", F.size("p").alias("n"), (-F.col("p")[0]["w"]).alias("most"), F.col("p.doc_id").alias("ids"), F.transform("p.w", lambda w: -w).alias("weights"))
+                n = np.fromiter(tf.values(), np.int32, len(tf))
+                yield pa.RecordBatch.from_arrays([pa.array(list(tf), pa.string()), pa.array(np.full(len(tf), i)), pa.array(n), pa.array(np.full(len(tf), n.sum(), np.int32))], names=["term", "doc_id", "tf", "dl"])
+
+    posts = rows.mapInArrow(count, "term string, doc_id long, tf int, dl int")
+    posts = posts.withColumns({"bucket": _bucket(F.col("term"), buckets), "window": F.pmod(F.xxhash64("doc_id"), F.lit(windows))})
+    dealt = posts.repartition("bucket", "window")  # the one shuffle: blocks are made where their postings come to
+    weight = _weight(F.col("tf"), F.col("dl"), k1, b, avgdl)
+    lists = dealt.groupBy("bucket", "window", "term").agg(F.array_sort(F.collect_list(F.struct((-weight).alias("w"), "doc_id", "tf", "dl"))).alias("p"))
+    blocks = lists.select("bucket", "term", "window", F.size("p").alias("n"), (-F.col("p")[0]["w"]).alias("most"), F.col("p.doc_id").alias("ids"), F.col("p.tf").alias("tfs"), F.col("p.dl").alias("dls"))
     spark = docs.sparkSession
-    blocks.repartition(buckets, "bucket", "window").sortWithinPartitions("bucket", "term", "window").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/blocks")
+    blocks.sortWithinPartitions("bucket", "term", "window").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/blocks")
     heads = spark.read.schema(BLOCKS).parquet(f"{path}/blocks").select("bucket", "term", "n", "most")
     terms = heads.groupBy("bucket", "term").agg(F.sum("n").alias("df"), F.max("most").alias("most"))
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     terms.withColumn("idf", idf).repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
-    stats = spark.range(1).select(F.lit(n).cast("long").alias("n"), F.lit(float(avgdl)).alias("avgdl"), F.lit(windows).cast("long").alias("windows"), F.lit(buckets).alias("buckets"))
+    stats = spark.range(1).select(F.lit(n).cast("long").alias("n"), F.lit(float(avgdl)).alias("avgdl"), F.lit(windows).cast("long").alias("windows"), F.lit(buckets).alias("buckets"), F.lit(k1).alias("k1"), F.lit(b).alias("b"))
     stats.coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
 
 
@@ -68,6 +76,7 @@ class Index:
         self.spark, self.path = spark, path
         stats = open_index(spark, f"{path}/stats").first()
         self.n, self.windows, self.buckets = stats["n"], stats["windows"], stats["buckets"]
+        self.factors = stats["k1"], stats["b"], stats["avgdl"] or 1.0
 
     @property
     def terms(self) -> DataFrame:
@@ -76,7 +85,7 @@ class Index:
 
     @property
     def blocks(self) -> DataFrame:
-        """bucket, term, window, n, most, ids, weights."""
+        """bucket, term, window, n, most, ids, tfs, dls."""
         return self.spark.read.schema(BLOCKS).parquet(f"{self.path}/blocks")
 
 
@@ -102,8 +111,9 @@ def _kth(scores: DataFrame, k: int) -> DataFrame:
     return best.groupBy("query_id").agg(F.min("score").alias("least"), F.max("place").alias("has")).where(F.col("has") == k).select("query_id", "least")
 
 
-def _postings(blocks: DataFrame) -> DataFrame:
-    return blocks.select("query_id", "window", "idf", F.explode(F.arrays_zip("ids", "weights")).alias("p")).select("query_id", "window", F.col("p.ids").alias("doc_id"), (F.col("idf") * F.col("p.weights")).alias("score"))
+def _postings(blocks: DataFrame, index: Index) -> DataFrame:
+    each = blocks.select("query_id", "window", "idf", F.explode(F.arrays_zip("ids", "tfs", "dls")).alias("p"))
+    return each.select("query_id", "window", F.col("p.ids").alias("doc_id"), (F.col("idf") * _weight(F.col("p.tfs"), F.col("p.dls"), *index.factors)).alias("score"))
 
 
 class Search:
@@ -138,12 +148,12 @@ class Search:
         return self.index.blocks.select("bucket", "term", *columns).join(terms.select("query_id", "bucket", "term", "idf"), ["bucket", "term"])
 
     def _whole(self, terms: DataFrame) -> DataFrame:
-        return _postings(self._of(terms, ["window", "ids", "weights"]))
+        return _postings(self._of(terms, PAYLOAD), self.index)
 
     def _completing(self, terms: DataFrame, docs: DataFrame) -> DataFrame:
         """The postings of terms in docs (query_id, window, doc_id), from the blocks of their windows."""
-        read = self._of(terms, ["window", "ids", "weights"]).join(docs.select("query_id", "window").distinct(), ["query_id", "window"], "left_semi")
-        return _postings(read).join(docs.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi")
+        read = self._of(terms, PAYLOAD).join(docs.select("query_id", "window").distinct(), ["query_id", "window"], "left_semi")
+        return _postings(read, self.index).join(docs.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi")
 
     def candidates(self) -> DataFrame:
         """query_id, window, doc_id, score: documents that can still be among the best, by the headers of blocks alone."""
@@ -180,7 +190,7 @@ def known_terms(index: Index, queries: DataFrame, id_col: str = "item_id", text_
     return known.withColumn("n_terms", F.count("*").over(Window.partitionBy("query_id")))
 
 
-def _window_scorer(shared, k: int):
+def _window_scorer(shared, k: int, factors: tuple[float, float, float]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries, vocabulary, weights = shared.value  # ids; term -> column; queries x terms, inverse document frequencies
         best = np.full((len(queries), k), -1.0)
@@ -202,12 +212,12 @@ def _window_scorer(shared, k: int):
 
         now, held = None, ([], [], [], [])
         for batch in batches:
-            for window, term, most, ids, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), batch.column(4)):
+            for window, term, most, ids, tf, dl in zip(*(batch.column(i).to_pylist() for i in range(3)), *(batch.column(i) for i in range(3, 6))):
                 if window != now and held[0]:
                     score(*held)
                     held = ([], [], [], [])
                 now = window
-                for part, x in zip(held, (term, most, ids.values.to_numpy(), w.values.to_numpy())):
+                for part, x in zip(held, (term, most, ids.values.to_numpy(), _weight(tf.values.to_numpy(), dl.values.to_numpy(), *factors))):
                     part.append(x)
         if held[0]:
             score(*held)
@@ -235,9 +245,9 @@ def whole(index: Index, terms: DataFrame, k: int, most_numbers: int = 1 << 23) -
         weights[q, [vocabulary[r["term"]] for r in group]] = [r["idf"] for r in group]
         shared = spark.sparkContext.broadcast((queries, vocabulary, weights))
         wanted = spark.createDataFrame(names, "bucket int, term string")
-        read = index.blocks.select("bucket", "term", "window", "most", "ids", "weights").join(wanted, ["bucket", "term"], "left_semi")
-        dealt = read.select("window", "term", "most", "ids", "weights").repartition("window").sortWithinPartitions("window")
-        return dealt.mapInArrow(_window_scorer(shared, k), "query_id long, doc_id long, score double")
+        read = index.blocks.select("bucket", "term", "window", "most", "ids", "tfs", "dls").join(wanted, ["bucket", "term"], "left_semi")
+        dealt = read.select("window", "term", "most", "ids", "tfs", "dls").repartition("window").sortWithinPartitions("window")
+        return dealt.mapInArrow(_window_scorer(shared, k, index.factors), "query_id long, doc_id long, score double")
 
     group, terms_seen, queries_seen = [], set(), set()
     for r in rows.toLocalIterator():  # the queries' terms, a group at a time

@@ -51,7 +51,3 @@ def upsert(base: DataFrame, changes: DataFrame, deletes: DataFrame, key: str) ->
 def fresh_or_frozen(fresh: DataFrame, frozen: DataFrame) -> DataFrame:
     out = frozen.join(fresh, "doc_id", "left")
     return out.select("doc_id", F.coalesce("fresh_source", "source").alias("source"), F.col("fresh_source").isNotNull().alias("fresh"))
-
-
-def parse_log(lines: DataFrame) -> DataFrame:
-    return lines.withColumns({"request_id": F.regexp_extract("value", "request_id=([0-9a-f]+)", 1), "status": F.regexp_extract("value", r"status=(\w+)", 1)})

@@ -4,6 +4,9 @@ Truth: documents that hold a benchmark passage verbatim. Tier: T1..T3 by item_id
 
 from __future__ import annotations
 
+import atexit
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +16,8 @@ from evidora.operators.links import cut
 from evidora.plans.answers import ANSWERS, CTX, EXTRACT, ctx, planted, references
 from evidora.plans.base import Tables, query
 from evidora.plans.retrieval import BM25, RUN, TOK
+from evidora.sources import requests
+from evidora.sources.files import remove_folder, shared_folder
 
 QRELS = "qrels AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 BEST = f"{RUN}, {QRELS}, bst AS (SELECT query_id, count(*) AS n_targets, min(rank) AS best FROM qrels LEFT JOIN run USING (query_id, doc_id) GROUP BY query_id), best AS (SELECT item_id AS query_id, 'T' || (item_id % 3 + 1) AS tier, coalesce(n_targets, 0) AS n_targets, best FROM benchmark LEFT JOIN bst ON query_id = item_id)"
@@ -232,9 +237,17 @@ def join_catalog(t: Tables) -> DataFrame:
     return retrieve.bm25(t.documents, t.benchmark).select("query_id", "doc_id").join(t.documents.select("doc_id", "lang", "source", "n_chars"), "doc_id")
 
 
-@query("log_requests", "SELECT event_id, 'request_id=' || regexp_extract('ts=' || event_id || ' request_id=' || substr(md5(event_id::VARCHAR), 1, 12) || ' status=' || event_type, 'request_id=([0-9a-f]+)', 1) AS request, event_type AS status FROM events")
+@query("log_requests", "SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS ts, substr(md5(event_id::VARCHAR), 1, 12) AS request_id, event_type AS status, value AS latency_ms, 'user ' || coalesce(user_id::VARCHAR, '-') || chr(10) || coalesce(props, '') AS message FROM events")
 def log_requests(t: Tables) -> DataFrame:
-    line = F.concat(F.lit("ts="), F.col("event_id"), F.lit(" request_id="), F.substring(F.md5(F.col("event_id").cast("string").cast("binary")), 1, 12), F.lit(" status="), F.col("event_type"))
-    return service.parse_log(t.events.select("event_id", line.alias("value"))).select("event_id", F.concat(F.lit("request_id="), F.col("request_id")).alias("request"), "status")
+    """Call records written as a request log, a line each, and read back by their fields."""
+    t.spark.dataSource.register(requests.RequestLog)
+    message = F.concat(F.lit("user "), F.coalesce(F.col("user_id").cast("string"), F.lit("-")), F.lit("\n"), F.coalesce("props", F.lit("")))
+    request = F.substring(F.md5(F.col("event_id").cast("string").cast("binary")), 1, 12)
+    lines = t.events.select(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("ts"), request.alias("request_id"), F.col("event_type").alias("status"), F.col("value").alias("latency_ms"), message.alias("message"))
+    path = f"{shared_folder(t.spark)}/requests-{uuid.uuid4().hex}"
+    atexit.register(remove_folder, t.spark, path)
+    lines.write.format("request_log").mode("append").save(path)
+    return t.spark.read.format("request_log").load(path)
+
 
 
