@@ -40,7 +40,6 @@ def all_ids(rows):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path(tokens.VOCABULARY))
-    t.encode_special_tokens = True
     return [(i, np.array([*t.encode(x or "", add_special_tokens=False).ids, 2], "<u4")) for i, x in rows]
 
 

@@ -132,6 +132,14 @@ def test_matrices_round_trip(spark, odd, sf_dir):
         assert {k: sorted(v) for k, v in found.items()} == {k: sorted(v) for k, v in expected.items()}
 
 
+def test_special_tokens_are_one_id(spark):
+    """As the tokenizers library reads the file: its added tokens are single ids wherever they stand."""
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>y", "<|endoftext", "<|EndOfText|> \u00e9 <|endoftext|>\n" * 400, None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert 50256 in all_ids([(0, texts[0])])[0][1] and all((tokens.token_ids(t) == x).all() for (_, x), t in zip(all_ids(list(enumerate(texts))), texts))
+    check_pieces(df, packing.pack_pieces(df).collect())
+
+
 def test_pieces(spark, odd, sf_dir):
     for df in (odd, documents(spark, sf_dir).repartition(13)):
         check_pieces(df, packing.pack_pieces(df, fan_in=3).collect(), 0.08)  # thirteen partitions of 15 documents each
