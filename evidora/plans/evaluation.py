@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidora.functions.text import tokens
-from evidora.operators import constraints, evaluate, retrieve, service, sketches
+from evidora.operators import constraints, evaluate, retrieve, service, sketches, versions
 from evidora.operators.links import cut
 from evidora.plans.answers import ANSWERS, CTX, EXTRACT, ctx, planted, references
 from evidora.plans.base import Tables, query
@@ -225,6 +225,21 @@ def doc_upsert(t: Tables) -> DataFrame:
     return service.upsert(base, changes, base.where("lang = 'es'").select("doc_id"), "doc_id")
 
 
+@query("doc_versions", f"WITH d AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 AND doc_id % 7 <> 0 THEN text || ' second' ELSE text END AS text FROM documents WHERE doc_id % 7 <> 0 OR doc_id % 3 = 0), e AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'third ' || text ELSE text END AS text FROM d), x AS (SELECT doc_id, unnest({TOK.format('text')}) AS term FROM e), p AS (SELECT term, doc_id, count(*) AS tf FROM x GROUP BY ALL) SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf, min(doc_id) AS first_doc FROM p GROUP BY term")
+def doc_versions(t: Tables) -> DataFrame:
+    """The postings of the fourth version of the documents: loaded, every fifth changed and every seventh deleted, compacted, and some of the deleted ones put back."""
+    path = f"{shared_folder(t.spark)}/versions-{uuid.uuid4().hex}"
+    atexit.register(remove_folder, t.spark, path)
+    store = versions.Versions(t.spark, path, "doc_id long, text string")
+    docs = t.documents.select("doc_id", "text")
+    store.upsert(docs)
+    fifth = docs.where("doc_id % 5 = 0 and doc_id % 7 <> 0")
+    store.upsert(fifth.withColumn("text", F.concat("text", F.lit(" second"))), docs.where("doc_id % 7 = 0"))
+    store.compact()
+    store.upsert(docs.where("doc_id % 7 = 0 and doc_id % 3 = 0").withColumn("text", F.concat(F.lit("third "), "text")))
+    return store.postings().groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.min("doc_id").alias("first_doc"))
+
+
 @query("coalesce_versions", "SELECT doc_id, CASE WHEN lang = 'en' THEN upper(source) ELSE source END AS source, lang = 'en' AS fresh FROM documents")
 def coalesce_versions(t: Tables) -> DataFrame:
     """Fresh versions exist of the English rows; the frozen ones stand in for the others."""
