@@ -94,9 +94,12 @@ def qu_translate_model(t: Tables) -> DataFrame:
     return understand.translated(t.benchmark, understand.Unchanged())
 
 
-@query("dict_stats", f"WITH s AS (SELECT * FROM {_values(SYNONYMS, 'term, synonym')}) SELECT count(*) AS n_pairs, count(DISTINCT term) AS n_terms, round(count(*) / count(DISTINCT term), 6) AS per_term FROM s")
+@query("dict_stats", "WITH s AS (SELECT DISTINCT lower(name) AS term, lower(brand) AS synonym FROM items WHERE name IS NOT NULL AND brand IS NOT NULL) SELECT count(*) AS n_pairs, count(DISTINCT term) AS n_terms, round(count(*) / count(DISTINCT term), 6) AS per_term FROM s")
 def dict_stats(t: Tables) -> DataFrame:
-    return synonyms(t).agg(F.count("*").alias("n_pairs"), F.countDistinct("term").alias("n_terms"), F.round(F.count("*") / F.countDistinct("term"), 6).alias("per_term"))
+    """Size of a dictionary that a table holds: names of items and the brands that go by them."""
+    pairs = t.items.where("name is not null and brand is not null").select(F.lower("name").alias("term"), F.lower("brand").alias("synonym")).distinct()
+    per = pairs.groupBy("term").agg(F.count("*").alias("n"))  # distinct terms need no second count
+    return per.agg(F.sum("n").alias("n_pairs"), F.count("*").alias("n_terms"), F.round(F.sum("n") / F.count("*"), 6).alias("per_term"))
 
 
 # ---- context -----------------------------------------------------------------------------
@@ -194,7 +197,11 @@ def ctx_prompt(t: Tables) -> DataFrame:
 # ---- generation and constraints ----------------------------------------------------------
 
 
-@query("gen_stub_chain")
+#: Words as Python's split() parts them.
+FIRST = r"array_to_string(list_filter(regexp_split_to_array(context, '[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+'), lambda x: x <> '')[1:40], ' ')"
+
+
+@query("gen_stub_chain", f"WITH {RENDER} SELECT query_id, unnest(['assess', 'answer', 'critique', 'final']) AS stage, {FIRST} AS output FROM rd")
 def gen_stub_chain(t: Tables) -> DataFrame:
     asked = context.render(ctx(t)).join(t.benchmark.select(F.col("item_id").alias("query_id"), "text"), "query_id")
     return constraints.chain(asked, constraints.FirstWords())
@@ -205,11 +212,12 @@ def gen_extractive(t: Tables) -> DataFrame:
     return constraints.extractive(ctx(t))
 
 
-@query("ablation_ratio", f"WITH {ANSWERS} SELECT count(*) AS n, round(sum(length(answer) * 4.0) / sum(length(answer)), 6) AS calls_ratio, round(avg(length(answer)), 6) AS mean_length FROM ans")
+@query("ablation_ratio", f"WITH {EXTRACT}, w AS (SELECT query_id, 4 * length({FIRST}) AS staged FROM rd) SELECT count(*) AS n, round(sum(staged) / sum(length(answer)), 6) AS ratio, max(staged)::BIGINT AS most FROM ex JOIN w USING (query_id)")
 def ablation_ratio(t: Tables) -> DataFrame:
-    """A four-stage chain against a direct answer, in characters written by stand-ins that write as much at each stage."""
-    n = F.length("answer")
-    return answers(t).agg(F.count("*").alias("n"), F.round(F.sum(n * 4.0) / F.sum(n), 6).alias("calls_ratio"), F.round(F.avg(n), 6).alias("mean_length"))
+    """What the four stages of the chain write against the direct answer, in characters; both by stand-ins."""
+    staged = gen_stub_chain(t).groupBy("query_id").agg(F.sum(F.length("output")).alias("staged"))
+    both = constraints.extractive(ctx(t)).join(staged, "query_id")
+    return both.agg(F.count("*").alias("n"), F.round(F.sum("staged") / F.sum(F.length("answer")), 6).alias("ratio"), F.max("staged").alias("most"))
 
 
 CITED = r"list_transform(regexp_extract_all(answer, '\[S(\d+)\]', 1), lambda x: x::BIGINT)"

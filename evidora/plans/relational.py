@@ -164,7 +164,7 @@ _sql("subq_scalar", "SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT
 _sql("subq_exists", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F') AND c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)", "customer", "orders", "nation")
 _sql("subq_not_exists", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT' AND o_orderstatus = 'F')", "customer", "orders")
 _sql("cte_basic", "WITH r AS (SELECT n_regionkey, count(*) AS n FROM nation JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_regionkey) SELECT r_name, n FROM r JOIN region ON r_regionkey = n_regionkey", "nation", "supplier", "region")
-_sql("cte_recursive", "WITH RECURSIVE c(n, f) AS (SELECT CAST(1 AS BIGINT), CAST(1 AS BIGINT) UNION ALL SELECT n + 1, f * 2 FROM c WHERE n < 20) SELECT n, f FROM c")
+_sql("cte_recursive", "WITH RECURSIVE d AS (SELECT DISTINCT client_id, master_id FROM clients), r(client_id, root, depth) AS (SELECT client_id, client_id, CAST(0 AS BIGINT) FROM d WHERE master_id = client_id UNION ALL SELECT d.client_id, r.root, r.depth + 1 FROM r JOIN d ON d.master_id = r.client_id WHERE d.client_id <> d.master_id) SELECT client_id, root, depth FROM r", "clients")
 _sql("set_intersect", "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier", "customer", "supplier")
 
 
