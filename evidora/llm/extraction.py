@@ -86,7 +86,7 @@ def _kind(attrs: list[tuple[str, str | None]]) -> str | None:
                     if i and names[i - 1] in _NOT:
                         continue
                     found = _HINT.get(x) or (_HINT.get(x + names[i + 1]) if i + 1 < len(names) else None)
-                    if found:
+                    if found and (found != "hidden" or i == len(names) - 1):  # hidden-xs is hidden on some screens
                         return found
     return None
 

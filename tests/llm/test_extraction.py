@@ -24,6 +24,7 @@ CASES = [
     (page(f'<article><h1>A</h1><p>{PROSE}</p><div class="ad-slot"><p>{MORE}</p></div><p>{MORE}</p><section id="comments"><article class="comment"><p>{PROSE}</p></article></section></article>'), f"A {PROSE} {MORE}"),
     (page(f"<form><label>Name</label><input><p>{MORE}</p><button>Go</button></form><article><p>{PROSE}</p></article><aside>{MORE}</aside>"), PROSE),
     (page(f'<div class="no-sidebar has-comments"><article><p>{PROSE}</p></article></div>'), PROSE),
+    (page(f'<div class="hidden-xs col"><p>{PROSE}</p></div><div class="visually-hidden"><p>{MORE}</p></div><p hidden>{MORE}</p><div style="display: none">{MORE}</div>'), PROSE),
     # no article element: length, links and function words decide
     (page(f'<div><ul>{LINKS}</ul></div><div class="x1"><h1>Title</h1><p>By somebody</p><p>{PROSE}</p><p>So be it.</p><p>{MORE}</p></div><div>© 2024 Some company</div>'), f"Title By somebody {PROSE} So be it. {MORE}"),
     (page(f"<div><ul>{LINKS}</ul></div><div><p>{GERMAN}</p></div><div>Impressum</div><table><tr><td>{LINKS}</td></tr></table>", lang="de"), GERMAN),
