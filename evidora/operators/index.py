@@ -245,7 +245,7 @@ def whole(index: Index, terms: DataFrame, k: int, most_numbers: int = 1 << 23) -
         weights[q, [vocabulary[r["term"]] for r in group]] = [r["idf"] for r in group]
         shared = spark.sparkContext.broadcast((queries, vocabulary, weights))
         wanted = spark.createDataFrame(names, "bucket int, term string")
-        read = index.blocks.select("bucket", "term", "window", "most", "ids", "tfs", "dls").join(wanted, ["bucket", "term"], "left_semi")
+        read = index.blocks.select("bucket", "term", "window", "most", "ids", "tfs", "dls").join(F.broadcast(wanted), ["bucket", "term"], "left_semi")  # a group's terms, bounded by most_numbers
         dealt = read.select("window", "term", "most", "ids", "tfs", "dls").repartition("window").sortWithinPartitions("window")
         return dealt.mapInArrow(_window_scorer(shared, k, index.factors), "query_id long, doc_id long, score double")
 
