@@ -7,6 +7,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -104,13 +105,70 @@ def embed(docs: DataFrame, encoder: Encoder, id_col: str = "doc_id") -> DataFram
     return docs.select(id_col, "text").mapInPandas(run, f"{id_col} long, embedding array<float>")
 
 
-def knn_lsh(vectors: DataFrame, queries: DataFrame, distance: float = 1.2, tables: int = 12, width: float = 1.0) -> DataFrame:
-    """Pairs within a Euclidean distance that share a bucket of random projections (unit vectors: distance is cosine)."""
+def knn_lsh(vectors: DataFrame, queries: DataFrame, distance: float = 1.2, tables: int = 12, width: float = 1.0, block: int = 1024, slices: int = 8) -> DataFrame:
+    """Pairs within a Euclidean distance that share a bucket of random projections (unit vectors: distance is cosine).
+
+    Vectors and queries of a bucket go in blocks, which meet by an equi-join of table and bucket (a bucket's blocks lie in so many slices): one matrix product a pair of blocks. A pair
+    is handed on in the first table whose bucket it shares, so no shuffle looks for repeats. A bucket with half of the vectors costs products, not rows."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    finite = lambda x: ~F.isnan(x) & (F.abs(x) < float("inf"))  # noqa: E731  others are within no distance
+
+    def of(df: DataFrame) -> DataFrame:
+        x = F.transform("embedding", lambda x: x.cast("double"))
+        rows = df.select("vec_id", x.alias("x")).where(F.col("vec_id").isNotNull() & F.col("x").isNotNull()).where(F.forall("x", finite)).distinct()
+        return rows.withColumn("v", array_to_vector("x"))
 
-    of = lambda df: df.select("vec_id", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("v"))
     all_, some = of(vectors), of(queries)
     model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=width, numHashTables=tables, seed=7).fit(all_)
-    out = model.approxSimilarityJoin(some, all_, distance, "dist")
-    return out.select(F.col("datasetA.vec_id").alias("query_id"), F.col("datasetB.vec_id").alias("doc_id"), F.round("dist", 6).alias("dist")).where("query_id <> doc_id")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, float], list] = {}
+        size = 0
+
+        def blocks() -> Iterator[pa.RecordBatch]:
+            for t, bucket in list(held):
+                ids, x, h = (np.concatenate(c) for c in zip(*held.pop((t, bucket))))
+                for i in range(0, len(ids), block):
+                    part = slice(i, i + block)
+                    row = [pa.array([t], pa.int32()), pa.array([bucket]), pa.array([ids[part].tolist()], pa.list_(pa.int64())), pa.array([x[part].tobytes()], pa.binary()), pa.array([h[part].tobytes()], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(row, names=["t", "bucket", "ids", "x", "h"])
+
+        for batch in batches:
+            ids, x, h = batch.column(0).to_numpy(), *(batch.column(c).flatten().to_numpy().reshape(batch.num_rows, -1) for c in (1, 2))
+            for t in range(tables):
+                order = np.argsort(h[:, t], kind="stable")
+                for at in np.split(order, np.flatnonzero(np.diff(h[order, t])) + 1):
+                    held.setdefault((t, float(h[at[0], t])), []).append((ids[at], x[at], h[at]))
+            size += len(ids) * tables
+            if size > 1 << 16:
+                yield from blocks()
+                size = 0
+        yield from blocks()
+
+    def packed(df: DataFrame) -> DataFrame:
+        buckets = F.array(*[vector_to_array(F.col("h")[i])[0] for i in range(tables)])
+        rows = model.transform(df).select(F.col("vec_id").cast("long"), "x", buckets.alias("h")).where("size(x) > 0")
+        return rows.mapInArrow(pack, "t int, bucket double, ids array<long>, x binary, h binary")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t, ids, x, h, q_ids, q_x, q_h in zip(*(batch.column(i) for i in range(7))):
+                ids, q_ids = ids.values.to_numpy(), q_ids.values.to_numpy()
+                x, h = (np.frombuffer(r.as_buffer()).reshape(len(ids), -1) for r in (x, h))
+                q_x, q_h = (np.frombuffer(r.as_buffer()).reshape(len(q_ids), -1) for r in (q_x, q_h))
+                square = (q_x**2).sum(axis=1)[:, None] + (x**2).sum(axis=1) - 2 * (q_x @ x.T)
+                at, to = np.nonzero(square < distance**2 + 1e-9 * (1 + np.abs(square)))
+                for i in range(0, len(at), 1 << 14):
+                    a, b = at[i : i + (1 << 14)], to[i : i + (1 << 14)]
+                    first = np.argmax(q_h[a] == h[b], axis=1) == t.as_py()  # the table's own bucket is shared, so there is one
+                    a, b = a[first], b[first]
+                    dist = np.sqrt(((q_x[a] - x[b]) ** 2).sum(axis=1))
+                    fine = (dist < distance) & (q_ids[a] != ids[b])
+                    yield pa.RecordBatch.from_arrays([pa.array(q_ids[a[fine]]), pa.array(ids[b[fine]]), pa.array(dist[fine])], names=["query_id", "doc_id", "dist"])
+
+    dealt = packed(all_).withColumn("slice", F.pmod(F.xxhash64("ids"), F.lit(slices)).cast("int"))
+    asked = packed(some).select("t", "bucket", F.col("ids").alias("q_ids"), F.col("x").alias("q_x"), F.col("h").alias("q_h"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
+    pairs = dealt.join(asked, ["t", "bucket", "slice"]).select("t", "ids", "x", "h", "q_ids", "q_x", "q_h")
+    return pairs.mapInArrow(near, "query_id long, doc_id long, dist double").select("query_id", "doc_id", F.round("dist", 6).alias("dist"))

@@ -49,3 +49,20 @@ def test_odd_vectors(spark):
         vectors.fit(v.limit(0))
     with pytest.raises(ValueError):
         vectors.fit(v, parts=3)
+
+
+def test_lsh_hands_on_pairs_not_buckets(spark):
+    """Every pair within the distance that shares a bucket, once, though a bucket has most of the vectors; the plan joins blocks, not vectors."""
+    from evidora.operators import ingest
+
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((400, 16))
+    x[200:] = x[:200] + 0.05 * rng.standard_normal((200, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    v = frame(spark, x).unionByName(spark.createDataFrame([(900, None), (901, [float("nan")] * 16), (None, [1.0] + [0.0] * 15)], "vec_id long, embedding array<float>"))
+    q = v.where("vec_id % 20 = 0")
+    got = [(r["query_id"], r["doc_id"]) for r in ingest.knn_lsh(v, q, 0.8, block=32, slices=3).collect()]
+    near = {(a, b) for a in range(0, 400, 20) for b in range(400) if a != b and np.linalg.norm(x[a] - x[b]) < 0.8}
+    assert len(got) == len(set(got)) and set(got) <= near and len(got) >= 0.9 * len(near) > 0
+    plan = ingest.knn_lsh(v, q, 0.8)._jdf.queryExecution().executedPlan().toString()
+    assert "hashValue" not in plan  # no row for each table that a pair of vectors shares
