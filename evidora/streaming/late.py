@@ -71,50 +71,55 @@ def daily(late: str = "1 hour") -> Callable[[DataFrame], DataFrame]:
 
 
 class Sessions(StatefulProcessor):
-    """A user's open sessions as map state, first -> last, n, in microseconds. Rows join the sessions within `gap` of them, which may make two sessions one; a timer
-    at the end of each session's gap closes it, so state lives as long as a session is open (Spark takes a time to live with processing time only)."""
+    """The open sessions of a slice of the users as one list in state: user, first, last, n, in microseconds. Rows join the sessions within `gap` of them, which may make two sessions
+    one. One timer a slice, at the end of the gap of the session that ends first, closes all that are over and is set anew for the next, so state lives as long as a session is open
+    (Spark takes a time to live with processing time only). A call of Python and its state cost far more than a row, so there is one for a slice, not for each user or session."""
 
     def __init__(self, gap: int):
         self.gap = gap
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.open = handle.getMapState("open", "first long", "last long, n long")
+        self.open = handle.getListState("sessions", "user_id long, first long, last long, n long")
+
+    def _read(self) -> pd.DataFrame:
+        return pd.DataFrame([tuple(r) for r in self.open.get()], columns=["user_id", "first", "last", "n"], dtype="int64")
+
+    def _keep(self, spans: pd.DataFrame) -> None:
+        """Writes the sessions down, with a timer for the first that ends; a timer that is set already stays the same one."""
+        if spans.empty:
+            self.open.clear()
+            return
+        self.open.put(list(zip(*(spans[c].tolist() for c in ("user_id", "first", "last", "n")))))
+        self.handle.registerTimer((int(spans["last"].min()) + self.gap) // 1000 + 1)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        spans = [(k[0], v[0], v[1]) for k, v in self.open.iterator()]
-        times = pd.concat([pdf["at"] for pdf in rows]) if rows is not None else pd.Series([], dtype="int64")
-        spans += [(int(t), int(t), 1) for t in times]
-        merged: list[list[int]] = []
-        for first, last, n in sorted(spans):
-            if merged and first - merged[-1][1] < self.gap:
-                merged[-1][1], merged[-1][2] = max(merged[-1][1], last), merged[-1][2] + n
-            else:
-                merged.append([first, last, n])
-        self.open.clear()
-        for first, last, n in merged:
-            self.open.updateValue((first,), (last, n))
-            self.handle.registerTimer((last + self.gap) // 1000 + 1)
+        new = [pd.DataFrame({"user_id": pdf["user_id"], "first": pdf["at"], "last": pdf["at"], "n": 1}) for pdf in rows or ()]
+        spans = pd.concat([self._read(), *new]).sort_values(["user_id", "first"], ignore_index=True)
+        before = spans.groupby("user_id")["last"].cummax().shift(fill_value=0)
+        starts = (spans["user_id"] != spans["user_id"].shift()) | (spans["first"] - before >= self.gap)
+        self._keep(spans.groupby(starts.cumsum()).agg({"user_id": "first", "first": "min", "last": "max", "n": "sum"}))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs() * 1000
-        done = [(k[0], v[1]) for k, v in self.open.iterator() if v[0] + self.gap <= now]
-        for first, _ in done:
-            self.open.removeKey((first,))
-        yield pd.DataFrame({"start": pd.Series([f for f, _ in done], dtype="int64"), "user_id": pd.Series([key[0]] * len(done), dtype="int64"), "n": pd.Series([n for _, n in done], dtype="int64")})
+        spans = self._read()
+        done = spans["last"] + self.gap <= timerValues.getCurrentWatermarkInMs() * 1000
+        self._keep(spans[~done])
+        if done.any():
+            yield spans[done].rename(columns={"first": "start"})[["start", "user_id", "n"]]
 
     def close(self) -> None:
         pass
 
 
-def timed_sessions(late: str = "1 hour", gap_minutes: int = 30) -> Callable[[DataFrame], DataFrame]:
-    """start, user_id, n of each session that the watermark has closed. The state is in RocksDB, so it may be larger than memory."""
+def timed_sessions(late: str = "1 hour", gap_minutes: int = 30, slices: int = 1024) -> Callable[[DataFrame], DataFrame]:
+    """start, user_id, n of each session that the watermark has closed. Users are dealt to `slices` keys of state (which stays the same for a checkpoint). The state is in RocksDB,
+    so it may be larger than memory."""
     def plan(events: DataFrame) -> DataFrame:
         events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
         timed = events.where("user_id is not null and ts is not null").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
-        rows = timed.select("user_id", "ts", F.unix_micros("ts").alias("at"))
-        out = rows.groupBy("user_id").transformWithStateInPandas(Sessions(gap_minutes * 60_000_000), "start long, user_id long, n long", "append", "EventTime")
+        rows = timed.select(F.pmod(F.xxhash64("user_id"), F.lit(slices)).alias("slice"), F.col("user_id").cast("long").alias("user_id"), "ts", F.unix_micros("ts").alias("at"))
+        out = rows.groupBy("slice").transformWithStateInPandas(Sessions(gap_minutes * 60_000_000), "start long, user_id long, n long", "append", "EventTime")
         return out.select(F.timestamp_micros("start").cast("timestamp_ntz").alias("start"), "user_id", "n")
 
     return plan

@@ -70,3 +70,14 @@ def test_sketches_of_nulls(spark):
     got = {r["event_type"]: (r["n"], r["p50"], r["n_users"]) for r in sketches.read(sketches.merged(sketches.hourly(df), "event_type"), "event_type").collect()}
     assert got == {"a": (2, 2.0, 1), "b": (1, None, 0)}
     assert sketches.merged(sketches.hourly(df.limit(0)), "event_type").count() == 0
+
+
+def test_sessions_take_few_calls(spark):
+    """State and timers cost a call for each slice of the users, not for each user or session."""
+    schema = "user_id long, ts timestamp_ntz"
+    stream = late.Arrivals(spark.createDataFrame([], schema).schema, late.timed_sessions("1 hour", slices=8))
+    stream.run(spark.createDataFrame([(u, at(3.0 * h)) for u in range(40) for h in range(10)], schema))
+    got = sorted((r["user_id"], r["start"], r["n"]) for r in stream.result(spark).collect())
+    assert got == sorted((u, at(3.0 * h), 1) for u in range(40) for h in range(9))
+    rows = max(sum(s["numRowsTotal"] for s in p["stateOperators"]) for p in stream.progress)
+    assert rows <= 400 + 4 * 8  # the sessions, and counts and timers of eight slices
