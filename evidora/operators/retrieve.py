@@ -8,7 +8,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -110,41 +109,53 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int | None = 10, k1: float = 1.
 
 def _packed(df: DataFrame, id_col: str, vector_col: str, block: int) -> DataFrame:
     """Rows of up to `block` vectors: ids and their matrix, as doubles."""
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for i in range(0, len(pdf), block):
-                some = pdf.iloc[i : i + block]
-                m = np.stack([np.asarray(v, np.float64) for v in some["v"]])
-                yield pd.DataFrame({"ids": [some["id"].to_numpy(np.int64)], "matrix": [m.tobytes()]})
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, block):
+                some = batch.slice(i, block)
+                if len(some.column(1).value_lengths().unique()) > 1:
+                    raise ValueError("vectors of several lengths")
+                m = some.column(1).flatten().to_numpy(zero_copy_only=False).reshape(some.num_rows, -1)
+                yield pa.RecordBatch.from_arrays([pa.array([some.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([m.tobytes()], pa.binary())], names=["ids", "matrix"])
 
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where("v is not null and size(v) > 0")
-    return rows.mapInPandas(pack, "ids array<long>, matrix binary")
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id is not null and v is not null and size(v) > 0")
+    return rows.select("id", F.transform("v", lambda x: F.coalesce(x, F.lit(float("nan")))).alias("v")).mapInArrow(pack, "ids array<long>, matrix binary")
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 2048) -> DataFrame:
+def _best(s: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and place of the k largest values above -2 of each row, ties at the k-th by id."""
+    if s.shape[1] > k:
+        at, place = np.nonzero((s >= np.partition(s, s.shape[1] - k, axis=1)[:, -k, None]) & (s > -2))
+    else:
+        at, place = np.nonzero(s > -2)
+    order = np.lexsort((ids[place], -s[at, place], at))
+    at, place = at[order], place[order]
+    first = np.searchsorted(at, at)
+    keep = np.arange(len(at)) - first < k
+    return at[keep], place[keep]
+
+
+def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 1024) -> DataFrame:
     """query_id, doc_id, score, rank: the k nearest vectors by cosine, exactly, without the query itself.
 
     Both sides are packed into blocks, and every pair of blocks is one matrix product; a pair
-    hands on its best k for each query only. Memory is that of two blocks."""
+    hands on its best k for each query only. Memory is that of two blocks and of one Arrow batch (spark.sql.execution.arrow.maxBytesPerBatch), which isn't copied."""
     q = _packed(queries, id_col, vector_col, block).select(F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"))
     pairs = _packed(vectors, id_col, vector_col, block).crossJoin(q)
 
-    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for ids, m, q_ids, qm in pdf[["ids", "matrix", "q_ids", "q_matrix"]].itertuples(index=False):
-                ids, q_ids = np.asarray(ids), np.asarray(q_ids)
-                a, b = np.frombuffer(m).reshape(len(ids), -1), np.frombuffer(qm).reshape(len(q_ids), -1)
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, m, q_ids, qm in zip(*(batch.column(i) for i in range(4))):
+                ids, q_ids = ids.values.to_numpy(zero_copy_only=False), q_ids.values.to_numpy(zero_copy_only=False)
+                a, b = np.frombuffer(m.as_buffer()).reshape(len(ids), -1), np.frombuffer(qm.as_buffer()).reshape(len(q_ids), -1)
                 with np.errstate(all="ignore"):
                     s = (b @ a.T) / (np.linalg.norm(b, axis=1)[:, None] * np.linalg.norm(a, axis=1)[None, :])
                 s = np.round(s, 6)
                 s[(q_ids[:, None] == ids[None, :]) | np.isnan(s)] = -2
-                by_id = np.argsort(ids, kind="stable")
-                best = by_id[np.argsort(-s[:, by_id], axis=1, kind="stable")[:, :k]]
-                value = np.take_along_axis(s, best, axis=1)
-                out = pd.DataFrame({"query_id": np.repeat(q_ids, best.shape[1]), "doc_id": ids[best].ravel(), "score": value.ravel()})
-                yield out[out["score"] > -2]
+                at, place = _best(s, ids, k)
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[at]), pa.array(ids[place]), pa.array(s[at, place])], names=["query_id", "doc_id", "score"])
 
-    return ranked(pairs.mapInPandas(nearest, "query_id long, doc_id long, score double"), k)
+    return ranked(pairs.select("ids", "matrix", "q_ids", "q_matrix").mapInArrow(nearest, "query_id long, doc_id long, score double"), k)
 
 
 def union_legs(**legs: DataFrame) -> DataFrame:

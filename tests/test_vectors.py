@@ -66,3 +66,18 @@ def test_lsh_hands_on_pairs_not_buckets(spark):
     assert len(got) == len(set(got)) and set(got) <= near and len(got) >= 0.9 * len(near) > 0
     plan = ingest.knn_lsh(v, q, 0.8)._jdf.queryExecution().executedPlan().toString()
     assert "hashValue" not in plan  # no row for each table that a pair of vectors shares
+
+
+def test_exact_search_with_ties_and_small_blocks(spark):
+    """The best k of a block are picked without a full sort; ties at the k-th place go by id, whatever the order of rows."""
+    rng = np.random.default_rng(9)
+    x = rng.integers(-1, 2, (90, 3)).astype(float)  # many equal cosines, some zero vectors
+    v = frame(spark, x).orderBy(F.xxhash64("vec_id"))
+    got = sorted((r["query_id"], r["doc_id"], r["score"], r["rank"]) for r in retrieve.knn(v, v.where("vec_id < 20"), 7, block=16).collect())
+    n = np.linalg.norm(x, axis=1)
+    with np.errstate(all="ignore"):
+        s = np.round(x @ x.T / (n[:, None] * n), 6)
+    order = {q: sorted((d for d in range(90) if d != q and not np.isnan(s[q, d])), key=lambda d: (-s[q, d], d))[:7] for q in range(20)}
+    assert got == sorted((q, d, s[q, d], i + 1) for q in order for i, d in enumerate(order[q]))
+    at, place = retrieve._best(np.array([[0.5, 0.9, 0.5, -2.0]]), np.array([7, 1, 3, 0]), 2)
+    assert at.tolist() == [0, 0] and place.tolist() == [1, 2]
