@@ -242,3 +242,14 @@ def test_resolvers(tmp_path, monkeypatch):
 def test_best_run_never_downgrades(spark, k):
     runs = spark.createDataFrame([("s", 1, 1, 10), ("s", 2, 0, 99 * k)], "suite string, run_id long, n_live long, n_pass long")
     assert evaluate.best_run(runs).first()["run_id"] == 1
+
+
+def test_term_maps_shuffle_texts_not_terms(spark, tmp_path):
+    """Counts go over all rows of an id, and what is shuffled is a row for each text."""
+    from evidora.registry import QUERIES
+
+    rows = [(1, "a a a B"), (1, "A a b"), (2, None), (None, "c c c c c"), (3, "d d d d")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = QUERIES["fn_map"](spark, str(tmp_path))
+    assert {tuple(r) for r in out.collect()} == {(1, "a", 5), (None, "c", 5)} and out.count() == 2
+    assert "Exchange" in (plan := out._jdf.queryExecution().executedPlan().toString()) and "k#" not in plan[plan.rindex("Exchange") :]
