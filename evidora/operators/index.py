@@ -8,8 +8,8 @@ from __future__ import annotations
 
 import atexit
 import uuid
-from collections import Counter
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +25,12 @@ from evidora.sources.files import open_index, remove_folder, shared_folder
 TIES = 2e-6
 BLOCKS = "term string, window long, n int, most double, ids array<long>, tfs array<int>, dls array<int>, bucket int"
 PAYLOAD = ["window", "ids", "tfs", "dls"]
+#: Windows whose blocks of one bucket a task writes, some.
+PART = 8192
 
 
 def _bucket(term: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+    return F.pmod(F.crc32(term.cast("binary")), F.lit(buckets)).cast("int")
 
 
 def _weight(tf, dl, k1: float, b: float, avgdl: float):
@@ -36,32 +38,101 @@ def _weight(tf, dl, k1: float, b: float, avgdl: float):
     return tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
 
 
+def _lists(values: pa.Array, sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), values)
+
+
+#: The blocks that one bucket has of one window, side by side: of each its term, number of postings and largest weight, of all the postings.
+PACKED = "bucket int, window long, terms array<string>, ns array<int>, mosts array<double>, ids array<long>, tfs array<int>, dls array<int>"
+
+
+def _window_blocks(buckets: int, factors: tuple[float, float, float]):
+    """Rows (window, doc_id, t) in the order of windows to PACKED rows."""
+    def blocks(window: int, part: pa.Table) -> pa.RecordBatch | None:
+        lists = part.column(2).combine_chunks()
+        flat = lists.flatten().dictionary_encode()
+        if not len(flat):
+            return None
+        words, size = flat.dictionary, len(flat.dictionary)
+        sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+        seen, tf = np.unique(np.repeat(np.arange(len(sizes)), sizes) * size + flat.indices.to_numpy(), return_counts=True)
+        doc, code = seen // size, seen % size
+        ids, dl = part.column(0).to_numpy()[doc], sizes[doc]
+        weight = _weight(tf, dl, *factors)
+        bucket = np.array([crc32(w.encode()) % buckets for w in words.to_pylist()])
+        by = np.argsort(bucket, kind="stable")  # terms, bucket by bucket
+        place = np.empty(size, np.int64)
+        place[by] = np.arange(size)
+        order = np.lexsort((ids, -weight, place[code]))
+        n = np.bincount(code, minlength=size)[by]
+        most = weight[order][np.cumsum(n) - n]
+        kinds, per_bucket = np.unique(bucket, return_counts=True)
+        posts = np.add.reduceat(n, np.cumsum(per_bucket) - per_bucket)
+        of_terms = (words.take(pa.array(by)), pa.array(n.astype(np.int32)), pa.array(most))
+        of_posts = (pa.array(ids[order]), pa.array(tf[order].astype(np.int32)), pa.array(dl[order].astype(np.int32)))
+        columns = [pa.array(kinds.astype(np.int32)), pa.array(np.full(len(kinds), window)), *(_lists(x, per_bucket) for x in of_terms), *(_lists(x, posts) for x in of_posts)]
+        return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in PACKED.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            window = batch.column(0).to_numpy()
+            bounds = np.append(np.flatnonzero(np.concatenate([[True], window[1:] != window[:-1]])), len(window)) if len(window) else [0]
+            for lo, hi in zip(bounds[:-1], bounds[1:]):
+                if window[lo] != now and held:
+                    if (out := blocks(now, pa.Table.from_batches(held))) is not None:
+                        yield out
+                    held = []
+                now = window[lo]
+                held.append(batch.select([1, 0, 2]).slice(lo, hi - lo))
+        if held and (out := blocks(now, pa.Table.from_batches(held))) is not None:
+            yield out
+
+    return run
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """PACKED rows to a row for each block."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, 64):
+            some = batch.slice(i, 64)
+            bucket, window, terms, ns, mosts, *posts = some.columns
+            n, per_row = ns.flatten().to_numpy(), terms.value_lengths().to_numpy(zero_copy_only=False)
+            columns = [terms.flatten(), pa.array(np.repeat(window.to_numpy(), per_row)), pa.array(n), mosts.flatten(), *(_lists(x.flatten(), n) for x in posts), pa.array(np.repeat(bucket.to_numpy(), per_row))]
+            yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in BLOCKS.split(", ")])
+
+
+def _repacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of blocks (BLOCKS) to PACKED ones: what lies together of a window becomes a row, so that a shuffle moves few, dense rows."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        term, window, n, most, *posts, bucket = batch.columns
+        w, n = window.to_numpy(), n.to_numpy()
+        heads = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
+        per_row, held = np.diff(np.append(heads, len(w))), np.add.reduceat(n, heads)
+        columns = [bucket.take(pa.array(heads)), pa.array(w[heads]), *(_lists(x, per_row) for x in (term, pa.array(n), most)), *(_lists(x.flatten(), held) for x in posts)]
+        yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in PACKED.split(", ")])
+
+
 def build(docs: DataFrame, path: str, window: int = 128, buckets: int = 64, k1: float = 1.5, b: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Writes the index of docs (distinct ids; null texts have length 0 and no postings) to path.
 
     A document's window is a hash of its id, of so many windows that each holds about `window` documents: the term that all documents have is
-    spread over all windows, and no task holds more of a term than one window's postings. The stats are written last: a store without them isn't whole."""
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("t"))
-    lengths = rows.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.size("t")), F.lit(0.0)).alias("avgdl")).first()  # two numbers
-    n, avgdl = lengths["n"], lengths["avgdl"]
-    windows = max(1, -(-n // window))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # a document's words are in one row: no shuffle counts them
-        for batch in batches:
-            for i, found in zip(batch.column(0).to_pylist(), batch.column(1)):
-                tf = Counter(found.as_py())
-                n = np.fromiter(tf.values(), np.int32, len(tf))
-                yield pa.RecordBatch.from_arrays([pa.array(list(tf), pa.string()), pa.array(np.full(len(tf), i)), pa.array(n), pa.array(np.full(len(tf), n.sum(), np.int32))], names=["term", "doc_id", "tf", "dl"])
-
-    posts = rows.mapInArrow(count, "term string, doc_id long, tf int, dl int")
-    posts = posts.withColumns({"bucket": _bucket(F.col("term"), buckets), "window": F.pmod(F.xxhash64("doc_id"), F.lit(windows))})
-    dealt = posts.repartition("bucket", "window")  # the one shuffle: blocks are made where their postings come to
-    weight = _weight(F.col("tf"), F.col("dl"), k1, b, avgdl)
-    lists = dealt.groupBy("bucket", "window", "term").agg(F.array_sort(F.collect_list(F.struct((-weight).alias("w"), "doc_id", "tf", "dl"))).alias("p"))
-    blocks = lists.select("bucket", "term", "window", F.size("p").alias("n"), (-F.col("p")[0]["w"]).alias("most"), F.col("p.doc_id").alias("ids"), F.col("p.tf").alias("tfs"), F.col("p.dl").alias("dls"))
+    spread over all windows, and no task holds more of a term than one window's postings. Texts are dealt to their windows, a task makes the blocks of one window at
+    a time, and these go to their bucket's files packed, a row for each window and bucket, not one for each posting or block. The stats are written last: a store without them isn't whole."""
     spark = docs.sparkSession
-    blocks.sortWithinPartitions("bucket", "term", "window").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/blocks")
-    heads = spark.read.schema(BLOCKS).parquet(f"{path}/blocks").select("bucket", "term", "n", "most")
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    lengths = texts.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.size(tokens(F.col("text")))), F.lit(0.0)).alias("avgdl")).first()  # two numbers
+    n, avgdl = lengths["n"], lengths["avgdl"]
+    most_windows = max(1, -(-n // window))
+    dealt = texts.withColumn("window", F.pmod(F.xxhash64("doc_id"), F.lit(most_windows))).repartition("window").sortWithinPartitions("window", "doc_id")
+    packed = dealt.select("window", "doc_id", tokens(F.col("text")).alias("t")).mapInArrow(_window_blocks(buckets, (k1, b, avgdl or 1.0)), PACKED)
+    part = F.pmod(F.xxhash64("window"), F.lit(-(-most_windows // PART)))
+    blocks = packed.repartition("bucket", part).mapInArrow(_unpacked, BLOCKS)
+    blocks.sortWithinPartitions("bucket", "window").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/blocks")
+    heads = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
+    windows = heads.select("window").distinct().count()
     terms = heads.groupBy("bucket", "term").agg(F.sum("n").alias("df"), F.max("most").alias("most"))
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     terms.withColumn("idf", idf).repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
@@ -212,13 +283,18 @@ def _window_scorer(shared, k: int, factors: tuple[float, float, float]):
 
         now, held = None, ([], [], [], [])
         for batch in batches:
-            for window, term, most, ids, tf, dl in zip(*(batch.column(i).to_pylist() for i in range(3)), *(batch.column(i) for i in range(3, 6))):
-                if window != now and held[0]:
+            for row in range(batch.num_rows):
+                window, terms, ns, mosts, ids, tf, dl = (batch.column(c)[row] for c in range(1, 8))
+                if window.as_py() != now and held[0]:
                     score(*held)
                     held = ([], [], [], [])
-                now = window
-                for part, x in zip(held, (term, most, ids.values.to_numpy(), _weight(tf.values.to_numpy(), dl.values.to_numpy(), *factors))):
-                    part.append(x)
+                now = window.as_py()
+                ns = ns.values.to_numpy()
+                held[0].extend(terms.as_py())
+                held[1].extend(mosts.values.to_numpy())
+                at = np.cumsum(ns)[:-1]
+                held[2].extend(np.split(ids.values.to_numpy(), at))
+                held[3].extend(np.split(_weight(tf.values.to_numpy(), dl.values.to_numpy(), *factors), at))
         if held[0]:
             score(*held)
         q, i = np.nonzero(best > 0)
@@ -245,8 +321,9 @@ def whole(index: Index, terms: DataFrame, k: int, most_numbers: int = 1 << 23) -
         weights[q, [vocabulary[r["term"]] for r in group]] = [r["idf"] for r in group]
         shared = spark.sparkContext.broadcast((queries, vocabulary, weights))
         wanted = spark.createDataFrame(names, "bucket int, term string")
-        read = index.blocks.select("bucket", "term", "window", "most", "ids", "tfs", "dls").join(F.broadcast(wanted), ["bucket", "term"], "left_semi")  # a group's terms, bounded by most_numbers
-        dealt = read.select("window", "term", "most", "ids", "tfs", "dls").repartition("window").sortWithinPartitions("window")
+        read = index.blocks.join(F.broadcast(wanted), ["bucket", "term"], "left_semi")  # a group's terms, bounded by most_numbers
+        packed = read.select(*[x.split()[0] for x in BLOCKS.split(", ")]).mapInArrow(_repacked, PACKED)
+        dealt = packed.repartition("window").sortWithinPartitions("window")
         return dealt.mapInArrow(_window_scorer(shared, k, index.factors), "query_id long, doc_id long, score double")
 
     group, terms_seen, queries_seen = [], set(), set()

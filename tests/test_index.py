@@ -82,3 +82,18 @@ def test_empty_and_missing(spark, docs, tmp_path):
 
 def test_built_once(spark, docs):
     assert index.stored(docs, "a", window=64).path == index.stored(docs, "a", window=64).path != index.stored(docs, "b", window=64).path
+
+
+def test_postings_move_packed(spark, docs, tmp_path):
+    """A bucket is written by one task for each PART windows, whatever the number of shuffle partitions, and what is shuffled is a row for each window and bucket."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        index.build(docs, str(tmp_path / "store"), window=16, buckets=8)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    store = index.Index(spark, str(tmp_path / "store"))
+    assert len(store.blocks.inputFiles()) == 8
+    packed = store.blocks.select(*[x.split()[0] for x in index.BLOCKS.split(", ")]).mapInArrow(index._repacked, index.PACKED)
+    assert packed.count() == store.blocks.select("bucket", "window").distinct().count() < store.blocks.count() / 4
+    again = packed.mapInArrow(index._unpacked, index.BLOCKS)
+    assert again.exceptAll(store.blocks).count() == store.blocks.exceptAll(again).count() == 0
