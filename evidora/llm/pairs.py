@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from evidora.llm.common import cut
 from evidora.llm.graph import components
 from evidora.llm.hashing import U, mix
+from evidora.operators.links import spread
 
 #: Most items, and most bytes of them, of a block; a group of more is dealt into blocks.
 BLOCK, BYTES = 512, 8_000_000
@@ -109,22 +110,6 @@ def linked(rows: DataFrame, key: str, compare: Callable[[pa.Table, np.ndarray],
     return cut(edges.unionByName(by_group(met, compare)).distinct(), "linked")
 
 
-def spread(n: int, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    """For items 0..n-1 under the links one[i]-two[i], the smallest item that each reaches."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[one], root[two])
-        new = root.copy()
-        np.minimum.at(new, one, low)
-        np.minimum.at(new, two, low)
-        np.minimum.at(new, root[one], low)
-        np.minimum.at(new, root[two], low)
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
-
-
 def _towards(ids: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     root = spread(len(ids), one, two)
     at = np.flatnonzero(root != np.arange(len(ids)))
