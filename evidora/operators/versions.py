@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidora.operators.retrieve import postings
+from evidora.operators.retrieve import distinct_postings
 
 _MANIFEST = "kind string, segment long, name string"
 
@@ -55,7 +55,7 @@ class Versions:
         checked = written.groupBy(self.id_col).agg(F.count("*").alias("n")).where(F.col(self.id_col).isNull() | (F.col("n") > 1)).limit(1).collect()
         if checked:
             raise ValueError(f"the id {checked[0][0]} is null or repeats in a commit")
-        postings(written, self.id_col, self.text_col).write.parquet(f"{self.path}/postings-{name}")
+        distinct_postings(written, self.id_col, self.text_col).write.parquet(f"{self.path}/postings-{name}")
         return written
 
     def upsert(self, changes: DataFrame | None = None, deletes: DataFrame | None = None) -> int:

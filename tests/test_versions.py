@@ -49,3 +49,10 @@ def test_a_failed_commit_is_none(spark, tmp_path):
     store._commit(2, store.manifest(1))
     with pytest.raises(Exception):
         store._commit(2, store.manifest(1))  # someone else was first
+
+
+def test_postings_are_counted_without_a_shuffle(spark):
+    docs = spark.createDataFrame([(3, "B b a"), (1, ""), (2, None), (4, "é ü1 b é"), (None, "z z")] + [(i, f"w{i % 7} b") for i in range(10, 700)], "doc_id long, text string")
+    out = retrieve.distinct_postings(docs)
+    assert rows(out.select("term", "doc_id", "tf")) == rows(retrieve.postings(docs).select("term", "doc_id", "tf"))
+    assert "Exchange" not in out._jdf.queryExecution().toString()
