@@ -19,6 +19,8 @@ from evidora.operators.retrieve import ranked
 
 #: Coarse lists at most: with 1,024 dimensions the centroids are 64 MB.
 MOST_LISTS = 8192
+#: Distances that a task holds at once, and new candidates that it takes before it drops what can't be among the best any more.
+DISTANCES, CANDIDATES = 1 << 20, 1 << 18
 
 
 @dataclass
@@ -39,7 +41,16 @@ class Model:
 def nearest(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
     """The nearest center of each row (ties: the first), in blocks."""
     half = (centers**2).sum(axis=1) / 2
-    return np.concatenate([np.argmax(x[i : i + 4096] @ centers.T - half, axis=1) for i in range(0, len(x), 4096)]) if len(x) else np.empty(0, int)
+    at = np.empty(len(x), int)
+    for i in _blocks(len(x), len(centers)):
+        at[i] = np.argmax(x[i] @ centers.T - half, axis=1)
+    return at
+
+
+def _blocks(n: int, width: int) -> list[slice]:
+    """0..n in blocks, of which each has DISTANCES numbers at most, `width` for a row."""
+    size = max(1, min(4096, DISTANCES // max(1, width)))
+    return [slice(i, i + size) for i in range(0, n, size)]
 
 
 def unit(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -102,21 +113,38 @@ def encoded(vectors: DataFrame, model: Model, block: int = 4096, id_col: str = "
     shared = vectors.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
+        held, size = [], 0
 
-        def of(a: int) -> pa.RecordBatch:
-            ids, codes = zip(*held.pop(a))
-            return pa.RecordBatch.from_arrays([pa.array([a], pa.int32()), pa.array([list(ids)], pa.list_(pa.int64())), pa.array([b"".join(codes)], pa.binary())], names=["list", "ids", "codes"])
+        def of(all_: bool) -> Iterator[pa.RecordBatch]:
+            """Whole blocks, and with all_ the rest, too: what isn't given stays held."""
+            at, ids, codes = (np.concatenate(c) for c in zip(*held))
+            order = np.argsort(at, kind="stable")
+            rest = []
+            for some in np.split(order, np.flatnonzero(np.diff(at[order])) + 1):
+                for i in range(0, len(some), block):
+                    r = some[i : i + block]
+                    if len(r) < block and not all_:
+                        rest.append(r)
+                        continue
+                    yield pa.RecordBatch.from_arrays([pa.array([at[r[0]]], pa.int32()), pa.array([ids[r]], pa.list_(pa.int64())), pa.array([codes[r].tobytes()], pa.binary())], names=["list", "ids", "codes"])
+            r = np.concatenate(rest) if rest else order[:0]
+            held[:] = [(at[r], ids[r], codes[r])]
 
         for batch in batches:
-            x = _matrix(batch.column(1))
-            at = shared.value.assign(x)
-            for i, a, code in zip(batch.column(0).to_pylist(), at.tolist(), shared.value.encode(x, at)):
-                held.setdefault(a, []).append((i, code.tobytes()))
-                if len(held[a]) == block:
-                    yield of(a)
-        for a in list(held):
-            yield of(a)
+            for i in range(0, batch.num_rows, 4096):
+                some = batch.slice(i, 4096)
+                x = _matrix(some.column(1))
+                at = shared.value.assign(x)
+                held.append((at, some.column(0).to_numpy(), shared.value.encode(x, at)))
+                size += len(at)
+                if size > max(CANDIDATES, 16 * len(shared.value.centroids)):
+                    yield from of(False)
+                    size = len(held[0][0])
+                    if size > CANDIDATES:  # many lists, each with part of a block
+                        yield from of(True)
+                        held, size = [], 0
+        if size:
+            yield from of(True)
 
     return unit(vectors, id_col, vector_col).mapInArrow(run, "list int, ids array<long>, codes binary")
 
@@ -146,10 +174,11 @@ def search(vectors: DataFrame, codes: DataFrame, model: Model, queries: DataFram
     probes = min(probes, len(model.centroids))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, ids = _matrix(batch.column(1)), batch.column(0).to_numpy()
+        for part in (batch.slice(i, 1024) for batch in batches for i in range(0, batch.num_rows, 1024)):
+            x, ids = _matrix(part.column(1)), part.column(0).to_numpy()
             c = shared.value.centroids
-            best = np.argsort((c**2).sum(axis=1) / 2 - x @ c.T, axis=1, kind="stable")[:, :probes]
+            half = (c**2).sum(axis=1) / 2
+            best = np.concatenate([np.argsort(half - x[i] @ c.T, axis=1, kind="stable")[:, :probes].astype(np.int32) for i in _blocks(len(x), len(c))])
             row, at = np.repeat(np.arange(len(x)), best.shape[1]), best.ravel()
             order = np.argsort(at, kind="stable")
             for some in np.split(order, np.flatnonzero(np.diff(at[order])) + 1):
@@ -158,7 +187,13 @@ def search(vectors: DataFrame, codes: DataFrame, model: Model, queries: DataFram
                     yield pa.RecordBatch.from_arrays([pa.array([at[some[0]]], pa.int32()), pa.array([ids[r].tolist()], pa.list_(pa.int64())), pa.array([x[r].tobytes()], pa.binary())], names=["list", "asked", "x"])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, held, size = shared.value, [], 0
+        m, held, size, kept = shared.value, [], 0, 0
+        known, limit = np.empty(0, np.int64), np.empty(0)  # of queries that have `rescore` candidates, the last one's value: less is of no use
+
+        def least(q: np.ndarray) -> np.ndarray:
+            at = np.searchsorted(known, q)
+            at[at == len(known)] = 0
+            return np.where(known[at] == q, limit[at], -np.inf) if len(known) else np.full(len(q), -np.inf)
 
         def best() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             q, d, s = (np.concatenate(c) for c in zip(*held))
@@ -181,15 +216,18 @@ def search(vectors: DataFrame, codes: DataFrame, model: Model, queries: DataFram
                 s[q[:, None] == ids[None, :]] = -np.inf
                 top = np.argpartition(-s, rescore - 1, axis=1)[:, :rescore] if len(ids) > rescore else np.broadcast_to(np.arange(len(ids)), s.shape)
                 value = np.take_along_axis(s, top, axis=1).ravel()
-                fine = value > -np.inf
+                fine = (value > -np.inf) & (value >= np.repeat(least(q), top.shape[1]))
                 held.append((np.repeat(q, top.shape[1])[fine], ids[top].ravel()[fine], value[fine]))
                 size += len(held[-1][0])
-                if size > 1 << 21:
+                if size > kept + CANDIDATES:
                     held = [best()]
-                    size = len(held[0][0])
+                    of, _, near_ = held[0]
+                    size = kept = len(of)
+                    full = np.flatnonzero(of[rescore - 1 :] == of[: max(0, len(of) - rescore + 1)])
+                    known, limit = of[full], near_[full + rescore - 1]
                     if size > 1 << 20:  # many queries: what is found goes on, to be limited with that of other tasks
                         yield out(*held.pop())
-                        size = 0
+                        size = kept = 0
         if held:
             yield out(*best())
 
