@@ -83,21 +83,25 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def _bands(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From keys and non-empty lists of shingles: key, number of shingles, bands."""
+    """From keys, ids and lists of shingles (null: none): key, id, number of shingles, bands."""
     seeds = np.random.default_rng(7).integers(0, 2**63, (BANDS, BAND_ROWS)).astype(np.uint64)
     for whole in batches:
         for at in range(0, whole.num_rows, 512):
             batch = whole.slice(at, 512)
-            values, sizes = batch.column(1).flatten().to_numpy().view(np.uint64), pc.list_value_length(batch.column(1)).to_numpy()
+            some = batch.column(2).is_valid()
+            lists = batch.column(2).filter(some)
+            values, sizes = lists.flatten().to_numpy().view(np.uint64), pc.list_value_length(lists).to_numpy()
             starts = np.cumsum(sizes) - sizes
             bands = np.empty((len(sizes), BANDS), np.uint64)
             with np.errstate(over="ignore"):
-                for i, some in enumerate(seeds):
-                    bands[:, i] = _mixed(some[:1])
-                    for seed in some:
+                for i, seed_row in enumerate(seeds if len(sizes) else ()):
+                    bands[:, i] = _mixed(seed_row[:1])
+                    for seed in seed_row:
                         bands[:, i] = _mixed(bands[:, i] + np.minimum.reduceat(_mixed(values ^ seed), starts))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), lists], names=["k", "n", "bands"])
+            none = ~some.to_numpy(zero_copy_only=False)
+            place = pa.array(np.cumsum(~none) - 1, mask=none)
+            found = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int32()).take(place), found.take(place)], names=["k", "doc_id", "n", "bands"])
 
 
 #: So many members of a bucket are compared with all others of it.
@@ -124,14 +128,17 @@ def dedup_minhash(docs: DataFrame, distance: float = 0.2) -> DataFrame:
     comparisons, not n squared; buckets whose members are mostly not near cost up to the square.
     (Over single tokens, texts of one language share so many that the bands would pair most of them.)"""
     least = 1 - distance
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("k", F.md5(F.col("text").cast("binary")))
-    one = rows.groupBy("k").agg(F.min("doc_id").alias("class_id"), F.first("text").alias("text")).select("k", "class_id", tokens(F.col("text")).alias("w"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("k", F.unhex(F.md5(F.col("text").cast("binary"))))
     shingles = F.expr("CASE WHEN size(w) >= 5 THEN array_distinct(transform(sequence(1, size(w) - 4), i -> xxhash64(slice(w, i, 5)))) END")
-    classes = cut(one.select("k", "class_id", shingles.alias("s")), "classes")
-    sets = classes.where("s is not null").select("k", "s")
-    banded = cut(sets.mapInArrow(_bands, "k string, n int, bands array<long>").select("k", "n", F.explode("bands").alias("band")), "banded")
+    kinds = f"k binary, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n int, bands array<long>"
+    signed = rows.select("k", "doc_id", tokens(F.col("text")).alias("w")).select("k", "doc_id", shingles.alias("s")).mapInArrow(_bands, kinds)
+    classes = cut(signed.groupBy("k").agg(F.min("doc_id").alias("class_id"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
+    banded = classes.select("k", "n", F.explode("bands").alias("band"))
     sizes = banded.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
-    buckets = cut(banded.join(sizes, "band"), "buckets")
+    buckets = cut(banded.join(cut(sizes, "sizes"), "band"), "buckets")
+    # only texts that share a band with another are ever compared: of the others neither text nor shingles are written down
+    asked = rows.select("k", "text").join(buckets.select("k").distinct(), "k", "left_semi").dropDuplicates(["k"])
+    sets = cut(asked.select("k", tokens(F.col("text")).alias("w")).select("k", shingles.alias("s")), "sets")
     near = F.least("n", "n2") >= least * F.greatest("n", "n2") - 1e-9  # sets of other sizes can't be
     first = buckets.withColumn("_n", F.row_number().over(Window.partitionBy("band").orderBy("k"))).where(F.col("_n") <= PIVOTS)
     met = buckets.join(first.select("band", F.col("k").alias("k2"), F.col("n").alias("n2")), "band").where((F.col("k") != F.col("k2")) & near)

@@ -166,6 +166,21 @@ def test_minhash_of_nothing(spark):
     assert context.dedup_minhash(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+def test_minhash_writes_only_compared_texts(spark, monkeypatch):
+    """Shingles are written down for texts that share a band with another, not for all; copies and short texts keep their rows."""
+    written = {}
+
+    def kept(df, name, cut=context.cut):
+        written[name] = out = cut(df, name)
+        return out
+
+    monkeypatch.setattr(context, "cut", kept)
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(40))) for i in range(50)] + [(60, " ".join(f"w7x{j}" for j in range(39))), (61, "too short"), (62, "too short"), (63, None), (None, "")]
+    got = {tuple(r) for r in context.dedup_minhash(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    assert got == {(i, i, i) for i in range(50)} | {(60, 60, 7), (61, 61, 61), (62, 61, 61), (63, 63, 63), (None, 63, 63)}
+    assert written["sets"].count() == 2 and not {"s", "text"} & set(written["classes"].columns) and written["classes"].count() == 53
+
+
 def test_citation_checks(spark):
     a = spark.createDataFrame([(1, 2, "x [S1] y [S0] z [S99]"), (2, 0, "none")], "query_id long, n_sources long, answer string")
     assert {r["query_id"]: (r["n_cited"], r["n_bad"]) for r in constraints.out_of_range(a).collect()} == {1: (3, 2), 2: (0, 0)}
