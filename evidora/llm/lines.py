@@ -9,10 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidora.llm.common import built, cut, free
+from evidora.llm.common import built, cut, free, scratch
 from evidora.llm.graph import components
 from evidora.llm.hashing import U, mix, string_hashes
-from evidora.llm.pairs import linked, overlapping, similar_signatures
+from evidora.llm.pairs import linked, overlapping, shared_bands, similar_signatures
 
 SHINGLE, WIDTH, ROWS, AGREE = 8, 64, 4, 35
 #: Code points hashed at once.
@@ -139,17 +139,16 @@ def removed_lines(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", t
     of the smallest (id, tag, number) stays. Should different lines ever have the same 64-bit hash, a second hash tells, and they stay. Lines without any character but white space are never
     removed: they only part paragraphs."""
     rows = docs.select(*_keyed(docs, id_col, text_col))
-    signed = cut(rows.mapInArrow(_sign, SIGNED), "signed", **{"parquet.enable.dictionary#sig.list.element": "false"})  # hashes don't repeat
-    lines = signed.select("id", "tag", "line", "k")
-    classes = signed.groupBy("k").agg(F.min(F.struct("id", "tag", "line")).alias("first"), F.count("*").alias("copies"), F.min("proof").alias("a"), F.max("proof").alias("b"))
-    classes = cut(classes.where("a = b").drop("a", "b"), "classes")
-    bands = signed.where("sig is not null").select("k", F.posexplode("sig").alias("i", "value"))
-    banded = bands.select("k", F.xxhash64("value", "i").alias("band"))
-    shared = cut(banded.groupBy("band").agg(F.min("k").alias("a"), F.max("k").alias("b")).where("a < b").select("band"), "shared")
-    members = cut(banded.join(built(shared), "band").distinct(), "members")
-    once = signed.where("sig is not null").select("k", "sig").join(built(members.select("k").distinct()), "k").groupBy("k").agg(F.first("sig").alias("sig"))
-    groups = components(linked(members.join(once, "k").withColumnRenamed("k", "id"), "band", similar_signatures(WIDTH, AGREE)))
-    groups = cut(groups.select("node", "root").unionByName(groups.select(F.col("root").alias("node"), "root").distinct()), "groups")
+    with scratch():  # signatures take most of the space, and only candidates need them
+        signed = cut(rows.mapInArrow(_sign, SIGNED), "signed", **{"parquet.enable.dictionary#sig.list.element": "false"})  # hashes don't repeat
+        lines = cut(signed.select("id", "tag", "line", "k"), "lines", True)
+        classes = signed.groupBy("k").agg(F.min(F.struct("id", "tag", "line")).alias("first"), F.count("*").alias("copies"), F.min("proof").alias("a"), F.max("proof").alias("b"))
+        classes = cut(classes.where("a = b").drop("a", "b"), "classes", True)
+        sigs = signed.where("sig is not null").select(F.col("k").alias("id"), "sig")
+        members = shared_bands(sigs)
+        once = sigs.join(built(members.select("id").distinct()), "id").groupBy("id").agg(F.first("sig").alias("sig"))
+        groups = components(linked(cut(members.join(once, "id"), "candidates"), "band", similar_signatures(WIDTH, AGREE)))
+        groups = cut(groups.select("node", "root").unionByName(groups.select(F.col("root").alias("node"), "root").distinct()), "groups", True)
     wanted = classes.join(groups, F.col("k") == F.col("node")).select("first.*", "k", "root")
     wanted = wanted.groupBy("id", "tag").agg(F.collect_list(F.struct("line", "k", "root")).alias("wanted"))
     held = rows.join(built(wanted), ["id", "tag"]).select(F.split("text", "\n").alias("split"), F.explode("wanted").alias("w"))

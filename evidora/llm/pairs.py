@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidora.llm.common import cut
+from evidora.llm.common import built, cut
 from evidora.llm.graph import components
 from evidora.llm.hashing import U, mix
 from evidora.operators.links import spread
@@ -25,6 +25,8 @@ from evidora.operators.links import spread
 BLOCK, BYTES = 512, 8_000_000
 #: Of a large group, so large a share of a block is pivots, which are in every block.
 PIVOTS = 1 / 8
+#: Bands of a bucket, about.
+ENTRIES = 1 << 21
 EDGES = "a long, b long"
 
 
@@ -40,6 +42,86 @@ def band_hashes(signatures: np.ndarray, rows: int) -> np.ndarray:
     return out
 
 
+def _dealt(bits: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            values = batch.column(1).flatten().to_numpy(zero_copy_only=False).view(U)
+            if not len(values):
+                continue
+            width = len(values) // len(ids)
+            with np.errstate(over="ignore"):
+                h = mix(values.reshape(-1, width) ^ mix(np.arange(1, width + 1, dtype=U) * U(0x9E3779B97F4A7C15))).ravel()
+            order = np.argsort(h)
+            h, ids = h[order], ids[order // width]
+            start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            n = np.diff(np.append(start, len(h)))
+            key = h >> U(32 - bits)
+            lone, some = start[n == 1], start[n > 1]
+            edges = np.arange(1, 1 << bits, dtype=U) << U(32)
+            cuts = [np.concatenate([[0], np.searchsorted(key[x], edges), [len(x)]]).tolist() for x in (lone, some)]
+            low, own, met = key[lone].astype("<u4").tobytes(), ids[lone].tobytes(), key[some].astype("<u4").tobytes()
+            out = [(b, low[4 * p : 4 * q], own[8 * p : 8 * q], met[4 * r : 4 * s]) for b, (p, q, r, s) in enumerate(zip(cuts[0], cuts[0][1:], cuts[1], cuts[1][1:])) if q > p or s > r]
+            if len(some):
+                known = np.repeat(n > 1, n)
+                out.append((-1 - int(h[0] % U(4096)), key[known].tobytes(), ids[known].tobytes(), b""))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "bands", "ids", "met"])
+
+    return run
+
+
+def _met(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    at, held = -1, []
+
+    def rows(bands: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(bands.view(np.int64)), pa.array(ids)], names=["band", "id"])
+
+    def done() -> pa.RecordBatch:
+        band, ids, met = (np.frombuffer(b"".join(x), t) for x, t in zip(zip(*held), ("<u4", "<i8", "<u4")))
+        every = np.concatenate([band, met])
+        order = np.argsort(every)
+        s = every[order]
+        n = np.diff(np.append(np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])), len(s)))
+        order = order[np.repeat(n > 1, n)]
+        own, fresh = order < len(band), order >= len(band)
+        own_ids = np.where(own, ids[np.minimum(order, len(ids) - 1)] if len(ids) else 0, 0)
+        order = order[np.lexsort((own_ids, fresh, every[order]))]  # ids by size, then those met before
+        s, i = every[order], np.where(order < len(band), order, -1)
+        k = ids[i] if len(ids) else np.zeros(len(i), np.int64)
+        keep = np.concatenate([[True], (s[1:] != s[:-1]) | (i[1:] < 0) | (i[:-1] < 0) | (k[1:] != k[:-1])]) if len(s) else np.empty(0, bool)
+        s, i = s[keep], i[keep]
+        n = np.diff(np.append(np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])), len(s))) if len(s) else np.empty(0, int)
+        keep = np.repeat(n > 1, n) & (i >= 0)
+        return rows(s[keep].astype(U) | U(at << 32), ids[i[keep]])
+
+    for batch in batches:
+        for bucket, bands, ids, met in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            if bucket < 0:
+                yield rows(np.frombuffer(bands, U), np.frombuffer(ids, np.int64))
+                continue
+            if bucket != at and held:
+                yield done()
+                held = []
+            at = bucket
+            held.append((bands, ids, met))
+    if held:
+        yield done()
+
+
+def shared_bands(rows: DataFrame) -> DataFrame:
+    """Returns band, id: the bands that several ids have, and those ids. rows has id (long, a repeated one counts once) and sig, a list of longs, all of
+    one length, of which each is a band at its place. Of bands that hold the same ids, one is returned.
+
+    Bands are dealt by hash to buckets of some ENTRIES bands, packed: a row for each bucket and Arrow batch, with 32 more bits of each band's hash, and its id. Bands that come
+    together within a batch are known there: their bucket gets one of each, without its ids, so that a band of any number of ids fills no task. Where hashes agree by chance, a candidate is more."""
+    n, width = rows.agg(F.count("*"), F.max(F.size("sig"))).first()
+    bits = min(24, max(6, (n * (width or 1) // ENTRIES).bit_length()))
+    dealt = rows.select("id", "sig").mapInArrow(_dealt(bits), "bucket int, bands binary, ids binary, met binary")
+    members = cut(dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_met, "band long, id long").distinct(), "members")
+    sets = members.groupBy("band").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")).where("n > 1")
+    return cut(members.join(built(sets.groupBy("n", "x", "y").agg(F.min("band").alias("band")).select("band")), "band"), "sets")
+
+
 def by_group(rows: DataFrame, compare: Callable[[pa.Table, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
     """Runs compare over whole groups (column grp, of bounded size), many at a time: it gets their rows and
     the bounds of the groups in them, and returns edges. Groups are sorted in their partition, so a

@@ -3,13 +3,15 @@
 import collections
 import hashlib
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
 from brute import WORD, all_ids, check_pieces, components_of, kept_lines, near, pairs, removed, water
 from pyspark.sql import functions as F
 
-from evidora.llm import bagminhash, embeddings, fingerprints, graph, hashing, lines, mixing, neardup, packing, sharding, substrings, tokens, toxicity
+from evidora.llm import bagminhash, common, embeddings, fingerprints, graph, hashing, lines, mixing, neardup, packing, sharding, substrings, tokens, toxicity
+from evidora.llm import pairs as similar
 
 
 def documents(spark, sf_dir):
@@ -251,6 +253,39 @@ def test_line_signature_rates():
     assert abs(np.mean(errors)) < 0.02
 
 
+@pytest.mark.parametrize("batch", [10_000, 100])
+def test_shared_bands(spark, batch):
+    """Each set of ids that have a band in common, once, however the rows come in batches; one band is very common, some rows repeat."""
+    rng = np.random.default_rng(1)
+    sig, ids = rng.integers(0, 400, (3000, 4)), rng.permutation(10**6)[:3000]
+    sig[:500, 0] = 7
+    ids[-200:], sig[-200:] = ids[:200], sig[:200]
+    want = collections.defaultdict(set)
+    for i, values in zip(ids.tolist(), sig.tolist()):
+        for band in enumerate(values):
+            want[band].add(i)
+    rows = spark.createDataFrame([(i, s) for i, s in zip(ids.tolist(), sig.tolist())], "id long, sig array<long>").repartition(5)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = collections.defaultdict(list)
+        for r in similar.shared_bands(rows).collect():
+            got[r["band"]].append(r["id"])
+        assert not similar.shared_bands(rows.limit(0)).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted(sorted(x) for x in got.values()) == sorted(map(sorted, {frozenset(x) for x in want.values() if len(x) > 1}))
+
+
+def test_lines_leave_no_signatures(spark, sf_dir):
+    """Signatures, most of the scratch space, are gone before texts are shuffled."""
+    folder = Path(common.shared_dir(spark).removeprefix("file:"))
+    before = set(folder.glob("signed-*"))
+    gone = lines.removed_lines(documents(spark, sf_dir))
+    assert set(folder.glob("signed-*")) == before
+    assert gone.limit(1).count()
+
+
 # ---- 6 -------------------------------------------------------------------------------------
 
 
